@@ -8,19 +8,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontaminate import contamination
+from .line_dedup import drop_recurring_lines
+from .oracle import SQL
 from .near_dedup import near_duplicates
 from .packing import pack
+from .pii import personal_data
+from .quality import quality
 from .toxicity import toxicity
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -33,4 +49,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_near_dedup, op7_decontaminate, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_near_dedup, op6_quality, op7_decontaminate, op8_pii, op9_packing, op10_toxicity)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, sql in SQL.items() if name in queries()}
