@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import scratch_path, table
 from .decontaminate import contamination
+from .html_text import main_texts
+from .langid import languages
 from .line_dedup import drop_recurring_lines
 from .oracle import SQL
 from .near_dedup import near_duplicates
@@ -15,16 +17,31 @@ from .packing import pack
 from .pii import personal_data
 from .quality import quality
 from .toxicity import toxicity
+from .warc import read_archives, write_archives
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri = scratch_path(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), uri)
+    return read_archives(spark, uri).drop("url")
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
@@ -49,7 +66,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_near_dedup, op6_quality, op7_decontaminate, op8_pii, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_near_dedup, op4_language, op5_html_text, op6_quality, op7_decontaminate, op8_pii, op9_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
