@@ -141,9 +141,10 @@ def confirmer(percent: int, width: int):
     return run
 
 
-def cross_block(k: int, least: float):
+def cross_block(k: int, least: float, best_only: bool):
     """mapInArrow over rows sorted by block, queries first: pairs of a block's queries and members
-    of different components whose signatures look similar. Holds one block's queries at a time."""
+    of different components whose signatures look similar (all, or each query's best of a run of
+    members). Holds one block's queries at a time."""
 
     def run(batches):
         block, q_ids, q_comp, q_sig = None, [], [], []
@@ -163,9 +164,11 @@ def cross_block(k: int, least: float):
                 j = i
                 while j < n and keys[j] == block and not is_query[j] and j - i < 1024:
                     j += 1
+                own = np.array(comps[i:j])
                 for x, comp, sig in zip(q_ids, q_comp, q_sig):
-                    for y in np.nonzero(similar(sigs[i:j], sig) >= least)[0]:
-                        if comps[i + y] != comp:
+                    near = np.where(own == comp, -1.0, similar(sigs[i:j], sig))
+                    for y in [int(np.argmax(near))] if best_only else np.nonzero(near >= least)[0]:
+                        if near[y] >= least:
                             a.append(min(x, ids[i + y])), b.append(max(x, ids[i + y]))
                 i = j
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])

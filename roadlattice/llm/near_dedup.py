@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +36,36 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int) ->
     return both.mapInArrow(kernels.confirmer(percent, width), "a long, b long")
 
 
+def _across(shared: DataFrame, comps: DataFrame, sigs: DataFrame, k: int, least: float, block: int, target_block: int, best_only: bool) -> DataFrame | None:
+    """Pairs of different components that share a bucket and whose signatures look similar: members
+    outside a bucket's largest component against all its members, in blocks. With best_only, of each
+    member only the most similar of every up to 1024 others. None if no bucket has two components."""
+    placed = shared.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    open_buckets = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    placed = materialize(placed.join(open_buckets, "bucket", "left_semi"), "placed")
+    if placed.isEmpty():
+        return None
+    largest = (
+        placed.groupBy("bucket", "comp", "n").agg(F.count("*").alias("c")).groupBy("bucket", "n").agg(F.max(F.struct("c", "comp")).alias("top"))
+        .select("bucket", F.col("top.comp").alias("top"), F.ceil((F.col("n") - F.col("top.c")) / block).alias("q_chunks"), F.ceil(F.col("n") / target_block).alias("t_chunks"))
+    )
+    ready = placed.join(largest, "bucket").join(sigs, "id")
+    queries = (
+        ready.where("comp <> top")
+        .withColumn("q_chunk", F.expr("pmod(xxhash64(id), q_chunks)"))
+        .withColumn("t_chunk", F.explode(F.expr("sequence(0L, t_chunks - 1)")))
+        .withColumn("is_query", F.lit(True))
+    )
+    targets = (
+        ready.withColumn("t_chunk", F.expr("pmod(xxhash64(id, 7), t_chunks)"))
+        .withColumn("q_chunk", F.explode(F.expr("sequence(0L, q_chunks - 1)")))
+        .withColumn("is_query", F.lit(False))
+    )
+    cols = ["bucket", "q_chunk", "t_chunk", "is_query", "id", "comp", "sig"]
+    blocks = queries.select(cols).union(targets.select(cols)).repartition("bucket", "q_chunk", "t_chunk").sortWithinPartitions("bucket", "q_chunk", "t_chunk", F.desc("is_query"))
+    return blocks.mapInArrow(kernels.cross_block(k, least, best_only), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, *, percent: int = 75, width: int = 5, bands: int = 32, rows: int = 4, least: float = 0.58, block: int = 256, target_block: int = 4096) -> DataFrame:
     """documents -> doc_id, n_shingles, component_id, kept.
 
@@ -49,8 +77,9 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, width: int = 5, bands
        signature check (``least``, over four deviations below the limit) and are confirmed on the
        full sets (percent * union <= 100 * intersection).
     4. In buckets that still hold several components, members outside the largest one are compared
-       by signature with all members in bounded blocks, and the survivors are confirmed too. So all
-       bucket pairs are decided, without a cap on buckets or pairs of equal components.
+       by signature with all members in bounded blocks: first each one's most similar partners are
+       confirmed, then, with the components that this leaves, all that look similar. So every
+       bucket pair is decided unless its two documents are already in one component, with no cap.
     5. Components by alternating large-star and small-star.
 
     Null or blank texts have no shingles and link with nothing. A null doc_id links with nothing and
@@ -75,35 +104,15 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, width: int = 5, bands
     star = shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     edges = materialize(_confirmed(_looks_similar(star, sigs, k, least), texts, percent, width), "edges")
     comps = materialize(connected_components(edges), "comps")
-
-    placed = shared.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    open_buckets = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    placed = materialize(placed.join(open_buckets, "bucket", "left_semi"), "placed")
-    largest = placed.groupBy("bucket", "comp", "n").agg(F.count("*").alias("c")).groupBy("bucket", "n").agg(F.max(F.struct("c", "comp")).alias("top")).select("bucket", F.col("top.comp").alias("top"), F.ceil((F.col("n") - F.col("top.c")) / block).alias("q_chunks"), F.ceil(F.col("n") / target_block).alias("t_chunks"))
-    ready = placed.join(largest, "bucket").join(sigs, "id")
-    queries = (
-        ready.where("comp <> top")
-        .withColumn("q_chunk", F.expr("pmod(xxhash64(id), q_chunks)"))
-        .withColumn("t_chunk", F.explode(F.expr("sequence(0L, t_chunks - 1)")))
-        .withColumn("is_query", F.lit(True))
-    )
-    targets = (
-        ready.withColumn("t_chunk", F.expr("pmod(xxhash64(id, 7), t_chunks)"))
-        .withColumn("q_chunk", F.explode(F.expr("sequence(0L, q_chunks - 1)")))
-        .withColumn("is_query", F.lit(False))
-    )
-    cols = ["bucket", "q_chunk", "t_chunk", "is_query", "id", "comp", "sig"]
-    blocks = queries.select(cols).union(targets.select(cols)).repartition("bucket", "q_chunk", "t_chunk").sortWithinPartitions("bucket", "q_chunk", "t_chunk", F.desc("is_query"))
-    across = blocks.mapInArrow(kernels.cross_block(k, least), "a long, b long").distinct()
-    more = _confirmed(across, texts, percent, width)
-    lifted = reduce(
-        lambda e, n: e.join(comps.select(F.col("id").alias(n), F.col("comp").alias(f"c{n}")), n, "left").withColumn(n, F.coalesce(f"c{n}", n)).drop(f"c{n}"),
-        ("a", "b"),
-        more,
-    )
-    second = materialize(connected_components(lifted), "comps2").select(F.col("id").alias("comp"), F.col("comp").alias("final"))
+    for best_only in (True, False):
+        pairs = _across(shared, comps, sigs, k, least, block, target_block, best_only)
+        if pairs is None:
+            break
+        more = materialize(_confirmed(pairs, texts, percent, width), "edges")
+        edges = edges.union(more)
+        comps = materialize(connected_components(edges), "comps")
     reached = (
-        classes.select("set_key", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")).join(second, "comp", "left").select("set_key", F.coalesce("final", "comp").alias("component_id"))
+        classes.select("set_key", "id").join(comps, "id", "left").select("set_key", F.coalesce("comp", "id").alias("component_id"))
     )
     return signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(reached, "set_key", "left").select(
         "doc_id",
