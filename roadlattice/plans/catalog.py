@@ -1,11 +1,16 @@
-"""All queries over the reference operators, with their SQL."""
+"""All queries over the road operators, with their SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from . import costs, graphs, guidance, portfolio, reports, routes, spatial, verdicts, ways  # noqa: F401  (they register)
+from .registry import ORACLES, QUERIES
 
 
-def oracle_sql() -> dict:
-    return {}
+def queries() -> dict[str, Callable]:
+    return QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    return ORACLES
