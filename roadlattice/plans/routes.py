@@ -1 +1,133 @@
+"""Queries over the ordered segments of routes."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from roadlattice.operators import reporting as R
+from roadlattice.operators import sequences as S
+from roadlattice.sources.adapters import view
+
+from .registry import query
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "route_segments")
+
+
+_SUMS = """CAST(sum(len_m) AS BIGINT) AS dist, CAST(sum(CASE WHEN level = 4 AND NOT ferry THEN len_m ELSE 0 END) AS BIGINT) AS fail, CAST(sum(CASE WHEN ferry THEN len_m ELSE 0 END) AS BIGINT) AS ferry_m,
+  CAST(sum(CASE WHEN designated THEN len_m ELSE 0 END) AS BIGINT) AS designated_m, CAST(sum(CASE WHEN facility >= 2 THEN len_m ELSE 0 END) AS BIGINT) AS facility_m, CAST(sum(CASE WHEN infra OR facility = 5 THEN len_m ELSE 0 END) AS BIGINT) AS trail_m,
+  CAST(sum(CASE WHEN mtb THEN len_m ELSE 0 END) AS BIGINT) AS mtb_m, CAST(sum(CASE WHEN dismount THEN len_m ELSE 0 END) AS BIGINT) AS dismount_m, CAST(sum(CASE WHEN residential THEN len_m ELSE 0 END) AS BIGINT) AS residential_m,
+  CAST(sum(CASE WHEN freeway THEN len_m ELSE 0 END) AS BIGINT) AS freeway_m, CAST(sum(CASE WHEN limited_access THEN len_m ELSE 0 END) AS BIGINT) AS limited_m, CAST(sum(CASE WHEN hazard >= 2 THEN len_m ELSE 0 END) AS BIGINT) AS hazard_m,
+  CAST(sum(CASE WHEN surface >= 2 THEN len_m ELSE 0 END) AS BIGINT) AS unpaved_m, CAST(sum(CASE WHEN mph >= 30 AND sh < 4 AND facility < 2 AND NOT ferry THEN len_m ELSE 0 END) AS BIGINT) AS fast_bare_m,
+  CAST(sum(CASE WHEN mph >= 35 THEN len_m ELSE 0 END) AS BIGINT) AS over_35_m, CAST(sum(CASE WHEN mph >= 45 THEN len_m ELSE 0 END) AS BIGINT) AS over_45_m, CAST(sum(CASE WHEN mph >= 55 THEN len_m ELSE 0 END) AS BIGINT) AS over_55_m"""
+
+
+@query(f"""SELECT route_id, {_SUMS}, concat_ws(',', 0, sum(CASE WHEN level = 1 THEN len_m ELSE 0 END), sum(CASE WHEN level = 2 THEN len_m ELSE 0 END), sum(CASE WHEN level = 3 THEN len_m ELSE 0 END), sum(CASE WHEN level = 4 THEN len_m ELSE 0 END)) AS level_m,
+  max(mph) AS max_mph, round(sum(mph * len_m) / CAST(sum(len_m) AS DOUBLE), 6) AS mean_mph FROM route_segments GROUP BY 1""")
+def route_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = R.totals(_segments(spark, sf_dir), ["route_id"])
+    return t.withColumn("level_m", F.array_join(F.transform("level_m", lambda x: x.cast("string")), ",")).withColumn("mean_mph", F.round(F.col("mph_m") / F.col("dist"), 6)).drop("mph_m")
+
+
+@query(f"SELECT CAST(floor(route_id / 10) AS BIGINT) AS trip, {_SUMS}, CAST(sum(CASE WHEN level = 2 THEN len_m ELSE 0 END) AS BIGINT) AS level_2, max(mph) AS max_mph FROM route_segments GROUP BY 1")
+def merged_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    legs = R.totals(_segments(spark, sf_dir).withColumn("trip", F.floor(F.col("route_id") / 10)), ["trip", "route_id"]).drop("mph_m")
+    return R.merged(legs, ["trip"]).withColumn("level_2", F.get("level_m", F.lit(2))).drop("level_m")
+
+
+_RUNS = """WITH b AS (SELECT *, level = 4 AND NOT freeway AS fails FROM route_segments),
+i AS (SELECT *, sum(CASE WHEN fails <> p THEN 1 ELSE 0 END) OVER (PARTITION BY route_id ORDER BY seq) AS island FROM (SELECT *, coalesce(lag(fails) OVER (PARTITION BY route_id ORDER BY seq), fails) AS p FROM b)),
+r AS (SELECT route_id, island, fails, sum(len_m) AS m, min(seq) AS f, max(seq) AS l FROM i GROUP BY ALL), e AS (SELECT route_id, min(seq) AS f0, max(seq) AS l0 FROM b GROUP BY 1)"""
+
+
+@query(f"""{_RUNS} SELECT route_id, CAST(sum(CASE WHEN fails AND m <= 40 AND f > f0 AND l < l0 THEN 1 ELSE 0 END) AS BIGINT) AS crossings, CAST(sum(CASE WHEN fails AND m <= 40 AND f > f0 AND l < l0 THEN m ELSE 0 END) AS BIGINT) AS crossing_m,
+  CAST(sum(CASE WHEN fails AND NOT (m <= 40 AND f > f0 AND l < l0) THEN m ELSE 0 END) AS BIGINT) AS failing_m FROM r JOIN e USING (route_id) GROUP BY 1""")
+def crossing_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = S.short_crossings(_segments(spark, sf_dir))
+    runs = c.groupBy("route_id", "island", "fails", "crossing").agg(F.sum("len_m").alias("m"))
+    return runs.groupBy("route_id").agg(F.sum(F.col("crossing").cast("bigint")).alias("crossings"), F.sum(F.when(F.col("crossing"), F.col("m")).otherwise(0)).alias("crossing_m"), F.sum(F.when(F.col("fails") & ~F.col("crossing"), F.col("m")).otherwise(0)).alias("failing_m"))
+
+
+@query("""WITH b AS (SELECT *, dismount AND dismount_tagged AS tagged FROM route_segments),
+i AS (SELECT *, sum(CASE WHEN tagged <> p THEN 1 ELSE 0 END) OVER (PARTITION BY route_id ORDER BY seq) AS island FROM (SELECT *, coalesce(lag(tagged) OVER (PARTITION BY route_id ORDER BY seq), tagged) AS p FROM b)),
+m AS (SELECT *, sum(len_m) OVER (PARTITION BY route_id, island) AS run_m FROM i)
+SELECT route_id, seq, CAST(CASE WHEN tagged AND run_m > 100 THEN 4 WHEN dismount THEN greatest(level, 3) ELSE level END AS BIGINT) AS level, CAST(run_m AS BIGINT) AS run_m FROM m WHERE dismount""")
+def dismount_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.tagged_dismounts(_segments(spark, sf_dir)).where("dismount").select("route_id", "seq", F.col("level").cast("bigint").alias("level"), "run_m")
+
+
+@query("""WITH k AS (SELECT *, concat_ws('|', level, facility, name) AS key FROM route_segments),
+i AS (SELECT *, sum(CASE WHEN key <> p THEN 1 ELSE 0 END) OVER (PARTITION BY route_id ORDER BY seq) AS island FROM (SELECT *, coalesce(lag(key) OVER (PARTITION BY route_id ORDER BY seq), key) AS p FROM k))
+SELECT route_id, CAST(island AS BIGINT) AS island, key AS section_key, min(seq) AS first_seq, count(*) AS segments, CAST(sum(len_m) AS BIGINT) AS metres FROM i GROUP BY ALL""")
+def route_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.concat_ws("|", F.col("level").cast("string"), F.col("facility").cast("string"), "name")
+    return S.sections(_segments(spark, sf_dir), key)
+
+
+@query("""WITH i AS (SELECT *, sum(CASE WHEN name <> p THEN 1 ELSE 0 END) OVER (PARTITION BY route_id ORDER BY seq) AS island FROM (SELECT *, coalesce(lag(name) OVER (PARTITION BY route_id ORDER BY seq), name) AS p FROM route_segments)),
+r AS (SELECT route_id, island, name, min(seq) AS f, sum(len_m) AS m FROM i GROUP BY ALL),
+d AS (SELECT *, CASE WHEN name = '' AND m <= 100 AND lag(name) OVER w = lead(name) OVER w THEN lag(name) OVER w ELSE name END AS n2 FROM r WINDOW w AS (PARTITION BY route_id ORDER BY island)),
+j AS (SELECT *, sum(CASE WHEN n2 <> p THEN 1 ELSE 0 END) OVER (PARTITION BY route_id ORDER BY island) AS step FROM (SELECT *, coalesce(lag(n2) OVER (PARTITION BY route_id ORDER BY island), n2) AS p FROM d))
+SELECT route_id, CAST(step AS BIGINT) AS step, n2 AS name, min(f) AS first_seq, CAST(sum(m) AS BIGINT) AS metres FROM j GROUP BY ALL""")
+def route_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.steps(_segments(spark, sf_dir))
+
+
+@query("""WITH c AS (SELECT route_id, CASE WHEN level = 4 THEN 'fail' WHEN level = 3 THEN 'caution' WHEN infra OR facility = 5 THEN 'trail' WHEN facility >= 2 THEN 'bike' ELSE 'pass' END AS category, sum(len_m) AS metres FROM route_segments WHERE NOT ferry GROUP BY ALL),
+p AS (SELECT *, metres * 100.0 / sum(metres) OVER (PARTITION BY route_id) AS raw FROM c), q AS (SELECT *, greatest(1, floor(raw)) AS pct FROM p),
+s AS (SELECT *, 100 - sum(pct) OVER (PARTITION BY route_id) AS short FROM q),
+t AS (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY CAST(raw AS DOUBLE) - pct DESC, category) AS up, CASE WHEN pct > 1 THEN pct - 1 ELSE 0 END AS takes FROM s),
+u AS (SELECT *, sum(takes) OVER (PARTITION BY route_id ORDER BY pct - CAST(raw AS DOUBLE) DESC, category ROWS UNBOUNDED PRECEDING) AS room FROM t)
+SELECT route_id, category, CAST(metres AS BIGINT) AS metres, CAST(CASE WHEN short > 0 THEN pct + CASE WHEN up <= short THEN 1 ELSE 0 END ELSE pct - greatest(0, least(takes, -short - (room - takes))) END AS BIGINT) AS pct FROM u""")
+def category_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by_category = _segments(spark, sf_dir).withColumn("category", R.category()).where("category is not null").groupBy("route_id", "category").agg(F.sum("len_m").alias("metres"))
+    return R.percentages(by_category, ["route_id"], "category", "metres")
+
+
+@query("""WITH b AS (SELECT *, CAST(CASE WHEN abs(grade_pct) <= 40 AND len_m >= 20 THEN grade_pct ELSE 0 END AS DOUBLE) AS g FROM route_segments),
+l AS (SELECT *, sum(CASE WHEN ferry <> p THEN 1 ELSE 0 END) OVER (PARTITION BY route_id ORDER BY seq) AS leg FROM (SELECT *, coalesce(lag(ferry) OVER (PARTITION BY route_id ORDER BY seq), ferry) AS p FROM b)),
+c AS (SELECT *, sum(len_m) OVER w AS e, sum(g * len_m) OVER w AS re FROM l WHERE NOT ferry WINDOW w AS (PARTITION BY route_id, leg ORDER BY seq)),
+v AS (SELECT a.route_id, max((a.re - (s.re - s.g * s.len_m + s.g * (greatest(a.e - 100, 0) - (s.e - s.len_m)))) / (a.e - greatest(a.e - 100, 0))) AS mx FROM c a JOIN c s ON a.route_id = s.route_id AND a.leg = s.leg
+  AND greatest(a.e - 100, 0) >= s.e - s.len_m AND greatest(a.e - 100, 0) < s.e GROUP BY 1),
+u AS (SELECT route_id, sum(g * len_m) / sum(len_m) AS up FROM c WHERE g > 0.5 GROUP BY 1)
+SELECT r.route_id, floor(greatest(coalesce(mx, 0.0), 0.0) * 10 + 0.5) / 10 AS max_grade, floor(coalesce(up, 0.0) * 10 + 0.5) / 10 AS avg_up FROM (SELECT DISTINCT route_id FROM route_segments) r LEFT JOIN v USING (route_id) LEFT JOIN u USING (route_id)""")
+def sustained_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.sustained_grade(_segments(spark, sf_dir))
+
+
+@query("""WITH m AS (SELECT route_id, seq, len_m, edge_id, CASE WHEN level = 4 AND freeway THEN 'freeway' WHEN level = 4 THEN 'failing' WHEN dismount THEN 'dismount' WHEN grade_pct > 10 THEN 'steep' WHEN limited_access THEN 'limited' WHEN lts >= 4 THEN 'high-stress' WHEN mtb THEN 'mtb'
+   WHEN hazard >= 3 THEN 'curve' WHEN surface >= 2 THEN 'unpaved' END AS kind, CASE WHEN name = '' THEN 'Unnamed road' ELSE name END AS road, level * 1000 + mph * 10 + lanes AS risk FROM route_segments WHERE NOT ferry),
+k AS (SELECT *, concat_ws('|', coalesce(kind, '-'), road) AS key FROM m),
+i AS (SELECT *, sum(CASE WHEN key <> p THEN 1 ELSE 0 END) OVER (PARTITION BY route_id ORDER BY seq) AS island FROM (SELECT *, coalesce(lag(key) OVER (PARTITION BY route_id ORDER BY seq), key) AS p FROM k)),
+n AS (SELECT *, row_number() OVER (PARTITION BY route_id, kind, road ORDER BY risk DESC, len_m DESC, edge_id) AS k1 FROM i WHERE kind IS NOT NULL)
+SELECT route_id, kind, road, CAST(sum(len_m) AS BIGINT) AS metres, count(DISTINCT island) AS times, max(risk) AS risk, max(CASE WHEN k1 = 1 THEN edge_id END) AS worst_edge FROM n GROUP BY 1, 2, 3""")
+def concerns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.concerns(_segments(spark, sf_dir))
+
+
+@query("""SELECT route_id, seq, CAST(sum(len_m) OVER w - len_m AS BIGINT) AS start_m, CAST(sum(len_m) OVER w AS BIGINT) AS end_m, CAST(CASE WHEN infra THEN 15 ELSE mph END AS BIGINT) AS mph FROM route_segments WINDOW w AS (PARTITION BY route_id ORDER BY seq)""")
+def speed_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.running(_segments(spark, sf_dir)).select("route_id", "seq", "start_m", "end_m", F.when(F.col("infra"), 15).otherwise(F.col("mph")).alias("mph"))
+
+
+@query("""WITH n AS (SELECT route_id, seq, level, row_number() OVER (PARTITION BY route_id ORDER BY seq) - 1 AS i, count(*) OVER (PARTITION BY route_id) AS n FROM route_segments)
+SELECT route_id, seq, i FROM n WHERE i % greatest(1, CAST(ceil(n / 24.0) AS BIGINT)) = 0 OR i = n - 1""")
+def profile_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.downsample(_segments(spark, sf_dir), 24).select("route_id", "seq", F.col("i").cast("bigint").alias("i"))
+
+
+@query("""WITH n AS (SELECT route_id, level, row_number() OVER (PARTITION BY route_id ORDER BY seq) - 1 AS i, count(*) OVER (PARTITION BY route_id) AS n FROM route_segments)
+SELECT route_id, CAST(floor(i * 48 / n) AS BIGINT) AS bucket, max(level) AS worst FROM n GROUP BY 1, 2""")
+def shape_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.worst_by_bucket(_segments(spark, sf_dir), 48)
+
+
+@query("""WITH c AS (SELECT route_id, seq, sum(len_m) OVER w - len_m AS s, sum(len_m) OVER w AS e, sum(len_m) OVER (PARTITION BY route_id) AS t FROM route_segments WINDOW w AS (PARTITION BY route_id ORDER BY seq)),
+p AS (SELECT DISTINCT route_id, unnest([0, 777, 2500, 100000]) AS at_m FROM c)
+SELECT p.route_id, CAST(p.at_m AS BIGINT) AS at_m, c.seq, CAST(p.at_m - c.s AS BIGINT) AS into_m FROM p JOIN c ON c.route_id = p.route_id AND p.at_m >= c.s AND (p.at_m < c.e OR c.e = c.t)""")
+def segment_at_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seg = _segments(spark, sf_dir)
+    points = seg.select("route_id").distinct().select("route_id", F.explode(F.array(*[F.lit(x).cast("bigint") for x in (0, 777, 2500, 100000)])).alias("at_m"))
+    return S.at_distance(seg, points)
