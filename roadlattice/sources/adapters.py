@@ -34,7 +34,7 @@ FROM part
 
 #: Edge 2p goes east from node p, 2p + 1 north, where the other node exists.
 GRID_EDGES = """
-SELECT e.edge_id, e.a, e.b, e.p, CAST(100 + 10 * (e.p * 7 % 13) AS BIGINT) AS len_m, CAST((e.p * 3 + e.dir) % 9 AS BIGINT) AS asc, CAST((e.p * 5 + e.dir) % 7 AS BIGINT) AS des,
+SELECT e.edge_id, e.a, e.b, e.p, CAST(100 + 10 * (e.p * 7 % 13) AS BIGINT) AS len_m, CAST((e.p * 3 + e.dir) % 9 AS BIGINT) AS up_m, CAST((e.p * 5 + e.dir) % 7 AS BIGINT) AS down_m,
   CAST(15 + 5 * (e.p % 9) AS BIGINT) AS mph, CASE WHEN e.p % 3 <> 0 THEN e.p % 9 END AS shoulder_ft, e.p % 61 = 0 AS prohibited, e.p % 29 = 0 AS limited_access,
   e.p % 17 = 0 AS one_way, e.p % 53 = 0 AS ferry, e.p % 47 = 0 AS freeway, e.p % 19 = 0 AS infra, e.p % 11 = 0 AS designated, e.p % 6 AS facility, e.p % 4 AS surface,
   1 + e.p % 13 AS road_class, e.p % 7 AS lanes, e.p % 8 = 0 AS center_turn, CASE WHEN e.p % 3 <> 1 THEN 1 + e.p % 4 END AS lts, CASE WHEN e.p % 2 <> 0 THEN e.p % 13 END AS edge_space,
