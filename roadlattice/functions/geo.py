@@ -66,7 +66,7 @@ def interpolate(line: Column, share: float) -> Column:
     steps = F.transform(pairs(line), lambda s: F.struct(s["p"].alias("p"), s["q"].alias("q"), planar_m(s["p"]["lon"], s["p"]["lat"], s["q"]["lon"], s["q"]["lat"]).alias("m")))
     total = F.aggregate(steps, F.lit(0.0), lambda a, s: a + s["m"])
     first = F.get(line, F.lit(0))
-    start = F.struct(F.lit(0.0).alias("done"), first["lon"].alias("lon"), first["lat"].alias("lat"))
+    start = F.struct(F.lit(0.0).alias("done"), first["lon"].alias("lon"), first["lat"].alias("lat")).cast("struct<done:double,lon:double,lat:double>")
 
     def step(acc: Column, s: Column) -> Column:
         target = total * share

@@ -1 +1,135 @@
+"""Queries over the grid graph: construction, components, searches."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from roadlattice.operators import arcs as A
+from roadlattice.operators import costs as C
+from roadlattice.operators import graph as G
+from roadlattice.sources.adapters import read, view
+
+from .costs import ARCS_SQL, arcs, bearing
+from .registry import query
+
+
+
+def whole_cost() -> Column:
+    """Whole-metre costs keep sums exact in both engines."""
+    return (F.col("len_m") * F.when(F.col("facility") >= 2, 1).otherwise(2) + F.col("up_m") * 5).cast("double")
+
+
+COST_SQL = "(len_m * CASE WHEN facility >= 2 THEN 1 ELSE 2 END + up_m * 5)"
+
+
+@query(f"WITH {ARCS_SQL} SELECT arc_id, edge_id, src, dst, forward, up_m, down_m FROM ARCS")
+def directed_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arcs(spark, sf_dir).select("arc_id", "edge_id", "src", "dst", "forward", "up_m", "down_m")
+
+
+@query("SELECT node, count(*) AS degree FROM (SELECT a AS node FROM grid_edges UNION ALL SELECT b FROM grid_edges) GROUP BY 1")
+def node_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.degrees(view(spark, sf_dir, "grid_edges"))
+
+
+#: A sparser graph with many components: every third edge goes.
+SPARSE = "(edge_id % 3 <> 0 AND NOT prohibited AND edge_id % 7 <> 1)"
+_COMP = f"""WITH RECURSIVE E AS (SELECT a, b FROM grid_edges WHERE {SPARSE} UNION ALL SELECT b, a FROM grid_edges WHERE {SPARSE}),
+L(node, c) USING KEY (node) AS (SELECT node, node AS c FROM grid_nodes UNION SELECT e.b, min(l.c) FROM L l JOIN E e ON e.a = l.node JOIN recurring.L r ON r.node = e.b WHERE l.c < r.c GROUP BY e.b)"""
+
+
+def _sparse(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return view(spark, sf_dir, "grid_edges").where(SPARSE), view(spark, sf_dir, "grid_nodes").select("node")
+
+
+@query(f"{_COMP} SELECT node, c AS component FROM L")
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.components(*_sparse(spark, sf_dir))
+
+
+@query(f"{_COMP} SELECT c AS component, count(*) AS size FROM L GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
+def giant_component(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.giant(G.components(*_sparse(spark, sf_dir)))
+
+
+@query(f"""{_COMP}, K AS (SELECT DISTINCT c FROM L JOIN grid_edges g ON g.a = L.node WHERE {SPARSE} AND g.designated) SELECT node, row_number() OVER (ORDER BY node) - 1 AS new_id FROM L JOIN K USING (c)""")
+def prune_walk_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, nodes = _sparse(spark, sf_dir)
+    return G.pruned(edges, nodes, F.col("designated"))[1]
+
+
+@query("""SELECT node FROM (SELECT a AS node, ferry FROM grid_edges UNION ALL SELECT b, ferry FROM grid_edges) GROUP BY 1 HAVING bool_or(ferry) AND bool_or(NOT ferry)""")
+def ferry_terminals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.terminals(view(spark, sf_dir, "grid_edges"))
+
+
+@query("""SELECT 1000 + r_regionkey AS id, s_suppkey AS way FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey UNION SELECT n_nationkey, s_suppkey FROM nation JOIN supplier ON s_nationkey = n_nationkey""")
+def relation_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ways = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("id"), F.col("s_suppkey").alias("member"), F.lit("way").alias("member_type"))
+    nested = read(spark, sf_dir, "nation").select((1000 + F.col("n_regionkey")).cast("long").alias("id"), F.col("n_nationkey").cast("long").alias("member"), F.lit("relation").alias("member_type"))
+    return G.members(ways.unionByName(nested))
+
+
+def _costed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    legal = A.legal(arcs(spark, sf_dir).withColumn("level", F.lit(1)), freeways=True, mtb=True)
+    return legal.select("arc_id", "src", "dst", "edge_id", whole_cost().alias("cost"))
+
+
+def _sp(source: str, edges: str = "ARCS", where: str = "NOT prohibited", rev: bool = False) -> str:
+    s, d = ("dst", "src") if rev else ("src", "dst")
+    return f"""WITH RECURSIVE {ARCS_SQL}, C AS (SELECT {s} AS s, {d} AS d, min({COST_SQL}) AS c FROM {edges} WHERE {where} GROUP BY 1, 2),
+D(node, dist) USING KEY (node) AS (SELECT CAST({source} AS BIGINT), CAST(0 AS BIGINT) UNION SELECT C.d, CAST(min(D.dist + C.c) AS BIGINT) FROM D JOIN C ON C.s = D.node LEFT JOIN recurring.D r ON r.node = C.d WHERE r.dist IS NULL OR D.dist + C.c < r.dist GROUP BY C.d)"""
+
+
+@query(f"{_sp('42')} SELECT node, CAST(dist AS DOUBLE) AS dist FROM D")
+def shortest_route_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = spark.range(1).select(F.lit(42).cast("long").alias("node"), F.lit(0).alias("request"))
+    return G.distances(_costed(spark, sf_dir), source).select("node", "dist")
+
+
+@query(f"{_sp('555', rev=True)} SELECT node, CAST(dist AS DOUBLE) AS potential FROM D WHERE dist <= 12000")
+def goal_potential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Backward costs to a goal over reversed arcs, not followed beyond a cap."""
+    back = _costed(spark, sf_dir).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost")
+    goal = spark.range(1).select(F.lit(555).cast("long").alias("node"), F.lit(0).alias("request"))
+    return G.distances(back, goal, cap=12000.0).select("node", F.col("dist").alias("potential"))
+
+
+#: Turn-aware search runs on the graph of arcs: its nodes are arcs, its arcs are turns.
+_TURNS = f"""{ARCS_SQL}, B AS (SELECT arc_id, edge_id, src, dst, name, {COST_SQL} AS c, CASE WHEN dir = 0 THEN CASE WHEN forward THEN 90 ELSE 270 END ELSE CASE WHEN forward THEN 0 ELSE 180 END END AS h FROM ARCS WHERE NOT prohibited),
+T AS (SELECT i.arc_id AS s, o.arc_id AS d, o.c + CASE WHEN abs((o.h - i.h + 540) % 360 - 180) < 30 THEN 0 WHEN abs((o.h - i.h + 540) % 360 - 180) >= 150 THEN 22 ELSE 11 END AS c FROM B i JOIN B o ON i.dst = o.src AND i.edge_id <> o.edge_id)"""
+
+
+@query(f"""WITH RECURSIVE {_TURNS}, D(node, dist) USING KEY (node) AS (SELECT arc_id, c FROM B WHERE src = 42 UNION SELECT T.d, CAST(min(D.dist + T.c) AS BIGINT) FROM D JOIN T ON T.s = D.node LEFT JOIN recurring.D r ON r.node = T.d WHERE r.dist IS NULL OR D.dist + T.c < r.dist GROUP BY T.d)
+SELECT B.dst AS node, CAST(min(dist) AS DOUBLE) AS cost FROM D JOIN B ON B.arc_id = D.node GROUP BY 1""")
+def turn_aware_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    usable = A.legal(arcs(spark, sf_dir).withColumn("level", F.lit(1)), freeways=True, mtb=True).withColumn("h", bearing()).withColumn("cost", whole_cost())
+    usable = G.cut_lineage(usable.select("arc_id", "edge_id", "src", "dst", "name", "cost", "h"))
+    i = usable.select(F.col("arc_id").alias("from_arc"), F.col("edge_id").alias("e1"), F.col("dst").alias("at"), F.col("h").alias("bearing_in"))
+    o = usable.select(F.col("arc_id").alias("to_arc"), F.col("edge_id").alias("e2"), F.col("src").alias("at"), F.col("h").alias("bearing_out"), "cost")
+    turns = i.join(o, "at").where("e1 <> e2").select(F.col("from_arc").alias("src"), F.col("to_arc").alias("dst"), (F.col("cost") + C.turn_cost(1)).alias("cost"))
+    start = usable.where("src = 42")
+    enter = start.select(F.lit(-1).cast("long").alias("src"), F.col("arc_id").alias("dst"), "cost")
+    source = spark.range(1).select(F.lit(-1).cast("long").alias("node"), F.lit(0).alias("request"))
+    best = G.distances(turns.union(enter), source)
+    return best.join(usable.select(F.col("arc_id").alias("node"), F.col("dst").alias("end")), "node").groupBy(F.col("end").alias("node")).agg(F.min("dist").alias("cost"))
+
+
+@query(f"""{_sp('42')}, D1 AS (SELECT * FROM D), X AS (SELECT node, dist FROM D1 WHERE node IN (43, 442, 777)) SELECT node, CAST(dist AS DOUBLE) AS dist FROM X""")
+def multi_leg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One search for several goals of the same start; each goal is one request's leg."""
+    source = spark.range(1).select(F.lit(42).cast("long").alias("node"), F.lit(0).alias("request"))
+    return G.distances(_costed(spark, sf_dir), source).where(F.col("node").isin(43, 442, 777)).select("node", "dist")
+
+
+def strict_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the least path that uses no level-4 arc but short crossings, from its goal back to its start."""
+    safe = A.legal(A.judged(arcs(spark, sf_dir)), require_safe=True)
+    source = spark.range(1).select(F.lit(42).cast("long").alias("node"), F.lit(0).alias("request"))
+    best = G.distances(safe.select("src", "dst", whole_cost().alias("cost")), source)
+    goal = best.orderBy(F.desc("dist"), "node").limit(1).select("request", "node")
+    return G.walked_back(best, goal)
+
+
+query()(strict_route)

@@ -1 +1,125 @@
+"""Queries that rank the route candidates of requests."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from roadlattice.operators import portfolio as P
+from roadlattice.sources.adapters import read, view
+
+from .registry import query
+
+_AGG = """((0.18 * l2 + 0.75 * l3 + 3.5 * fail + 4.0 * freeway + 0.8 * limited + 1.1 * hazard + 1.25 * mtb + CASE WHEN dismount > 0 THEN 450 + 1.5 * dismount ELSE 0 END
+  - 0.12 * designated - 0.08 * facility - 0.12 * trail - 0.08 * residential) / CAST(greatest(dist - ferry, 1) AS DOUBLE))"""
+SCORED = f"SCORED AS (SELECT *, CAST(time + fail + dismount + 0.2 * greatest(0, dist - ferry - facility) - 0.12 * trail AS DOUBLE) AS score, round(CAST({_AGG} AS DOUBLE), 9) AS aggression FROM candidates)"
+KEPT = f"""{SCORED}, FIRSTS AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY time, ord, candidate) AS k FROM SCORED),
+KEPT AS (SELECT s.* FROM SCORED s JOIN FIRSTS f ON f.request = s.request AND f.k = 1 WHERE s.time <= 2.2 * f.time + 600 OR s.fail + s.freeway <= f.fail + f.freeway - 80 OR (s.fail = 0 AND s.freeway = 0))"""
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.scored(view(spark, sf_dir, "candidates"))
+
+
+@query(f"WITH {SCORED} SELECT request, candidate, round(score, 4) AS score, round(aggression, 6) AS aggression FROM SCORED")
+def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates(spark, sf_dir).select("request", "candidate", F.round("score", 4).alias("score"), F.round("aggression", 6).alias("aggression"))
+
+
+@query(f"WITH {KEPT} SELECT request, candidate FROM KEPT")
+def reasonable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.reasonable(_candidates(spark, sf_dir)).select("request", "candidate")
+
+
+@query(f"""WITH {SCORED}, W AS (SELECT *, dist <= 1.5 * min(dist) OVER r + 800 AND time <= 1.4 * min(time) OVER r + 300 AS practical, dist <= 1.8 * min(dist) OVER r + 1600 AND time <= 1.85 * min(time) OVER r + 600 AND fail = 0 AND freeway = 0 AS wide FROM SCORED WINDOW r AS (PARTITION BY request)),
+B AS (SELECT request, min(CASE WHEN practical THEN score END) AS ps, min(CASE WHEN wide THEN score END) AS fs, arg_min(candidate, (score, time, candidate)) FILTER (practical) AS p, arg_min(candidate, (score, time, candidate)) FILTER (wide) AS f, arg_min(candidate, (score, time, candidate)) AS x FROM W GROUP BY 1)
+SELECT request, CASE WHEN coalesce(fs <= ps + 600, false) THEN f ELSE coalesce(p, x) END AS candidate, coalesce(fs <= ps + 600, false) AS fully_matching FROM B""")
+def recommended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.recommended(_candidates(spark, sf_dir))
+
+
+@query("""SELECT request, candidate, CAST(k AS BIGINT) AS rank, chr(CAST(64 + k AS INTEGER)) AS letter FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY time, dist, candidate) AS k FROM candidates) WHERE k <= 6""")
+def route_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.lettered(_candidates(spark, sf_dir)).select("request", "candidate", F.col("rank").cast("long").alias("rank"), "letter")
+
+
+#: Routes as edge sets: a request is a ship year and month, a route an order's supplier, an edge a part block.
+EDGES = "EDGES AS (SELECT DISTINCT l_suppkey % 25 AS request, l_suppkey AS route, l_partkey % 40 AS edge_id, 10 + l_partkey % 40 AS len_m FROM lineitem)"
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 25).alias("request"), F.col("l_suppkey").alias("route"), (F.col("l_partkey") % 40).alias("edge_id"), (10 + F.col("l_partkey") % 40).alias("len_m")).distinct()
+
+
+SHARES = f"""{EDGES}, TOT AS (SELECT request, route, sum(len_m) AS m FROM EDGES GROUP BY ALL), BOTHR AS (SELECT x.request, x.route AS a, y.route AS b, sum(x.len_m) AS c FROM EDGES x JOIN EDGES y ON x.request = y.request AND x.edge_id = y.edge_id AND x.route < y.route GROUP BY ALL),
+SHARES AS (SELECT b.request, b.a, b.b, c / CAST(least(p.m, q.m) AS DOUBLE) AS share FROM BOTHR b JOIN TOT p ON p.request = b.request AND p.route = b.a JOIN TOT q ON q.request = b.request AND q.route = b.b)"""
+
+
+@query(f"WITH {SHARES} SELECT request, a, b, round(share, 6) AS share FROM SHARES")
+def edge_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.overlap(_edges(spark, sf_dir)).withColumn("share", F.round("share", 6))
+
+
+#: Pairs of one corridor among the candidates: neighbours by number have a share that their numbers give.
+CORRIDOR = "CORRIDOR AS (SELECT x.request, x.candidate AS a, y.candidate AS b, 0.9 + (x.candidate * 7 + y.candidate) % 10 / 100.0 AS share FROM candidates x JOIN candidates y ON x.request = y.request AND y.candidate > x.candidate AND y.candidate < x.candidate + 400)"
+
+
+def _corridor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = view(spark, sf_dir, "candidates").select("request", F.col("candidate").alias("a"), F.floor(F.col("candidate") / 400).alias("block"))
+    y = x.select("request", F.col("a").alias("b"), F.explode(F.array(F.col("block"), F.col("block") - 1)).alias("block"))
+    near = x.join(y, ["request", "block"]).where("b > a and b < a + 400")
+    return near.select("request", "a", "b", (0.9 + (F.col("a") * 7 + F.col("b")) % 10 / 100.0).alias("share"))
+
+
+_KEY = "({0}.fail, {0}.freeway, {0}.mtb, {0}.hazard, {0}.dismount, {0}.limited, {0}.aggression)"
+BEATEN = f"""{SCORED}, {CORRIDOR}, PAIRS AS (SELECT request, a AS x, b AS y FROM CORRIDOR WHERE share >= 0.96 UNION ALL SELECT request, b, a FROM CORRIDOR WHERE share >= 0.96),
+BEATEN AS (SELECT DISTINCT p.request, p.x AS candidate FROM PAIRS p JOIN SCORED s ON s.candidate = p.x AND s.request = p.request JOIN SCORED t ON t.candidate = p.y AND t.request = p.request
+  WHERE t.time <= s.time + 5 AND {_KEY.format('t')} <= {_KEY.format('s')} AND (t.time < s.time OR {_KEY.format('t')} < {_KEY.format('s')} OR t.candidate < s.candidate))"""
+
+
+@query(f"WITH {BEATEN} SELECT request, candidate FROM BEATEN")
+def dominance_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.dominated(_candidates(spark, sf_dir), _corridor(spark, sf_dir))
+
+
+@query(f"""WITH {BEATEN}, FIRSTS AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY time, ord, candidate) AS k FROM SCORED),
+KEPT AS (SELECT s.request, s.candidate FROM SCORED s JOIN FIRSTS f ON f.request = s.request AND f.k = 1 WHERE s.time <= 2.2 * f.time + 600 OR s.fail + s.freeway <= f.fail + f.freeway - 80 OR (s.fail = 0 AND s.freeway = 0)),
+OFFERED AS (SELECT request, candidate FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY time, dist, candidate) AS k FROM SCORED) WHERE k <= 6)
+SELECT s.request, s.candidate, CASE WHEN o.candidate IS NOT NULL THEN 'offered' WHEN k.candidate IS NULL THEN 'too-slow' WHEN b.candidate IS NOT NULL THEN 'dominated' ELSE 'not-chosen' END AS stage
+FROM SCORED s LEFT JOIN KEPT k ON k.candidate = s.candidate LEFT JOIN BEATEN b ON b.candidate = s.candidate LEFT JOIN OFFERED o ON o.candidate = s.candidate""")
+def stage_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _candidates(spark, sf_dir)
+    return P.staged(c, P.reasonable(c), P.dominated(c, _corridor(spark, sf_dir)), P.lettered(c)).select("request", "candidate", "stage")
+
+
+@query("""SELECT x.request, x.candidate FROM candidates x WHERE NOT EXISTS (SELECT 1 FROM candidates y WHERE y.request = x.request AND y.time <= x.time AND y.fail <= x.fail AND y.ascent <= x.ascent AND y.dist <= x.dist AND (y.time < x.time OR y.fail < x.fail OR y.ascent < x.ascent OR y.dist < x.dist))""")
+def skyline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.skyline(view(spark, sf_dir, "candidates"), ["time", "fail", "ascent", "dist"]).select("request", "candidate")
+
+
+@query("""WITH P AS (SELECT CAST(floor(route_id / 5) AS BIGINT) AS request, route_id AS route, seq, edge_id % 400 AS node FROM route_segments),
+U AS (SELECT request, route, node, min(seq) AS seq FROM P GROUP BY ALL),
+B AS (SELECT x.request, x.route AS a, y.route AS b, x.node, x.seq AS sa, y.seq AS sb FROM U x JOIN U y ON x.request = y.request AND x.node = y.node AND x.route < y.route),
+M AS (SELECT *, coalesce(NOT (lag(sa) OVER w = sa - 1 AND lag(sb) OVER w = sb - 1), true) AS starts, coalesce(NOT (lead(sa) OVER w = sa + 1 AND lead(sb) OVER w = sb + 1), true) AS ends FROM B WINDOW w AS (PARTITION BY request, a, b ORDER BY sa))
+SELECT * FROM M WHERE starts OR ends""")
+def cut_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = view(spark, sf_dir, "route_segments").select(F.floor(F.col("route_id") / 5).alias("request"), F.col("route_id").alias("route"), "seq", (F.col("edge_id") % 400).alias("node"))
+    return P.cut_points(paths.groupBy("request", "route", "node").agg(F.min("seq").alias("seq")))
+
+
+@query()
+def select_six(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.select_six(_candidates(spark, sf_dir), _corridor(spark, sf_dir))
+
+
+@query()
+def section_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths across blocks of 3 x 3 grid nodes, from their south-west to their north-east corner."""
+    from .costs import arcs
+
+    a = arcs(spark, sf_dir).where("not prohibited")
+    block = lambda n: (F.floor(F.floor(n / 40) / 3) * 20 + F.floor(n % 40 / 3)).cast("long")
+    inner = a.where(block(F.col("src")) == block(F.col("dst"))).where(F.col("src") % 40 < 39).withColumn("request", block(F.col("src")))
+    corner = F.floor(F.col("request") / 20) * 120 + F.col("request") % 20 * 3
+    metric = {"time": F.col("len_m") / 5.0, "fail": F.when(F.col("facility") == 0, F.col("len_m")).otherwise(0), "danger": F.col("hazard") * 10, "caution": F.col("lanes") * 5, "gap": F.lit(0), "non_trail": F.when(F.col("infra"), 0).otherwise(F.col("len_m")), "rough": F.col("surface") * 3, "ascent": F.col("up_m"), "dist": F.col("len_m")}
+    return P.section_frontier(inner.select("request", "src", "dst", F.col("edge_id").alias("edge"), corner.cast("long").alias("start"), (corner + 82).cast("long").alias("goal"), *[c.cast("double").alias(n) for n, c in metric.items()]))
