@@ -123,53 +123,72 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def confirmer(percent: int, width: int):
-    """mapInArrow: a, b, text_a, text_b -> pairs whose full sets are similar enough."""
+def setter(width: int):
+    """mapInArrow: id, text -> id, shingle set as bytes."""
 
     def run(batches):
         hashes = word_hashes()
-        last, last_set = None, None
         for batch in batches:
-            a, b, ta, tb = (batch.column(i) for i in range(4))
-            keep = []
-            for i in range(batch.num_rows):
-                if (key := a[i].as_py()) != last or last_set is None:
-                    last, last_set = key, shingles(ascii_words(ta[i].as_py() or ""), hashes, width)
-                keep.append(linked(last_set, shingles(ascii_words(tb[i].as_py() or ""), hashes, width), percent))
+            sets = [shingles(ascii_words(t.as_py() or ""), hashes, width).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
+
+    return run
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint64)
+
+
+def confirmer(percent: int):
+    """mapInArrow: a, b, set_a, set_b -> pairs whose full sets are similar enough."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, sa, sb = (batch.column(i) for i in range(4))
+            keep = [linked(unpacked(x.as_py()), unpacked(y.as_py()), percent) for x, y in zip(sa, sb)]
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def cross_block(k: int, least: float, best_only: bool):
-    """mapInArrow over rows sorted by block, queries first: pairs of a block's queries and members
-    of different components whose signatures look similar (all, or each query's best of a run of
-    members). Holds one block's queries at a time."""
+def cross_block(k: int, least: float, percent: int):
+    """mapInArrow over rows sorted by block, queries first: links of a block's queries and members of
+    different components. Holds one block's queries at a time and one batch of members."""
 
     def run(batches):
-        block, q_ids, q_comp, q_sig = None, [], [], []
+        block, queries, done = None, [], set()
         for batch in batches:
             c = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             keys = list(zip(c["bucket"].to_pylist(), c["q_chunk"].to_pylist(), c["t_chunk"].to_pylist()))
             is_query, ids, comps = c["is_query"].to_pylist(), c["id"].to_pylist(), c["comp"].to_pylist()
             sigs = signature_matrix(c["sig"].to_pylist(), k)
+            bands = np.asarray(c["bands"].flatten()).reshape(len(keys), -1)
+            sets = c["set"]
             a, b, i, n = [], [], 0, len(keys)
             while i < n:
                 if keys[i] != block:
-                    block, q_ids, q_comp, q_sig = keys[i], [], [], []
+                    block, queries, done = keys[i], [], set()
                 if is_query[i]:
-                    q_ids.append(ids[i]), q_comp.append(comps[i]), q_sig.append(sigs[i])
+                    queries.append((ids[i], comps[i], sigs[i], bands[i], unpacked(sets[i].as_py())))
                     i += 1
                     continue
                 j = i
                 while j < n and keys[j] == block and not is_query[j] and j - i < 1024:
                     j += 1
                 own = np.array(comps[i:j])
-                for x, comp, sig in zip(q_ids, q_comp, q_sig):
-                    near = np.where(own == comp, -1.0, similar(sigs[i:j], sig))
-                    for y in [int(np.argmax(near))] if best_only else np.nonzero(near >= least)[0]:
-                        if near[y] >= least:
-                            a.append(min(x, ids[i + y])), b.append(max(x, ids[i + y]))
+                for q, comp, sig, band, members in queries:
+                    near = similar(sigs[i:j], sig)
+                    near[own == comp] = -1.0
+                    at = np.nonzero(near >= least)[0]
+                    if not len(at):
+                        continue
+                    here = int(np.nonzero(band == block[0])[0][0])
+                    at = at[(bands[i + at] == band).argmax(axis=1) == here]
+                    for y in at[np.argsort(-near[at], kind="stable")]:
+                        other = comps[i + y]
+                        if (q, other) not in done and linked(members, unpacked(sets[int(i + y)].as_py()), percent):
+                            done.add((q, other))
+                            a.append(min(q, ids[i + y])), b.append(max(q, ids[i + y]))
                 i = j
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 

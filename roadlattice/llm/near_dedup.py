@@ -30,16 +30,17 @@ def _looks_similar(pairs: DataFrame, sigs: DataFrame, k: int, least: float) -> D
     return pairs.join(a, "a").join(b, "b").where(near("sig_a", "sig_b")).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
-    a, b = (texts.select(F.col("id").alias(n), F.col("text").alias(f"text_{n}")) for n in ("a", "b"))
-    both = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(kernels.confirmer(percent, width), "a long, b long")
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    a, b = (sets.select(F.col("id").alias(n), F.col("set").alias(f"set_{n}")) for n in ("a", "b"))
+    both = pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b")
+    return both.mapInArrow(kernels.confirmer(percent), "a long, b long")
 
 
-def _across(shared: DataFrame, comps: DataFrame, sigs: DataFrame, k: int, least: float, block: int, target_block: int, best_only: bool) -> DataFrame | None:
-    """Pairs of different components that share a bucket and whose signatures look similar: members
-    outside a bucket's largest component against all its members, in blocks. With best_only, of each
-    member only the most similar of every up to 1024 others. None if no bucket has two components."""
+def _across(shared: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFrame, k: int, least: float, percent: int, block: int, target_block: int) -> DataFrame | None:
+    """Links between different components that share a bucket: members outside a bucket's largest component
+    meet all its members, in blocks that a task holds one at a time. There signatures pass or drop a pair, the
+    first bucket that both share decides it, on the full sets, and one link to a component is enough. Only links
+    leave the task. None if no bucket has two components."""
     placed = shared.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     open_buckets = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
     placed = materialize(placed.join(open_buckets, "bucket", "left_semi"), "placed")
@@ -49,7 +50,7 @@ def _across(shared: DataFrame, comps: DataFrame, sigs: DataFrame, k: int, least:
         placed.groupBy("bucket", "comp", "n").agg(F.count("*").alias("c")).groupBy("bucket", "n").agg(F.max(F.struct("c", "comp")).alias("top"))
         .select("bucket", F.col("top.comp").alias("top"), F.ceil((F.col("n") - F.col("top.c")) / block).alias("q_chunks"), F.ceil(F.col("n") / target_block).alias("t_chunks"))
     )
-    ready = placed.join(largest, "bucket").join(sigs, "id")
+    ready = placed.join(largest, "bucket").join(classes.select("id", "sig", "bands"), "id").join(sets, "id")
     queries = (
         ready.where("comp <> top")
         .withColumn("q_chunk", F.expr("pmod(xxhash64(id), q_chunks)"))
@@ -61,9 +62,9 @@ def _across(shared: DataFrame, comps: DataFrame, sigs: DataFrame, k: int, least:
         .withColumn("q_chunk", F.explode(F.expr("sequence(0L, q_chunks - 1)")))
         .withColumn("is_query", F.lit(False))
     )
-    cols = ["bucket", "q_chunk", "t_chunk", "is_query", "id", "comp", "sig"]
+    cols = ["bucket", "q_chunk", "t_chunk", "is_query", "id", "comp", "sig", "bands", "set"]
     blocks = queries.select(cols).union(targets.select(cols)).repartition("bucket", "q_chunk", "t_chunk").sortWithinPartitions("bucket", "q_chunk", "t_chunk", F.desc("is_query"))
-    return blocks.mapInArrow(kernels.cross_block(k, least, best_only), "a long, b long").distinct()
+    return blocks.mapInArrow(kernels.cross_block(k, least, percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 75, width: int = 5, bands: int = 32, rows: int = 4, least: float = 0.58, block: int = 256, target_block: int = 4096) -> DataFrame:
@@ -76,9 +77,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, width: int = 5, bands
     3. Every bucket links its members to its least id (a star, not all pairs); candidates pass the
        signature check (``least``, over four deviations below the limit) and are confirmed on the
        full sets (percent * union <= 100 * intersection).
-    4. In buckets that still hold several components, members outside the largest one are compared
-       by signature with all members in bounded blocks: first each one's most similar partners are
-       confirmed, then, with the components that this leaves, all that look similar. So every
+    4. In buckets that still hold several components, members outside the largest one meet all members
+       in bounded blocks, by signature and then on the full sets; only links leave the task. So every
        bucket pair is decided unless its two documents are already in one component, with no cap.
     5. Components by alternating large-star and small-star.
 
@@ -97,20 +97,14 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, width: int = 5, bands
     shared = materialize(members.join(buckets, "bucket").select("bucket", "id", "head", "n"), "buckets")
     sigs = classes.select("id", "sig")
     wanted = shared.select("id").distinct()
-    texts = materialize(
-        docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(wanted, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")),
-        "texts",
-    )
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(wanted, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
+    sets = materialize(texts.mapInArrow(kernels.setter(width), "id long, set binary"), "sets")
     star = shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    edges = materialize(_confirmed(_looks_similar(star, sigs, k, least), texts, percent, width), "edges")
+    edges = materialize(_confirmed(_looks_similar(star, sigs, k, least), sets, percent), "edges")
     comps = materialize(connected_components(edges), "comps")
-    for best_only in (True, False):
-        pairs = _across(shared, comps, sigs, k, least, block, target_block, best_only)
-        if pairs is None:
-            break
-        more = materialize(_confirmed(pairs, texts, percent, width), "edges")
-        edges = edges.union(more)
-        comps = materialize(connected_components(edges), "comps")
+    more = _across(shared, comps, classes, sets, k, least, percent, block, target_block)
+    if more is not None:
+        comps = materialize(connected_components(edges.union(materialize(more, "edges"))), "comps")
     reached = (
         classes.select("set_key", "id").join(comps, "id", "left").select("set_key", F.coalesce("comp", "id").alias("component_id"))
     )

@@ -2,41 +2,85 @@
 
 from __future__ import annotations
 
-import os
+import sys
+import types
 import zlib
+from array import array
 from collections import deque
+from unicodedata import is_normalized
 
-import numpy as np
 import pyarrow as pa
 
 from .kernels import Remembered
 
 
 
-def encoder(path: str):
-    """text -> (ids as little-endian uint32 bytes, token counts at sentence ends).
+def _byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: printable Latin-1 bytes are themselves, the others follow from U+0100 in order."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    A text is encoded by the pieces between spaces and line feeds, each once: the vocabulary drops
-    white space and its pattern never joins across it, so the ids are those of the whole text.
-    """
-    from tokenizers import Tokenizer
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    tok = Tokenizer.from_file(path)
+def worker_state() -> dict:
+    """What the tasks of one Python worker share."""
+    return sys.modules.setdefault("_roadlattice_worker", types.ModuleType("_roadlattice_worker")).__dict__
+
+
+class WordIds(Remembered):
+    """Ids of a piece without spaces, as little-endian uint32 bytes. Lower-case letters alone are one
+    pre-token, so they go to the vocabulary's merges at once; a stop behind letters is another one."""
+
+    def __init__(self, path: str, most: int):
+        from tokenizers import Tokenizer
+
+        super().__init__(self.ids, most)
+        self.tok = Tokenizer.from_file(path)
+        self.model = Tokenizer.from_file(path).model
+        self.model._resize_cache(0)  # this dict remembers more
+        self.letters = _byte_letters()
 
-    def one(word: str) -> bytes:
-        return np.asarray(tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+    def ids(self, piece: str) -> bytes:
+        if piece.isalpha() and piece.islower():
+            word = piece if piece.isascii() else piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+            return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        if piece[-1:] in (".", ",") and piece[:-1].isalpha() and piece.islower():
+            return self[piece[:-1]] + self[piece[-1]]
+        return self.whole(piece)
 
-    words = Remembered(one, 300_000)
-    get = words.__getitem__
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+
+def encoder(path: str, remembered: int = 1_000_000):
+    """text -> (ids as little-endian uint32 bytes, token counts at sentence ends).
+
+    The vocabulary lowers letters, drops white space and never joins across it, and letters never join
+    signs; so a text's ids are those of its pieces, each encoded once per worker. Texts whose letters
+    lower differently in a context or are not composed are encoded as a whole.
+    """
+    state, key = worker_state(), f"words {path}"
+    if key not in state:
+        state[key] = WordIds(path, remembered)
+    words = state[key]
+    get, dot = words.__getitem__, words["."]
 
     def encode(text: str, end: bytes) -> tuple[bytes, list[int]]:
-        own = text.replace("\n", " ").split(" ")
-        parts = list(map(get, own))
-        ends, n = [], 0
-        for w, p in zip(own, parts):
-            n += len(p) >> 2
-            if w and w[-1] in ".!?。…":
+        if not text.isascii() and ("Σ" in text or "İ" in text or not is_normalized("NFC", text)):
+            return words.whole(text) + end, []
+        parts, ends, n = [], [], 0
+        sentences = (text.lower().replace("\n", " ") + " ").split(". ")
+        last = len(sentences) - 1
+        for k, sentence in enumerate(sentences):
+            own = sentence.split(" ")
+            if k < last and (tail := own[-1]) and not tail[-1].isalnum():
+                own[-1] = tail + "."
+                ids = b"".join(map(get, own))
+            else:
+                ids = b"".join(map(get, own)) + (dot if k < last else b"")
+            parts.append(ids)
+            n += len(ids) >> 2
+            if k < last:
                 ends.append(n)
         parts.append(end)
         return b"".join(parts), ends
@@ -44,19 +88,20 @@ def encoder(path: str):
     return encode
 
 
-def choose_cuts(bounds: list[int], kinds: list[int], size: int, penalty: tuple[int, int, int]) -> list[int]:
+def choose_cuts(bounds: list[int], kinds: list[int], size: int, penalty: tuple[int, int, int], least_power: int = 1) -> list[int]:
     """Cuts among the ascending positions ``bounds`` (first and last are cuts), at most ``size`` apart.
 
     Cost of a window of n ids: its padding (size - n, none if n is a power of two) and the penalty of
     what it truncates at its end, by kind (0 document end, 1 sentence end, 2 inside a sentence). With
     g(i) = cost(i) + bounds[i] a transition costs g(i) + size - bounds[j], so the best i is the head
-    of a queue with rising g over the last ``size`` ids; powers of two are looked up by position.
+    of a queue with rising g over the last ``size`` ids; powers of two from least_power on are looked up
+    by position.
     """
     n = len(bounds)
     cost, back = [0] * n, [0] * n
     where = {bounds[0]: 0}
     queue = deque([(bounds[0], 0, bounds[0])])  # g, index, position
-    powers = [1 << k for k in range(size.bit_length()) if 1 << k < size]
+    powers = [1 << k for k in range(size.bit_length()) if least_power <= 1 << k < size]
     for j in range(1, n):
         b = bounds[j]
         while queue[0][2] < b - size:
@@ -96,7 +141,7 @@ def packer(path: str, size: int, end_id: int, horizon: int, penalty: tuple[int,
         from pyspark import TaskContext
 
         encode = encoder(path)
-        end = np.asarray([end_id], "<u4").tobytes()
+        end = array("I", [end_id]).tobytes()
         base = TaskContext.get().partitionId() << 33
         docs: deque = deque()  # doc_id, ids, ends, first position, number of ids
         begin = filled = seq = 0  # begin: stream position of the next window
@@ -124,7 +169,7 @@ def packer(path: str, size: int, end_id: int, horizon: int, penalty: tuple[int,
                     bounds.append(bounds[-1] + size)
                     kinds.append(2)
                 bounds.append(p), kinds.append(marks[p])
-            cuts = choose_cuts(bounds, kinds, size, penalty)
+            cuts = choose_cuts(bounds, kinds, size, penalty, 1 if last else size // 4)
             stop = len(cuts) if last else max(2, len(cuts) - 4)
             rows = []
             for a, b in zip(cuts, cuts[1:stop]):
