@@ -1 +1,64 @@
+"""Queries of live guidance, as batches and as streams over files."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from roadlattice.sources.adapters import read, view
+from roadlattice.streaming import guidance as L
+
+from .registry import query
+
+
+def _fixes(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
+    """Fixes of the events: the ride is the user; time (a tenth of a second each) and distance along the route follow the event's number."""
+    events = source if source is not None else read(spark, sf_dir, "events")
+    e = F.col("event_id")
+    plan = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.struct((i * 900.0).alias("at_m"), F.concat(F.lit("turn "), i.cast("string")).alias("text")))
+    return events.select(F.col("user_id").alias("ride_id"), F.timestamp_millis(1_704_067_200_000 + e * 100).alias("ts"), e.alias("event_id"), (e * 7 % 120).cast("double").alias("off_m"), (10 + 10 * (e % 15)).cast("double").alias("accuracy_m"), (e % 1201 * 10).cast("double").alias("route_m"), plan.alias("instructions"), F.lit(11900.0).alias("end_m"))
+
+
+@query("SELECT ride_id, ts, off_m, accuracy_m FROM (SELECT *, row_number() OVER (PARTITION BY ride_id ORDER BY ts DESC, event_id DESC) AS k FROM gps_fixes) WHERE k = 1")
+def latest_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.latest(view(spark, sf_dir, "gps_fixes"))
+
+
+@query("""WITH F AS (SELECT ride_id, ts, event_id, event_id % 1201 * 10 AS m, event_id / 10.0 AS s FROM gps_fixes), D AS (SELECT *, s - lag(s) OVER w AS e, m - lag(m) OVER w AS d FROM F WINDOW w AS (PARTITION BY ride_id ORDER BY event_id))
+SELECT ride_id, event_id, round(d / CAST(e AS DOUBLE), 6) AS speed FROM D WHERE e > 0 AND e < 30""")
+def fix_speeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.speeds(_fixes(spark, sf_dir)).where("speed is not null").select("ride_id", "event_id", F.round("speed", 6).alias("speed"))
+
+
+@query("""SELECT ride_id, min(event_id) AS event_id FROM gps_fixes WHERE accuracy_m <= 120 AND 11900 - event_id % 1201 * 10 <= 45 AND off_m <= 65 GROUP BY 1""")
+def ride_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First fix of each ride, of fair accuracy and on the route, within 45 m of its end."""
+    near = _fixes(spark, sf_dir).where((F.col("accuracy_m") <= L.WORST_ACCURACY_M) & (F.col("end_m") - F.col("route_m") <= L.ARRIVAL_M) & (F.col("off_m") <= L.OFF_M))
+    return near.groupBy("ride_id").agg(F.min("event_id").alias("event_id"))
+
+
+@query()
+def instruction_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.guide_batch(_fixes(spark, sf_dir))
+
+
+@query()
+def off_route_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stateful stream run to its end over the events file; its events are gathered in a memory table."""
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    folder, _, name = path.rpartition("/")
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    table = f"guidance_{uuid.uuid4().hex}"
+    q = L.guide(_fixes(spark, sf_dir, stream), idle_minutes=None).writeStream.outputMode("append").format("memory").queryName(table).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(table).where(F.col("kind").isin("off-route", "still-off", "rejoined"))
+
+
+@query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, count(*) AS fixes, CAST(sum(CASE WHEN off_m > 65 THEN 1 ELSE 0 END) AS BIGINT) AS off FROM gps_fixes GROUP BY 1""")
+def hourly_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spark-native extra: fixes and off-route fixes by hour window."""
+    f = view(spark, sf_dir, "gps_fixes")
+    return f.groupBy(F.window("ts", "1 hour")).agg(F.count("*").alias("fixes"), F.count_if(F.col("off_m") > L.OFF_M).alias("off")).select(F.col("window.start").alias("hour"), "fixes", "off")

@@ -1 +1,93 @@
+"""Queries of layer building, coverage and whole-line operators."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from roadlattice.functions import geo
+from roadlattice.operators import etl as E
+from roadlattice.operators import lines as L
+from roadlattice.sources.adapters import read, view
+
+from .registry import query
+from .spatial import WAYS, ways
+
+
+@query("""SELECT road_class, CAST(sum(len_m) AS BIGINT) AS metres, CAST(sum(CASE WHEN adt IS NOT NULL THEN len_m ELSE 0 END) AS BIGINT) AS counted, CAST(sum(CASE WHEN edge_space IS NOT NULL THEN len_m ELSE 0 END) AS BIGINT) AS spaced FROM grid_edges GROUP BY ROLLUP (road_class)""")
+def coverage_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.coverage(view(spark, sf_dir, "grid_edges"), "road_class", counted=F.col("adt").isNotNull(), spaced=F.col("edge_space").isNotNull())
+
+
+@query("""SELECT field, value, count(*) AS rows FROM (SELECT unnest(['year', 'source', 'fc']) AS field, unnest([CAST(year AS VARCHAR), CAST(source AS VARCHAR), CAST(fc AS VARCHAR)]) AS value FROM measure_segments) GROUP BY 1, 2""")
+def build_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.statistics(view(spark, sf_dir, "measure_segments"), ["year", "source", "fc"])
+
+
+_CORR = "SELECT c_custkey % 200 AS k, concat('net', CAST(c_custkey % 3 AS VARCHAR(9))) AS network, concat('r', CAST(c_nationkey % 4 AS VARCHAR(9))) AS ref FROM customer"
+
+
+@query(f"""WITH W AS ({_CORR}), M AS (SELECT k, array_to_string(list_sort(list(DISTINCT network)), ';') AS network, array_to_string(list_sort(list(DISTINCT ref)), ';') AS ref FROM W GROUP BY 1)
+SELECT network, ref, count(*) AS lines, min(least(concat('[{{"lon":', CAST(k AS VARCHAR), '.0,"lat":0.0}},{{"lon":', CAST(k + 1000 AS VARCHAR), '.0,"lat":0.0}}]'), concat('[{{"lon":', CAST(k + 1000 AS VARCHAR), '.0,"lat":0.0}},{{"lon":', CAST(k AS VARCHAR), '.0,"lat":0.0}}]'))) AS first_key FROM M GROUP BY 1, 2""")
+def corridor_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the ways run against the others; the undirected key brings them together."""
+    w = read(spark, sf_dir, "customer").select((F.col("c_custkey") % 200).alias("k"), F.col("c_custkey"), F.concat(F.lit("net"), (F.col("c_custkey") % 3).cast("string")).alias("network"), F.concat(F.lit("r"), (F.col("c_nationkey") % 4).cast("string")).alias("ref"))
+    point = lambda x: F.struct(x.cast("double").alias("lon"), F.lit(0.0).alias("lat"))
+    line = F.array(point(F.col("k")), point(F.col("k") + 1000))
+    return E.corridors(w.withColumn("line", F.when(F.col("c_custkey") % 2 == 0, line).otherwise(F.reverse(line))), geo.undirected_key(F.col("line")), ["network", "ref"])
+
+
+@query("""WITH A AS (SELECT p_partkey AS id, p_size AS v, p_partkey % 9 AS w FROM part WHERE p_partkey % 3 = 0), B AS (SELECT p_partkey AS id, p_size + 100 AS v, CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 7 END AS w FROM part WHERE p_partkey % 2 = 0), C AS (SELECT p_partkey AS id, CAST(NULL AS INT) AS v, p_partkey % 5 AS w FROM part WHERE p_partkey % 5 = 0)
+SELECT p.p_partkey AS id, CAST(coalesce(A.v, B.v, C.v) AS BIGINT) AS v, CAST(coalesce(A.w, B.w, C.w) AS BIGINT) AS w FROM part p LEFT JOIN A ON A.id = p.p_partkey LEFT JOIN B ON B.id = p.p_partkey LEFT JOIN C ON C.id = p.p_partkey""")
+def measure_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("z"))
+    i, z = F.col("id"), F.col("z")
+    layers = [p.where(i % 3 == 0).select("id", z.alias("v"), (i % 9).alias("w")), p.where(i % 2 == 0).select("id", (z + 100).alias("v"), (i % 7).alias("w")), p.where(i % 5 == 0).select("id", F.lit(None).cast("long").alias("v"), (i % 5).alias("w"))]
+    return E.resolve(p.select("id"), "id", layers, ["v", "w"])
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN p_brand || '!' ELSE p_brand END AS brand FROM part""")
+def patched_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"))
+    return E.updated(p, p.where("id % 4 = 0").withColumn("brand", F.concat("brand", F.lit("!"))), "id", ["brand"])
+
+
+@query("""WITH R AS (SELECT c_custkey AS way_id, unnest([0, 1, 2, 3]) AS pos, unnest([c_custkey, 5000 + c_custkey * 7 % 900, 9000 + c_custkey * 3 % 1600, 20000 + c_custkey]) AS node FROM customer),
+S AS (SELECT node FROM R GROUP BY 1 HAVING count(*) >= 2), M AS (SELECT R.*, pos BETWEEN 1 AND 2 AND node IN (SELECT node FROM S) AS cut FROM R),
+N AS (SELECT *, coalesce(sum(CAST(cut AS INT)) OVER (PARTITION BY way_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM M), B AS (SELECT way_id, run, pos, node FROM N UNION ALL SELECT way_id, run + 1, pos, node FROM N WHERE cut)
+SELECT way_id, CAST(run AS BIGINT) AS run, arg_min(node, pos) AS from_node, arg_max(node, pos) AS to_node, count(*) AS vertices FROM B GROUP BY 1, 2""")
+def way_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("c_custkey")
+    refs = read(spark, sf_dir, "customer").select(c.alias("way_id"), F.posexplode(F.array(c, 5000 + c * 7 % 900, 9000 + c * 3 % 1600, 20000 + c)).alias("pos", "node"))
+    return L.split_at_junctions(refs)
+
+
+@query(f"""WITH {WAYS}, M AS (SELECT way_id AS edge_id, lon1, lat1, lon2, lat2, sqrt(pow((lon2 - lon1) * 111320.0 * cos(radians(lat1)), 2) + pow((lat2 - lat1) * 110540.0, 2)) AS m FROM WAYS), K AS (SELECT *, greatest(1, CAST(ceil(round(m, 6) / 120) AS BIGINT)) AS parts FROM M),
+X AS (SELECT *, unnest(range(0, parts + 1)) AS k FROM K) SELECT edge_id, k, round(lon1 + CASE WHEN k = parts THEN 1.0 ELSE k * 120 / m END * (lon2 - lon1), 8) AS lon, round(lat1 + CASE WHEN k = parts THEN 1.0 ELSE k * 120 / m END * (lat2 - lat1), 8) AS lat FROM X""")
+def densify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.densified(ways(spark, sf_dir).select("edge_id", "lon1", "lat1", "lon2", "lat2")).select("edge_id", F.col("k").cast("long").alias("k"), F.round("lon", 8).alias("lon"), F.round("lat", 8).alias("lat"))
+
+
+@query("""WITH RECURSIVE P AS (SELECT CAST(floor(p_partkey / 40) AS BIGINT) AS r, p_partkey % 40 AS i, p_size AS e FROM part),
+S(r, i, lvl, up, down) AS (SELECT r, i, e, 0, 0 FROM P WHERE i = 0 UNION ALL SELECT P.r, P.i, CASE WHEN abs(P.e - S.lvl) >= 2 THEN P.e ELSE S.lvl END, S.up + CASE WHEN P.e - S.lvl >= 2 THEN P.e - S.lvl ELSE 0 END, S.down + CASE WHEN S.lvl - P.e >= 2 THEN S.lvl - P.e ELSE 0 END FROM S JOIN P ON P.r = S.r AND P.i = S.i + 1)
+SELECT r AS row_id, CAST(max(up) AS BIGINT) AS up_m, CAST(max(down) AS BIGINT) AS down_m FROM S GROUP BY 1""")
+def sampled_ascent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = view(spark, sf_dir, "grid_nodes").groupBy("gy").agg(F.transform(F.array_sort(F.collect_list(F.struct("gx", "ele"))), lambda s: s["ele"]).alias("e"))
+    return n.select(F.col("gy").alias("row_id"), L.climbs(F.col("e")).alias("c")).select("row_id", "c.up_m", "c.down_m")
+
+
+def _zigzag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line of nine vertices for each customer, that bends by its number."""
+    c = F.col("c_custkey")
+    bend = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.struct((-122.0 + i * 0.0001).alias("lon"), (47.0 + F.when(i % 2 == 0, 0.0).otherwise((c % 5) * 0.00002)).alias("lat")))
+    return read(spark, sf_dir, "customer").select(c.alias("id"), bend.alias("line"))
+
+
+@query()
+def simplified_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _zigzag(spark, sf_dir).select("id", F.size(L.simplify()(F.col("line"))).cast("long").alias("vertices"))
+
+
+@query()
+def curve_hazards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _zigzag(spark, sf_dir).select("id", L.curve_hazard()(F.col("line")).alias("severity"), F.round(geo.length_m(F.col("line")), 3).alias("metres"))
