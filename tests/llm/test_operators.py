@@ -1,0 +1,349 @@
+"""The corpus operators against plain versions, on small awkward tables."""
+
+import collections
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from roadlattice.llm import html_kernel, packing_kernel, warc_kernel
+from roadlattice.llm.components import connected_components
+from roadlattice.llm.decontaminate import contamination, decontaminate
+from roadlattice.llm.html_text import main_texts
+from roadlattice.llm.langid import languages
+from roadlattice.llm.line_dedup import dedup_lines, drop_recurring_lines
+from roadlattice.llm.near_dedup import deduplicate, near_duplicates
+from roadlattice.llm.packing import pack
+from roadlattice.llm.pii import personal_data
+from roadlattice.llm.quality import quality
+from roadlattice.llm.toxicity import toxicity
+from roadlattice.llm.warc import read_archives, write_archives
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def lower(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+
+
+def docs(spark, texts, lang="en"):
+    rows = [(i, t, lang if isinstance(lang, str) or lang is None else lang[i], f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def prose(seed, n):
+    r = random.Random(seed)
+    return " ".join("".join(r.choice(["an", "be", "co", "du", "er", "fi"]) for _ in range(r.randint(1, 4))) for _ in range(n))
+
+
+AWKWARD = [None, "", " \n\t ", "word", "four words are here", "A" * 5000, "x " * 3000, "naïve café straße Σίσυφος", "same line\n" * 9, "12 34", "...!?", "é combining"]
+
+
+# near-duplicates
+
+
+def brute_components(texts):
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[i] & sets[j])
+        if both and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+            a, b = label[i], label[j]
+            label = [min(a, b) if x in (a, b) else x for x in label]
+    return sets, label
+
+
+def edited(text, k, seed):
+    r, w = random.Random(seed), text.split()
+    for i in r.sample(range(len(w)), k):
+        w[i] = f"new{seed}x{i}"
+    return " ".join(w)
+
+
+def test_near_duplicates(spark):
+    base = prose(1, 120)
+    texts = [*AWKWARD, *AWKWARD[3:6], base, *[edited(base, k, s) for s, k in enumerate((0, 1, 2, 3, 4, 5, 6, 8, 10, 12, 3, 3, 2, 2))], *[prose(s, 60) for s in range(50, 60)], base.upper()]
+    sets, label = brute_components(texts)
+    got = {r.doc_id: r for r in near_duplicates(docs(spark, texts)).collect()}
+    assert [(got[i].n_shingles, got[i].component_id, got[i].kept) for i in range(len(texts))] == [(len(s), c, c == i) for i, (s, c) in enumerate(zip(sets, label))]
+    assert deduplicate(docs(spark, texts)).count() == len(set(label))
+
+
+def test_near_duplicates_small_blocks(spark):
+    base = prose(2, 80)
+    texts = [edited(base, 3 + s % 6, s) for s in range(40)]
+    _, label = brute_components(texts)
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs(spark, texts), block=2, target_block=5).collect()}
+    assert [got[i] for i in range(len(texts))] == label
+
+
+def test_near_duplicates_empty_null_ids_and_repeats(spark):
+    assert near_duplicates(docs(spark, [])).count() == 0
+    odd = spark.createDataFrame([(None, "a b c d e f", 1), (5, "a b c d e f", 2), (5, "a b c d e f", 3)], "doc_id long, text string, kept int")
+    got = sorted((r.doc_id or -1, r.component_id, r.kept) for r in near_duplicates(odd).collect())
+    assert got == [(-1, 5, True), (5, 5, True), (5, 5, True)] or [x[0] for x in got] == [-1, 5, 5] and all(x[2] for x in got)
+
+
+def test_components(spark):
+    r = random.Random(3)
+    edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 130)]
+    label = {}
+    for a, b in edges:
+        x, y = label.get(a, a), label.get(b, b)
+        label.update({a: x, b: y})
+        label = {k: min(x, y) if v in (x, y) else v for k, v in label.items()}
+    got = {r.id: r.comp for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    full = {k: got.get(k, k) for k in label}
+    groups = lambda d: {frozenset(k for k in d if d[k] == v) for v in d.values()}
+    assert groups(full) == groups(label) and all(v == min(k for k in full if full[k] == v) for v in full.values())
+
+
+# decontamination
+
+
+def brute_contamination(text, items):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text or ""))
+    hit, found = set(), set()
+    for item, t in items:
+        p = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or ""))
+        m = min(13, len(p))
+        for k in range(len(p) - m + 1 if p else 0):
+            for i in range(len(words) - m + 1):
+                if words[i : i + m] == p[k : k + m]:
+                    hit |= set(range(i, i + m))
+                    found.add(str(item))
+    return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(words)
+
+
+@pytest.mark.parametrize("block_chars", [10**6, 60])
+def test_contamination(spark, block_chars):
+    items = [(1, prose(11, 30)), (2, prose(12, 13)), (10, "One, two: THREE"), (3, "solo"), (4, None), (5, "--"), (6, prose(11, 30)), (7, "a a a")]
+    texts = [*AWKWARD, prose(11, 30), "x " * 400 + prose(12, 13), "y " + " ".join(prose(11, 30).split()[4:18]) + " z", "one-two three solo", "a a a a a b a a", prose(12, 12)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r for r in contamination(docs(spark, texts), bench, block_chars=block_chars).collect()}
+    want = [brute_contamination(t, items) for t in texts]
+    assert [(r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for _, r in sorted(got.items())] == want
+    kept = {r.doc_id for r in decontaminate(docs(spark, texts), bench, block_chars=block_chars).collect()}
+    assert kept == {i for i, w in enumerate(want) if not w[4]}
+
+
+# packing
+
+
+def test_packing_round_trip(spark):
+    texts = [*AWKWARD, "don't stop. he'll go... (yes). a.b, c,d 5.5 x). Y! <|endoftext|> end", "İstanbul. ΣΟΦΟΣ. ǅ ß", *[prose(s, 700).replace(" er ", " er. ") for s in range(6)], prose(99, 9000)]
+    tok = Tokenizer.from_file(TOKENIZER)
+    ids = [tok.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    rows = pack(docs(spark, texts).repartition(2, "doc_id"), TOKENIZER).collect()
+    for i, own in enumerate(ids):
+        at = 0
+        for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start):
+            piece = b"".join(x.to_bytes(4, "little") for x in own[r.start : r.start + r.length])
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(own), zlib.crc32(piece))
+            at += r.length
+        assert at == len(own)
+    by_seq = collections.defaultdict(list)
+    for r in rows:
+        by_seq[r.sequence_id].append((r.offset, r.length))
+    lengths = []
+    for parts in by_seq.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        lengths.append(at)
+    padding = sum(2048 - n for n in lengths if n & (n - 1))
+    assert max(lengths) <= 2048 and padding < 0.1 * sum(lengths)
+    assert pack(docs(spark, []), TOKENIZER).count() == 0
+
+
+def test_cuts_are_best():
+    r = random.Random(5)
+    for _ in range(30):
+        bounds = sorted({0, *(r.randrange(1, 60) for _ in range(12))})
+        while max(b - a for a, b in zip(bounds, bounds[1:])) > 16:
+            bounds = sorted({*bounds, *(a + 16 for a, b in zip(bounds, bounds[1:]) if b - a > 16)})
+        kinds = [r.randrange(3) for _ in bounds]
+        pen = (0, 2, 5)
+        price = lambda cuts: sum((0 if (n := b - a) & (n - 1) == 0 else 16 - n) + pen[kinds[bounds.index(b)]] for a, b in zip(cuts, cuts[1:]))  # noqa: E731, B023
+        best = {0: 0}
+        for b in bounds[1:]:
+            best[b] = min(best[a] + price([a, b]) for a in bounds if a < b and b - a <= 16)
+        assert price(packing_kernel.choose_cuts(bounds, kinds, 16, pen)) == best[bounds[-1]]
+
+
+# toxicity and language
+
+
+def test_toxicity_learns_and_locates(spark):
+    texts = [f"{prose(i, 20)}. {'you wretch ' if i % 4 == 0 else ''}{prose(i + 500, 15)}. {prose(i + 900, 9)}." for i in range(240)] + AWKWARD
+    d = docs(spark, texts)
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(240)] + [(10**6, 1, 1), (3, 0, None)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity(d, d, labels).collect()}
+    assert all(got[i].predicted == int(i % 4 == 0) for i in range(240))
+    assert all(got[i].offending == ([1] if i % 4 == 0 else []) for i in range(240))
+    assert all(0 <= r.score <= 1 for r in got.values()) and got[240].score == 0.0
+    assert got[7].held_out == (zlib.crc32(b"7") % 5 == 0)
+    none = toxicity(d, d, labels.where("false")).collect()
+    assert len(none) == len(texts) and not any(r.predicted for r in none)
+
+
+def test_languages(spark):
+    say = {"en": "the with that thing", "de": "und der nicht schön", "fr": "une élève avec été"}
+    r = random.Random(4)
+    langs = [random.Random(i).choice(list(say)) for i in range(150)]
+    texts = [" ".join(r.choice(say[x].split()) for _ in range(30)) for x in langs]
+    d = docs(spark, texts + AWKWARD, lang=[*langs, *[None] * len(AWKWARD)])
+    got = {x.doc_id: x for x in languages(d).collect()}
+    assert all(got[i].lang_pred == langs[i] for i in range(150))
+    assert [got[150 + i].lang_pred for i, t in enumerate(AWKWARD) if not re.search(r"[^\W\d_]", t or "")] == ["und"] * 5
+    assert all(0 <= x.score <= 1 for x in got.values())
+    assert {x.lang_pred for x in languages(d.where("lang is null")).collect()} == {"und"}
+    assert languages(docs(spark, [])).count() == 0
+
+
+# web pages
+
+PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="</p><p>no</p>";</script></head><body class="page">
+<header><a href="/">Home</a></header><nav><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></nav><div class="cookie-notice">We use cookies. Accept all of them now, please, thank you.</div>
+<main><article><h1>A  title &amp; more</h1><p>First <b>bold</b>
+ paragraph, with words &lt;here&gt; that go on.<p>Second one<br>after a break. It is long enough to be read as text.</p><div class="ad">Buy now! Cheap things for you, today only.</div><ul><li>Item one of the list.</li></ul></article>
+<aside>Related: <a href=x>other</a></aside><section id="comments"><p>I am a reader and I disagree with all of this, sadly.</p></section></main>
+<form><label>Mail</label><input><button>Go</button></form><footer>&copy; 2024 Example. All rights reserved.</footer></body></html>"""
+
+
+def test_main_text(spark):
+    want = "A title & more\n\nFirst bold paragraph, with words <here> that go on.\n\nSecond one after a break. It is long enough to be read as text.\n\nItem one of the list."
+    assert html_kernel.main_text(PAGE) == want
+    assert html_kernel.main_text(None) == html_kernel.main_text("<nav>only a menu</nav>") == ""
+    pages = spark.createDataFrame([(1, "u", PAGE, 0), (2, None, None, 0), (2, None, "", 0)], "page_id long, url string, html string, text int")
+    got = main_texts(pages).orderBy("page_id").collect()
+    assert [(r.text, r.n_chars) for r in got] == [(want, len(want)), ("", 0), ("", 0)]
+
+
+def test_minimum_cut_is_minimal():
+    r = random.Random(6)
+    for _ in range(60):
+        n = r.randint(1, 8)
+        w, parents = [r.uniform(-2, 2) for _ in range(n)], [r.randrange(2) for _ in range(n)]
+        pairs = collections.Counter()
+        for i in range(1, n):
+            pairs[i - 1, i] += 0.5
+        for p in set(parents):
+            own = [i for i in range(n) if parents[i] == p]
+            for a, b in zip(own, own[1:]):
+                pairs[a, b] += 0.7
+        price = lambda side: sum(max(-x, 0) if s else max(x, 0) for x, s in zip(w, side)) + sum(c for (a, b), c in pairs.items() if side[a] != side[b])  # noqa: E731, B023
+        least = min(price(s) for s in itertools.product([False, True], repeat=n))
+        assert price(html_kernel.minimum_cut(w, parents)) == pytest.approx(least)
+
+
+def test_warc_round_trip(spark, tmp_path):
+    big = "ü" * 600
+    rows = [(1, "http://a", big), (2, "http://b", big), (9, "x\r\ny", big), (3, None, None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (7, "u", "a\r\n\r\nb" * 400), (None, "n", big)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    first = write_archives(pages, f"file://{tmp_path}/one", shard_bytes=2000, roll_bytes=500).orderBy("file").collect()
+    again = write_archives(pages.repartition(3), f"file://{tmp_path}/two", shard_bytes=2000, roll_bytes=500).orderBy("file").collect()
+    assert first == again and len(first) > 3
+    got = {r.page_id: r for r in read_archives(spark, f"file://{tmp_path}/one").collect()}
+    for p, _, h in rows:
+        data = (h or "").encode()
+        copies = p != 9 and h == big
+        assert (got[p].payload_bytes, got[p].payload_digest, got[p].record_type, got[p].refers_to) == (len(data), hashlib.sha1(data).hexdigest(), "revisit" if copies else "response", 9 if copies else None)
+    order = [r.file for r in first]
+    ids = []
+    for f in order:
+        with open(tmp_path / "one" / f, "rb") as s:
+            ids += [x["page_id"] for d in warc_kernel.members(s, 64) if (x := warc_kernel.parse(d))]
+    assert ids == [None, 1, 2, 3, 4, 5, 6, 7, 9]
+    empty = f"file://{tmp_path}/none"
+    assert write_archives(pages.where("false"), empty).count() == 0 and read_archives(spark, empty).count() == 0
+
+
+# personal data
+
+PATTERNS = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(re.sub("[^0-9]", "", m)) <= 19 and luhn(re.sub("[^0-9]", "", m))),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(re.sub("[^0-9]", "", m)) <= 15),
+]
+
+
+def luhn(s):
+    return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(s)))) % 10 == 0
+
+
+def base_spans(text):
+    found = [(m.start(), k, m.end(), name) for k, (name, p, ok) in enumerate(PATTERNS) for m in re.finditer(p, text or "") if ok(m.group())]
+    return [f"{n}:{a}:{b}" for a, _, b, n in sorted(found)]
+
+
+def test_personal_data(spark):
+    texts = [
+        *AWKWARD, "mail a@b.c_d@e.f and x@y.z, a.b@c.d.", "ip 1.2.3.4 999.1.1.1 1.2.3.4.5.6.7.8 000255.0.0.1", "card 4337166598464399 4111-1111-1111-1111 4111 1111 1111 1112", "call +1 (632) 555-4827. +44 20 7946 0958! +1 2",
+        "𝒳 é 10.0.0.1 ü a@b.co", "1 2 3 4 5 6 7 8 9 " * 2000, "9" * 6000, "a@" * 3000, " a@b.co  1.1.1.1", "+1" * 900,
+    ]
+    got = {r.doc_id: r for r in personal_data(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        want = base_spans(t)
+        kinds = collections.Counter(s.split(":")[0] for s in want)
+        assert [got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone] == [kinds[k] for k, *_ in PATTERNS], t[:40]
+        assert got[i].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert set(want) <= set(got[i].spans.split(","))
+    assert personal_data(docs(spark, [])).count() == 0
+
+
+def test_bootstrapped_identifiers(spark):
+    texts = [f"hello my contact: user{i}@mail.org bye" for i in range(12)] + ["hello my contact: ZX-99812-QQ bye", "the price was 129.99.77 today"]
+    got = {r.doc_id: r.spans for r in personal_data(docs(spark, texts)).collect()}
+    assert got[12] == "id:18:29" and got[13] == ""
+
+
+# lines and quality
+
+
+def test_recurring_lines(spark):
+    texts = [f"{prose(i, 12)}\nOrder number {i * 37} was shipped on day {i}\n{prose(i + 100, 9)}" for i in range(8)] + [prose(500, 20) + "\n" + prose(501, 20)] * 6 + AWKWARD
+    got = {r.doc_id: r for r in drop_recurring_lines(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        lines = [] if t is None else t.split("\n")
+        left = [x for x in lines if not x.startswith("Order number")]
+        assert (got[i].text, got[i].n_lines, got[i].n_dropped) == (None if t is None else "\n".join(left), len(lines), len(lines) - len(left))
+    out = dedup_lines(docs(spark, texts))
+    assert out.columns == docs(spark, []).columns and out.count() == len(texts)
+    assert out.where("doc_id = 0").first().n_chars == len(got[0].text)
+    assert drop_recurring_lines(docs(spark, [])).count() == 0
+
+
+def brute_base(t):
+    t = t or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    wins = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    c = collections.Counter(wins)
+    hit = {i + k for i, x in enumerate(wins) if c[x] > 1 for k in range(5)}
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit)
+
+
+def test_quality(spark):
+    texts = [*AWKWARD, "a b c d e a b c d e f", "p q r s t u v w x y z " * 3, *[prose(i, 80) for i in range(60)], "*** " * 40 + prose(9, 60)]
+    got = {r.doc_id: r for r in quality(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        b = brute_base(t)
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == b
+        assert r.base_failed == (b[0] < 10 or 100 * b[4] > 20 * b[0])
+    assert all(got[i].kept for i in range(14, 74)) and not got[74].kept and not got[0].kept
+    nulls = docs(spark, [prose(1, 40)], lang=None).withColumn("source", F.lit(None).cast("string"))
+    assert quality(nulls).count() == 1 and quality(docs(spark, [])).count() == 0
