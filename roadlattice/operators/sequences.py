@@ -60,7 +60,7 @@ def sustained_grade(df: DataFrame, window_m: int = 100) -> DataFrame:
     The rise to a point is a running sum; a window that ends with a segment begins inside the segment
     that holds its start (found by a range join on running distance), whose part is taken in proportion. Ferries
     and missing grades end an island. Grades over 40 % or on segments under 20 m are not credible and count as
-    level. A shorter island counts as one window over its whole length.
+    level. Only whole windows count, so an island shorter than one has no steepest mean.
     """
     credible = F.when((F.abs(F.col("grade_pct")) <= 40) & (F.col("len_m") >= 20), F.col("grade_pct")).otherwise(0).cast("double")
     parts = islands(df.where("len_m > 0"), F.col("ferry"), "leg").where(~F.col("ferry")).withColumn("g", credible)
@@ -68,7 +68,7 @@ def sustained_grade(df: DataFrame, window_m: int = 100) -> DataFrame:
     run = running(parts, keys=keys)
     rise = F.col("g") * F.col("len_m")
     run = run.withColumn("rise_end", F.sum(rise).over(along(keys).rowsBetween(Window.unboundedPreceding, 0))).withColumn("rise_start", F.col("rise_end") - rise)
-    ends = run.select(*keys, "seq", "end_m", "rise_end", F.greatest(F.col("end_m") - window_m, F.lit(0)).alias("from_m"))
+    ends = run.where(F.col("end_m") >= window_m).select(*keys, "seq", "end_m", "rise_end", (F.col("end_m") - window_m).alias("from_m"))
     starts = run.select(*keys, F.col("start_m").alias("s0"), F.col("end_m").alias("s1"), F.col("rise_start").alias("r0"), F.col("g").alias("g0"))
     windows = ends.join(starts, keys).where((F.col("from_m") >= F.col("s0")) & (F.col("from_m") < F.col("s1")))
     mean = (F.col("rise_end") - (F.col("r0") + F.col("g0") * (F.col("from_m") - F.col("s0")))) / (F.col("end_m") - F.col("from_m"))

@@ -90,7 +90,7 @@ def category_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
 l AS (SELECT *, sum(CASE WHEN ferry <> p THEN 1 ELSE 0 END) OVER (PARTITION BY route_id ORDER BY seq) AS leg FROM (SELECT *, coalesce(lag(ferry) OVER (PARTITION BY route_id ORDER BY seq), ferry) AS p FROM b)),
 c AS (SELECT *, sum(len_m) OVER w AS e, sum(g * len_m) OVER w AS re FROM l WHERE NOT ferry WINDOW w AS (PARTITION BY route_id, leg ORDER BY seq)),
 v AS (SELECT a.route_id, max((a.re - (s.re - s.g * s.len_m + s.g * (greatest(a.e - 100, 0) - (s.e - s.len_m)))) / (a.e - greatest(a.e - 100, 0))) AS mx FROM c a JOIN c s ON a.route_id = s.route_id AND a.leg = s.leg
-  AND greatest(a.e - 100, 0) >= s.e - s.len_m AND greatest(a.e - 100, 0) < s.e GROUP BY 1),
+  AND greatest(a.e - 100, 0) >= s.e - s.len_m AND greatest(a.e - 100, 0) < s.e WHERE a.e >= 100 GROUP BY 1),
 u AS (SELECT route_id, sum(g * len_m) / sum(len_m) AS up FROM c WHERE g > 0.5 GROUP BY 1)
 SELECT r.route_id, floor(greatest(coalesce(mx, 0.0), 0.0) * 10 + 0.5) / 10 AS max_grade, floor(coalesce(up, 0.0) * 10 + 0.5) / 10 AS avg_up FROM (SELECT DISTINCT route_id FROM route_segments) r LEFT JOIN v USING (route_id) LEFT JOIN u USING (route_id)""")
 def sustained_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
