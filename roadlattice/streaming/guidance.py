@@ -108,7 +108,7 @@ def speeds(fixes: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("ride_id").orderBy("ts", "event_id")
-    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    elapsed = seconds - F.lag(seconds).over(w)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    elapsed = (micros - F.lag(micros).over(w)) / 1_000_000
     moved = F.col("route_m") - F.lag("route_m").over(w)
     return fixes.withColumn("elapsed", elapsed).withColumn("speed", F.when((F.col("elapsed") > 0) & (F.col("elapsed") < 30), moved / F.col("elapsed")))
