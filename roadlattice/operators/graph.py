@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,25 +87,26 @@ def terminals(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.bool_or("ferry").alias("boat"), F.bool_or(~F.col("ferry")).alias("land")).where("boat and land").select("node")
 
 
-def distances(arcs: DataFrame, sources: DataFrame, *, cap: float | None = None, hops: int = 4) -> DataFrame:
+def distances(arcs: DataFrame, sources: DataFrame, *, cap: float | None = None, hops: int = 12) -> DataFrame:
     """arcs(src, dst, cost >= 0), sources(node, request) -> (request, node, dist, pred): least costs by label-correcting rounds.
 
-    A round follows the frontier (nodes whose cost fell) over ``hops`` arcs, keeping the least offer for a node after each,
-    and then joins all offers to the costs so far. With ``cap`` costs above it are not followed.
+    A round follows the frontier (nodes whose cost fell) over at most ``hops`` arcs (a free arc from each node to
+    itself lets shorter ones wait), keeping the least offer for a node after each, and joins the offers to the costs so far. With ``cap`` costs above it are not followed.
     Lineage is cut with a reliable checkpoint, so a lost executor costs no more than the current round.
     """
     best = cut_lineage(sources.select("request", "node", F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("pred")))
     frontier = best
-    arcs = cut_lineage(arcs.groupBy("src", "dst").agg(F.min("cost").alias("cost")))
+    least = arcs.where("src <> dst").groupBy("src", "dst").agg(F.min("cost").alias("cost"))
+    stay = arcs.select("src").union(arcs.select("dst")).distinct().select("src", F.col("src").alias("dst"), F.lit(0.0).alias("cost"))
+    arcs = cut_lineage(least.union(stay))
     while True:
-        here, found = frontier, []
+        here = frontier
         for _ in range(hops):
-            step = here.select("request", "node", "dist").join(arcs, F.col("node") == F.col("src")).select("request", F.col("dst").alias("node"), (F.col("dist") + F.col("cost")).alias("dist"), F.col("src").alias("pred"))
+            step = here.join(arcs, F.col("node") == F.col("src")).select("request", F.col("dst").alias("node"), (F.col("dist") + F.col("cost")).alias("dist"), F.when(F.col("src") == F.col("dst"), F.col("pred")).otherwise(F.col("src")).alias("pred"))
             if cap is not None:
                 step = step.where(F.col("dist") <= cap)
             here = step.groupBy("request", "node").agg(F.min(F.struct("dist", "pred")).alias("o")).select("request", "node", "o.dist", "o.pred")
-            found.append(here)
-        offers = reduce(DataFrame.union, found).groupBy("request", "node").agg(F.min(F.struct("dist", "pred")).alias("o")).select("request", "node", F.col("o.dist").alias("new"), F.col("o.pred").alias("new_pred"))
+        offers = here.select("request", "node", F.col("dist").alias("new"), F.col("pred").alias("new_pred"))
         both = best.join(offers, ["request", "node"], "full")
         better = F.col("new").isNotNull() & (F.col("dist").isNull() | (F.col("new") < F.col("dist")))
         merged = cut_lineage(both.select("request", "node", F.when(better, F.col("new")).otherwise(F.col("dist")).alias("dist"), F.when(better, F.col("new_pred")).otherwise(F.col("pred")).alias("pred"), better.alias("moved")))
