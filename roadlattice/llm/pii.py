@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-_OPEN, _CLOSE = "", ""
+#: Marks about a match; a text that has these characters gets another one of the private area instead.
+_OPEN, _CLOSE, _OTHER = "\ue000", "\ue001", "\ue002"
 
 #: Java forms of the base patterns. Possessive where what follows can't be part of the run, and no
 #: start inside a run that a start at its head has already tried, so that long runs stay linear.
@@ -29,7 +30,7 @@ def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, value, left>>: the matches of a pattern with their first code point, text
     and up to 60 characters between the previous match and them. The matches are put in marks and the text is
     split there; lengths add up to positions."""
-    marked = F.regexp_replace(F.translate(text, _OPEN + _CLOSE, ""), pattern, f"{_OPEN}$0{_CLOSE}")
+    marked = F.regexp_replace(F.when(text.rlike(f"[{_OPEN}{_CLOSE}]"), F.translate(text, _OPEN + _CLOSE, _OTHER * 2)).otherwise(text), pattern, f"{_OPEN}$0{_CLOSE}")
     parts = F.split(marked, _OPEN)
     none = F.array().cast("array<struct<start:int,value:string,left:string>>")
     head = F.get(parts, F.lit(0))
