@@ -28,7 +28,7 @@ def _key() -> Column:
 
 def _parsed(docs: DataFrame, depth: int, least_tokens: int) -> DataFrame:
     """Each line of least_tokens tokens or more: key, line, node (path in the tree), leaf (whole template)
-    and other (the least leaf among the document's other lines, which tells documents apart)."""
+    and body (a digest of all templates of the document, short lines too, which tells documents apart)."""
     text = F.col("text").cast("string")
     lines = docs.select("doc_id", text.alias("text")).where("text is not null").select(_key().alias("key"), F.split("text", "\n").alias("lines"))
     leaves = lines.select(
@@ -38,17 +38,16 @@ def _parsed(docs: DataFrame, depth: int, least_tokens: int) -> DataFrame:
                 F.transform("lines", tokens),
                 lambda t, i: F.struct(i.alias("line"), F.size(t).alias("n"), F.xxhash64(F.size(t), F.slice(t, 1, depth)).alias("node"), leaf_id(t).alias("leaf")),
             ),
-            lambda s: s["n"] >= least_tokens,
+            lambda s: s["n"] > 0,
         ).alias("parsed"),
     )
-    first = leaves.withColumn("m1", F.array_min("parsed.leaf")).withColumn("m2", F.array_min(F.array_remove("parsed.leaf", F.col("m1"))))
-    rows = first.select("key", "m1", "m2", F.explode("parsed").alias("p"))
-    return rows.select("key", "p.line", "p.node", "p.leaf", F.coalesce(F.when(F.col("p.leaf") == F.col("m1"), F.col("m2")).otherwise(F.col("m1")), F.lit(0)).alias("other"))
+    rows = leaves.select("key", F.xxhash64(F.sort_array("parsed.leaf")).alias("body"), F.explode("parsed").alias("p"))
+    return rows.where(F.col("p.n") >= least_tokens).select("key", "p.line", "p.node", "p.leaf", "body")
 
 
 def _support(rows: DataFrame, by: str) -> DataFrame:
-    """Distinct surroundings of each value; two aggregations that combine before they shuffle."""
-    return rows.groupBy(by, "other").agg(F.lit(1).alias("one")).groupBy(by).agg(F.count("*").alias("support"))
+    """Different documents of each value; two aggregations that combine before they shuffle."""
+    return rows.groupBy(by, "body").agg(F.lit(1).alias("one")).groupBy(by).agg(F.count("*").alias("support"))
 
 
 def recurring_lines(docs: DataFrame, *, depth: int = 3, least_tokens: int = 3, least_support: int = 5, constant: float = 0.6) -> DataFrame:
@@ -59,9 +58,9 @@ def recurring_lines(docs: DataFrame, *, depth: int = 3, least_tokens: int = 3, l
     node that ``least_support`` different documents share, a token that fewer than
     ``least_support`` of its lines have at that place becomes a wildcard too, if ``constant`` of
     the line's tokens stay; lines with less in common keep their own template. A template
-    recurs if lines in ``least_support`` different documents have it. Documents differ by the least
-    template of their other lines, so whole copies of one document count once and are left
-    to near-duplicate detection.
+    recurs if lines in ``least_support`` different documents have it. Documents differ by all
+    their lines' templates together, in any order: only whole copies of one document (but for variable
+    fields) count once and are left to near-duplicate detection.
     """
     rows = materialize(_parsed(docs, depth, least_tokens), "lines")
     nodes = _support(rows, "node").where(F.col("support") >= least_support).select("node")
@@ -84,7 +83,7 @@ def recurring_lines(docs: DataFrame, *, depth: int = 3, least_tokens: int = 3, l
         .agg(F.count("*").alias("n"), F.count("common").alias("n_common"), F.sum(F.when(F.col("common") == 1, F.col("word").cast("decimal(30,0)"))).alias("shape"))
         .select("key", "line", F.when(F.col("n_common") >= F.col("n") * constant, F.xxhash64("node", "shape")).alias("template"))
     )
-    templated = shared.select("key", "line", "leaf", "other").distinct().join(shaped, ["key", "line"]).select("key", "line", "other", F.coalesce("template", "leaf").alias("template"))
+    templated = shared.select("key", "line", "leaf", "body").distinct().join(shaped, ["key", "line"]).select("key", "line", "body", F.coalesce("template", "leaf").alias("template"))
     templated = materialize(templated, "templates")
     often = _support(templated, "template").where(F.col("support") >= least_support).select("template")
     return templated.join(often, "template", "left_semi").groupBy("key").agg(F.collect_set("line").alias("drop"))

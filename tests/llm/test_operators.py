@@ -326,6 +326,14 @@ def test_recurring_lines(spark):
     assert drop_recurring_lines(docs(spark, [])).count() == 0
 
 
+def test_recurring_lines_beside_each_other(spark):
+    shared = [prose(600 + i, 20) for i in range(5)]
+    texts = ["\n".join([prose(700 + i, 40), *shared]) for i in range(8)] + ["\n".join([prose(800, 30), *(prose(801 + k, 30) for k in range(3))])] * 8
+    got = {r.doc_id: r for r in drop_recurring_lines(docs(spark, texts)).collect()}
+    assert [(got[i].text, got[i].n_dropped) for i in range(8)] == [(prose(700 + i, 40), 5) for i in range(8)]
+    assert all((got[i].text, got[i].n_dropped) == (texts[i], 0) for i in range(8, 16))
+
+
 def brute_base(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
