@@ -10,6 +10,8 @@ from .common import materialize
 #: A token with one of these is a variable field.
 VARIABLE = "[0-9@=/\\\\_#]"
 WILD = "<*>"
+#: A token of a node is constant at one of these shares of its documents; a line has a template for each.
+SHARES = (0.5, 0.1, 0.0)
 
 
 def tokens(line: Column) -> Column:
@@ -27,22 +29,29 @@ def _key() -> Column:
 
 
 def _parsed(docs: DataFrame, depth: int, least_tokens: int) -> DataFrame:
-    """Each line of least_tokens tokens or more: key, line, node (path in the tree), leaf (whole template)
-    and body (a digest of all templates of the document, short lines too, which tells documents apart)."""
+    """Each line of least_tokens tokens or more: key, line, node (path in the tree), leaf (whole template),
+    its tokens (n) and those that are no wildcards (fixed), raw (the line itself) and body (a digest of all templates of the document, short lines too, which tells documents apart)."""
     text = F.col("text").cast("string")
     lines = docs.select("doc_id", text.alias("text")).where("text is not null").select(_key().alias("key"), F.split("text", "\n").alias("lines"))
     leaves = lines.select(
         "key",
         F.filter(
             F.transform(
-                F.transform("lines", tokens),
-                lambda t, i: F.struct(i.alias("line"), F.size(t).alias("n"), F.xxhash64(F.size(t), F.slice(t, 1, depth)).alias("node"), leaf_id(t).alias("leaf")),
+                F.transform("lines", lambda x: F.struct(tokens(x).alias("t"), F.xxhash64(F.btrim(x, F.lit(" \t\r\f\x0b"))).alias("raw"))),
+                lambda s, i: F.struct(
+                    i.alias("line"),
+                    F.size(s["t"]).alias("n"),
+                    F.size(F.array_remove(s["t"], WILD)).alias("fixed"),
+                    F.xxhash64(F.size(s["t"]), F.slice(s["t"], 1, depth)).alias("node"),
+                    leaf_id(s["t"]).alias("leaf"),
+                    s["raw"].alias("raw"),
+                ),
             ),
             lambda s: s["n"] > 0,
         ).alias("parsed"),
     )
     rows = leaves.select("key", F.xxhash64(F.sort_array("parsed.leaf")).alias("body"), F.explode("parsed").alias("p"))
-    return rows.where(F.col("p.n") >= least_tokens).select("key", "p.line", "p.node", "p.leaf", "body")
+    return rows.where(F.col("p.n") >= least_tokens).select("key", "p.line", "p.node", "p.n", "p.fixed", "p.leaf", "p.raw", "body")
 
 
 def _support(rows: DataFrame, by: str) -> DataFrame:
@@ -55,35 +64,41 @@ def recurring_lines(docs: DataFrame, *, depth: int = 3, least_tokens: int = 3, l
 
     The tree has three levels: token count, the first ``depth`` tokens, the template. Variable
     fields (tokens with a digit or a sign such as @ = / _ #) are wildcards from the start. In a
-    node that ``least_support`` different documents share, a token that fewer than
-    ``least_support`` of its lines have at that place becomes a wildcard too, if ``constant`` of
-    the line's tokens stay; lines with less in common keep their own template. A template
-    recurs if lines in ``least_support`` different documents have it. Documents differ by all
+    node that ``least_support`` different documents share, a token becomes a wildcard too if fewer
+    than ``least_support`` of the node's documents, or fewer than a share of them, have it at that
+    place. A line has one template for each share in SHARES that leaves ``constant`` of its tokens:
+    high shares generalise fields however many lines there are, low ones keep apart the templates of a
+    mixed node. Lines with less in common keep their own template if ``constant`` of its tokens
+    are no wildcards, and otherwise recur only as they are. A line is dropped if one of its templates
+    recurs, that is, lines in ``least_support`` different documents have it. Documents differ by all
     their lines' templates together, in any order: only whole copies of one document (but for variable
     fields) count once and are left to near-duplicate detection.
     """
-    rows = materialize(_parsed(docs, depth, least_tokens), "lines")
-    nodes = _support(rows, "node").where(F.col("support") >= least_support).select("node")
+    rows = materialize(_parsed(docs, depth, least_tokens).withColumn("own", F.when(F.col("fixed") >= F.col("n") * constant, F.col("leaf")).otherwise(F.col("raw"))).drop("n", "fixed", "leaf", "raw"), "lines")
+    nodes = materialize(_support(rows, "node").where(F.col("support") >= least_support), "nodes")
     shared = materialize(rows.join(nodes, "node", "left_semi"), "shared_lines")
-    marked = shared.groupBy("key").agg(F.collect_set("line").alias("marked"))
+    marked = shared.groupBy("key").agg(F.collect_set("line").alias("marked"), F.max("body").alias("body"))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").select(_key().alias("key"), F.col("text"))
     words = (
         texts.join(marked, "key")
-        .select("key", F.split("text", "\n").alias("lines"), F.explode("marked").alias("line"))
-        .select("key", "line", tokens(F.get("lines", F.col("line"))).alias("t"))
-        .select("key", "line", F.xxhash64(F.size("t"), F.slice("t", 1, depth)).alias("node"), F.posexplode("t").alias("pos", "token"))
-        .select("key", "line", "node", F.xxhash64("pos", "token").alias("word"), (F.col("token") == WILD).alias("wild"))
+        .select("key", "body", F.split("text", "\n").alias("lines"), F.explode("marked").alias("line"))
+        .select("key", "body", "line", tokens(F.get("lines", F.col("line"))).alias("t"))
+        .select("key", "body", "line", F.xxhash64(F.size("t"), F.slice("t", 1, depth)).alias("node"), F.posexplode("t").alias("pos", "token"))
+        .select("key", "body", "line", "node", F.xxhash64("pos", "token").alias("word"), (F.col("token") == WILD).alias("wild"))
         .distinct()
     )
     words = materialize(words, "line_words")
-    common = words.where("not wild").groupBy("node", "word").agg(F.count("*").alias("c")).where(F.col("c") >= least_support).select("node", "word", F.lit(1).alias("common"))
+    having = words.where("not wild").groupBy("node", "word", "body").agg(F.lit(1).alias("one")).groupBy("node", "word").agg(F.count("*").alias("c")).where(F.col("c") >= least_support)
+    common = having.join(nodes, "node").select("node", "word", sum(F.when(F.col("c") >= F.col("support") * share, 1).otherwise(0) for share in SHARES).alias("level"))
+    levels = range(1, len(SHARES) + 1)
     shaped = (
         words.join(common, ["node", "word"], "left")
         .groupBy("key", "line", "node")
-        .agg(F.count("*").alias("n"), F.count("common").alias("n_common"), F.sum(F.when(F.col("common") == 1, F.col("word").cast("decimal(30,0)"))).alias("shape"))
-        .select("key", "line", F.when(F.col("n_common") >= F.col("n") * constant, F.xxhash64("node", "shape")).alias("template"))
+        .agg(F.count("*").alias("n"), *[F.count(F.when(F.col("level") >= k, 1)).alias(f"n{k}") for k in levels], *[F.bit_xor(F.when(F.col("level") >= k, F.col("word"))).alias(f"shape{k}") for k in levels])
+        .select("key", "line", F.array_distinct(F.array_compact(F.array(*[F.when(F.col(f"n{k}") >= F.col("n") * constant, F.xxhash64("node", f"shape{k}")) for k in levels]))).alias("templates"))
     )
-    templated = shared.select("key", "line", "leaf", "body").distinct().join(shaped, ["key", "line"]).select("key", "line", "body", F.coalesce("template", "leaf").alias("template"))
+    templated = shared.select("key", "line", "own", "body").distinct().join(shaped, ["key", "line"])
+    templated = templated.select("key", "line", "body", F.explode(F.when(F.size("templates") > 0, F.col("templates")).otherwise(F.array("own"))).alias("template"))
     templated = materialize(templated, "templates")
     often = _support(templated, "template").where(F.col("support") >= least_support).select("template")
     return templated.join(often, "template", "left_semi").groupBy("key").agg(F.collect_set("line").alias("drop"))

@@ -334,6 +334,19 @@ def test_recurring_lines_beside_each_other(spark):
     assert all((got[i].text, got[i].n_dropped) == (texts[i], 0) for i in range(8, 16))
 
 
+@pytest.mark.parametrize("n", [60, 600])
+def test_recurring_lines_with_fields_of_words(spark, n):
+    r = random.Random(7)
+    name = lambda k: "v" + "".join("abcdefghij"[int(c)] for c in str(k))
+    texts = [f"{prose(900 + i, 12)}\nThe parcel for our customer {name(r.randrange(40))} was sent from {name(r.randrange(30))} this morning" for i in range(n)]
+    assert {r.n_dropped for r in drop_recurring_lines(docs(spark, texts)).collect()} == {1}
+
+
+def test_recurring_lines_of_wildcards(spark):
+    texts = [f"{prose(2000 + i, 12)}\n{i} {i * 7} {i * 3}\nx = {i}\nx = 1 + 1" for i in range(8)]
+    assert [r.text for r in drop_recurring_lines(docs(spark, texts)).orderBy("doc_id").collect()] == [x.rpartition("\n")[0] for x in texts]
+
+
 def brute_base(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
