@@ -137,6 +137,20 @@ def test_contamination(spark, block_chars):
     assert kept == {i for i, w in enumerate(want) if not w[4]}
 
 
+@pytest.mark.parametrize("block_chars", [10**6, 60])
+def test_contamination_by_row(spark, block_chars):
+    items = [(i, prose(20 + i, 15)) for i in range(4)]
+    bad, clean = [t for _, t in items], [prose(30 + i, 20) for i in range(3)]
+    rows = [(None, bad[0]), (None, clean[0]), (7, bad[1]), (7, clean[1]), (7, bad[2] + " and " + bad[3]), (8, clean[2])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    key = lambda r: (r[0] or -1, *r[1:])
+    got = sorted(((r.doc_id, *(r[c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated"))) for r in contamination(d, bench, block_chars=block_chars).collect()), key=key)
+    assert got == sorted(((i, *brute_contamination(t, items)) for i, t in rows), key=key)
+    kept = sorted(((r.doc_id, r.text) for r in decontaminate(d, bench, block_chars=block_chars).collect()), key=key)
+    assert kept == sorted(((i, t) for i, t in rows if t in clean), key=key)
+
+
 # packing
 
 
