@@ -8,13 +8,16 @@ from html import unescape
 
 import pyarrow as pa
 
+_BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: An option holds text up to the next option, the end of its list or a block. head has no text of its own:
+#: what it hides is raw, and any other text opens the body.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<raw>script|style|title|textarea|noscript|template|iframe|svg|math|object|select|option|noframes|canvas|audio|video|head)\b(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+>(?:(?<=/>)|.*?(?:</(?P=raw)\s*>|\Z))"
+    r"|<(?P<raw>script|style|title|textarea|noscript|template|iframe|svg|math|object|select|noframes|canvas|audio|video)\b(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+>(?:(?<=/>)|.*?(?:</(?P=raw)\s*>|\Z))"
+    r"|<option\b(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+>(?>[^<]+|<(?!/?(?:option|optgroup|datalist|select|" + "|".join(sorted(_BLOCK)) + r")\b))*+"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attr>(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<[a-zA-Z][^>]*>",
     re.S | re.I,
 )
-_BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _CLOSES = {"li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th"}
 _SCOPE = frozenset("ul ol menu dl table".split())
 _AWAY = frozenset("nav footer aside form button menu dialog fieldset".split())
@@ -84,9 +87,13 @@ def blocks(html: str) -> list[tuple[str, float, int]]:
                 continue
             _, _, good, bad = stack[-1]
             hints = " ".join(h.strip("\"'") for h in _HINT.findall(m["attr"])) if m["attr"] else ""
-            if tag in ("article", "main") or hints and _GOOD.search(hints) and tag not in ("body", "html"):
+            plain = tag not in ("body", "html", "article", "main")
+            hint_bad = bool(hints) and plain and bool(_BAD.search(hints))
+            # a good name beside the bad one, as in "post tag-news", leaves the block to its text and the cut
+            torn = hint_bad and any(_GOOD.search(h) and not _BAD.search(h) for h in hints.split())
+            if tag in ("article", "main") or hints and not torn and _GOOD.search(hints) and tag not in ("body", "html"):
                 good += 1
-            if tag in _AWAY or tag == "header" and not good or hints and tag not in ("body", "html", "article", "main") and _BAD.search(hints):
+            if tag in _AWAY or tag == "header" and not good or hint_bad and not torn:
                 bad += 1
             elements += 1
             stack.append((tag, elements, good, bad))

@@ -245,6 +245,23 @@ def test_main_text(spark):
     assert [(r.text, r.n_chars) for r in got] == [(want, len(want)), ("", 0), ("", 0)]
 
 
+def test_main_text_of_open_head_and_options():
+    say = "This is the first paragraph of the page, and it is long enough to be read as text."
+    body = f"<p>{say}</p><p>{say}</p>"
+    want = f"{say}\n\n{say}"
+    assert html_kernel.main_text(f"<html><head><title>t</title><meta charset=utf-8><body>{body}</body></html>") == want
+    assert html_kernel.main_text(f"<head><script>x</script>{body}") == want
+    assert html_kernel.main_text(f"<body><datalist id=d><option>One<option value='2'>Two <b>x</b></datalist>{body}") == want
+    assert html_kernel.main_text(f"<body><datalist><option>One{body}") == want
+
+
+def test_main_text_of_good_and_bad_names():
+    say = "This is the first paragraph of the page, and it is long enough to be read as text."
+    for names in ("content with-sidebar", "post tag-news"):
+        assert html_kernel.main_text(f"<body><div class='{names}'><p>{say}</p><p>{say}</p></div></body>") == f"{say}\n\n{say}"
+    assert html_kernel.main_text(f"<body><div class='entry-meta'>{say}</div></body>") == ""
+
+
 def test_minimum_cut_is_minimal():
     r = random.Random(6)
     for _ in range(60):
