@@ -12,6 +12,9 @@ VARIABLE = "[0-9@=/\\\\_#]"
 WILD = "<*>"
 #: A token of a node is constant at one of these shares of its documents; a line has a template for each.
 SHARES = (0.5, 0.1, 0.0)
+SALTS = 16
+#: Columns of the join, of names that no table of documents has.
+KEY, DROP = "__line_dedup_key", "__line_dedup_drop"
 
 
 def tokens(line: Column) -> Column:
@@ -60,7 +63,7 @@ def _support(rows: DataFrame, by: str) -> DataFrame:
 
 
 def recurring_lines(docs: DataFrame, *, depth: int = 3, least_tokens: int = 3, least_support: int = 5, constant: float = 0.6) -> DataFrame:
-    """(key, drop): for each document (by key) the numbers of its lines whose template recurs.
+    """(key, drop): for each document (by key) the numbers of its lines whose template recurs, in order.
 
     The tree has three levels: token count, the first ``depth`` tokens, the template. Variable
     fields (tokens with a digit or a sign such as @ = / _ #) are wildcards from the start. In a
@@ -76,13 +79,17 @@ def recurring_lines(docs: DataFrame, *, depth: int = 3, least_tokens: int = 3, l
     """
     rows = materialize(_parsed(docs, depth, least_tokens).withColumn("own", F.when(F.col("fixed") >= F.col("n") * constant, F.col("leaf")).otherwise(F.col("raw"))).drop("n", "fixed", "leaf", "raw"), "lines")
     nodes = materialize(_support(rows, "node").where(F.col("support") >= least_support), "nodes")
-    shared = materialize(rows.join(nodes, "node", "left_semi"), "shared_lines")
+    # a frequent node's lines meet it in SALTS parts, so no task gets them all
+    salted = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    shared = rows.withColumn("salt", F.pmod(F.col("key"), F.lit(SALTS)).cast("int")).join(salted, ["node", "salt"], "left_semi").drop("salt")
+    shared = materialize(shared, "shared_lines")
     marked = shared.groupBy("key").agg(F.collect_set("line").alias("marked"), F.max("body").alias("body"))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").select(_key().alias("key"), F.col("text"))
     words = (
         texts.join(marked, "key")
-        .select("key", "body", F.split("text", "\n").alias("lines"), F.explode("marked").alias("line"))
-        .select("key", "body", "line", tokens(F.get("lines", F.col("line"))).alias("t"))
+        .select("key", "body", F.split("text", "\n").alias("lines"), "marked")
+        .select("key", "body", F.explode(F.transform("marked", lambda i: F.struct(i.alias("line"), F.get("lines", i).alias("text")))).alias("m"))
+        .select("key", "body", "m.line", tokens(F.col("m.text")).alias("t"))
         .select("key", "body", "line", F.xxhash64(F.size("t"), F.slice("t", 1, depth)).alias("node"), F.posexplode("t").alias("pos", "token"))
         .select("key", "body", "line", "node", F.xxhash64("pos", "token").alias("word"), (F.col("token") == WILD).alias("wild"))
         .distinct()
@@ -101,31 +108,44 @@ def recurring_lines(docs: DataFrame, *, depth: int = 3, least_tokens: int = 3, l
     templated = templated.select("key", "line", "body", F.explode(F.when(F.size("templates") > 0, F.col("templates")).otherwise(F.array("own"))).alias("template"))
     templated = materialize(templated, "templates")
     often = _support(templated, "template").where(F.col("support") >= least_support).select("template")
-    return templated.join(often, "template", "left_semi").groupBy("key").agg(F.collect_set("line").alias("drop"))
+    return templated.join(often, "template", "left_semi").groupBy("key").agg(F.sort_array(F.collect_set("line")).alias("drop"))
+
+
+def _without(lines: Column, drop: Column) -> Column:
+    """The lines but those of the ascending numbers in drop: what lies between two of them is one slice, so a long text costs no
+    more than its lines."""
+    first = lambda k: F.when(k == 0, 1).otherwise(F.get(drop, k - 1) + 2)
+    last = lambda k: F.when(k == F.size(drop), F.size(lines)).otherwise(F.get(drop, k))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(drop)), lambda k: F.slice(lines, first(k), last(k) - first(k) + 1)))
 
 
 def drop_recurring_lines(docs: DataFrame, **rules) -> DataFrame:
     """documents with text, n_lines and n_dropped: all lines of recurring templates dropped.
 
     Null texts stay null with no lines; an empty text is one line. Lines of fewer tokens than
-    ``least_tokens`` always stay. Repeated rows get equal results and count once. Other columns pass
-    through (n_lines and n_dropped replace columns of these names).
+    ``least_tokens`` always stay. Repeated rows get equal results and count once. A template in exactly
+    ``least_support`` documents recurs (ties). Texts of any length are parsed whole. An empty table gives no rows.
+    Other columns pass through, whatever their names (n_lines and n_dropped replace columns of these names).
     """
-    gone = recurring_lines(docs, **rules)
+    gone = recurring_lines(docs, **rules).select(F.col("key").alias(KEY), F.col("drop").alias(DROP))
     text = F.col("text").cast("string")
     lines = F.split(text, "\n")
-    joined = docs.withColumn("text", text).withColumn("__key", _key()).join(gone.withColumnRenamed("key", "__key").withColumnRenamed("drop", "__drop"), "__key", "left")
-    kept = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__drop"), i)), "\n"))
+    joined = docs.withColumn("text", text).withColumn(KEY, _key()).join(gone, KEY, "left")
+    kept = F.when(F.col(DROP).isNull(), F.col("text")).otherwise(F.array_join(_without(lines, F.col(DROP)), "\n"))
     return joined.select(
-        *[c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")],
+        *[F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_dropped")],
         kept.alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size(DROP), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """documents (same columns) without recurring lines; those that consisted of nothing else go."""
+    """documents (same columns) without recurring lines; those that consisted of nothing else go.
+
+    Null and empty texts stay as they are. n_chars, where it is a column, is counted anew for changed texts. Nulls, ties,
+    repeated rows, long texts, empty tables and other columns as in drop_recurring_lines.
+    """
     out = drop_recurring_lines(docs.drop("n_lines", "n_dropped")).where("n_dropped = 0 or text <> ''")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")))
