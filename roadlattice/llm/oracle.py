@@ -9,29 +9,34 @@ WITH lines AS (
   SELECT doc_id, unnest(range(len(l))) AS line, unnest(l) AS txt
   FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
 ), tok AS (
-  SELECT doc_id, line, list_transform(list_filter(string_split_regex(txt, '[ \t\r\f\x0B]'), lambda t: t <> ''),
+  SELECT doc_id, line, txt, list_transform(list_filter(string_split_regex(txt, '[ \t\r\f\x0B]'), lambda t: t <> ''),
     lambda t: CASE WHEN regexp_matches(t, '[0-9@=/\\_#]') THEN '<*>' ELSE t END) AS t FROM lines
 ), rws AS (
-  SELECT doc_id, line, t, concat_ws(' ', len(t), array_to_string(t[1:3], ' ')) AS node,
-    CAST('0x' || substr(md5(array_to_string(t, ' ')), 1, 15) AS BIGINT) AS leaf FROM tok WHERE len(t) >= 3
-), firsts AS (
-  SELECT doc_id, list_sort(list(DISTINCT leaf)) AS ls FROM rws GROUP BY doc_id
+  SELECT doc_id, line, txt, t, concat_ws(' ', len(t), array_to_string(t[1:3], ' ')) AS node FROM tok WHERE len(t) >= 3
+), bodies AS (
+  SELECT doc_id, string_agg(array_to_string(t, ' '), chr(10) ORDER BY array_to_string(t, ' ')) AS body FROM tok WHERE len(t) > 0 GROUP BY 1
 ), parsed AS (
-  SELECT r.*, coalesce(CASE WHEN leaf = ls[1] THEN ls[2] ELSE ls[1] END, 0) AS other FROM rws r JOIN firsts USING (doc_id)
+  SELECT doc_id, line, txt, t, node, body, dense_rank() OVER (ORDER BY body) AS b FROM rws JOIN bodies USING (doc_id)
+), nodes AS (
+  SELECT node, count(DISTINCT b) AS support FROM parsed GROUP BY 1 HAVING count(DISTINCT b) >= 5
 ), shared AS (
-  SELECT * FROM parsed WHERE node IN (SELECT node FROM parsed GROUP BY node HAVING count(DISTINCT other) >= 5)
+  SELECT p.*, support FROM parsed p JOIN nodes USING (node)
 ), words AS (
-  SELECT doc_id, line, node, unnest(range(len(t))) AS pos, unnest(t) AS token FROM shared
+  SELECT doc_id, line, node, b, support, unnest(range(len(t))) AS pos, unnest(t) AS token FROM shared
 ), common AS (
-  SELECT node, pos, token FROM words WHERE token <> '<*>' GROUP BY ALL HAVING count(*) >= 5
-), shaped AS (
-  SELECT w.doc_id, w.line, w.node, count(*) AS n, count(c.token) AS k, string_agg(CAST(c.pos AS VARCHAR) || ':' || c.token, ' ' ORDER BY c.pos) AS shape
-  FROM words w LEFT JOIN common c ON w.node = c.node AND w.pos = c.pos AND w.token = c.token GROUP BY 1, 2, 3
+  SELECT node, pos, token, count(DISTINCT b) AS c FROM words WHERE token <> '<*>' GROUP BY ALL HAVING count(DISTINCT b) >= 5
+), levels AS (
+  SELECT share, w.doc_id, w.line, w.node, count(*) AS n, count(c.token) AS k, string_agg(CAST(c.pos AS VARCHAR) || ':' || c.token, ' ' ORDER BY c.pos) AS shape
+  FROM words w CROSS JOIN (VALUES (0.5), (0.1), (0.0)) AS s(share) LEFT JOIN common c ON w.node = c.node AND w.pos = c.pos AND w.token = c.token AND c.c >= w.support * share GROUP BY 1, 2, 3, 4
+), general AS (
+  SELECT DISTINCT doc_id, line, 'shape ' || node || '|' || shape AS template FROM levels WHERE k >= n * 0.6
+), own AS (
+  SELECT doc_id, line, CASE WHEN len(list_filter(t, lambda x: x <> '<*>')) >= len(t) * 0.6 THEN 'leaf ' || array_to_string(t, ' ') ELSE 'line ' || trim(txt, concat(' ', chr(9), chr(13), chr(12), chr(11))) END AS template
+  FROM shared ANTI JOIN general USING (doc_id, line)
 ), templated AS (
-  SELECT s.doc_id, s.line, s.other, CASE WHEN k >= n * 0.6 THEN h.node || '|' || h.shape ELSE 'leaf' || s.leaf END AS template
-  FROM shared s JOIN shaped h ON s.doc_id = h.doc_id AND s.line = h.line
+  SELECT doc_id, line, b, template FROM (SELECT * FROM general UNION ALL SELECT * FROM own) JOIN shared USING (doc_id, line)
 ), gone AS (
-  SELECT DISTINCT doc_id, line FROM templated WHERE template IN (SELECT template FROM templated GROUP BY template HAVING count(DISTINCT other) >= 5)
+  SELECT DISTINCT doc_id, line FROM templated WHERE template IN (SELECT template FROM templated GROUP BY template HAVING count(DISTINCT b) >= 5)
 )
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
   CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(g.n, 0) AS BIGINT) AS n_dropped
@@ -99,14 +104,15 @@ WITH t AS (
 ), ranked AS (
   SELECT lvl, g_lang, g_source, metric, b, row_number() OVER (PARTITION BY lvl, g_lang, g_source, metric ORDER BY b) AS k, count(*) OVER (PARTITION BY lvl, g_lang, g_source, metric) AS n FROM levels
 ), q AS (
-  SELECT lvl, g_lang, g_source, metric, n, min(CASE WHEN k * 4 >= n THEN b END) AS b1, min(CASE WHEN k * 4 >= 3 * n THEN b END) AS b3 FROM ranked GROUP BY ALL
+  SELECT lvl, g_lang, g_source, metric, n, min(CASE WHEN k * 1000 >= n * x THEN b END) AS bx, min(CASE WHEN k * 1000 >= n * y THEN b END) AS by_, any_value(reach) AS reach FROM ranked
+  JOIN (VALUES ('word_length', 250, 750, 5), ('symbols', 500, 800, 2), ('dup_lines', 500, 990, 1), ('repeats', 500, 990, 1)) AS f(metric, x, y, reach) USING (metric) GROUP BY lvl, g_lang, g_source, metric, n
 ), edges AS (
-  SELECT lvl, g_lang, g_source, metric, n, CASE WHEN b1 < 64 THEN b1 ELSE CAST((b1 - (b1 // 32 - 1) * 32) * pow(2, b1 // 32 - 1) AS BIGINT) END AS q1,
-    CASE WHEN b3 < 64 THEN b3 ELSE CAST((b3 - (b3 // 32 - 1) * 32) * pow(2, b3 // 32 - 1) AS BIGINT) END AS q3 FROM q
+  SELECT lvl, g_lang, g_source, metric, n, reach, CASE WHEN bx < 64 THEN bx ELSE CAST((bx - (bx // 32 - 1) * 32) * pow(2, bx // 32 - 1) AS BIGINT) END AS qx,
+    CASE WHEN by_ < 64 THEN by_ ELSE CAST((by_ - (by_ // 32 - 1) * 32) * pow(2, by_ // 32 - 1) AS BIGINT) END AS qy FROM q
 ), fences AS (
-  SELECT *, greatest((q3 - q1) * 6, CASE metric WHEN 'word_length' THEN 2000 WHEN 'dup_lines' THEN 400 ELSE 150 END) AS width FROM edges
+  SELECT *, qy + reach * (qy - qx) AS hi, qx - reach * (qy - qx) AS lo FROM edges
 ), bad AS (
-  SELECT m.r, list_sort(list(m.metric) FILTER (v > f.q3 + f.width OR (m.metric = 'word_length' AND v < f.q1 - f.width))) AS failed
+  SELECT m.r, list_sort(list(m.metric) FILTER (v > f.hi OR (m.metric = 'word_length' AND v < f.lo))) AS failed
   FROM metrics m
   LEFT JOIN fences s ON s.lvl = 1 AND s.g_lang = m.g_lang AND s.g_source = m.g_source AND s.metric = m.metric
   LEFT JOIN fences l ON l.lvl = 2 AND l.g_lang = m.g_lang AND l.metric = m.metric
