@@ -10,26 +10,34 @@ from . import langid_kernel
 from .common import held_out
 
 
-def fit(train: DataFrame, *, dims: int = 4096, clusters: int = 4, per_lang: int = 400) -> tuple:
-    """Document frequencies over all rows of train(doc_id, text, lang); centroids from at most ``per_lang``
-    documents of each language, those of least hash of the id."""
-    sc = train.sparkSession.sparkContext
+def sample(train: DataFrame, per_lang: int, most_langs: int) -> DataFrame:
+    """train(doc_id, text, lang) -> lang, text: at most ``per_lang`` rows of each of the ``most_langs`` languages with most
+    rows, those of least hash of id and text; rows that repeat count once. Only hashes are shuffled: about
+    twice per_lang of a language pass a threshold on the hash that its number of rows gives, and the texts of those
+    that are chosen stay where they are."""
+    key = F.xxhash64("doc_id", "text")
+    counts = train.groupBy("lang").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "lang").limit(most_langs)
+    below = counts.select("lang", (F.lit(2.0 * per_lang) / F.col("c") * float(1 << 40)).alias("below"))  # at most most_langs rows
+    near = train.select("lang", key.alias("key")).join(F.broadcast(below), "lang").where(F.pmod("key", F.lit(1 << 40)) < F.col("below")).select("lang", "key").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("key", F.lit(1 << 40)), "key"))
+    chosen = near.withColumn("k", place).where(F.col("k") <= per_lang).select("lang", "key")
+    # at most most_langs * per_lang rows of two short columns
+    return train.withColumn("key", key).join(F.broadcast(chosen), ["lang", "key"]).select("lang", "key", "text")
+
+
+def fit(train: DataFrame, *, dims: int = 4096, clusters: int = 4, per_lang: int = 400, most_langs: int = 256) -> tuple:
+    """Document frequencies over all rows of train(doc_id, text, lang); centroids from a bounded sample (see sample), clustered
+    in one task a language. The driver gets dims counts and most_langs * clusters centroids at most."""
     sums = {r.dim: r.df for r in train.select("text").mapInArrow(langid_kernel.document_frequencies(dims), "dim long, df long").groupBy("dim").agg(F.sum("df").alias("df")).collect()}
     n = sums.pop(-1, 0)
     idf = np.log((1 + n) / (1 + np.array([sums.get(i, 0) for i in range(dims)]))).astype(np.float32) + np.float32(0.05)
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    shares = train.groupBy("lang").agg(F.count("*").alias("c")).select("lang", F.greatest(F.lit(20.0), F.lit(2_000_000.0 * per_lang) / F.col("c")).alias("below"))
-    few = train.join(shares, "lang").where(place < F.col("below")).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))).where(F.col("k") <= per_lang)
-    rows = few.where(F.col("text").rlike("\\p{L}")).select("lang", "text").mapInArrow(langid_kernel.vectors(sc.broadcast(idf)), "lang string, v binary").collect()
-    by_lang: dict[str, list] = {}
-    for r in sorted(rows):
-        by_lang.setdefault(r.lang, []).append(np.frombuffer(bytes(r.v), np.float32))
-    langs, of, cents, reach = sorted(by_lang), [], [], []
-    for i, lang in enumerate(langs):
-        c, far = langid_kernel.centroids(np.stack(by_lang[lang]), clusters)
-        cents.append(c), reach.append(far)
-        of += [i] * len(c)
-    return idf, langs, np.array(of, int), np.concatenate(cents) if cents else np.zeros((0, dims), np.float32), np.concatenate(reach) if reach else np.zeros(0, np.float32)
+    few = sample(train.where(F.col("text").rlike("\\p{L}")), per_lang, most_langs)
+    vectors = few.mapInArrow(langid_kernel.vectors(train.sparkSession.sparkContext.broadcast(idf)), "lang string, key long, v binary")
+    found = vectors.dropDuplicates(["lang", "key"]).groupBy("lang").applyInPandas(langid_kernel.clusterer(clusters), "lang string, cluster long, c binary, reach double").collect()
+    langs = sorted({r.lang for r in found})
+    found.sort(key=lambda r: (r.lang, r.cluster))
+    cents = [np.frombuffer(bytes(r.c), np.float32) for r in found]
+    return idf, langs, np.array([langs.index(r.lang) for r in found], int), np.stack(cents) if cents else np.zeros((0, dims), np.float32), np.array([r.reach for r in found], np.float32)
 
 
 def languages(docs: DataFrame, **fit_args) -> DataFrame:
@@ -39,8 +47,10 @@ def languages(docs: DataFrame, **fit_args) -> DataFrame:
     by cosine, with all centroids. score is a logistic function of the lead over the next language.
     A text whose cosine is under half of what nearly all of the nearest centroid's own documents reach is
     ``rejected``; it still carries the nearest language. Null texts and texts without a letter are ``und``
-    with score 0, and so is everything if there is nothing to learn from. Repeated rows each get their
-    row. Other columns are ignored; a null doc_id is not held out.
+    with score 0, and so is everything if there is nothing to learn from (an empty table gives no rows). Of languages
+    equally near the first in order is taken. Texts of any length are read whole. Repeated rows each get their
+    row. Other columns are ignored, whatever their names; a null doc_id is not held out. Of more than ``most_langs``
+    languages those with fewest rows are not learnt.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     out = F.coalesce(held_out(), F.lit(False))

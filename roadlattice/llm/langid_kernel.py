@@ -47,11 +47,24 @@ def document_frequencies(dims: int):
 
 
 def vectors(idf):
-    """mapInArrow: lang, text -> lang, vector as float32 bytes."""
+    """mapInArrow: lang, key, text -> lang, key, vector as float32 bytes."""
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([vector(t.as_py(), idf.value).tobytes() for t in batch.column(1)], pa.binary())], names=["lang", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([vector(t.as_py(), idf.value).tobytes() for t in batch.column(2)], pa.binary())], names=["lang", "key", "v"])
+
+    return run
+
+
+def clusterer(k: int):
+    """applyInPandas over one language's vectors: its centroids, in an order that does not depend on that of the rows."""
+
+    def run(group):
+        import pandas as pd
+
+        rows = sorted(zip(group["key"], group["v"]))
+        c, reach = centroids(np.stack([np.frombuffer(bytes(v), np.float32) for _, v in rows]), k)
+        return pd.DataFrame({"lang": [group["lang"].iloc[0]] * len(c), "cluster": range(len(c)), "c": [x.tobytes() for x in c], "reach": reach.astype(float)})
 
     return run
 
