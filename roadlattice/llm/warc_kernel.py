@@ -42,28 +42,29 @@ def record(kind: str, page_id, url: str | None, payload: bytes, digest: bytes, s
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-RECORDS = pa.schema([("bin", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("size", pa.int64()), ("member", pa.binary())])
+RECORDS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("size", pa.int64()), ("member", pa.binary())])
 
 
 def recorder(batches):
-    """mapInArrow: bin, page_id, url, html -> every page as a compressed response, with digest and size."""
+    """mapInArrow: page_id, url, html -> every page as a compressed response, with digest and size."""
     for batch in batches:
-        ids, urls = batch.column(1), batch.column(2)
+        ids, urls = batch.column(0), batch.column(1)
         digests, sizes, members = [], [], []
-        for i, h in enumerate(batch.column(3)):
+        for i, h in enumerate(batch.column(2)):
             payload = (h.as_py() or "").encode("utf-8", "surrogatepass")
             d = hashlib.sha1(payload)
             digests.append(d.hexdigest())
             sizes.append(len(payload))
             members.append(member(record("response", ids[i].as_py(), urls[i].as_py(), payload, d.digest(), len(payload))))
-        yield pa.RecordBatch.from_arrays([batch.column(0), ids, urls, pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(members, pa.binary())], schema=RECORDS)
+        yield pa.RecordBatch.from_arrays([ids, urls, pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(members, pa.binary())], schema=RECORDS)
 
 
 MANIFEST = pa.schema([("shard", pa.int64()), ("part", pa.int64()), ("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
 
 
 def writer(uri: str, roll: int):
-    """mapInArrow over rows sorted by shard and page: writes shard files, gives the manifest's rows.
+    """mapInArrow over rows sorted by shard and page: writes shard files, gives the manifest's rows. A row without a
+    record tells that the records of the same page and digest behind it revisit another one.
 
     A file has a temporary name with the task attempt until it is complete; then it is renamed. A task
     that runs again writes the same bytes under the same final names.
@@ -76,6 +77,7 @@ def writer(uri: str, roll: int):
         store, root = fs.FileSystem.from_uri(uri)
         attempt = TaskContext.get().taskAttemptId()
         shard, part, out, name, count, size, sha = None, 0, None, "", 0, 0, None
+        mark = head = None
 
         def close() -> dict:
             out.close()
@@ -98,13 +100,16 @@ def writer(uri: str, roll: int):
         for batch in batches:
             done = []
             for r in range(batch.num_rows):
-                s, page_id, url, digest, n, data, refers_to = (batch.column(k)[r].as_py() for k in range(7))
+                s, is_record, page_id, url, digest, n, data, refers_to = (batch.column(k)[r].as_py() for k in range(8))
+                if not is_record:
+                    mark, head = (page_id, digest), refers_to
+                    continue
                 if out is None or s != shard or size >= roll:
                     if out is not None:
                         done.append(close())
                     shard, part = s, (part + 1 if s == shard else 0)
                     begin()
-                put(data if data is not None else member(record("revisit", page_id, url, b"", bytes.fromhex(digest), n, refers_to)))
+                put(member(record("revisit", page_id, url, b"", bytes.fromhex(digest), n, head)) if mark == (page_id, digest) else data)
                 count += 1
             if done:
                 yield pa.RecordBatch.from_pylist(done, schema=MANIFEST)

@@ -301,6 +301,30 @@ def test_warc_round_trip(spark, tmp_path):
     assert write_archives(pages.where("false"), empty).count() == 0 and read_archives(spark, empty).count() == 0
 
 
+def test_warc_shards_with_an_outlying_id(spark, tmp_path):
+    """One far id leaves the others' shards even; bytes don't depend on partitions; other columns don't matter."""
+    rows = [(i, f"http://a/{i}", prose(i, 60), "x", 0) for i in [*range(1, 121), 2**40]]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, shard string, size int")
+    one = write_archives(pages, f"file://{tmp_path}/one", shard_bytes=8000).orderBy("file").collect()
+    two = write_archives(pages.repartition(7), f"file://{tmp_path}/two", shard_bytes=8000).orderBy("file").collect()
+    assert one == two and len(one) > 5
+    assert max(r.records for r in one) <= 2 * min(r.records for r in one[:-1])
+    few = write_archives(pages, f"file://{tmp_path}/few", shard_bytes=8000, most_shards=3).collect()
+    assert {r.shard for r in few} == {0, 1, 2}
+    got = {r.page_id: r for r in read_archives(spark, f"file://{tmp_path}/one").collect()}
+    assert all(got[r[0]].payload_digest == hashlib.sha1(r[2].encode()).hexdigest() for r in rows)
+
+
+def test_warc_of_repeats_and_long_payloads(spark, tmp_path):
+    long = prose(3, 200_000)
+    rows = [(5, "a", long), (5, "a", long), (4, "b", long), (4, "b", "other" * 300), (None, None, None), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    write_archives(pages, f"file://{tmp_path}/w", shard_bytes=1 << 20)
+    got = sorted((r.page_id or -1, r.payload_bytes, r.record_type, r.refers_to) for r in read_archives(spark, f"file://{tmp_path}/w").collect())
+    n = len(long)
+    assert got == [(-1, 0, "response", None), (-1, 0, "response", None), (4, 1500, "response", None), (4, n, "revisit", 5), (5, n, "response", None), (5, n, "response", None)]
+
+
 # personal data
 
 PATTERNS = [
