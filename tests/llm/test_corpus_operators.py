@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import public_tokenizers
@@ -265,19 +266,76 @@ def test_main_text_of_good_and_bad_names():
 
 def test_minimum_cut_is_minimal():
     r = random.Random(6)
-    for _ in range(60):
-        n = r.randint(1, 8)
-        w, parents = [r.uniform(-2, 2) for _ in range(n)], [r.randrange(2) for _ in range(n)]
-        pairs = collections.Counter()
-        for i in range(1, n):
-            pairs[i - 1, i] += 0.5
-        for p in set(parents):
-            own = [i for i in range(n) if parents[i] == p]
-            for a, b in zip(own, own[1:]):
-                pairs[a, b] += 0.7
-        price = lambda side: sum(max(-x, 0) if s else max(x, 0) for x, s in zip(w, side)) + sum(c for (a, b), c in pairs.items() if side[a] != side[b])  # noqa: E731, B023
+    for k in range(80):
+        n = r.randint(1, 9)
+        w = [r.uniform(-2, 2) for _ in range(n)]
+        links = [(i, j, r.choice([0.2, 0.6, 1.0])) for i in range(n) for j in range(i + 1, n) if r.random() < 0.5] if k % 2 else html_kernel.edges([(r.randrange(3), r.randrange(2)) for _ in range(n)])
+        price = lambda side: sum(max(-x, 0) if s else max(x, 0) for x, s in zip(w, side)) + sum(c for i, j, c in links if side[i] != side[j])  # noqa: E731, B023
         least = min(price(s) for s in itertools.product([False, True], repeat=n))
-        assert price(html_kernel.minimum_cut(w, parents)) == pytest.approx(least)
+        assert price(html_kernel.minimum_cut(w, links)) == pytest.approx(least)
+        assert price(html_kernel.max_flow(w, links)) == pytest.approx(least)
+
+
+def test_minimum_cut_of_a_long_page():
+    r = random.Random(8)
+    for w in ([1.5 if i % 2 else -1.4 for i in range(8000)], [r.uniform(-2, 2) for _ in range(8000)]):
+        began = time.process_time()
+        html_kernel.minimum_cut(w, html_kernel.edges([(i // 50 * 10 + r.randrange(5), 0) for i in range(8000)]))
+        assert time.process_time() - began < 5
+
+
+def test_main_text_keeps_what_a_page_shows():
+    say = "This is the first paragraph of the page, and it is long enough to be read as text."
+    keeps = {
+        f"<article><div class='post-header'><h1>A title of some words</h1></div><p>{say}</p><p class='alert'>{say}</p></article>": f"A title of some words\n\n{say}\n\n{say}",
+        f"<article><p>{say} <math><mi>x</mi></math> and more.</p><object>{say}</object><video>{say}</video></article>": f"{say} x and more.\n\n{say}{say}",
+        f"<article><p>{say}<svg><text>no</text></svg></p><noscript>no</noscript><select><option>no</select><p>{say}<svg>": f"{say}\n\n{say}",
+    }
+    for page, want in keeps.items():
+        assert html_kernel.main_text(page) == want
+
+
+def generated_page(r, k):
+    """A page and its article's text."""
+    say = lambda n: prose(r.randrange(10**9), n).capitalize() + "."
+    link = lambda: f"<a href=/x>{prose(r.randrange(10**9), 2)}</a>"
+    paragraphs = [say(r.randint(8, 60)) for _ in range(r.randint(2, 9))]
+    title = say(r.randint(3, 8))
+    inside = [f"<h1>{title}</h1>"] + [f"<p>{p[: len(p) // 2]}<b>{p[len(p) // 2 :]}</b></p>" for p in paragraphs]
+    inside.insert(r.randint(1, len(inside)), r.choice(["", f"<div class='ad'>{say(9)}</div>", f"<div class='share-buttons'>{link()}</div>", f"<aside><p>{say(20)}</p></aside>"]))
+    around = [f"<nav><ul>{''.join(f'<li>{link()}' for _ in range(r.randint(2, 9)))}</ul></nav>", f"<div class='cookie-notice'>{say(12)}</div>", f"<div id='sidebar'><h3>{say(2)}</h3><p>{say(30)}</p></div>"]
+    below = [f"<section id='comments'><article class='comment'><p>{say(25)}</p></article></section>", f"<form><label>{say(2)}</label><input></form>", f"<footer>&copy; {say(8)}</footer>", "<script>no()</script>"]
+    wrap = r.choice(["<article>{}</article>", "<main><div class='entry-content'>{}</div></main>", "<div class='post'>{}</div>"])
+    html = "<html><head><title>t</title>" + r.choice(["", "</head>"]) + "<body>" + "".join(r.sample(around, r.randint(1, 3))) + wrap.format("".join(inside)) + "".join(r.sample(below, r.randint(1, 4))) + "</body></html>"
+    return html, "\n\n".join([title, *paragraphs])
+
+
+def test_main_texts_of_generated_pages(spark):
+    r = random.Random(12)
+    made = [generated_page(r, k) for k in range(150)]
+    pages = spark.createDataFrame([(k, f"u{k}", h, "x") for k, (h, _) in enumerate(made)], "page_id long, url string, html string, text string")
+    got = {x.page_id: x.text for x in main_texts(pages).collect()}
+    assert [k for k, (_, want) in enumerate(made) if got[k] != want] == []
+    assert main_texts(pages.where("false")).count() == 0
+    long = "".join(f"<p>{prose(i, 12)}.</p>" for i in range(5000))
+    one = main_texts(spark.createDataFrame([(1, "u", f"<article>{long}</article>")], "page_id long, url string, html string")).first()
+    assert one.n_chars == len(one.text) == sum(len(prose(i, 12)) + 1 for i in range(5000)) + 2 * 4999
+
+
+def test_the_cut_on_pages_without_names(spark):
+    """The pages of the tables with names taken away: labels with their names are the truth. The cut changes labels, most for the better."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").where("html is not null").orderBy("page_id").collect()]
+    weights = html_kernel.fit([html_kernel.blocks(h) for h in pages[:100]])
+    right = collections.Counter()
+    for html in pages[100:]:
+        named = html_kernel.blocks(html)
+        truth = {b[0]: side for b, side in zip(named, html_kernel.labelled(named, weights))}
+        bare = html_kernel.blocks(re.sub(r' class="[^"]*"', "", re.sub(r"<(/?)(article|nav|footer)\b", r"<\1div", html)))
+        for b, c, side in zip(bare, html_kernel.costs(bare, weights), html_kernel.labelled(bare, weights)):
+            right["sign"] += (c > 0) == truth.get(b[0])
+            right["cut"] += side == truth.get(b[0])
+            right["changed"] += side != (c > 0)
+    assert right["changed"] and right["cut"] > right["sign"]
 
 
 def test_warc_round_trip(spark, tmp_path):
