@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only a local master without that setting gets a temporary one."""
+    """This application's folder in the shared one that spark.checkpoint.dir names; only a local master without that setting
+    gets a temporary one. A cluster without it is an error, as executors see no local folder of the driver."""
     sc = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not shared:
@@ -18,14 +19,20 @@ def scratch_dir(spark: SparkSession) -> str:
             shared = "file://" + tempfile.mkdtemp(prefix="roadlattice-")
             sc.setCheckpointDir(shared)
         else:
-            shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return shared.rstrip("/")
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{shared.rstrip('/')}/{sc.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder; to be called when no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
@@ -34,7 +41,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
-    return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
+    """Whether a document is for testing only; one without an id is not."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

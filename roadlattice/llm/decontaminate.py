@@ -95,7 +95,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, blo
     documents, whose hits are united by row, so what is broadcast at once never grows.
 
     Null or wordless texts have no words and are clean. Null item ids and texts are no items.
-    Repeated items count once by id. Rows that repeat a doc_id each get their own row. Other columns are ignored.
+    Repeated items count once by id. Rows that repeat a doc_id each get their own row. A document with exactly per_cent of
+    its words hit is contaminated (ties). Texts of any length are searched whole. Without documents there are no rows, and
+    without items all are clean. Other columns are ignored, whatever their names.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = Blocks(benchmark, block_chars)
@@ -109,7 +111,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, blo
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, block_chars: int = 20_000_000, per_cent: int = 5) -> DataFrame:
     """documents without the contaminated ones. With one block of items the rows stay where they are;
-    with more, rows are numbered and written, and the numbers of contaminated ones are joined."""
+    with more, rows are numbered and written, and the numbers of contaminated ones are joined.
+
+    Every row is judged by its own text, so rows with null or repeated ids stay or go each for itself; null and empty texts
+    stay; all columns pass through. Ties, long texts and empty tables as in contamination.
+    """
     blocks = Blocks(benchmark, block_chars)
     if len(blocks) > 1:
         rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")

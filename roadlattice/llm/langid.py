@@ -12,11 +12,11 @@ from .common import held_out
 
 def sample(train: DataFrame, per_lang: int, most_langs: int) -> DataFrame:
     """train(doc_id, text, lang) -> lang, text: at most ``per_lang`` rows of each of the ``most_langs`` languages with most
-    rows, those of least hash of id and text; rows that repeat count once. Only hashes are shuffled: about
-    twice per_lang of a language pass a threshold on the hash that its number of rows gives, and the texts of those
+    different rows, those of least hash of id and text; rows that repeat count once. Only hashes are shuffled: about
+    twice per_lang of a language pass a threshold on the hash that its number of different rows gives, and the texts of those
     that are chosen stay where they are."""
     key = F.xxhash64("doc_id", "text")
-    counts = train.groupBy("lang").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "lang").limit(most_langs)
+    counts = train.groupBy("lang").agg(F.approx_count_distinct(key).alias("c")).orderBy(F.desc("c"), "lang").limit(most_langs)
     below = counts.select("lang", (F.lit(2.0 * per_lang) / F.col("c") * float(1 << 40)).alias("below"))  # at most most_langs rows
     near = train.select("lang", key.alias("key")).join(F.broadcast(below), "lang").where(F.pmod("key", F.lit(1 << 40)) < F.col("below")).select("lang", "key").distinct()
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("key", F.lit(1 << 40)), "key"))
@@ -53,7 +53,7 @@ def languages(docs: DataFrame, **fit_args) -> DataFrame:
     languages those with fewest rows are not learnt.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    out = F.coalesce(held_out(), F.lit(False))
+    out = held_out()
     model = docs.sparkSession.sparkContext.broadcast(fit(texts.where(~out & F.col("lang").isNotNull() & F.col("text").isNotNull()), **fit_args))
     found = texts.select("doc_id", "text").mapInArrow(langid_kernel.classifier(model), "doc_id long, lang_pred string, score double, cosine double, rejected boolean")
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", "cosine", "rejected")

@@ -84,7 +84,9 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, width: int = 5, bands
 
     Null or blank texts have no shingles and link with nothing. A null doc_id links with nothing and
     is kept. Rows that repeat a doc_id count as one document for links (of different texts the
-    greatest stands for it in confirmations). Other columns are ignored.
+    greatest stands for it in confirmations). A pair at exactly the limit is linked (ties); texts of any length enter
+    with all their shingles. An empty table gives no rows. Other columns are ignored, whatever their names. Ids are whole
+    numbers.
     """
     k = bands * rows
     signed = materialize(sign(docs, bands, rows, width), "signed")
@@ -117,6 +119,10 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, width: int = 5, bands
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """documents without all but one document of each near-duplicate group."""
+    """documents without all but one document of each near-duplicate group, that of least doc_id.
+
+    Null ids, null and empty texts stay; rows that repeat a doc_id stay or go together; all columns pass through. Ties,
+    long texts and empty tables as in near_duplicates.
+    """
     gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -18,7 +18,11 @@ def pack(docs: DataFrame, tokenizer_path: str, *, size: int = 2048, end_id: int
     sequence_id is the partition's number and a running number; a task that runs again gives the same.
 
     Null and empty texts are the end id alone. A null doc_id stays null. Rows that repeat a doc_id are
-    packed each. An empty table gives no rows. Other columns are ignored.
+    packed each. Documents longer than a window are cut, at sentence ends where there are some. Of equally good cuts the
+    one that begins the window earliest is taken, which the rows' order fixes (ties). An empty table gives no rows. Other
+    columns are ignored, whatever their names.
+
+    Pieces of texts are encoded by themselves where the tokenizer allows it (probes tell, see splits_at_spaces), else whole texts.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(packing_kernel.packer(tokenizer_path, size, end_id, horizon, penalty), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 import zlib
 from array import array
+from bisect import bisect_left
 from collections import deque
 from unicodedata import is_normalized
 
@@ -14,6 +16,8 @@ import pyarrow as pa
 from .kernels import Remembered
 
 
+_SENTENCE_END = re.compile(r"[.!?]\s+")
+
 
 def _byte_letters() -> dict[int, str]:
     """Byte-level alphabet: printable Latin-1 bytes are themselves, the others follow from U+0100 in order."""
@@ -48,26 +52,49 @@ class WordIds(Remembered):
             return self[piece[:-1]] + self[piece[-1]]
         return self.whole(piece)
 
+    def in_whole(self, text: str) -> tuple[bytes, list[int]]:
+        """Ids of a text, and the numbers of ids at the ends of its sentences."""
+        found = self.tok.encode(text, add_special_tokens=False)
+        begins = [a for a, _ in found.offsets]
+        ends = (bisect_left(begins, m.end()) for m in _SENTENCE_END.finditer(text))
+        return array("I", found.ids).tobytes(), sorted({e for e in ends if 0 < e < len(begins)})
+
     def whole(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
 
+#: Texts whose ids show whether a tokenizer lowers letters, drops white space and keeps letters, signs and spaces apart.
+PROBES = ("The Quick brown. fox, JUMPS over 12 lazy dogs. It's", "a  b\nc\td. e", "naïve Straße über. été", "x.y,z (q) 'r' don't e.g. 3.5% #t", "der die.das und, so. Weiter")
+
+
+def splits_at_spaces(words: WordIds) -> bool:
+    """Whether the ids of the probes are those of their pieces."""
+    for text in PROBES:
+        pieces = text.lower().replace("\n", " ").replace("\t", " ").split(" ")
+        if words.whole(text) != b"".join(words.ids(p) for p in pieces if p):
+            return False
+    return words.whole("ab. cd") == words.ids("ab") + words.whole(".") + words.ids("cd")
+
+
 def encoder(path: str, remembered: int = 1_000_000):
     """text -> (ids as little-endian uint32 bytes, token counts at sentence ends).
 
-    The vocabulary lowers letters, drops white space and never joins across it, and letters never join
-    signs; so a text's ids are those of its pieces, each encoded once per worker. Texts whose letters
-    lower differently in a context or are not composed are encoded as a whole.
+    Where the vocabulary lowers letters, drops white space and never joins across it, and letters never join
+    signs, a text's ids are those of its pieces, each encoded once per worker. Texts whose letters
+    lower differently in a context or are not composed are encoded as a whole, and so is every text where probes
+    show another tokenizer.
     """
     state, key = worker_state(), f"words {path}"
     if key not in state:
-        state[key] = WordIds(path, remembered)
-    words = state[key]
+        made = WordIds(path, remembered)
+        state[key] = made, splits_at_spaces(made)
+    words, apart = state[key]
     get, dot = words.__getitem__, words["."]
 
     def encode(text: str, end: bytes) -> tuple[bytes, list[int]]:
-        if not text.isascii() and ("Σ" in text or "İ" in text or not is_normalized("NFC", text)):
-            return words.whole(text) + end, []
+        if not apart or not text.isascii() and ("Σ" in text or "İ" in text or not is_normalized("NFC", text)):
+            ids, ends = words.in_whole(text)
+            return ids + end, ends
         parts, ends, n = [], [], 0
         sentences = (text.lower().replace("\n", " ") + " ").split(". ")
         last = len(sentences) - 1

@@ -14,7 +14,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from roadlattice.llm import html_kernel, packing_kernel, warc_kernel
+from roadlattice.llm import html_kernel, langid, packing_kernel, toxicity_kernel, warc_kernel
+from roadlattice.llm.common import held_out
 from roadlattice.llm.components import connected_components
 from roadlattice.llm.decontaminate import contamination, decontaminate
 from roadlattice.llm.html_text import main_texts
@@ -24,11 +25,10 @@ from roadlattice.llm.near_dedup import deduplicate, near_duplicates
 from roadlattice.llm.packing import pack
 from roadlattice.llm.pii import discovered, personal_data
 from roadlattice.llm.quality import quality
-from roadlattice.llm.toxicity import toxicity
+from roadlattice.llm.toxicity import keep_civil, toxicity
 from roadlattice.llm.warc import read_archives, write_archives
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def lower(t):
@@ -156,11 +156,13 @@ def test_contamination_by_row(spark, block_chars):
 # packing
 
 
-def test_packing_round_trip(spark):
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_packing_round_trip(spark, name):
+    path = public_tokenizers.path(name)
     texts = [*AWKWARD, "don't stop. he'll go... (yes). a.b, c,d 5.5 x). Y! <|endoftext|> end", "İstanbul. ΣΟΦΟΣ. ǅ ß", *[prose(s, 700).replace(" er ", " er. ") for s in range(6)], prose(99, 9000)]
-    tok = Tokenizer.from_file(TOKENIZER)
+    tok = Tokenizer.from_file(path)
     ids = [tok.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
-    rows = pack(docs(spark, texts).repartition(2, "doc_id"), TOKENIZER).collect()
+    rows = pack(docs(spark, texts).repartition(2, "doc_id"), path).collect()
     for i, own in enumerate(ids):
         at = 0
         for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start):
@@ -180,7 +182,7 @@ def test_packing_round_trip(spark):
         lengths.append(at)
     padding = sum(2048 - n for n in lengths if n & (n - 1))
     assert max(lengths) <= 2048 and padding < 0.1 * sum(lengths)
-    assert pack(docs(spark, []), TOKENIZER).count() == 0
+    assert pack(docs(spark, []), path).count() == 0
 
 
 def test_cuts_are_best():
@@ -228,6 +230,78 @@ def test_languages(spark):
     assert languages(docs(spark, [])).count() == 0
 
 
+def test_toxicity_is_the_noisy_or(spark):
+    """Scores against a plain noisy-or under the fitted weights, and the fit against a plain gradient."""
+    texts = [f"{prose(i, 9)}. {'you wretch ' if i % 3 == 0 else ''}{prose(i + 50, 7)}! {prose(i + 90, 5)}" for i in range(60)]
+    labels = [int(i % 3 == 0) for i in range(60)]
+    bias, weights = toxicity_kernel.train(texts, labels, steps=60)
+    sig = lambda z: 1 / (1 + math.exp(-z))
+
+    def plain(text, bias, weights):
+        p = [sig(bias + sum(weights.get(w, 0.0) for w in set(re.findall(r"[a-z]+", s)))) for s in re.split(r"[.!?\n]+", text.lower()) if re.search("[a-z]", s)]
+        return 1 - math.prod(1 - x for x in p)
+
+    assert all(toxicity_kernel.score_text(t, bias, weights)[0] == pytest.approx(plain(t, bias, weights)) for t in texts)
+    # one step moves each weight against the sign of the numeric slope of the loss
+    docs_words = [{w for w in re.findall(r"[a-z]+", t.lower())} for t in texts]
+    _, first = toxicity_kernel.train(texts, labels, steps=1)
+
+    def loss(ws):
+        total = 0.0
+        for t, y in zip(texts, labels):
+            s = plain(t, -5.0, ws)
+            total -= math.log(s if y else 1 - s) * 0.5 / labels.count(y)
+        return total
+
+    for w in ["wretch", *sorted(first)[:5]]:
+        assert sum(w in d for d in docs_words) >= 6
+        slope = (loss({w: 1e-4}) - loss({w: -1e-4})) / 2e-4
+        assert first[w] * slope < 0
+
+
+def test_toxicity_of_odd_tables(spark):
+    odd = spark.createDataFrame([(None, None, 1, "a"), (None, "", 2, "b"), (4, "you wretch. " * 2000, 3, "c"), (4, "you wretch. " * 2000, 3, "c")], "doc_id long, text string, score int, predicted string")
+    labels = spark.createDataFrame([(4, 1), (None, 0)], "doc_id long, toxic int")
+    got = sorted((r.doc_id or -1, r.held_out, r.n_sentences) for r in toxicity(odd, odd, labels).collect())
+    assert got == [(-1, False, 0), (-1, False, 0), (4, zlib.crc32(b"4") % 5 == 0, 2000), (4, zlib.crc32(b"4") % 5 == 0, 2000)]
+    assert toxicity(odd.where("false"), odd, labels).count() == 0 and keep_civil(odd, labels).columns == odd.columns
+
+
+def test_languages_are_the_nearest_centroids(spark):
+    """Document frequencies and predictions against plain loops."""
+    texts = [prose(i, 25) if i % 2 else prose(i, 25).replace("a", "o").replace("e", "u") for i in range(60)] + ["Ünïcode été 12"]
+    rows = [(i, t, "xy"[i % 2]) for i, t in enumerate(texts)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    idf, langs, of, cents, _ = langid.fit(train, dims=512, clusters=2)
+
+    def counts(text):
+        data = (" " + re.sub(r"[\W\d_]+", " ", text.lower()) + " ").encode()
+        out = collections.Counter()
+        for n in range(1, 5):
+            for i in range(len(data) - n + 1):
+                h = 0
+                for k in range(n):
+                    h = (h * 263 + data[i + k] + 1) % 2**32
+                out[((h * 2654435761 + n * 40503) % 2**32 >> 12) % 512] += 1
+        return out
+
+    df = collections.Counter(d for t in texts for d in counts(t))
+    assert all(float(idf[d]) == pytest.approx(math.log((1 + len(texts)) / (1 + df[d])) + 0.05, abs=1e-5) for d in range(512))
+    assert langs == ["x", "y"] and len(cents) == 4 and sorted(of) == [0, 0, 1, 1]
+    got = {r.doc_id: r.lang_pred for r in languages(train, dims=512, clusters=2).collect()}
+    idf, langs, of, cents, _ = langid.fit(train.where(~held_out()), dims=512, clusters=2)
+    for i, t in enumerate(texts):
+        v = {d: math.log1p(c) * float(idf[d]) for d, c in counts(t).items()}
+        best = max(range(len(cents)), key=lambda k: sum(x * float(cents[k][d]) for d, x in v.items()))
+        assert got[i] == langs[of[best]]
+
+
+def test_language_sample_is_bounded_and_counts_repeats_once(spark):
+    rows = [(i, f"text {i}", "en") for i in range(300)] + [(7, "copy", "fr")] * 200 + [(i, "zz", f"l{i}") for i in range(3)]
+    got = collections.Counter(r.lang for r in langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 20, 3).dropDuplicates(["lang", "key"]).collect())
+    assert got["en"] == 20 and got["fr"] == 1 and sum(got.values()) == 22
+
+
 # web pages
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="</p><p>no</p>";</script></head><body class="page">
@@ -506,6 +580,59 @@ def brute_base(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit)
 
 
+def test_recurring_lines_of_odd_tables(spark):
+    odd = spark.createDataFrame([(i, f"{prose(i, 9)}\nthe same line here", f"k{i}", [i]) for i in range(6)] + [(None, None, "n", [0]), (None, "", "e", [0]), (1, f"{prose(1, 9)}\nthe same line here", "k1", [1]), (9, "\n".join(prose(10_000 + i, 6) for i in range(8000)) + "\nthe same line here", "long", [9])], "doc_id long, text string, key string, drop array<int>")
+    got = sorted(((r.doc_id or -1), r.key, r.n_lines, r.n_dropped) for r in drop_recurring_lines(odd).collect())
+    assert got == sorted([(i or -1, f"k{i}", 2, 1) for i in range(6)] + [(-1, "n", 0, 0), (-1, "e", 1, 0), (1, "k1", 2, 1), (9, "long", 8001, 1)])
+    assert dedup_lines(odd).columns == odd.columns
+
+
+FENCES = {"word_length": (250, 750, 5, True), "symbols": (500, 800, 2, False), "dup_lines": (500, 990, 1, False), "repeats": (500, 990, 1, False)}
+
+
+def brute_kept(rows, least_group=30):
+    """rows: (lang, source, text) -> verdicts, by the rule as it is stated."""
+    base = [brute_base(t) for _, _, t in rows]
+    bad = [b[0] < 10 or 100 * b[4] > 20 * b[0] for b in base]
+    lines = [max(1, len([x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)])) for _, _, t in rows]
+    metric = [{"word_length": b[1] * 1000 // max(1, b[0]), "symbols": b[2] * 1000 // max(1, b[0]), "dup_lines": b[3] * 1000 // n, "repeats": b[4] * 1000 // max(1, b[0])} for b, n in zip(base, lines)]
+    edge = lambda v: v if v < 64 else (v >> (v.bit_length() - 6)) << (v.bit_length() - 6)
+
+    def quantile(values, p):
+        return sorted(map(edge, values))[-(-len(values) * p // 1000) - 1]
+
+    out = []
+    for i, (lang, source, _) in enumerate(rows):
+        good = [k for k in range(len(rows)) if not bad[k]]
+        own = [k for k in good if rows[k][:2] == (lang, source)]
+        same = [k for k in good if rows[k][0] == lang]
+        pool = own if len(own) >= least_group else same if len(same) >= least_group else good
+        keep = not bad[i]
+        for m, (x, y, reach, both) in FENCES.items():
+            v = [metric[k][m] for k in pool]
+            if v:
+                hi, lo = quantile(v, y), quantile(v, x)
+                keep &= metric[i][m] <= hi + reach * (hi - lo)
+                keep &= not both or metric[i][m] >= quantile(v, 1000 - y) - reach * (quantile(v, 1000 - x) - quantile(v, 1000 - y))
+        out.append(keep)
+    return out
+
+
+def test_quality_verdicts(spark):
+    r = random.Random(3)
+    rows = [(r.choice(["en", "en", "de", None]), r.choice(["a", "a", "a", "b", None]), prose(i, r.randint(8, 60)) + r.choice(["", "", "", " # * $", "\nx y z\nx y z", " supercalifragilistic" * 9, " a" * 30])) for i in range(260)]
+    rows += [("rare", "a", prose(1, 40)), ("rare", "b", "# " * 12 + prose(2, 12))]
+    df = spark.createDataFrame([(i, t, x, y) for i, (x, y, t) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = {q.doc_id: q.kept for q in quality(df).collect()}
+    want = brute_kept(rows)
+    assert [got[i] for i in range(len(rows))] == want and 0 < sum(want) < len(want)
+
+
+def test_quality_of_odd_tables(spark):
+    odd = spark.createDataFrame([(None, None, 1, "a"), (5, prose(1, 30), 2, "b"), (5, prose(1, 30), 2, "b"), (6, prose(2, 30000), 3, "c")], "doc_id long, text string, failed int, bin string")
+    assert sorted((r.doc_id or -1, r.n_words, r.kept) for r in quality(odd).collect())[:3] == [(-1, 0, False), (5, 30, True), (5, 30, True)]
+
+
 def test_quality(spark):
     texts = [*AWKWARD, "a b c d e a b c d e f", "p q r s t u v w x y z " * 3, *[prose(i, 80) for i in range(60)], "*** " * 40 + prose(9, 60)]
     got = {r.doc_id: r for r in quality(docs(spark, texts)).collect()}
