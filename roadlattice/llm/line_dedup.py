@@ -19,12 +19,8 @@ KEY, DROP = "__line_dedup_key", "__line_dedup_drop"
 
 def tokens(line: Column) -> Column:
     """Tokens between single white space characters of a line; variable fields as the wildcard."""
-    return F.transform(F.array_remove(F.split(line, "[ \\t\\r\\f\\x0B]"), ""), lambda t: F.when(t.rlike(VARIABLE), F.lit(WILD)).otherwise(t))
-
-
-def leaf_id(t: Column) -> Column:
-    """60 bits of a digest that other engines have too; its order is the order of templates."""
-    return F.conv(F.substring(F.md5(F.array_join(t, " ")), 1, 15), 16, 10).cast("long")
+    found = F.array_remove(F.split(line, "[ \\t\\r\\f\\x0B]"), "")
+    return F.when(line.rlike(VARIABLE), F.transform(found, lambda t: F.when(t.rlike(VARIABLE), F.lit(WILD)).otherwise(t))).otherwise(found)
 
 
 def _key() -> Column:
@@ -46,7 +42,7 @@ def _parsed(docs: DataFrame, depth: int, least_tokens: int) -> DataFrame:
                     F.size(s["t"]).alias("n"),
                     F.size(F.array_remove(s["t"], WILD)).alias("fixed"),
                     F.xxhash64(F.size(s["t"]), F.slice(s["t"], 1, depth)).alias("node"),
-                    leaf_id(s["t"]).alias("leaf"),
+                    F.xxhash64(s["t"]).alias("leaf"),
                     s["raw"].alias("raw"),
                 ),
             ),
@@ -62,6 +58,15 @@ def _support(rows: DataFrame, by: str) -> DataFrame:
     return rows.groupBy(by, "body").agg(F.lit(1).alias("one")).groupBy(by).agg(F.count("*").alias("support"))
 
 
+def _in_parts(df: DataFrame) -> DataFrame:
+    """Each row once for every salt."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int"))
+
+
 def recurring_lines(docs: DataFrame, *, depth: int = 3, least_tokens: int = 3, least_support: int = 5, constant: float = 0.6) -> DataFrame:
     """(key, drop): for each document (by key) the numbers of its lines whose template recurs, in order.
 
@@ -80,9 +85,7 @@ def recurring_lines(docs: DataFrame, *, depth: int = 3, least_tokens: int = 3, l
     rows = materialize(_parsed(docs, depth, least_tokens).withColumn("own", F.when(F.col("fixed") >= F.col("n") * constant, F.col("leaf")).otherwise(F.col("raw"))).drop("n", "fixed", "leaf", "raw"), "lines")
     nodes = materialize(_support(rows, "node").where(F.col("support") >= least_support), "nodes")
     # a frequent node's lines meet it in SALTS parts, so no task gets them all
-    salted = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    shared = rows.withColumn("salt", F.pmod(F.col("key"), F.lit(SALTS)).cast("int")).join(salted, ["node", "salt"], "left_semi").drop("salt")
-    shared = materialize(shared, "shared_lines")
+    shared = materialize(_dealt(rows).join(_in_parts(nodes.select("node")), ["node", "salt"], "left_semi").drop("salt"), "shared_lines")
     marked = shared.groupBy("key").agg(F.collect_set("line").alias("marked"), F.max("body").alias("body"))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").select(_key().alias("key"), F.col("text"))
     words = (
@@ -107,8 +110,8 @@ def recurring_lines(docs: DataFrame, *, depth: int = 3, least_tokens: int = 3, l
     templated = shared.select("key", "line", "own", "body").distinct().join(shaped, ["key", "line"])
     templated = templated.select("key", "line", "body", F.explode(F.when(F.size("templates") > 0, F.col("templates")).otherwise(F.array("own"))).alias("template"))
     templated = materialize(templated, "templates")
-    often = _support(templated, "template").where(F.col("support") >= least_support).select("template")
-    return templated.join(often, "template", "left_semi").groupBy("key").agg(F.sort_array(F.collect_set("line")).alias("drop"))
+    often = _in_parts(_support(templated, "template").where(F.col("support") >= least_support).select("template"))
+    return _dealt(templated).join(often, ["template", "salt"], "left_semi").groupBy("key").agg(F.sort_array(F.collect_set("line")).alias("drop"))
 
 
 def _without(lines: Column, drop: Column) -> Column:
