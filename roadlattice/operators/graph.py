@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import heapq
+import sys
 import tempfile
-import uuid
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Tasks get this module's helpers with them, so executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the folder that spark.checkpoint.dir names; only a local master gets a temporary one."""
@@ -16,7 +22,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not shared and sc.master.startswith("local"):
             shared = tempfile.mkdtemp(prefix="roadlattice-")
-        sc.setCheckpointDir(shared or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/_checkpoints/{uuid.uuid4().hex}")
+        if not shared:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared)
     return df.checkpoint()
 
 
@@ -66,12 +74,12 @@ def pruned(edges: DataFrame, nodes: DataFrame, keep: Column) -> tuple[DataFrame,
     return kept, numbered.join(before, "part").select("node", (F.col("skip") + F.col("k") - 1).alias("new_id"))
 
 
-def members(relations: DataFrame, depth: int = 100) -> DataFrame:
+def members(relations: DataFrame) -> DataFrame:
     """relations(id, member, member_type): (id, way) with nested relations followed; cycles end by themselves."""
     ways = relations.where("member_type = 'way'").select("id", F.col("member").alias("way"))
     inner = relations.where("member_type = 'relation'").select("id", F.col("member").alias("sub"))
     reach = frontier = inner.distinct()
-    for _ in range(depth):
+    while True:
         step = frontier.join(inner.select(F.col("id").alias("sub"), F.col("sub").alias("deeper")), "sub").select("id", F.col("deeper").alias("sub")).distinct()
         frontier = cut_lineage(step.join(reach, ["id", "sub"], "left_anti"))
         if frontier.isEmpty():
@@ -87,41 +95,119 @@ def terminals(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.bool_or("ferry").alias("boat"), F.bool_or(~F.col("ferry")).alias("land")).where("boat and land").select("node")
 
 
-def distances(arcs: DataFrame, sources: DataFrame, *, cap: float | None = None, hops: int = 12) -> DataFrame:
-    """arcs(src, dst, cost >= 0), sources(node, request) -> (request, node, dist, pred): least costs by label-correcting rounds.
-
-    A round follows the frontier (nodes whose cost fell) over at most ``hops`` arcs (a free arc from each node to
-    itself lets shorter ones wait), keeping the least offer for a node after each, and joins the offers to the costs so far. With ``cap`` costs above it are not followed.
-    Lineage is cut with a reliable checkpoint, so a lost executor costs no more than the current round.
+OFFERS = "request long, node long, block long, dist double, pred long, offer boolean"
+
+
+def _block(node: Column, size: int) -> Column:
+    return F.floor(node / size).cast("long")
+
+
+def _relax(arcs: pd.DataFrame, state: pd.DataFrame, cap: float, size: int) -> pd.DataFrame:
+    """One block's turn: for each request the offers enter its labels, and what they improve spreads inside the block, least cost
+    first. Gives the changed labels and, for nodes of other blocks, the least offers. Of equal costs the least predecessor stays."""
+    out: dict[int, list] = {}
+    for s, d, c in zip(arcs["src"].tolist(), arcs["dst"].tolist(), arcs["cost"].tolist()):
+        out.setdefault(s, []).append((d, c))
+    rows = []
+    for request, own in state.groupby("request", sort=False):
+        block, is_offer, is_penalty = int(own["block"].iloc[0]), own["kind"].to_numpy() == 1, own["kind"].to_numpy() == 2
+        dear = {(n, p): d for n, p, d in own.loc[is_penalty, ["node", "pred", "dist"]].itertuples(index=False)}
+        known = own.loc[~is_penalty & ~is_offer]
+        best = {n: (d, -1 if p != p or p is None else p) for n, d, p in known[["node", "dist", "pred"]].itertuples(index=False)}
+        heap, changed, away = [], set(), {}
+
+        def offer(n, d, p):
+            have = best.get(n)
+            if d <= cap and (have is None or (d, p) < have):
+                if have is None or d < have[0]:
+                    heapq.heappush(heap, (d, n))
+                best[n] = (d, p)
+                changed.add(n)
+
+        for n, d, p in own.loc[is_offer, ["node", "dist", "pred"]].itertuples(index=False):
+            offer(n, d, -1 if p != p or p is None else p)
+        while heap:
+            d, u = heapq.heappop(heap)
+            if d > best[u][0]:
+                continue
+            for v, c in out.get(u, ()):
+                c = c * dear.get((u, v), 1.0)
+                if v // size == block:
+                    offer(v, d + c, u)
+                elif d + c <= cap and (v not in away or (d + c, u) < away[v]):
+                    away[v] = (d + c, u)
+        rows += [(request, n, block, *best[n], False) for n in changed]
+        rows += [(request, n, n // size, d, p, True) for n, (d, p) in away.items()]
+    cols = list(zip(*rows)) if rows else [()] * 6
+    names = ("request", "node", "block", "dist", "pred", "offer")
+    out = pd.DataFrame({k: pd.Series(v, dtype=t) for k, v, t in zip(names, cols, ("int64", "int64", "int64", "float64", "int64", "bool"))})
+    out["pred"] = out["pred"].astype("Int64").mask(out["pred"] < 0)
+    return out
+
+
+def distances(arcs: DataFrame, sources: DataFrame, *, cap: float | None = None, block_nodes: int = 1 << 14, request_parts: int = 1, penalties: DataFrame | None = None) -> DataFrame:
+    """arcs(src, dst, cost >= 0), sources(node, request) -> (request, node, dist, pred): least costs, of equal ones with the least
+    predecessor.
+
+    Nodes are dealt to blocks of ``block_nodes`` by number (numbers that lie near each other should be near in the
+    graph). A round gives every block that has new offers its labels and offers, lets them spread inside the block to
+    their end, and sends what crosses a border to the other blocks, until no offer improves a label. So rounds follow the blocks
+    that a path crosses, not its arcs; a task holds a block's arcs and the labels of one of ``request_parts`` parts of the
+    requests. ``penalties(request, src, dst, factor)`` make arcs dearer for one request. With ``cap`` costs above it are not
+    followed. Lineage is cut with a reliable checkpoint, so a lost executor costs no more than the current round.
     """
-    best = cut_lineage(sources.select("request", "node", F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("pred")))
-    frontier = best
-    least = arcs.where("src <> dst").groupBy("src", "dst").agg(F.min("cost").alias("cost"))
-    stay = arcs.select("src").union(arcs.select("dst")).distinct().select("src", F.col("src").alias("dst"), F.lit(0.0).alias("cost"))
-    arcs = cut_lineage(least.union(stay))
-    while True:
-        here = frontier
-        for _ in range(hops):
-            step = here.join(arcs, F.col("node") == F.col("src")).select("request", F.col("dst").alias("node"), (F.col("dist") + F.col("cost")).alias("dist"), F.when(F.col("src") == F.col("dst"), F.col("pred")).otherwise(F.col("src")).alias("pred"))
-            if cap is not None:
-                step = step.where(F.col("dist") <= cap)
-            here = step.groupBy("request", "node").agg(F.min(F.struct("dist", "pred")).alias("o")).select("request", "node", "o.dist", "o.pred")
-        offers = here.select("request", "node", F.col("dist").alias("new"), F.col("pred").alias("new_pred"))
-        both = best.join(offers, ["request", "node"], "full")
-        better = F.col("new").isNotNull() & (F.col("dist").isNull() | (F.col("new") < F.col("dist")))
-        merged = cut_lineage(both.select("request", "node", F.when(better, F.col("new")).otherwise(F.col("dist")).alias("dist"), F.when(better, F.col("new_pred")).otherwise(F.col("pred")).alias("pred"), better.alias("moved")))
-        best = merged.drop("moved")
-        frontier = merged.where("moved").drop("moved")
-        if frontier.isEmpty():
-            return best
-
+    part = F.pmod(F.xxhash64("request"), F.lit(request_parts)).cast("int").alias("part")
+    least = arcs.where("src <> dst").groupBy("src", "dst").agg(F.min("cost").alias("cost")).withColumn("block", _block(F.col("src"), block_nodes))
+    least = cut_lineage(least.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(request_parts - 1)))))
+    label = lambda kind: F.lit(kind).alias("kind")
+    offers = cut_lineage(sources.select(F.col("request").cast("long").alias("request"), "node", _block(F.col("node"), block_nodes).alias("block"), F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("pred")).distinct())
+    names = ["request", "node", "block", "dist", "pred"]
+    best = offers.limit(0)
+    fixed = penalties.select(F.col("request").cast("long").alias("request"), F.col("src").alias("node"), _block(F.col("src"), block_nodes).alias("block"), F.col("factor").cast("double").alias("dist"), F.col("dst").alias("pred")) if penalties is not None else None
+    limit, size = float("inf") if cap is None else cap, block_nodes
+
+    def turn(a: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        return _relax(a, state, limit, size)
 
-def walked_back(best: DataFrame, goals: DataFrame) -> DataFrame:
-    """goals(request, node) -> (request, node, steps_back): the nodes of each least path, from the goal."""
-    at = goals.select("request", "node", F.lit(0).alias("steps_back"))
+    while True:
+        active = offers.select("request", "block").distinct()
+        state = offers.select(*names, label(1)).union(best.join(active, ["request", "block"], "left_semi").select(*names, label(0)))
+        if fixed is not None:
+            state = state.union(fixed.join(active, ["request", "block"], "left_semi").select(*names, label(2)))
+        moved = least.groupBy("block", "part").cogroup(state.select("*", part).groupBy("block", "part")).applyInPandas(turn, OFFERS)
+        moved = cut_lineage(moved)
+        labels = best.union(moved.where("not offer").select(names)).groupBy("request", "node", "block").agg(F.min(F.struct("dist", F.coalesce("pred", F.lit(-1)).alias("pred"))).alias("o"))
+        best = cut_lineage(labels.select("request", "node", "block", "o.dist", F.when(F.col("o.pred") >= 0, F.col("o.pred")).alias("pred")))
+        sent = moved.where("offer").groupBy("request", "node", "block").agg(F.min(F.struct("dist", "pred")).alias("o")).select("request", "node", "block", "o.dist", "o.pred")
+        have = best.select("request", "node", F.col("dist").alias("had"), F.col("pred").alias("had_pred"))
+        useful = (F.col("had").isNull()) | (F.col("dist") < F.col("had")) | (F.col("dist") == F.col("had")) & (F.col("pred") < F.col("had_pred"))
+        offers = cut_lineage(sent.join(have, ["request", "node"], "left").where(useful).select(names))
+        if offers.isEmpty():
+            return best.select("request", "node", "dist", "pred")
+
+
+def walked_back(best: DataFrame, goals: DataFrame, *, block_nodes: int = 1 << 14) -> DataFrame:
+    """goals(request, node) -> (request, node, steps_back): the nodes of each least path, from the goal. A round walks inside each
+    block and hands over at its border."""
+    size = block_nodes
+    labels = cut_lineage(best.where("pred is not null").select(F.col("request").cast("long").alias("request"), "node", "pred", _block(F.col("node"), size).alias("block")))
+
+    def walk(own: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
+        back = dict(zip(own["node"].tolist(), own["pred"].tolist()))
+        rows = []
+        for r, n, k in zip(at["request"].tolist(), at["node"].tolist(), at["steps_back"].tolist()):
+            block = n // size
+            while n in back and n // size == block:
+                n, k = back[n], k + 1
+                rows.append((r, n, k, n // size != block))
+        return pd.DataFrame(rows, columns=["request", "node", "steps_back", "open"]).astype({"request": "int64", "node": "int64", "steps_back": "int32", "open": "bool"})
+
+    at = goals.select(F.col("request").cast("long").alias("request"), "node", F.lit(0).alias("steps_back"))
     out = at
     while True:
-        at = cut_lineage(at.join(best, ["request", "node"]).where("pred is not null").select("request", F.col("pred").alias("node"), (F.col("steps_back") + 1).alias("steps_back")))
+        keyed = at.withColumn("block", _block(F.col("node"), size))
+        step = cut_lineage(labels.groupBy("request", "block").cogroup(keyed.groupBy("request", "block")).applyInPandas(walk, "request long, node long, steps_back int, open boolean"))
+        out = out.union(step.drop("open"))
+        at = cut_lineage(step.where("open").drop("open"))
         if at.isEmpty():
             return out
-        out = out.union(at)
