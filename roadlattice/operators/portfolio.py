@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .costs import score
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Letters that a request's offered routes carry, at most six.
 MOST_OFFERED = 6
 SAFETY = ("fail", "freeway", "mtb", "hazard", "dismount", "limited", "aggression", "time")
@@ -104,28 +110,53 @@ def staged(c: DataFrame, kept: DataFrame, beaten: DataFrame, offered: DataFrame)
     return j.withColumn("stage", F.when(F.col("offered"), "offered").when(F.col("kept").isNull(), "too-slow").when(F.col("beaten"), "dominated").otherwise("not-chosen"))
 
 
-def skyline(c: DataFrame, metrics: list[str], key: str = "candidate", block: int = 512) -> DataFrame:
+def _front(values: np.ndarray) -> np.ndarray:
+    """Which rows no other dominates. In order of sums only earlier rows can dominate a row."""
+    order = values.sum(axis=1).argsort(kind="stable")
+    keep = np.empty_like(values)
+    n, stays = 0, np.zeros(len(values), bool)
+    for i in order:
+        v = values[i]
+        k = keep[:n]
+        if n and ((k <= v).all(axis=1) & (k < v).any(axis=1)).any():
+            continue
+        keep[n], stays[i], n = v, True, n + 1
+    return stays
+
+
+def skyline(c: DataFrame, metrics: list[str], key: str = "candidate", block: int = 4096) -> DataFrame:
     """Candidates that no other of their request dominates (no worse in all metrics, better in one; equal ones all stay).
 
-    First each block of a request prunes itself (in sorted order a block's survivors are found in one pass); the
-    survivors of all blocks then meet. What survives is small against the input, as every block's losers are gone.
+    A request of more than ``block`` candidates is dealt to blocks of about that many; each keeps its own front. Then the
+    blocks of such a request meet in pairs, which drop what the other dominates. A task holds two blocks at most.
     """
+    from .graph import cut_lineage
+
+    many = c.groupBy("request").agg(F.count("*").alias("n")).where(F.col("n") > block).select("request", F.ceil(F.col("n") / block).cast("long").alias("blocks"))
+    kind = T.StructType([*c.schema.fields, T.StructField("__b", T.LongType()), T.StructField("__blocks", T.LongType())])
 
     def front(group: pd.DataFrame) -> pd.DataFrame:
-        values = group[metrics].to_numpy(dtype=float)
-        order = values.sum(axis=1).argsort(kind="stable")
-        keep: list[int] = []
-        for i in order:
-            v = values[i]
-            if keep:
-                k = values[keep]
-                if ((k <= v).all(axis=1) & (k < v).any(axis=1)).any():
-                    continue
-            keep.append(i)
-        return group.iloc[sorted(keep)]
-
-    blocked = c.withColumn("__b", F.pmod(F.xxhash64(key), F.lit(block))).groupBy("request", "__b").applyInPandas(front, T.StructType([*c.schema.fields, T.StructField("__b", T.LongType())]))
-    return blocked.drop("__b").groupBy("request").applyInPandas(front, c.schema)
+        return group[_front(group[metrics].to_numpy(dtype=float))]
+
+    dealt = c.join(many.withColumnRenamed("blocks", "__blocks"), "request", "left").withColumn("__blocks", F.coalesce("__blocks", F.lit(1).cast("long")))
+    dealt = dealt.withColumn("__b", F.pmod(F.xxhash64(key), F.col("__blocks"))).select(*c.columns, "__b", "__blocks")
+    fronts = dealt.groupBy("request", "__b").applyInPandas(front, kind)
+    if many.isEmpty():
+        return fronts.select(c.columns)
+    fronts = cut_lineage(fronts)
+    others = F.explode(F.array_remove(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1), F.col("__b")))
+    big = fronts.where("__blocks > 1")
+    asks = big.select("request", key, *metrics, F.col("__b").alias("__mine"), others.alias("__other"))
+    meets = big.select("request", *metrics, F.col("__b").alias("__other"), others.alias("__mine"))
+
+    def lost(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        x, y = a[metrics].to_numpy(dtype=float), b[metrics].to_numpy(dtype=float)
+        gone = [len(y) > 0 and bool(((y <= v).all(axis=1) & (y < v).any(axis=1)).any()) for v in x]
+        return a.loc[gone, ["request", key]]
+
+    pair = ["request", "__mine", "__other"]
+    gone = asks.groupBy(pair).cogroup(meets.groupBy(pair)).applyInPandas(lost, T.StructType([c.schema["request"], c.schema[key]])).distinct()
+    return fronts.join(gone, ["request", key], "left_anti").select(c.columns)
 
 
 def cut_points(paths: DataFrame) -> DataFrame:
@@ -140,21 +171,52 @@ def cut_points(paths: DataFrame) -> DataFrame:
     return marked.where("starts or ends").select("request", "a", "b", "node", "sa", "sb", "starts", "ends")
 
 
-def select_six(c: DataFrame, shares: DataFrame) -> DataFrame:
-    """Greedy diverse choice of at most six routes for each request: the best score first, then by score what overlaps less
-    than 0.96 with all chosen ones. One request's candidates are a small group."""
-    near = shares.where("share >= 0.96").select("request", "a", "b").union(shares.where("share >= 0.96").select("request", "b", "a"))
-    rivals = near.groupBy("request", "a").agg(F.collect_set("b").alias("rivals"))
-    j = c.join(rivals.select("request", F.col("a").alias("candidate"), "rivals"), ["request", "candidate"], "left")
+def select_six(c: DataFrame, shares: DataFrame, required: DataFrame) -> DataFrame:
+    """At most six routes for each request: (request, candidate, required).
 
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        chosen: list[int] = []
-        for r in group.sort_values(["score", "time", "candidate"]).itertuples():
-            if len(chosen) < MOST_OFFERED and not set(chosen) & set(r.rivals if r.rivals is not None else []):
-                chosen.append(r.candidate)
-        return pd.DataFrame({"request": [int(group["request"].iloc[0])] * len(chosen), "place": range(1, len(chosen) + 1), "candidate": chosen})
-
-    return j.select("request", "candidate", "score", "time", "rivals").groupBy("request").applyInPandas(choose, "request long, place long, candidate long")
+    c has request, candidate, ord, pref (whether both preferences hold), aggression, time and the metrics of ``material``; shares
+    has pairs (request, a, b, share) with edges in common; required has request, candidate. Routes are ordered by ord,
+    -aggression, time. Six or fewer are all taken. Else the first is, then three times the one that
+    differs from all taken ones and has the greatest sum of its least difference in edges, a fifth of its least distance in ord / 4, and
+    0.08 for both preferences; then the last, if it differs. Required routes that are missing fill free places, and
+    take those of the last ones that are not required. Every step is a grouped maximum and an anti-join.
+    """
+    from .graph import cut_lineage
+
+    order = F.row_number().over(Window.partitionBy("request").orderBy("ord", F.desc("aggression"), "time", "candidate"))
+    ranked = c.withColumn("place", order).withColumn("n", F.count("*").over(Window.partitionBy("request")))
+    ranked = cut_lineage(ranked)
+    sides = shares.select("request", "a", "b", "share").union(shares.select("request", F.col("b"), F.col("a"), "share"))
+    x, y = ranked.alias("a"), ranked.alias("b")
+    j = sides.join(x, (sides["request"] == F.col("a.request")) & (sides["a"] == F.col("a.candidate"))).join(y, (sides["request"] == F.col("b.request")) & (sides["b"] == F.col("b.candidate")))
+    same = ~((F.col("share") < 0.96) | (F.col("share") < 0.99) & material())
+    met = cut_lineage(j.select(sides["request"], F.col("a.candidate").alias("candidate"), F.col("b.candidate").alias("other"), "share", same.alias("same")))
+    small = ranked.where(F.col("n") <= MOST_OFFERED)
+    large = ranked.where(F.col("n") > MOST_OFFERED).select("request", "candidate", "place", "n", "ord", "pref")
+    taken = large.where("place = 1").select("request", "candidate", "ord", F.lit(1).alias("slot"))
+    pool = large.where("place > 1 and place < n").select("request", "candidate", "place", "ord", "pref", F.lit(1.0).alias("apart"), F.lit(1e9).alias("spread"))
+    newest = taken
+    for slot in range(2, MOST_OFFERED - 1):
+        last = newest.select("request", F.col("candidate").alias("other"), F.col("ord").alias("other_ord"))
+        near = pool.join(last, "request").join(met, ["request", "candidate", "other"], "left").where(~F.coalesce("same", F.lit(False)))
+        pool = cut_lineage(near.select("request", "candidate", "place", "ord", "pref", F.least("apart", 1 - F.coalesce("share", F.lit(0.0))).alias("apart"), F.least("spread", F.abs(F.col("ord") - F.col("other_ord")).cast("double")).alias("spread")))
+        worth = F.round(F.col("apart") + F.col("spread") / 4 * 0.2 + F.when(F.col("pref"), 0.08).otherwise(0.0), 9)
+        newest = pool.groupBy("request").agg(F.max(F.struct(worth.alias("w"), (-F.col("place")).alias("p"), "candidate", "ord")).alias("b")).select("request", "b.candidate", "b.ord", F.lit(slot).alias("slot"))
+        newest = cut_lineage(newest)
+        taken = taken.union(newest)
+        pool = pool.join(newest.select("request", "candidate"), ["request", "candidate"], "left_anti")
+    end = large.where("place = n").select("request", "candidate", "ord", F.lit(MOST_OFFERED).alias("slot"))
+    clash = end.select("request", "candidate").join(met.where("same"), ["request", "candidate"]).join(taken.select("request", F.col("candidate").alias("other")), ["request", "other"]).select("request", "candidate")
+    taken = cut_lineage(taken.union(end.join(clash, ["request", "candidate"], "left_anti")).select("request", "candidate", "slot").union(small.select("request", "candidate", F.col("place").alias("slot"))))
+    wanted = required.select("request", "candidate").distinct().withColumn("required", F.lit(True))
+    have = taken.join(wanted, ["request", "candidate"], "left").withColumn("required", F.coalesce("required", F.lit(False)))
+    missing = wanted.join(taken, ["request", "candidate"], "left_anti").groupBy("request").agg(F.count("*").alias("missing"))
+    by_request = Window.partitionBy("request")
+    spare = have.join(missing, "request", "left").withColumn("free", MOST_OFFERED - F.count("*").over(by_request))
+    from_end = F.row_number().over(by_request.orderBy("required", F.desc("slot")))
+    goes = (~F.col("required")) & (F.col("from_end") <= F.greatest(F.lit(0), F.coalesce("missing", F.lit(0)) - F.col("free")))
+    kept = spare.withColumn("from_end", from_end).where(~goes).select("request", "candidate", "required")
+    return kept.union(wanted.join(taken, ["request", "candidate"], "left_anti").select("request", "candidate", "required"))
 
 
 #: Metrics of a section-frontier label, smaller is better, and the weight of each in the practical order.

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from roadlattice.functions import geo
 
+from .graph import cut_lineage
+
 #: Fixed distances of the matchers.
 SPAN_M, SPAN_GAP, SAMPLES, LEAST_SAMPLES = 18.0, 40.0, 5, 3
 SNAP_PREFERENCE_M, BLOCK_M, SEAM_M, TERMINAL_M = 300.0, 16.0, 2.0, 250.0
@@ -73,34 +75,35 @@ def near_points(left: DataFrame, right: DataFrame, within_m: float) -> DataFrame
 
 
 def nearest_node(points: DataFrame, nodes: DataFrame, cells_size: float = 0.01) -> DataFrame:
-    """points(point_id, lon, lat) -> nearest node: a local node within 300 m of the nearest one is preferred.
+    """points(point_id, lon, lat) -> (point_id, node, m): the nearest node; a local one within 300 m of the nearest is preferred.
 
-    Rings of cells about each point grow until one has a node; a last join takes all nodes within that reach plus the
-    preference, so no point meets all nodes.
+    Rings of cells about each point grow until they hold everything as near as the nearest node found and the preference. Points
+    that are still open meet cells eight times as wide, up to the whole earth. Without nodes node and m are null.
     """
-    n = nodes.select("node", F.col("lon").alias("n_lon"), F.col("lat").alias("n_lat"), "local").withColumn("c", geo.cell(F.col("n_lon"), F.col("n_lat"), cells_size))
-    open_points, found = points, None
-    for reach in (1, 2, 4, 8, 16, 32):
-        ring = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)]) if reach <= 2 else None
-        if ring is None:
-            ring = F.flatten(F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda i: F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-        c = geo.cell(F.col("lon"), F.col("lat"), cells_size)
-        cells = open_points.withColumn("c", F.explode(F.transform(ring, lambda m: F.struct((c["cx"] + m["i"]).alias("cx"), (c["cy"] + m["j"]).alias("cy")))))
-        m = F.round(geo.haversine_m(F.col("lon"), F.col("lat"), F.col("n_lon"), F.col("n_lat")), 3)
-        near = cells.join(n, "c").withColumn("m", m)
-        # cells at reach r hold everything within r cells; narrower in longitude
-        sure = F.lit(reach * cells_size * geo.LON_M) * F.cos(F.radians(F.col("lat"))) - SNAP_PREFERENCE_M
-        best = near.groupBy("point_id").agg(
-            F.min(F.struct("m", "node")).alias("near"), F.min(F.when(F.col("local"), F.struct("m", "node"))).alias("own"), F.min(sure).alias("sure")
-        )
-        done = best.where("near.m <= sure")
-        pick = F.when(F.col("own.m") <= F.col("near.m") + SNAP_PREFERENCE_M, F.col("own")).otherwise(F.col("near"))
-        part = done.select("point_id", pick.alias("p")).select("point_id", "p.node", "p.m")
-        found = part if found is None else found.union(part)
-        open_points = open_points.join(done, "point_id", "left_anti")
-        if open_points.isEmpty():
-            break
-    return found
+    n = nodes.select("node", F.col("lon").alias("n_lon"), F.col("lat").alias("n_lat"), "local")
+    open_points, found, size = points, None, cells_size
+    while True:
+        whole = size >= 360
+        placed = n.withColumn("c", geo.cell(F.col("n_lon"), F.col("n_lat"), size))
+        for reach in (1, 3):
+            steps = F.sequence(F.lit(-reach), F.lit(reach))
+            c = geo.cell(F.col("lon"), F.col("lat"), size)
+            ring = F.flatten(F.transform(steps, lambda i: F.transform(steps, lambda j: F.struct((c["cx"] + i).alias("cx"), (c["cy"] + j).alias("cy")))))
+            near = open_points.withColumn("c", F.explode(ring)).join(placed, "c")
+            near = near.withColumn("m", F.round(geo.haversine_m(F.col("lon"), F.col("lat"), F.col("n_lon"), F.col("n_lat")), 3))
+            # what lies outside the ring is at least so far away; cells are narrower towards the poles
+            sure = F.lit(reach * size * geo.LAT_M) * F.cos(F.radians(F.least(F.lit(90.0), F.abs(F.col("lat")) + reach * size))) - SNAP_PREFERENCE_M
+            best = near.groupBy("point_id").agg(F.min(F.struct("m", "node")).alias("near"), F.min(F.when(F.col("local"), F.struct("m", "node"))).alias("own"), F.min(sure).alias("sure"))
+            done = best if whole else best.where("near.m <= sure")
+            pick = F.when(F.col("own.m") <= F.col("near.m") + SNAP_PREFERENCE_M, F.col("own")).otherwise(F.col("near"))
+            part = cut_lineage(done.select("point_id", pick.alias("p")).select("point_id", "p.node", "p.m"))
+            found = part if found is None else found.union(part)
+            open_points = cut_lineage(open_points.join(part, "point_id", "left_anti"))
+            if open_points.isEmpty():
+                return found
+        if whole:
+            return found.union(open_points.select("point_id", F.lit(None).cast("long").alias("node"), F.lit(None).cast("double").alias("m")))
+        size *= 8
 
 
 def blocked_edges(blocks: DataFrame, edges: DataFrame, within_m: float = BLOCK_M, reach_m: float = 400.0) -> DataFrame:

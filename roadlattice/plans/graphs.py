@@ -33,29 +33,29 @@ def node_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.degrees(view(spark, sf_dir, "grid_edges"))
 
 
-#: A sparser graph with many components: every third edge goes.
-SPARSE = "(edge_id % 3 <> 0 AND NOT prohibited AND edge_id % 7 <> 1)"
-_COMP = f"""WITH RECURSIVE E AS (SELECT a, b FROM grid_edges WHERE {SPARSE} UNION ALL SELECT b, a FROM grid_edges WHERE {SPARSE}),
+#: Edges that may be ridden.
+OPEN = "NOT prohibited"
+_COMP = f"""WITH RECURSIVE E AS (SELECT a, b FROM grid_edges WHERE {OPEN} UNION ALL SELECT b, a FROM grid_edges WHERE {OPEN}),
 L(node, c) USING KEY (node) AS (SELECT node, node AS c FROM grid_nodes UNION SELECT e.b, min(l.c) FROM L l JOIN E e ON e.a = l.node JOIN recurring.L r ON r.node = e.b WHERE l.c < r.c GROUP BY e.b)"""
 
 
-def _sparse(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return view(spark, sf_dir, "grid_edges").where(SPARSE), view(spark, sf_dir, "grid_nodes").select("node")
+def _open(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return view(spark, sf_dir, "grid_edges").where(OPEN), view(spark, sf_dir, "grid_nodes").select("node")
 
 
 @query(f"{_COMP} SELECT node, c AS component FROM L")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.components(*_sparse(spark, sf_dir))
+    return G.components(*_open(spark, sf_dir))
 
 
 @query(f"{_COMP} SELECT c AS component, count(*) AS size FROM L GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
 def giant_component(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.giant(G.components(*_sparse(spark, sf_dir)))
+    return G.giant(G.components(*_open(spark, sf_dir)))
 
 
-@query(f"""{_COMP}, K AS (SELECT DISTINCT c FROM L JOIN grid_edges g ON g.a = L.node WHERE {SPARSE} AND g.designated) SELECT node, row_number() OVER (ORDER BY node) - 1 AS new_id FROM L JOIN K USING (c)""")
+@query(f"""{_COMP}, K AS (SELECT DISTINCT c FROM L JOIN grid_edges g ON g.a = L.node WHERE {OPEN} AND g.designated) SELECT node, row_number() OVER (ORDER BY node) - 1 AS new_id FROM L JOIN K USING (c)""")
 def prune_walk_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, nodes = _sparse(spark, sf_dir)
+    edges, nodes = _open(spark, sf_dir)
     return G.pruned(edges, nodes, F.col("designated"))[1]
 
 

@@ -107,9 +107,33 @@ def cut_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.cut_points(paths.groupBy("request", "route", "node").agg(F.min("seq").alias("seq")))
 
 
-@query()
+_SIX = f"""WITH {SCORED}, {CORRIDOR}, RANKED AS (SELECT *, candidate % 5 = 0 AS pref, row_number() OVER (PARTITION BY request ORDER BY ord, aggression DESC, time, candidate) AS place, count(*) OVER (PARTITION BY request) AS n FROM SCORED),
+SIDES AS (SELECT request, a, b, share FROM CORRIDOR UNION ALL SELECT request, b, a, share FROM CORRIDOR),
+MET AS (SELECT s.request, s.a AS candidate, s.b AS other, s.share, NOT (s.share < 0.96 OR (s.share < 0.99 AND (abs(x.fail - y.fail) >= 60 OR abs(x.freeway - y.freeway) >= 60 OR abs(x.limited - y.limited) >= greatest(120.0, greatest(250.0, 0.08 * least(x.dist, y.dist)) / 2) OR abs(x.mtb - y.mtb) >= 40 OR (x.dismount > 0) <> (y.dismount > 0)
+  OR greatest(abs(x.facility - y.facility), abs(x.trail - y.trail), abs(x.designated - y.designated), abs(x.residential - y.residential)) >= greatest(250.0, 0.08 * least(x.dist, y.dist)) OR abs(x.hazard - y.hazard) >= 50))) AS same
+  FROM SIDES s JOIN SCORED x ON x.request = s.request AND x.candidate = s.a JOIN SCORED y ON y.request = s.request AND y.candidate = s.b),
+T1 AS (SELECT request, candidate, ord, 1 AS slot FROM RANKED WHERE n > 6 AND place = 1),
+P1 AS (SELECT request, candidate, place, ord, pref, 1.0 AS apart, 1e9 AS spread FROM RANKED WHERE n > 6 AND place > 1 AND place < n)"""
+for _k in (2, 3, 4):
+    _SIX += f""",
+Q{_k} AS (SELECT p.request, p.candidate, p.place, p.ord, p.pref, least(p.apart, 1 - coalesce(m.share, 0)) AS apart, least(p.spread, CAST(abs(p.ord - t.ord) AS DOUBLE)) AS spread FROM P{_k - 1} p JOIN T{_k - 1} t ON t.request = p.request AND t.slot = {_k - 1}
+  LEFT JOIN MET m ON m.request = p.request AND m.candidate = p.candidate AND m.other = t.candidate WHERE NOT coalesce(m.same, false)),
+T{_k} AS (SELECT request, candidate, ord, {_k} AS slot FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY round(apart + spread / 4 * 0.2 + CASE WHEN pref THEN 0.08 ELSE 0 END, 9) DESC, place) AS k FROM Q{_k}) WHERE k = 1),
+P{_k} AS (SELECT q.* FROM Q{_k} q ANTI JOIN T{_k} t ON t.request = q.request AND t.candidate = q.candidate)"""
+
+
+@query(f"""{_SIX}, T AS (SELECT * FROM T1 UNION ALL SELECT * FROM T2 UNION ALL SELECT * FROM T3 UNION ALL SELECT * FROM T4), LASTS AS (SELECT request, candidate, ord, 6 AS slot FROM RANKED WHERE n > 6 AND place = n),
+TAKEN AS (SELECT request, candidate, slot FROM T UNION ALL SELECT request, candidate, slot FROM LASTS l WHERE NOT EXISTS (SELECT 1 FROM MET m JOIN T ON T.request = m.request AND T.candidate = m.other WHERE m.request = l.request AND m.candidate = l.candidate AND m.same) UNION ALL SELECT request, candidate, place FROM RANKED WHERE n <= 6),
+NEED AS (SELECT DISTINCT request, candidate FROM (SELECT request, arg_min(candidate, (time, candidate)) AS candidate FROM SCORED GROUP BY 1 UNION ALL SELECT request, arg_min(candidate, (fail, candidate)) FROM SCORED GROUP BY 1 UNION ALL SELECT request, arg_min(candidate, (score, candidate)) FROM SCORED GROUP BY 1)),
+HAVE AS (SELECT t.*, n.candidate IS NOT NULL AS required FROM TAKEN t LEFT JOIN NEED n ON n.request = t.request AND n.candidate = t.candidate), MISSING AS (SELECT n.request, count(*) AS missing FROM NEED n ANTI JOIN TAKEN t ON t.request = n.request AND t.candidate = n.candidate GROUP BY 1),
+R AS (SELECT h.*, row_number() OVER (PARTITION BY h.request ORDER BY required, slot DESC) AS from_end, 6 - count(*) OVER (PARTITION BY h.request) AS free, coalesce(m.missing, 0) AS missing FROM HAVE h LEFT JOIN MISSING m USING (request))
+SELECT request, candidate, required FROM R WHERE required OR from_end > greatest(0, missing - free) UNION ALL SELECT n.request, n.candidate, true FROM NEED n ANTI JOIN TAKEN t ON t.request = n.request AND t.candidate = n.candidate""")
 def select_six(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.select_six(_candidates(spark, sf_dir), _corridor(spark, sf_dir))
+    """Fastest, safest and best-scored routes are required."""
+    c = _candidates(spark, sf_dir).withColumn("pref", F.col("candidate") % 5 == 0)
+    best = c.groupBy("request").agg(*[F.min(F.struct(k, "candidate"))["candidate"].alias(k) for k in ("time", "fail", "score")])
+    required = best.select("request", F.explode(F.array("time", "fail", "score")).alias("candidate"))
+    return P.select_six(c, _corridor(spark, sf_dir), required)
 
 
 @query()

@@ -62,10 +62,18 @@ def way_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.split_at_junctions(refs)
 
 
-@query(f"""WITH {WAYS}, M AS (SELECT way_id AS edge_id, lon1, lat1, lon2, lat2, sqrt(pow((lon2 - lon1) * 111320.0 * cos(radians(lat1)), 2) + pow((lat2 - lat1) * 110540.0, 2)) AS m FROM WAYS), K AS (SELECT *, greatest(1, CAST(ceil(round(m, 6) / 120) AS BIGINT)) AS parts FROM M),
-X AS (SELECT *, unnest(range(0, parts + 1)) AS k FROM K) SELECT edge_id, k, round(lon1 + CASE WHEN k = parts THEN 1.0 ELSE k * 120 / m END * (lon2 - lon1), 8) AS lon, round(lat1 + CASE WHEN k = parts THEN 1.0 ELSE k * 120 / m END * (lat2 - lat1), 8) AS lat FROM X""")
+#: Each row of the grid is a way of short segments.
+_ROWS = "ROWS_ AS (SELECT gy AS way_id, gx AS pos, lon, lat FROM grid_nodes)"
+_HAV = "2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians({3} - {1}) / 2), 2) + cos(radians({1})) * cos(radians({3})) * pow(sin(radians({2} - {0}) / 2), 2))))"
+
+
+@query(f"""WITH {_ROWS}, S AS (SELECT *, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2 FROM ROWS_ WINDOW w AS (PARTITION BY way_id ORDER BY pos)),
+M AS (SELECT *, CASE WHEN lon2 IS NULL THEN 0.0 ELSE round({_HAV.format('lon', 'lat', 'lon2', 'lat2')}, 6) END AS m FROM S), E AS (SELECT *, sum(m) OVER (PARTITION BY way_id ORDER BY pos) AS e FROM M),
+X AS (SELECT way_id, pos, 0 AS k, lon, lat, false AS added FROM E UNION ALL SELECT way_id, pos, k, lon + greatest(0.0, (k * 120 - (e - m)) / m) * (lon2 - lon), lat + greatest(0.0, (k * 120 - (e - m)) / m) * (lat2 - lat), true FROM E, range(1, 200) AS r(k) WHERE m > 0 AND k >= ceil(round((e - m) / 120, 9)) AND k <= ceil(round(e / 120, 9)) - 1)
+SELECT way_id, row_number() OVER (PARTITION BY way_id ORDER BY pos, k) AS seq, round(lon, 8) AS lon, round(lat, 8) AS lat, added FROM X""")
 def densify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.densified(ways(spark, sf_dir).select("edge_id", "lon1", "lat1", "lon2", "lat2")).select("edge_id", F.col("k").cast("long").alias("k"), F.round("lon", 8).alias("lon"), F.round("lat", 8).alias("lat"))
+    n = view(spark, sf_dir, "grid_nodes").select(F.col("gy").alias("way_id"), F.col("gx").alias("pos"), "lon", "lat")
+    return L.densified(n).select("way_id", F.col("seq").cast("long").alias("seq"), F.round("lon", 8).alias("lon"), F.round("lat", 8).alias("lat"), "added")
 
 
 @query("""WITH RECURSIVE P AS (SELECT CAST(floor(p_partkey / 40) AS BIGINT) AS r, p_partkey % 40 AS i, p_size AS e FROM part),
@@ -88,6 +96,31 @@ def simplified_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _zigzag(spark, sf_dir).select("id", F.size(L.simplify()(F.col("line"))).cast("long").alias("vertices"))
 
 
-@query()
+#: Bends of nine vertices that climb: by the customer's number more or less sharp, steep, fast and wide.
+_BENDS = """BENDS AS (SELECT c_custkey AS id, 25 + 5 * (c_custkey % 6) AS mph, CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 6 END AS shoulder, c_custkey % 3 AS facility, i, -122.0 + 0.00015 * i * CASE WHEN i > 4 AND c_custkey % 5 > 2 THEN 0.5 ELSE 1.0 END AS lon,
+  47.0 + 0.00002 * (c_custkey % 5) * greatest(0, i - 3) * greatest(0, i - 3) AS lat, CAST((c_custkey % 9) * i AS DOUBLE) / 8 AS ele FROM customer, range(0, 9) AS r(i))"""
+
+
+def _way(name: str, order: str) -> str:
+    """The rule along one direction, in SQL: window ends, turn and grade of each inner vertex."""
+    return f"""{name}V AS (SELECT id, mph, shoulder, facility, row_number() OVER (PARTITION BY id ORDER BY i {order}) - 1 AS j, lon, lat, ele FROM BENDS),
+{name}S AS (SELECT *, lag(lon) OVER w AS lon0, lag(lat) OVER w AS lat0 FROM {name}V WINDOW w AS (PARTITION BY id ORDER BY j)),
+{name}A AS (SELECT *, sum(CASE WHEN lon0 IS NULL THEN 0.0 ELSE {_HAV.format('lon0', 'lat0', 'lon', 'lat')} END) OVER (PARTITION BY id ORDER BY j) AS run_m, degrees(atan2((lon - lon0) * cos(radians((lat0 + lat) / 2)), lat - lat0)) AS h FROM {name}S),
+{name}T AS (SELECT *, coalesce(abs(((lead(h) OVER w - h + 180) - 360 * floor((lead(h) OVER w - h + 180) / 360)) - 180), 0.0) AS turn FROM {name}A WINDOW w AS (PARTITION BY id ORDER BY j)),
+{name}W AS (SELECT c.id, c.j, c.mph, c.shoulder, c.facility, coalesce((SELECT max(x.j) FROM {name}A x WHERE x.id = c.id AND x.run_m <= c.run_m - 35), 0) AS lo, coalesce((SELECT min(x.j) FROM {name}A x WHERE x.id = c.id AND x.run_m >= c.run_m + 35), 8) AS hi, (SELECT max(run_m) FROM {name}A x WHERE x.id = c.id) AS whole FROM {name}A c WHERE c.j BETWEEN 1 AND 7),
+{name}G AS (SELECT w.*, (SELECT run_m FROM {name}A x WHERE x.id = w.id AND x.j = w.hi) - (SELECT run_m FROM {name}A x WHERE x.id = w.id AND x.j = w.lo) AS m, (SELECT coalesce(sum(turn), 0) FROM {name}T x WHERE x.id = w.id AND x.j > w.lo AND x.j < w.hi) AS turn,
+  (SELECT ele FROM {name}A x WHERE x.id = w.id AND x.j = w.hi) - (SELECT ele FROM {name}A x WHERE x.id = w.id AND x.j = w.lo) AS rise FROM {name}W w),
+{name}L AS (SELECT id, j, lo, hi, CASE WHEN mph < 30 OR facility >= 2 OR whole < 35 OR m < 30 OR turn < 30 OR rise / m < 0.03 THEN 0 ELSE greatest(0, least(3, CASE WHEN turn >= 75 AND rise / m >= 0.055 THEN 3 WHEN turn >= 50 OR rise / m >= 0.05 THEN 2 ELSE 1 END
+  + CASE WHEN mph >= 45 THEN 1 ELSE 0 END + CASE WHEN shoulder IS NULL THEN -1 WHEN shoulder >= 4 THEN -2 WHEN shoulder <= 1 AND mph >= 40 THEN 1 ELSE 0 END)) END AS level FROM {name}G),
+{name}B AS (SELECT id, level, CASE WHEN level > 0 THEN lo ELSE 0 END AS lo, CASE WHEN level > 0 THEN hi ELSE 0 END AS hi FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY level DESC, j) AS k FROM {name}L) WHERE k = 1)"""
+
+
+@query(f"""WITH {_BENDS}, {_way('F', '')}, {_way('R', 'DESC')}
+SELECT f.id, CAST(f.level AS BIGINT) AS ab, CAST(r.level AS BIGINT) AS ba, CAST(f.lo AS BIGINT) AS ab_first, CAST(f.hi AS BIGINT) AS ab_last, CAST(CASE WHEN r.level > 0 THEN 8 - r.hi ELSE 0 END AS BIGINT) AS ba_first, CAST(CASE WHEN r.level > 0 THEN 8 - r.lo ELSE 0 END AS BIGINT) AS ba_last FROM FB f JOIN RB r USING (id)""")
 def curve_hazards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _zigzag(spark, sf_dir).select("id", L.curve_hazard()(F.col("line")).alias("severity"), F.round(geo.length_m(F.col("line")), 3).alias("metres"))
+    c = F.col("c_custkey")
+    up = lambda i: F.greatest(F.lit(0), i - 3).cast("double")
+    line = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.struct((F.lit(-122.0) + F.lit(0.00015) * i * F.when((i > 4) & (c % 5 > 2), 0.5).otherwise(1.0)).alias("lon"), (F.lit(47.0) + F.lit(0.00002) * (c % 5) * up(i) * up(i)).alias("lat")))
+    ele = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: ((c % 9) * i).cast("double") / 8)
+    h = L.curve_hazard()(line, ele, (25 + 5 * (c % 6)).cast("int"), F.when(c % 4 > 0, c % 6).cast("int"), (c % 3).cast("int"))
+    return read(spark, sf_dir, "customer").select(c.alias("id"), h.alias("h")).select("id", *[F.col(f"h.{n}").cast("long").alias(n) for n in ("ab", "ba", "ab_first", "ab_last", "ba_first", "ba_last")])

@@ -37,26 +37,26 @@ def splice_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.splice_estimates(R.prefix_sums(seg, ["len_m", "mph"]), cuts, ["len_m", "mph"])
 
 
-@query(f"""WITH {WAYS}, N AS (SELECT node AS end_id, lon, lat FROM grid_nodes WHERE node % 333 = 5), X AS (SELECT w.way_id AS edge_id, w.lon1 AS lon, w.lat1 AS lat FROM WAYS w JOIN grid_edges e ON e.edge_id = w.way_id WHERE NOT e.freeway AND e.len_m <= 800 UNION ALL SELECT w.way_id, w.lon2, w.lat2 FROM WAYS w JOIN grid_edges e ON e.edge_id = w.way_id WHERE NOT e.freeway AND e.len_m <= 800)
+@query(f"""WITH {WAYS}, N AS (SELECT node AS end_id, lon, lat FROM grid_nodes), X AS (SELECT w.way_id AS edge_id, w.lon1 AS lon, w.lat1 AS lat FROM WAYS w JOIN grid_edges e ON e.edge_id = w.way_id WHERE NOT e.freeway AND e.len_m <= 800 UNION ALL SELECT w.way_id, w.lon2, w.lat2 FROM WAYS w JOIN grid_edges e ON e.edge_id = w.way_id WHERE NOT e.freeway AND e.len_m <= 800)
 SELECT DISTINCT end_id, edge_id FROM X JOIN N ON {PLANE.format('X.lon', 'X.lat', 'N.lon', 'N.lat')} <= 300""")
 def terminal_access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ends = view(spark, sf_dir, "grid_nodes").where("node % 333 = 5").select(F.col("node").alias("end_id"), "lon", "lat")
+    ends = view(spark, sf_dir, "grid_nodes").select(F.col("node").alias("end_id"), "lon", "lat")
     return R.terminal_access(ways(spark, sf_dir), ends)
 
 
-@query(f"""WITH {WAYS}, V AS (SELECT way_id AS edge_id, p % 7 AS ref, lon1 AS lon, lat1 AS lat FROM WAYS UNION ALL SELECT way_id, p % 7, lon2, lat2 FROM WAYS), N AS (SELECT node % 7 AS r_ref, lon + 0.00002 * (node % 13) AS r_lon, lat AS r_lat FROM grid_nodes WHERE node % 11 = 0)
+@query(f"""WITH {WAYS}, V AS (SELECT way_id AS edge_id, p % 7 AS ref, lon1 AS lon, lat1 AS lat FROM WAYS UNION ALL SELECT way_id, p % 7, lon2, lat2 FROM WAYS), N AS (SELECT node % 7 AS r_ref, lon + 0.00002 * (node % 13) AS r_lon, lat AS r_lat FROM grid_nodes)
 SELECT DISTINCT edge_id FROM V JOIN N ON abs(lon - r_lon) < 0.001 AND abs(lat - r_lat) < 0.001 AND (sqrt(pow(lon - r_lon, 2) + pow(lat - r_lat, 2)) <= 0.00004 OR (ref = r_ref AND sqrt(pow(lon - r_lon, 2) + pow(lat - r_lat, 2)) <= 0.00035))""")
 def restricted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = ways(spark, sf_dir)
     v = w.select("edge_id", (F.col("p") % 7).alias("ref"), F.col("lon1").alias("lon"), F.col("lat1").alias("lat")).union(w.select("edge_id", F.col("p") % 7, "lon2", "lat2"))
-    r = view(spark, sf_dir, "grid_nodes").where("node % 11 = 0").select((F.col("node") % 7).alias("r_ref"), F.expr("lon + 0.00002 * (node % 13)").cast("double").alias("r_lon"), F.col("lat").alias("r_lat"))
+    r = view(spark, sf_dir, "grid_nodes").select((F.col("node") % 7).alias("r_ref"), F.expr("lon + 0.00002 * (node % 13)").cast("double").alias("r_lon"), F.col("lat").alias("r_lat"))
     return R.restricted(v, r)
 
 
-@query(f"""WITH N AS (SELECT * FROM grid_nodes WHERE node % 97 = 0), M AS (SELECT * FROM grid_nodes) SELECT N.node AS l_id, M.node AS r_id FROM N JOIN M ON {PLANE.format('N.lon', 'N.lat', 'M.lon', 'M.lat')} <= 250""")
+@query(f"""WITH N AS (SELECT * FROM grid_nodes), M AS (SELECT * FROM grid_nodes) SELECT N.node AS l_id, M.node AS r_id FROM N JOIN M ON {PLANE.format('N.lon', 'N.lat', 'M.lon', 'M.lat')} <= 250""")
 def terminal_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = view(spark, sf_dir, "grid_nodes")
-    left = n.where("node % 97 = 0").select(F.col("node").alias("l_id"), "lon", "lat")
+    left = n.select(F.col("node").alias("l_id"), "lon", "lat")
     return S.near_points(left, n.select(F.col("node").alias("r_id"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat")), S.TERMINAL_M).select("l_id", "r_id")
 
 

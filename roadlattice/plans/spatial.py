@@ -44,20 +44,20 @@ def best_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.best_count(m, "key")
 
 
-@query("""WITH S AS (SELECT o_orderkey AS seg, o_custkey % 30 AS route, o_orderkey % 1000 AS b, o_orderkey % 1000 + o_custkey % 7 AS e FROM orders), R AS (SELECT c_custkey % 30 AS route, c_custkey * 7 % 1000 AS b, c_custkey * 7 % 1000 + 3 AS e FROM customer WHERE c_custkey % 10 = 0)
+@query("""WITH S AS (SELECT o_orderkey AS seg, o_custkey % 30 AS route, o_orderkey % 1000 AS b, o_orderkey % 1000 + o_custkey % 7 AS e FROM orders), R AS (SELECT c_custkey % 30 AS route, c_custkey * 7 % 1000 AS b, c_custkey * 7 % 1000 + 3 AS e FROM customer)
 SELECT seg FROM S WHERE EXISTS (SELECT 1 FROM R WHERE R.route = S.route AND S.b < R.e AND S.e > R.b)""")
 def milepost_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seg"), (F.col("o_custkey") % 30).alias("route"), (F.col("o_orderkey") % 1000).alias("begin"), (F.col("o_orderkey") % 1000 + F.col("o_custkey") % 7).alias("end"))
-    r = read(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select((F.col("c_custkey") % 30).alias("route"), (F.col("c_custkey") * 7 % 1000).alias("begin"), (F.col("c_custkey") * 7 % 1000 + 3).alias("end"))
+    r = read(spark, sf_dir, "customer").select((F.col("c_custkey") % 30).alias("route"), (F.col("c_custkey") * 7 % 1000).alias("begin"), (F.col("c_custkey") * 7 % 1000 + 3).alias("end"))
     return S.milepost_overlap(s, r).select("seg")
 
 
-POINTS = "POINTS AS (SELECT c_custkey AS point_id, -122.5 + 0.0001 * (c_custkey * 7 % 780) AS lon, 47.3 + 0.0001 * (c_custkey * 11 % 730) AS lat FROM customer WHERE c_custkey % 15 = 0)"
+POINTS = "POINTS AS (SELECT c_custkey AS point_id, -122.5 + 0.0001 * (c_custkey * 7 % 780) AS lon, 47.3 + 0.0001 * (c_custkey * 11 % 730) AS lat FROM customer)"
 HAV = "2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians({3} - {1}) / 2), 2) + cos(radians({1})) * cos(radians({3})) * pow(sin(radians({2} - {0}) / 2), 2))))"
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "customer").where("c_custkey % 15 = 0").select(F.col("c_custkey").alias("point_id"), F.expr("CAST(-122.5 + 0.0001 * (c_custkey * 7 % 780) AS DOUBLE)").alias("lon"), F.expr("CAST(47.3 + 0.0001 * (c_custkey * 11 % 730) AS DOUBLE)").alias("lat"))
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("point_id"), F.expr("CAST(-122.5 + 0.0001 * (c_custkey * 7 % 780) AS DOUBLE)").alias("lon"), F.expr("CAST(47.3 + 0.0001 * (c_custkey * 11 % 730) AS DOUBLE)").alias("lat"))
 
 
 @query(f"""WITH {POINTS}, D AS (SELECT point_id, node, node % 3 = 0 AS local, round({HAV.format('CAST(p.lon AS DOUBLE)', 'CAST(p.lat AS DOUBLE)', 'n.lon', 'n.lat')}, 3) AS m FROM POINTS p, grid_nodes n),
@@ -68,14 +68,14 @@ def nearest_node(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PS = """sqrt(pow(x1 + t * (x2 - x1), 2) + pow(y1 + t * (y2 - y1), 2))"""
-BLOCKS = f"""WITH {POINTS}, {WAYS}, BP AS (SELECT * FROM POINTS WHERE point_id % 45 = 0), X AS (SELECT point_id AS block_id, way_id AS edge_id, (lon1 - CAST(lon AS DOUBLE)) * 111320.0 * cos(radians(CAST(lat AS DOUBLE))) AS x1, (lat1 - CAST(lat AS DOUBLE)) * 110540.0 AS y1,
-  (lon2 - CAST(lon AS DOUBLE)) * 111320.0 * cos(radians(CAST(lat AS DOUBLE))) AS x2, (lat2 - CAST(lat AS DOUBLE)) * 110540.0 AS y2 FROM BP, WAYS),
+BLOCKS = f"""WITH {POINTS}, {WAYS}, X AS (SELECT point_id AS block_id, way_id AS edge_id, (lon1 - CAST(lon AS DOUBLE)) * 111320.0 * cos(radians(CAST(lat AS DOUBLE))) AS x1, (lat1 - CAST(lat AS DOUBLE)) * 110540.0 AS y1,
+  (lon2 - CAST(lon AS DOUBLE)) * 111320.0 * cos(radians(CAST(lat AS DOUBLE))) AS x2, (lat2 - CAST(lat AS DOUBLE)) * 110540.0 AS y2 FROM POINTS, WAYS),
 T AS (SELECT *, greatest(0.0, least(1.0, -(x1 * (x2 - x1) + y1 * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) AS t FROM X), M AS (SELECT block_id, edge_id, round({_PS}, 6) AS m FROM T), K AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY m, edge_id) AS k FROM M WHERE m <= 400)"""
 
 
 @query(f"{BLOCKS} SELECT block_id, edge_id, round(m, 3) AS m FROM K WHERE m <= 16 OR k = 1")
 def road_block_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = _points(spark, sf_dir).where("point_id % 45 = 0").withColumnRenamed("point_id", "block_id")
+    blocks = _points(spark, sf_dir).withColumnRenamed("point_id", "block_id")
     return S.blocked_edges(blocks, ways(spark, sf_dir).select("edge_id", "lon1", "lat1", "lon2", "lat2")).withColumn("m", F.round("m", 3))
 
 
@@ -118,13 +118,13 @@ def conservative_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.conservative(S.both_directions(_stress(spark, sf_dir)))
 
 
-#: Diamonds about every 90th node.
-@query(f"""WITH {WAYS}, A AS (SELECT node AS area, lon AS clon, lat AS clat FROM grid_nodes WHERE node % 90 = 0)
+#: Diamonds about the nodes.
+@query(f"""WITH {WAYS}, A AS (SELECT node AS area, lon AS clon, lat AS clat FROM grid_nodes)
 SELECT way_id, area FROM WAYS JOIN A ON abs(((lon1 + lon2) / 2) - clon) / 0.0033 + abs(((lat1 + lat2) / 2) - clat) / 0.0029 < 1""")
 def urban_midpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges whose midpoint lies within an area: joined by cells of the areas' bounds, then ray cast."""
     mid = ways(spark, sf_dir).select("way_id", ((F.col("lon1") + F.col("lon2")) / 2).alias("lon"), ((F.col("lat1") + F.col("lat2")) / 2).alias("lat"))
-    n = view(spark, sf_dir, "grid_nodes").where("node % 90 = 0").select(F.col("node").alias("area"), F.col("lon").alias("clon"), F.col("lat").alias("clat"))
+    n = view(spark, sf_dir, "grid_nodes").select(F.col("node").alias("area"), F.col("lon").alias("clon"), F.col("lat").alias("clat"))
     corner = lambda dx, dy: F.struct((F.col("clon") + dx).alias("lon"), (F.col("clat") + dy).alias("lat"))
     ring = F.array(corner(0.0033, 0.0), corner(0.0, 0.0029), corner(-0.0033, 0.0), corner(0.0, -0.0029), corner(0.0033, 0.0))
     size = 0.004

@@ -1,6 +1,7 @@
 """Sequence, graph and spatial operators on small fixtures."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,12 +68,72 @@ def test_section_frontier_switches_parents(spark):
 def test_lines(spark):
     ring = [(math.cos(t / 16 * 2 * math.pi) * 0.001, math.sin(t / 16 * 2 * math.pi) * 0.001) for t in range(17)]
     df = spark.createDataFrame([([{"lon": x, "lat": y} for x, y in ring],)], "line array<struct<lon:double,lat:double>>")
-    out = df.select(lines.simplify()("line").alias("s"), lines.curve_hazard()("line").alias("h")).first()
-    assert 4 <= len(out.s) <= 17 and out.h == 3
+    assert 4 <= len(df.select(lines.simplify()("line").alias("s")).first().s) <= 17
     up = spark.createDataFrame([([10, 11, 12, 11, 9],)], "e array<int>").select(lines.climbs(F.col("e")).alias("c")).first().c
     assert (up.up_m, up.down_m) == (2, 3)
 
 
+def test_curve_hazard(spark):
+    """A right-angled bend that climbs 6 %: severity by speed and shoulder, uphill only, none where there is a lane or the road is flat."""
+    bend = [{"lon": -122.0 + 0.0002 * min(i, 4), "lat": 47.0 + 0.00014 * max(0, i - 4)} for i in range(9)]
+    up, flat = [0.95 * i for i in range(9)], [0.0] * 9
+    rows = [(bend, up, 35, 2, 0), (bend, up, 50, 0, 0), (bend, up, 35, 6, 0), (bend, up, 35, None, 0), (bend, up, 25, 2, 0), (bend, up, 35, 2, 2), (bend, flat, 35, 2, 0), (bend[::-1], up[::-1], 35, 2, 0), (bend[:2], up[:2], 35, 2, 0)]
+    df = spark.createDataFrame(rows, "line array<struct<lon:double,lat:double>>, e array<double>, mph int, shoulder int, facility int").coalesce(1)
+    got = [(r.h.ab, r.h.ba) for r in df.select(lines.curve_hazard()("line", "e", "mph", "shoulder", "facility").alias("h")).collect()]
+    assert got == [(3, 0), (3, 0), (1, 0), (2, 0), (0, 0), (0, 0), (0, 0), (0, 3), (0, 0)]
+
+
+def test_nearest_node_far_away_and_without_nodes(spark):
+    points = spark.createDataFrame([(1, 0.0, 10.0), (2, -122.0, 47.0), (3, 179.0, -80.0)], "point_id long, lon double, lat double")
+    nodes = spark.createDataFrame([(7, -122.001, 47.0, False), (8, -122.003, 47.0, True), (9, 20.0, 10.0, False)], "node long, lon double, lat double, local boolean")
+    got = {r.point_id: r.node for r in spatial.nearest_node(points, nodes).collect()}
+    assert got[2] == 8 and got[1] == 9 and got[3] in (7, 8, 9)
+    assert [r.node for r in spatial.nearest_node(points, nodes.where("false")).collect()] == [None] * 3
+
+
+def test_skyline_in_blocks(spark):
+    rows = [(r, i, (i * 7919 + r) % 101, (i * 104729) % 97, (i * 31) % 89) for r in range(3) for i in range(120)]
+    df = spark.createDataFrame(rows, "request long, candidate long, x long, y long, z long")
+    best = lambda a, b: all(p <= q for p, q in zip(a, b)) and a != b
+    want = sorted((r[0], r[1]) for r in rows if not any(s[0] == r[0] and best(s[2:], r[2:]) for s in rows))
+    for block in (4096, 10):
+        assert sorted((r.request, r.candidate) for r in portfolio.skyline(df, ["x", "y", "z"], block=block).collect()) == want
+
+
+def test_distances_over_blocks_and_penalties(spark):
+    r = random.Random(5)
+    arcs = [(a, b, float(r.randint(1, 9))) for a in range(60) for b in {r.randrange(60), (a + 1) % 60} if a != b]
+    df = spark.createDataFrame(arcs, "src long, dst long, cost double")
+    dear = {(0, a, b): 3.0 for a, b, _ in arcs[::4]}
+    pen = spark.createDataFrame([(q, a, b, f) for (q, a, b), f in dear.items()], "request long, src long, dst long, factor double")
+
+    def plain(request, source):
+        best = {source: 0.0}
+        while True:
+            new = dict(best)
+            for a, b, c in arcs:
+                if a in best:
+                    new[b] = min(new.get(b, 1e9), best[a] + c * dear.get((request, a, b), 1.0))
+            if new == best:
+                return best
+            best = new
+
+    sources = spark.createDataFrame([(0, 3), (1, 3), (2, 40)], "request long, node long")
+    want = {(q, n): d for q, s in ((0, 3), (1, 3), (2, 40)) for n, d in plain(q, s).items()}
+    for block, parts in ((1 << 14, 1), (7, 2)):
+        best = graph.distances(df, sources, block_nodes=block, request_parts=parts, penalties=pen)
+        assert {(x.request, x.node): x.dist for x in best.collect()} == want
+        path = [x.node for x in graph.walked_back(best, spark.createDataFrame([(0, 20)], "request long, node long"), block_nodes=block).orderBy("steps_back").collect()]
+        cost = {(a, b): min(c for x, y, c in arcs if (x, y) == (a, b)) * dear.get((0, a, b), 1.0) for a, b, _ in arcs}
+        assert path[0] == 20 and path[-1] == 3 and sum(cost[b, a] for a, b in zip(path, path[1:])) == want[0, 20]
+
+
+def test_pruned(spark):
+    edges = spark.createDataFrame([(1, 2, False), (2, 3, True), (5, 6, False), (8, 9, True)], "a long, b long, ok boolean")
+    kept, numbers = graph.pruned(edges, spark.createDataFrame([(i,) for i in (1, 2, 3, 5, 6, 8, 9, 11)], "node long"), F.col("ok"))
+    assert {(r.node, r.new_id) for r in numbers.collect()} == {(1, 0), (2, 1), (3, 2), (8, 3), (9, 4)} and kept.count() == 3
+
+
 def test_geojson_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("a", None, "Point", "[1,2]")], "name string, note string, geometry_type string, coordinates string")
     etl.write_features(df, str(tmp_path / "out"))
