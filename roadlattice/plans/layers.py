@@ -140,7 +140,7 @@ def on_designated_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {WAYS}, P AS (SELECT node AS id, node % 7 AS ref, lon + 0.00003 * (node % 5) AS px, lat + 0.00005 * (node % 9) AS py FROM grid_nodes), G AS (SELECT w.way_id AS line_id, w.p % 7 AS g_ref, w.lon1 AS ax, w.lat1 AS ay, w.lon2 AS bx, w.lat2 AS by_ FROM WAYS w JOIN grid_edges e ON e.edge_id = w.way_id WHERE e.limited_access),
 X AS (SELECT *, {_T} AS t FROM P JOIN G ON abs(px - (ax + bx) / 2) < 0.005 AND abs(py - (ay + by_) / 2) < 0.005), D AS (SELECT id, line_id, ref = g_ref AS same, round({_DEG}, 7) AS d FROM X)
-SELECT id, arg_min(line_id, (d, line_id)) AS line_id, round(min(d) * 1000000) AS degrees FROM D WHERE d <= 0.00004 OR (d <= 0.00035 AND same) GROUP BY 1""")
+SELECT id, arg_min(line_id, (d, line_id)) AS line_id, round(min(d) * 10000000) AS degrees FROM D WHERE d <= 0.00004 OR (d <= 0.00035 AND same) GROUP BY 1""")
 def nearest_restricted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points beside the nodes against the edges of limited access, dealt to cells."""
     w = ways(spark, sf_dir).where("limited_access")
@@ -148,7 +148,7 @@ def nearest_restricted(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = L.segment_cells(w.select(F.col("way_id").alias("line_id"), (F.col("p") % 7).alias("ref"), line.alias("line")), 0.01, 0.00035)
     n = F.col("node")
     p = view(spark, sf_dir, "grid_nodes").select(n.alias("id"), (n % 7).alias("ref"), (F.col("lon") + F.lit(0.00003) * (n % 5)).alias("lon"), (F.col("lat") + F.lit(0.00005) * (n % 9)).alias("lat"))
-    return L.nearest_allowed(p, cells, 0.01, 0.00035, 0.00004).withColumn("degrees", F.round(F.col("degrees") * 1000000))
+    return L.nearest_allowed(p, cells, 0.01, 0.00035, 0.00004).withColumn("degrees", F.round(F.col("degrees") * 10000000))
 
 
 @query(f"""WITH {WAYS}, C AS (SELECT DISTINCT w.way_id, w.lon1, w.lat1, floor(x / 0.01) AS cx, floor(y / 0.01) AS cy FROM WAYS w JOIN grid_edges e ON e.edge_id = w.way_id, (VALUES (-0.00035), (0.00035)) a(dx), (VALUES (-0.00035), (0.00035)) b(dy), LATERAL (SELECT unnest([least(w.lon1, w.lon2) - 0.00035, greatest(w.lon1, w.lon2) + 0.00035]) AS x), LATERAL (SELECT unnest([least(w.lat1, w.lat2) - 0.00035, greatest(w.lat1, w.lat2) + 0.00035]) AS y) WHERE e.limited_access)
