@@ -175,7 +175,7 @@ def degree_distance(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by
 
 def segment_cells(lines: DataFrame, size: float, degrees: float) -> DataFrame:
     """lines(line_id, ref, line) -> (line_id, ref, lon1..lat2, c): each segment with the cells that its box, wider by ``degrees``, covers."""
-    seg = lines.select("line_id", "ref", F.explode(geo.pairs(F.col("line"))).alias("s")).select("line_id", "ref", F.col("s.p.lon").alias("lon1"), F.col("s.p.lat").alias("lat1"), F.col("s.q.lon").alias("lon2"), F.col("s.q.lat").alias("lat2"))
+    seg = lines.select("line_id", "ref", F.explode(geo.pairs(F.col("line"))).alias("s")).select("line_id", "ref", *[F.col(f"s.{e}.{n}").cast("double").alias(f"{n}{i}") for i, e in ((1, "p"), (2, "q")) for n in ("lon", "lat")])
     span = lambda a, b: F.sequence(F.floor((F.least(a, b) - degrees) / size).cast("long"), F.floor((F.greatest(a, b) + degrees) / size).cast("long"))
     xs, ys = span(F.col("lon1"), F.col("lon2")), span(F.col("lat1"), F.col("lat2"))
     return seg.withColumn("c", F.explode(F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("cx"), y.alias("cy")))))))
