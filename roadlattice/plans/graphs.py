@@ -116,13 +116,6 @@ def turn_aware_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.join(usable.select(F.col("arc_id").alias("node"), F.col("dst").alias("end")), "node").groupBy(F.col("end").alias("node")).agg(F.min("dist").alias("cost"))
 
 
-@query(f"""{_sp('42')}, D1 AS (SELECT * FROM D), X AS (SELECT node, dist FROM D1 WHERE node IN (43, 442, 777)) SELECT node, CAST(dist AS DOUBLE) AS dist FROM X""")
-def multi_leg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One search for several goals of the same start; each goal is one request's leg."""
-    source = spark.range(1).select(F.lit(42).cast("long").alias("node"), F.lit(0).alias("request"))
-    return G.distances(_costed(spark, sf_dir), source).where(F.col("node").isin(43, 442, 777)).select("node", "dist")
-
-
 def strict_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the least path that uses no level-4 arc but short crossings, from its goal back to its start."""
     safe = A.legal(A.judged(arcs(spark, sf_dir)), require_safe=True)
