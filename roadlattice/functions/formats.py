@@ -32,5 +32,21 @@ def compass(bearing: Column) -> Column:
     return F.get(F.array(*[F.lit(c) for c in COMPASS]), (F.floor(bearing / 45 + 0.5) % 8).cast("int"))
 
 
+#: Fixed pattern of a highway's name.
+HIGHWAY = "(?i)\\b(highway|state route|sr\\s*\\d|us\\s*(?:route\\s*)?\\d|i-?\\s*\\d)\\b"
+SURFACES = ("Surface not recorded", "Paved", "Gravel", "Rough")
+
+
 def is_highway_name(name: Column) -> Column:
-    return name.rlike("(?i)\\b(highway|hwy|freeway|interstate|state route|us route)\\b|\\b(I|US|SR)[ -]?[0-9]+")
+    return F.coalesce(name.rlike(HIGHWAY), F.lit(False))
+
+
+def surface_label(surface: Column) -> Column:
+    """Name of a surface class; what is none counts as not recorded."""
+    table = F.array(*[F.lit(x) for x in SURFACES])
+    return F.coalesce(F.when(surface >= 0, F.get(table, surface.cast("int"))), F.lit(SURFACES[0]))
+
+
+def spoken_distance(m: Column) -> Column:
+    """Feet to tens below a tenth of a mile, else miles to a tenth."""
+    return F.when(m < MILE_M / 10, F.concat((F.floor(m / FOOT_M / 10 + 0.5) * 10).cast("string"), F.lit(" feet"))).otherwise(F.concat(F.format_string("%.1f", F.floor(m / MILE_M * 10 + 0.5) / 10), F.lit(" miles")))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sequences import islands
+from roadlattice.functions import formats
+
+from .sequences import grade_windows, islands
 
 #: Speed bands of the report, in mph.
 BANDS = (35, 45, 55)
@@ -85,3 +87,74 @@ def steps(df: DataFrame, bridge_m: int = 100) -> DataFrame:
     folded = runs.withColumn("as_name", F.when((F.col("name") == "") & (F.col("m") <= bridge_m) & (before == after), before).otherwise(F.col("name")))
     again = islands(folded, F.col("as_name"), "step", order=["island"])
     return again.groupBy("route_id", "step", F.col("as_name").alias("name")).agg(F.min("first_seq").alias("first_seq"), F.sum("m").alias("metres"))
+
+
+#: Grade over which a sustained climb is a concern.
+STEEP_PCT = 10.0
+
+
+def steep_climbs(df: DataFrame, over_pct: float = STEEP_PCT, window_m: int = 100) -> DataFrame:
+    """Sustained climbs: windows over the grade, merged while they follow each other on one road: first and last segment,
+    metres, steepest mean to a tenth."""
+    w = grade_windows(df, window_m).withColumn("pct", F.floor(F.col("mean") * 10 + 0.5) / 10).where(F.col("pct") > over_pct)
+    road = F.when(F.col("name") == "", "Unnamed road").otherwise(F.col("name"))
+    w = w.join(df.select("route_id", "seq", "len_m", road.alias("road")), ["route_id", "seq"])
+    along = Window.partitionBy("route_id").orderBy("seq")
+    joins = (F.lag("road").over(along) == F.col("road")) & (F.col("from_seq") <= F.lag("seq").over(along) + 1)
+    marked = w.withColumn("run", F.sum((~F.coalesce(joins, F.lit(False))).cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.row_number().over(Window.partitionBy("route_id", "run").orderBy("seq")) == 1
+    added = marked.withColumn("m", F.when(first, F.lit(window_m)).otherwise(F.col("len_m")))
+    return added.groupBy("route_id", "run", "road").agg(F.min("from_seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.sum("m").alias("metres"), F.max("pct").alias("max_pct")).drop("run")
+
+
+def families() -> dict[str, tuple[Column, Column]]:
+    """Concern families of a segment: whether it belongs, and its risk there. A segment may belong to several."""
+    caution = (F.col("level") == 3) & ~F.col("ferry")
+    mph, shoulder = F.col("mph"), F.coalesce("sh", F.lit(0))
+    cause = (
+        F.when(F.col("sidewalk_fallback"), "sidewalk").when(~F.col("freeway") & F.col("limited_access"), "limited").when(F.coalesce(F.col("lts") >= 4, F.lit(False)), "stress").when(F.col("dismount"), "dismount").when(F.col("mtb"), "mtb").otherwise("other")
+    )
+    kind = F.when(caution, cause).otherwise("")
+    highway = ~(F.col("freeway") | F.col("limited_access") | F.col("infra") | F.col("ferry")) & ((mph >= 45) | formats.is_highway_name(F.col("name")))
+    return {
+        "freeway": (F.col("freeway"), 1000 + mph), "limited": (~F.col("freeway") & (F.col("limited_access") | (kind == "limited")), mph), "highway": (highway, mph),
+        "failing": (F.col("level") == 4, F.when(F.col("freeway"), 10000).otherwise(0) + mph * 100 + F.greatest(F.lit(0), 4 - shoulder)), "dismount": (F.col("dismount") | (kind == "dismount"), F.col("len_m")), "sidewalk": (F.col("sidewalk_fallback") | (kind == "sidewalk"), mph),
+        "mtb": (F.col("mtb") | (kind == "mtb"), F.lit(1)), "high-stress": (kind == "stress", F.coalesce("lts", F.lit(4))), "other": (kind == "other", mph), "unpaved": (F.col("surface") >= 2, F.col("surface")), "curve": (F.col("hazard") > 0, F.greatest(F.lit(0), F.col("grade_pct")) * 100 + mph),
+    }
+
+
+def concern_families(df: DataFrame) -> DataFrame:
+    """(route_id, family, road, metres, times, risk, place): stretches of each family, those of one road together, by risk and length."""
+    road = F.when(F.col("name") == "", "Unnamed road").otherwise(F.col("name"))
+    rows = F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(k).alias("family"), risk.cast("long").alias("risk"))) for k, (test, risk) in families().items()]))
+    e = df.select("route_id", "seq", "len_m", road.alias("road"), F.explode(rows).alias("f")).select("route_id", "seq", "len_m", "road", "f.*")
+    w = Window.partitionBy("route_id", "family").orderBy("seq")
+    begins = ~((F.lag("seq").over(w) == F.col("seq") - 1) & (F.lag("road").over(w) == F.col("road")))
+    runs = e.withColumn("begins", F.coalesce(begins, F.lit(True)).cast("int"))
+    out = runs.groupBy("route_id", "family", "road").agg(F.sum("len_m").alias("metres"), F.sum("begins").alias("times"), F.max("risk").alias("risk"))
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("route_id", "family").orderBy(F.desc("risk"), F.desc("metres"), "road")))
+
+
+def preview_runs(df: DataFrame) -> DataFrame:
+    """What a small map shows of a route: runs of one category, runs without pavement, and where a walk begins."""
+    style = F.coalesce(category(), F.lit("ferry"))
+    styled = islands(df, style, "run").groupBy("route_id", "run", style.alias("style")).agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")).select("route_id", F.lit("style").alias("kind"), "style", "first_seq", "last_seq")
+    rough = islands(df, F.col("surface") >= 2, "run").where("surface >= 2").groupBy("route_id", "run").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")).select("route_id", F.lit("unpaved").alias("kind"), F.lit("").alias("style"), "first_seq", "last_seq")
+    w = Window.partitionBy("route_id").orderBy("seq")
+    walks = df.withColumn("before", F.coalesce(F.lag("dismount").over(w), F.lit(False))).where("dismount and not before").select("route_id", F.lit("dismount").alias("kind"), F.lit("").alias("style"), F.col("seq").alias("first_seq"), F.col("seq").alias("last_seq"))
+    return styled.union(rough).union(walks)
+
+
+def step_text() -> Column:
+    """What stands under a step: its speed, class and what to mind."""
+    kind = F.when(F.col("freeway"), "freeway").when(F.col("limited_access"), "limited access").when(F.col("facility") == 5, "shared-use path").when(F.col("facility") == 4, "separated lane").when(F.col("facility") == 3, "buffered lane").when(F.col("facility") == 2, "bike lane").when(F.col("infra"), "bike infrastructure").when(F.col("designated"), "bike route")
+    return F.concat_ws(" · ", F.when(F.col("mtb"), "mountain-bike trail"), F.when(F.col("hazard") > 0, "possible limited-visibility uphill curve"), F.when(F.col("mph") > 0, F.concat(F.col("mph").cast("string"), F.lit(" mph"))), kind, F.when(formats.is_highway_name(F.col("name")) | (F.col("mph") >= 45), "highway"), F.when(F.col("surface") >= 2, formats.surface_label(F.col("surface"))))
+
+
+def valid_point(lon: Column, lat: Column) -> Column:
+    return F.coalesce(lon.between(-180, 180) & lat.between(-90, 90) & ~F.isnan(lon.cast("double")) & ~F.isnan(lat.cast("double")), F.lit(False))
+
+
+def directions_joined(directions: DataFrame, df: DataFrame) -> DataFrame:
+    """directions(route_id, index, text) with the segment that they begin at; null beyond the route."""
+    return directions.join(df.select("route_id", F.col("seq").alias("index"), "name", "len_m"), ["route_id", "index"], "left")

@@ -54,26 +54,33 @@ def tagged_dismounts(df: DataFrame, over_m: int = 100) -> DataFrame:
     return runs.withColumn("run_m", run_m).withColumn("level", level)
 
 
-def sustained_grade(df: DataFrame, window_m: int = 100) -> DataFrame:
-    """Per route: length-weighted mean of grades above 0.5 % and the steepest mean over window_m metres.
+def _credible(df: DataFrame) -> DataFrame:
+    """Segments on land with what of their grade is believed: nothing over 40 % or on under 20 m."""
+    grade = F.when((F.abs(F.col("grade_pct")) <= 40) & (F.col("len_m") >= 20), F.col("grade_pct")).otherwise(0).cast("double")
+    return islands(df.where("len_m > 0"), F.col("ferry"), "leg").where(~F.col("ferry")).withColumn("g", grade)
+
+
+def grade_windows(df: DataFrame, window_m: int = 100) -> DataFrame:
+    """(route_id, seq, from_seq, mean): mean grade of the window_m metres that end with each segment.
 
-    The rise to a point is a running sum; a window that ends with a segment begins inside the segment
-    that holds its start (found by a range join on running distance), whose part is taken in proportion. Ferries
-    and missing grades end an island. Grades over 40 % or on segments under 20 m are not credible and count as
-    level. Only whole windows count, so an island shorter than one has no steepest mean.
+    The rise to a point is a running sum; a window begins inside the segment that holds its start (found by a range join on
+    running distance), whose part is taken in proportion. Ferries end an island. Only whole windows count.
     """
-    credible = F.when((F.abs(F.col("grade_pct")) <= 40) & (F.col("len_m") >= 20), F.col("grade_pct")).otherwise(0).cast("double")
-    parts = islands(df.where("len_m > 0"), F.col("ferry"), "leg").where(~F.col("ferry")).withColumn("g", credible)
     keys = ["route_id", "leg"]
-    run = running(parts, keys=keys)
+    run = running(_credible(df), keys=keys)
     rise = F.col("g") * F.col("len_m")
     run = run.withColumn("rise_end", F.sum(rise).over(along(keys).rowsBetween(Window.unboundedPreceding, 0))).withColumn("rise_start", F.col("rise_end") - rise)
     ends = run.where(F.col("end_m") >= window_m).select(*keys, "seq", "end_m", "rise_end", (F.col("end_m") - window_m).alias("from_m"))
-    starts = run.select(*keys, F.col("start_m").alias("s0"), F.col("end_m").alias("s1"), F.col("rise_start").alias("r0"), F.col("g").alias("g0"))
+    starts = run.select(*keys, F.col("seq").alias("from_seq"), F.col("start_m").alias("s0"), F.col("end_m").alias("s1"), F.col("rise_start").alias("r0"), F.col("g").alias("g0"))
     windows = ends.join(starts, keys).where((F.col("from_m") >= F.col("s0")) & (F.col("from_m") < F.col("s1")))
     mean = (F.col("rise_end") - (F.col("r0") + F.col("g0") * (F.col("from_m") - F.col("s0")))) / (F.col("end_m") - F.col("from_m"))
-    steepest = windows.groupBy("route_id").agg(F.max(mean).alias("max_grade"))
-    up = parts.where("g > 0.5").groupBy("route_id").agg((F.sum(F.col("g") * F.col("len_m")) / F.sum("len_m")).alias("avg_up"))
+    return windows.select("route_id", "seq", "from_seq", mean.alias("mean"))
+
+
+def sustained_grade(df: DataFrame, window_m: int = 100) -> DataFrame:
+    """Per route: length-weighted mean of grades above 0.5 % and the steepest mean over window_m metres (see grade_windows)."""
+    steepest = grade_windows(df, window_m).groupBy("route_id").agg(F.max("mean").alias("max_grade"))
+    up = _credible(df).where("g > 0.5").groupBy("route_id").agg((F.sum(F.col("g") * F.col("len_m")) / F.sum("len_m")).alias("avg_up"))
     tenth = lambda c: F.floor(F.coalesce(c, F.lit(0.0)) * 10 + 0.5) / 10
     return df.select("route_id").distinct().join(steepest, "route_id", "left").join(up, "route_id", "left").select("route_id", tenth(F.greatest(F.col("max_grade"), F.lit(0.0))).alias("max_grade"), tenth(F.col("avg_up")).alias("avg_up"))
 

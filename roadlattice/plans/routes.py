@@ -131,3 +131,62 @@ def segment_at_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = _segments(spark, sf_dir)
     points = seg.select("route_id").distinct().select("route_id", F.explode(F.array(*[F.lit(x).cast("bigint") for x in (0, 777, 2500, 100000)])).alias("at_m"))
     return S.at_distance(seg, points)
+
+
+_WINDOWS = """b AS (SELECT *, CAST(CASE WHEN abs(grade_pct) <= 40 AND len_m >= 20 THEN grade_pct ELSE 0 END AS DOUBLE) AS g FROM route_segments),
+l AS (SELECT *, sum(CASE WHEN ferry <> p THEN 1 ELSE 0 END) OVER (PARTITION BY route_id ORDER BY seq) AS leg FROM (SELECT *, coalesce(lag(ferry) OVER (PARTITION BY route_id ORDER BY seq), ferry) AS p FROM b)),
+c AS (SELECT *, sum(len_m) OVER w AS e, sum(g * len_m) OVER w AS re FROM l WHERE NOT ferry WINDOW w AS (PARTITION BY route_id, leg ORDER BY seq)),
+v AS (SELECT a.route_id, a.seq, a.len_m, CASE WHEN a.name = '' THEN 'Unnamed road' ELSE a.name END AS road, s.seq AS from_seq, floor((a.re - (s.re - s.g * s.len_m + s.g * ((a.e - 100) - (s.e - s.len_m)))) / 100 * 10 + 0.5) / 10 AS pct FROM c a JOIN c s ON a.route_id = s.route_id AND a.leg = s.leg AND a.e - 100 >= s.e - s.len_m AND a.e - 100 < s.e WHERE a.e >= 100)"""
+
+
+@query(f"""WITH {_WINDOWS}, h AS (SELECT * FROM v WHERE pct > 10), j AS (SELECT *, coalesce(lag(road) OVER w = road AND from_seq <= lag(seq) OVER w + 1, false) AS joins FROM h WINDOW w AS (PARTITION BY route_id ORDER BY seq)),
+r AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY route_id ORDER BY seq) AS run FROM j)
+SELECT route_id, road, min(from_seq) AS first_seq, max(seq) AS last_seq, CAST(sum(CASE WHEN joins THEN len_m ELSE 100 END) AS BIGINT) AS metres, max(pct) AS max_pct FROM r GROUP BY route_id, run, road""")
+def steep_climbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.steep_climbs(_segments(spark, sf_dir))
+
+
+_HW = r"regexp_matches(lower(name), '\b(highway|state route|sr\s*[0-9]|us\s*(?:route\s*)?[0-9]|i-?\s*[0-9])\b')"
+_NAMED = "n AS (SELECT * REPLACE (CASE edge_id % 9 WHEN 0 THEN 'SR 9' WHEN 1 THEN 'Old Highway' WHEN 2 THEN 'I-5' WHEN 3 THEN 'US Route 2' WHEN 4 THEN 'Highwayman Lane' ELSE name END AS name), edge_id % 17 = 0 AND mph > 35 AS sidewalk_fallback FROM route_segments)"
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("edge_id") % 9
+    names = F.when(k == 0, "SR 9").when(k == 1, "Old Highway").when(k == 2, "I-5").when(k == 3, "US Route 2").when(k == 4, "Highwayman Lane").otherwise(F.col("name"))
+    return _segments(spark, sf_dir).withColumn("name", names).withColumn("sidewalk_fallback", (F.col("edge_id") % 17 == 0) & (F.col("mph") > 35))
+
+
+_FAMILIES = f"""{_NAMED}, k AS (SELECT *, CASE WHEN level = 3 AND NOT ferry THEN CASE WHEN sidewalk_fallback THEN 'sidewalk' WHEN NOT freeway AND limited_access THEN 'limited' WHEN coalesce(lts >= 4, false) THEN 'stress' WHEN dismount THEN 'dismount' WHEN mtb THEN 'mtb' ELSE 'other' END ELSE '' END AS cause FROM n),
+fam AS (SELECT * FROM (SELECT route_id, seq, len_m, CASE WHEN name = '' THEN 'Unnamed road' ELSE name END AS road, unnest(['freeway', 'limited', 'highway', 'failing', 'dismount', 'sidewalk', 'mtb', 'high-stress', 'other', 'unpaved', 'curve']) AS family,
+  unnest([freeway, NOT freeway AND (limited_access OR cause = 'limited'), NOT (freeway OR limited_access OR infra OR ferry) AND (mph >= 45 OR {_HW}), level = 4, dismount OR cause = 'dismount', sidewalk_fallback OR cause = 'sidewalk', mtb OR cause = 'mtb', cause = 'stress', cause = 'other', surface >= 2, hazard > 0]) AS inside,
+  unnest([1000 + mph, mph, mph, CASE WHEN freeway THEN 10000 ELSE 0 END + mph * 100 + greatest(0, 4 - sh), len_m, mph, 1, coalesce(lts, 4), mph, surface, greatest(0, grade_pct) * 100 + mph]) AS risk FROM k) WHERE inside)"""
+
+
+@query(f"""WITH {_FAMILIES}, g AS (SELECT *, coalesce(lag(seq) OVER w = seq - 1 AND lag(road) OVER w = road, false) AS joins FROM fam WINDOW w AS (PARTITION BY route_id, family ORDER BY seq)), a AS (SELECT route_id, family, road, CAST(sum(len_m) AS BIGINT) AS metres, CAST(sum(CASE WHEN joins THEN 0 ELSE 1 END) AS BIGINT) AS times, max(risk) AS risk FROM g GROUP BY 1, 2, 3)
+SELECT *, row_number() OVER (PARTITION BY route_id, family ORDER BY risk DESC, metres DESC, road) AS place FROM a""")
+def concern_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.concern_families(_named(spark, sf_dir)).withColumn("place", F.col("place").cast("long"))
+
+
+_STYLE = "CASE WHEN ferry THEN 'ferry' WHEN level = 4 THEN 'fail' WHEN level = 3 THEN 'caution' WHEN infra OR facility = 5 THEN 'trail' WHEN facility >= 2 THEN 'bike' ELSE 'pass' END"
+
+
+@query(f"""WITH s AS (SELECT route_id, seq, {_STYLE} AS style, surface >= 2 AS rough, dismount FROM route_segments), p AS (SELECT *, lag(style) OVER w AS ps, lag(rough) OVER w AS pr, coalesce(lag(dismount) OVER w, false) AS pd FROM s WINDOW w AS (PARTITION BY route_id ORDER BY seq)),
+i AS (SELECT *, sum(CASE WHEN ps IS NULL OR ps = style THEN 0 ELSE 1 END) OVER w AS si, sum(CASE WHEN pr IS NULL OR pr = rough THEN 0 ELSE 1 END) OVER w AS ri FROM p WINDOW w AS (PARTITION BY route_id ORDER BY seq))
+SELECT route_id, 'style' AS kind, style, min(seq) AS first_seq, max(seq) AS last_seq FROM i GROUP BY route_id, si, style UNION ALL SELECT route_id, 'unpaved', '', min(seq), max(seq) FROM i WHERE rough GROUP BY route_id, ri UNION ALL SELECT route_id, 'dismount', '', seq, seq FROM p WHERE dismount AND NOT pd""")
+def preview_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.preview_runs(_segments(spark, sf_dir))
+
+
+@query(f"""WITH {_NAMED} SELECT route_id, seq, concat_ws(' · ', CASE WHEN mtb THEN 'mountain-bike trail' END, CASE WHEN hazard > 0 THEN 'possible limited-visibility uphill curve' END, CASE WHEN mph > 0 THEN concat(mph, ' mph') END,
+  CASE WHEN freeway THEN 'freeway' WHEN limited_access THEN 'limited access' WHEN facility = 5 THEN 'shared-use path' WHEN facility = 4 THEN 'separated lane' WHEN facility = 3 THEN 'buffered lane' WHEN facility = 2 THEN 'bike lane' WHEN infra THEN 'bike infrastructure' WHEN designated THEN 'bike route' END,
+  CASE WHEN {_HW} OR mph >= 45 THEN 'highway' END, CASE surface WHEN 2 THEN 'Gravel' WHEN 3 THEN 'Rough' END) AS meta FROM n""")
+def step_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _named(spark, sf_dir).select("route_id", "seq", R.step_text().alias("meta"))
+
+
+@query("""WITH d AS (SELECT DISTINCT route_id, unnest([0, 17, 250]) AS index FROM route_segments) SELECT d.route_id, CAST(d.index AS BIGINT) AS index, s.name, s.len_m FROM d LEFT JOIN route_segments s ON s.route_id = d.route_id AND s.seq = d.index""")
+def directions_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seg = _segments(spark, sf_dir)
+    d = seg.select("route_id").distinct().select("route_id", F.explode(F.array(*[F.lit(i).cast("long") for i in (0, 17, 250)])).alias("index"))
+    return R.directions_joined(d, seg)
