@@ -15,16 +15,23 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that spark.checkpoint.dir names; only a local master gets a temporary one."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and sc.master.startswith("local"):
-            shared = tempfile.mkdtemp(prefix="roadlattice-")
-        if not shared:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which the driver and all executors share; only a local master without that
+    setting gets a temporary one."""
+    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not shared:
+        if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="roadlattice-")
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared)
+    return shared.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -2,50 +2,73 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from roadlattice.functions import formats, geo
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Fixed limits in metres and seconds.
 OFF_M, BACK_M, WORST_ACCURACY_M, POOR_ACCURACY_M, MEMORY_S, REPEAT_S = 65.0, 40.0, 120.0, 60.0, 40.0, 30.0
 APPROACH_M, IMMEDIATE_M, PASSED_M, ARRIVAL_M = 350.0, 90.0, 60.0, 45.0
+#: Near the route again (told once, and anew after having been far), and how often a status timer looks.
+NEAR_M, FAR_M, POLL_S = 130.0, 250.0, 15
+#: A match looks at so many segments on both sides of the last one, and at all of them when it is far off, so often.
+REACH, RESCAN_S = 120, 30.0
+#: Degrees of a turn and of a sharp one, metres that a heading takes, and points ahead in which a road's name is sought.
+TURN_DEG, SHARP_DEG, MOVED_M, NAMES_AHEAD = 28.0, 115.0, 8.0, 3
+MPS_TO_MPH = 2.23694
 
 EVENTS = "ride_id long, ts timestamp, kind string, detail string"
-STATE = "off boolean, suspects array<double>, last_prompt double, last_ts double, next int, approach boolean, immediate boolean, arrived boolean"
+STATE = "off boolean, suspects array<double>, last_prompt double, last_ts double, next int, approach boolean, immediate boolean, arrived boolean, near_told boolean, seen_ms long, status_ms long, left_m double"
+FRESH = (False, [], -1e18, -1e18, 0, False, False, False, False, 0, 0, float("nan"))
 
 
 def advance(state: tuple | None, fixes: pd.DataFrame, instructions: list[tuple[float, str]], end_m: float | None) -> tuple[tuple, list[tuple]]:
     """State after fixes (ts, event_id, off_m, accuracy_m, route_m, in order) and the events they raise.
 
     Off route: two fixes over 65 m (three if accuracy is over 60 m) within 40 s; fixes of accuracy over 120 m are ignored; back at
-    40 m; the prompt is repeated every 30 s. An instruction is announced once at 350 m and once at 90 m and dropped when
-    60 m behind. Within 45 m of the end the ride has arrived, once.
+    40 m. While off, coming within 130 m is told once (again after 250 m), and else the prompt is repeated every 30 s. An
+    instruction is announced once at 350 m and once at 90 m and dropped when 60 m behind. Within 45 m of the end the ride has
+    arrived, once.
     """
-    off, suspects, last_prompt, last_ts, nxt, approach, immediate, arrived = state or (False, [], -1e18, -1e18, 0, False, False, False)
+    off, suspects, last_prompt, last_ts, nxt, approach, immediate, arrived, near_told, seen_ms, status_ms, left_m = state or FRESH
     suspects, events = list(suspects), []
     for f in fixes.sort_values(["ts", "event_id"]).itertuples():
         t = f.ts.timestamp()
         if arrived or t < last_ts or f.accuracy_m > WORST_ACCURACY_M:
             continue
         last_ts = t
-        if f.off_m > OFF_M:
+        if off:
+            if f.off_m <= BACK_M:
+                off, near_told, suspects = False, False, []
+                events.append((f.ts, "rejoined", ""))
+            else:
+                near_told = near_told and f.off_m <= FAR_M
+                if f.off_m <= NEAR_M and not near_told:
+                    near_told, last_prompt = True, t
+                    events.append((f.ts, "approach", ""))
+                elif t - last_prompt >= REPEAT_S:
+                    last_prompt = t
+                    events.append((f.ts, "still-off", ""))
+        elif f.off_m > OFF_M:
             suspects = [s for s in suspects if t - s <= MEMORY_S] + [t]
-            if not off and len(suspects) >= (3 if f.accuracy_m > POOR_ACCURACY_M else 2):
-                off, last_prompt = True, t
+            if len(suspects) >= (3 if f.accuracy_m > POOR_ACCURACY_M else 2):
+                off, near_told, last_prompt = True, False, t
                 events.append((f.ts, "off-route", ""))
-            elif off and t - last_prompt >= REPEAT_S:
-                last_prompt = t
-                events.append((f.ts, "still-off", ""))
         elif f.off_m <= BACK_M:
             suspects = []
-            if off:
-                off = False
-                events.append((f.ts, "rejoined", ""))
         if off or f.route_m is None or f.route_m != f.route_m:
             continue
+        left_m = float("nan") if end_m is None else end_m - f.route_m
         while nxt < len(instructions) and f.route_m > instructions[nxt][0] + PASSED_M:
             nxt, approach, immediate = nxt + 1, False, False
         if nxt < len(instructions):
@@ -59,43 +82,153 @@ def advance(state: tuple | None, fixes: pd.DataFrame, instructions: list[tuple[f
         if end_m is not None and end_m - f.route_m <= ARRIVAL_M:
             arrived = True
             events.append((f.ts, "arrived", ""))
-    return (off, suspects, last_prompt, last_ts, nxt, approach, immediate, arrived), events
+    return (off, suspects, last_prompt, last_ts, nxt, approach, immediate, arrived, near_told, seen_ms, status_ms, left_m), events
+
 
+def _plan(first) -> tuple[list[tuple[float, str]], float | None]:
+    own = first["instructions"] if first["instructions"] is not None else []
+    end = first["end_m"]
+    return sorted((float(i["at_m"]), i["text"]) for i in own), float(end) if end is not None and end == end else None
 
-def guide(fixes: DataFrame, *, idle_minutes: int | None = 30) -> DataFrame:
+
+def _events(ride, events: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame([(int(ride), t, k, d) for t, k, d in events], columns=["ride_id", "ts", "kind", "detail"])
+
+
+def guide(fixes: DataFrame, *, idle_minutes: int | None = 30, status_s: int | None = None) -> DataFrame:
     """Streaming fixes(ride_id, ts, event_id, off_m, accuracy_m, route_m, instructions, end_m) -> events.
 
     instructions is an array of struct(at_m, text) of the ride's route (joined to the fixes from a static table). State is kept for
-    each ride and dropped ``idle_minutes`` after its last fix (None: kept, for streams that end).
+    each ride and dropped ``idle_minutes`` after its last fix (None: kept, for streams that end). With ``status_s`` a timer
+    looks every 15 s (or sooner), and a ride gets a status event every status_s seconds, whether fixes come or not.
     """
+    poll = None if status_s is None else min(POLL_S, status_s) * 1000
+    idle = None if idle_minutes is None else idle_minutes * 60_000
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentProcessingTimeMs() if idle is not None or poll is not None else 0
         if state.hasTimedOut:
-            state.remove()
+            old = list(state.get)
+            if poll is None or idle is not None and now - old[9] >= idle:
+                state.remove()
+                return
+            if now - old[10] >= status_s * 1000 and not old[7]:
+                old[10] = now
+                yield _events(key[0], [(pd.Timestamp(now, unit="ms"), "status", "" if old[11] != old[11] else f"{old[11]:.0f} m left")])
+            state.update(tuple(old))
+            state.setTimeoutDuration(poll)
             return
         group = pd.concat(list(batches))
-        first = group.iloc[0]
-        plan = sorted((float(i["at_m"]), i["text"]) for i in (first["instructions"] if first["instructions"] is not None else []))
-        new, events = advance(state.get if state.exists else None, group, plan, float(first["end_m"]) if first["end_m"] == first["end_m"] and first["end_m"] is not None else None)
-        state.update(new)
-        if idle_minutes is not None:
-            state.setTimeoutDuration(idle_minutes * 60_000)
+        plan, end = _plan(group.iloc[0])
+        new, events = advance(state.get if state.exists else None, group, plan, end)
+        state.update((*new[:9], now, new[10] or now, new[11]))
+        if idle is not None or poll is not None:
+            state.setTimeoutDuration(poll if poll is not None else idle)
         if events:
-            yield pd.DataFrame([(key[0], t, k, d) for t, k, d in events], columns=["ride_id", "ts", "kind", "detail"])
+            yield _events(key[0], events)
+
+    timed = idle is not None or poll is not None
+    return fixes.groupBy("ride_id").applyInPandasWithState(step, EVENTS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if timed else GroupStateTimeout.NoTimeout)
+
 
-    return fixes.groupBy("ride_id").applyInPandasWithState(step, EVENTS, STATE, "append", GroupStateTimeout.NoTimeout if idle_minutes is None else GroupStateTimeout.ProcessingTimeTimeout)
+def _by_ride(fixes: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """Run a state machine over a table: rides are dealt to tasks and sorted by time there, and a task carries the state from batch to
+    batch, so it holds one batch of one ride at a time. run(state, rows) -> (state, frame)."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ride, state = None, None
+        for batch in batches:
+            for r, rows in batch.groupby("ride_id", sort=False):
+                if r != ride:
+                    ride, state = r, None
+                state, out = run(state, rows)
+                if len(out):
+                    yield out
+
+    return fixes.repartition("ride_id").sortWithinPartitions("ride_id", "ts", "event_id").mapInPandas(walk, schema)
 
 
 def guide_batch(fixes: DataFrame) -> DataFrame:
     """The same events from a table of fixes."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        first = group.iloc[0]
-        plan = sorted((float(i["at_m"]), i["text"]) for i in (first["instructions"] if first["instructions"] is not None else []))
-        _, events = advance(None, group, plan, float(first["end_m"]) if first["end_m"] == first["end_m"] and first["end_m"] is not None else None)
-        return pd.DataFrame([(int(first["ride_id"]), t, k, d) for t, k, d in events], columns=["ride_id", "ts", "kind", "detail"])
+    def run(state, rows: pd.DataFrame):
+        plan, end = _plan(rows.iloc[0])
+        new, events = advance(state, rows, plan, end)
+        return new, _events(rows["ride_id"].iloc[0], events)
+
+    return _by_ride(fixes, run, EVENTS)
+
+
+MATCHED = "ride_id long, event_id long, segment long, route_m double, off_m double, lon double, lat double"
+MATCH_STATE = "segment long, full_ts double"
 
-    return fixes.groupBy("ride_id").applyInPandas(run, EVENTS)
+
+def match(state: tuple | None, fixes: pd.DataFrame, route: list) -> tuple[tuple, list[tuple]]:
+    """Positions of fixes (ts, event_id, lon, lat) on a route of points (lon, lat, distance_m): the nearest of the segments about the last
+    one; of all when there is none, or when that is over 250 m away and the last look at all is 30 s old."""
+    x, y, m = (np.array([p[k] for p in route], float) for k in ("lon", "lat", "distance_m"))
+    segment, full_ts = state or (-1, -1e18)
+    out, n = [], len(x) - 1
+    if n < 1:
+        return (segment, full_ts), out
+
+    def nearest(f, lo: int, hi: int) -> tuple:
+        sx, sy = geo.LON_M * np.cos(np.radians(f.lat)), geo.LAT_M
+        ax, ay = (x[lo:hi] - f.lon) * sx, (y[lo:hi] - f.lat) * sy
+        dx, dy = (x[lo + 1 : hi + 1] - x[lo:hi]) * sx, (y[lo + 1 : hi + 1] - y[lo:hi]) * sy
+        length = dx * dx + dy * dy
+        t = np.clip(np.where(length > 0, -(ax * dx + ay * dy) / np.where(length > 0, length, 1), 0), 0, 1)
+        d = np.hypot(ax + t * dx, ay + t * dy)
+        i = int(np.argmin(d))
+        k = lo + i
+        return k, m[k] + t[i] * (m[k + 1] - m[k]), d[i], x[k] + t[i] * (x[k + 1] - x[k]), y[k] + t[i] * (y[k + 1] - y[k])
+
+    for f in fixes.sort_values(["ts", "event_id"]).itertuples():
+        t = f.ts.timestamp()
+        if segment < 0:
+            found, full_ts = nearest(f, 0, n), t
+        else:
+            found = nearest(f, max(0, segment - REACH), min(n, segment + REACH + 1))
+            if found[2] > FAR_M and t - full_ts >= RESCAN_S:
+                found, full_ts = nearest(f, 0, n), t
+        segment = found[0]
+        out.append((int(f.event_id), *map(float, found)))
+    return (segment, full_ts), out
+
+
+def _positions(ride, rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame([(int(ride), *r) for r in rows], columns=["ride_id", "event_id", "segment", "route_m", "off_m", "lon", "lat"])
+    return out.astype({"ride_id": "int64", "event_id": "int64", "segment": "int64"})
+
+
+def matched(fixes: DataFrame, *, streaming: bool = False) -> DataFrame:
+    """fixes(ride_id, ts, event_id, lon, lat, route), route an array of struct(lon, lat, distance_m) joined from a static table ->
+    position of each fix on its route (see match), as a table or as a stream."""
+    if streaming:
+
+        def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+            group = pd.concat(list(batches))
+            new, rows = match(state.get if state.exists else None, group, list(group.iloc[0]["route"]))
+            state.update(new)
+            yield _positions(key[0], rows)
+
+        return fixes.groupBy("ride_id").applyInPandasWithState(step, MATCHED, MATCH_STATE, "append", GroupStateTimeout.NoTimeout)
+
+    def run(state, rows: pd.DataFrame):
+        new, found = match(state, rows, list(rows.iloc[0]["route"]))
+        return new, _positions(rows["ride_id"].iloc[0], found)
+
+    return _by_ride(fixes, run, MATCHED)
+
+
+def nearest_on_route(fixes: DataFrame, points: DataFrame) -> DataFrame:
+    """fixes(ride_id, event_id, lon, lat), points(ride_id, idx, lon, lat, distance_m) -> the nearest segment of the whole route for each fix,
+    without state: an equi-join on the ride, also of a stream with a static table, and a grouped minimum."""
+    w = Window.partitionBy("ride_id").orderBy("idx")
+    seg = points.select("ride_id", F.col("idx").alias("segment"), F.col("lon").alias("x1"), F.col("lat").alias("y1"), F.lead("lon").over(w).alias("x2"), F.lead("lat").over(w).alias("y2")).where("x2 is not null")
+    off = F.round(geo.point_segment_m(F.col("lon"), F.col("lat"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")), 6)
+    near = fixes.join(seg, "ride_id").select("ride_id", "event_id", "segment", off.alias("off_m"))
+    return near.groupBy("ride_id", "event_id").agg(F.min(F.struct("off_m", "segment")).alias("b")).select("ride_id", "event_id", "b.segment", "b.off_m")
 
 
 def latest(fixes: DataFrame) -> DataFrame:
@@ -104,11 +237,33 @@ def latest(fixes: DataFrame) -> DataFrame:
 
 
 def speeds(fixes: DataFrame) -> DataFrame:
-    """Speed of each fix from the one before, if that is 0 to 30 s old."""
-    from pyspark.sql import Window
-
+    """Speed of each fix in metres a second and mph: what the device says (speed_mps, not negative), else from the fix before, if that is 0 to
+    30 s old."""
     w = Window.partitionBy("ride_id").orderBy("ts", "event_id")
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     elapsed = (micros - F.lag(micros).over(w)) / 1_000_000
     moved = F.col("route_m") - F.lag("route_m").over(w)
-    return fixes.withColumn("elapsed", elapsed).withColumn("speed", F.when((F.col("elapsed") > 0) & (F.col("elapsed") < 30), moved / F.col("elapsed")))
+    own = F.col("speed_mps") if "speed_mps" in fixes.columns else F.lit(None).cast("double")
+    timed = fixes.withColumn("elapsed", elapsed).withColumn("moved", moved)
+    speed = F.when(own >= 0, own).when((F.col("elapsed") > 0) & (F.col("elapsed") < 30), F.col("moved") / F.col("elapsed"))
+    return timed.withColumn("speed", speed).withColumn("mph", F.col("speed") * MPS_TO_MPH).drop("moved")
+
+
+def road_ahead(names: Column, at: Column) -> Column:
+    """The first name of a road at a point of a route or at the next three; empty if they have none."""
+    near = F.filter(F.slice(names, at + 1, F.lit(NAMES_AHEAD + 1)), lambda n: n != "")
+    return F.coalesce(F.get(near, F.lit(0)), F.lit(""))
+
+
+def rejoin_text(off_m: Column, bearing: Column, road: Column) -> Column:
+    """How far and where the route is."""
+    return F.concat(F.lit("Rejoin route "), formats.spoken_distance(off_m), F.lit(" "), formats.compass(bearing), F.when(road == "", ".").otherwise(F.concat(F.lit(" on "), road, F.lit("."))))
+
+
+def approach_text(route_bearing: Column, rider_bearing: Column, moved_m: Column, road: Column, headings: Column) -> Column:
+    """How to turn onto the route that is near; without a heading of the rider only that it is ahead."""
+    target = F.when(road == "", "the route").otherwise(road)
+    toward = F.when(headings, F.concat(F.lit(", heading "), formats.compass(route_bearing))).otherwise("")
+    delta = geo.turn(rider_bearing, route_bearing)
+    turn = F.when(delta > SHARP_DEG, "Turn sharply right").when(delta > TURN_DEG, "Turn right").when(delta < -SHARP_DEG, "Turn sharply left").when(delta < -TURN_DEG, "Turn left").otherwise("Continue")
+    return F.when(F.coalesce(moved_m >= MOVED_M, F.lit(False)), F.concat(turn, F.lit(" onto "), target, toward, F.lit("."))).otherwise(F.concat(F.lit("Ahead: rejoin "), target, toward, F.lit(".")))
