@@ -34,9 +34,14 @@ def write_features(df: DataFrame, path: str, *, rows_per_file: int = 200_000, co
 
 
 def version_stamp(df: DataFrame, columns: list[str]) -> DataFrame:
-    """A content hash that does not depend on the order of rows: the digest of the sum and count of row hashes."""
-    h = F.xxhash64(*columns).cast("decimal(38,0)")
-    return df.agg(F.sum(h).alias("s"), F.count("*").alias("n")).select(F.substring(F.sha2(F.concat_ws(":", F.col("s").cast("string"), F.col("n").cast("string")), 256), 1, 12).alias("version"))
+    """A content hash that does not depend on the order of rows: the digest of the sum and count of row digests."""
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]).cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.sum(h).alias("s"), F.count("*").alias("n")).select(F.substring(F.sha2(F.concat_ws(":", F.col("s").cast("string"), F.col("n").cast("string")).cast("binary"), 256), 1, 12).alias("version"))
+
+
+def signature(settings: Column) -> Column:
+    """One text for equal settings (a map), whatever the order of their names."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(settings)), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
 
 
 def statistics(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -291,3 +291,10 @@ def bearing_near(line: Column, lon: Column, lat: Column) -> Column:
 def fastest_ferry_mps(edges: DataFrame) -> DataFrame:
     """One row: the greatest speed of a ferry edge, of 3 mph at least, in metres a second (0 without ferries)."""
     return edges.where("ferry").agg(F.coalesce(F.max(F.greatest("mph", F.lit(3)) * 0.44704), F.lit(0.0)).alias("mps"))
+
+
+def official_layers(f: DataFrame) -> DataFrame:
+    """(id, limit_mph, facility): legal speeds where there is one, and facilities of the vocabulary."""
+    speeds = f.where("speed > 0").select("id", F.col("speed").alias("limit_mph"), F.lit(None).cast("long").alias("facility"))
+    level = facility_level(F.col("facility_name")).cast("long")
+    return speeds.union(f.where(level.isNotNull()).select("id", F.lit(None).cast("long"), level))

@@ -68,14 +68,16 @@ def _safety_key(alias: str) -> Column:
     return F.struct(*[F.col(f"{alias}.{n}").cast("double") for n in SAFETY[:-1]])
 
 
-def dominated(c: DataFrame, shares: DataFrame) -> DataFrame:
-    """Candidates that another of the same corridor (share at least 0.96) beats: no slower by over 5 s and no less safe."""
+def dominated(c: DataFrame, shares: DataFrame, protected: DataFrame | None = None) -> DataFrame:
+    """Candidates that another of the same corridor (share at least 0.96) beats: no slower by over 5 s and no less safe. Protected
+    ones (request, candidate) never are."""
     pairs = shares.where("share >= 0.96")
     both = pairs.select("request", F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("request", "b", "a"))
     x, y = c.alias("x0"), c.alias("y0")
     joined = both.join(x, (both["request"] == F.col("x0.request")) & (both["x"] == F.col("x0.candidate"))).join(y, (both["request"] == F.col("y0.request")) & (both["y"] == F.col("y0.candidate")))
     better = (F.col("y0.time") <= F.col("x0.time") + 5) & (_safety_key("y0") <= _safety_key("x0")) & ((F.col("y0.time") < F.col("x0.time")) | (_safety_key("y0") < _safety_key("x0")) | (F.col("y0.candidate") < F.col("x0.candidate")))
-    return joined.where(better).select(F.col("x0.request").alias("request"), F.col("x0.candidate").alias("candidate")).distinct()
+    beaten = joined.where(better).select(F.col("x0.request").alias("request"), F.col("x0.candidate").alias("candidate")).distinct()
+    return beaten if protected is None else beaten.join(protected.select("request", "candidate"), ["request", "candidate"], "left_anti")
 
 
 def within_window(dist_factor: float, dist_m: int, time_factor: float, time_s: int) -> Column:
@@ -103,11 +105,41 @@ def lettered(c: DataFrame) -> DataFrame:
     return c.withColumn("rank", k).where(F.col("rank") <= MOST_OFFERED).withColumn("letter", F.char(64 + F.col("rank")))
 
 
-def staged(c: DataFrame, kept: DataFrame, beaten: DataFrame, offered: DataFrame) -> DataFrame:
-    """Stage of each candidate: offered, dominated, too-slow or not-chosen."""
-    flag = lambda df, n: df.select("request", "candidate", F.lit(True).alias(n))
-    j = c.join(flag(kept, "kept"), ["request", "candidate"], "left").join(flag(beaten, "beaten"), ["request", "candidate"], "left").join(flag(offered, "offered"), ["request", "candidate"], "left")
-    return j.withColumn("stage", F.when(F.col("offered"), "offered").when(F.col("kept").isNull(), "too-slow").when(F.col("beaten"), "dominated").otherwise("not-chosen"))
+def staged(c: DataFrame, kept: DataFrame, beaten: DataFrame, offered: DataFrame, duplicates: DataFrame | None = None) -> DataFrame:
+    """Stage of each candidate: offered, too-slow, duplicate, dominated or not-chosen."""
+    flags = {"kept": kept, "beaten": beaten, "offered": offered} | ({"doubled": duplicates} if duplicates is not None else {})
+    for n, df in flags.items():
+        c = c.join(df.select("request", "candidate", F.lit(True).alias(n)), ["request", "candidate"], "left")
+    doubled = F.col("doubled") if duplicates is not None else F.lit(False)
+    return c.withColumn("stage", F.when(F.col("offered"), "offered").when(F.col("kept").isNull(), "too-slow").when(doubled, "duplicate").when(F.col("beaten"), "dominated").otherwise("not-chosen"))
+
+
+def best_of(c: DataFrame, low_fail: float = 0.05) -> DataFrame:
+    """For each request the fastest, safest, best priced and trail-richest candidate, and the best priced of those that hardly fail."""
+    least = lambda *k: F.min(F.struct(*k, "candidate"))["candidate"]
+    low = F.min(F.when(F.col("fail") <= F.col("dist") * low_fail, F.struct("score", "candidate")))["candidate"]
+    return c.groupBy("request").agg(least("time").alias("fastest"), least(*SAFETY).alias("safest"), least("score").alias("best_priced"), least((-F.col("trail")).alias("t")).alias("trail_richest"), low.alias("low_fail"))
+
+
+def metric_vectors(df: DataFrame) -> DataFrame:
+    """The metrics by which sections are compared, of whole routes on land: metres that fail, are dangerous, need caution, lack a facility, are no
+    trail, are rough; climbing; and the distance."""
+    m = lambda test: F.sum(F.when(test, F.col("len_m")).otherwise(0))
+    climb = F.sum(F.when(F.col("grade_pct") > 0, F.col("len_m") * F.col("grade_pct")).otherwise(0))
+    named = {
+        "fail": m(F.col("level") == 4), "danger": m((F.col("hazard") >= 2) | F.col("mtb")), "caution": m(F.col("level") == 3), "gap": m((F.col("facility") < 2) & ~F.col("infra")), "non_trail": m(~(F.col("infra") | (F.col("facility") == 5))),
+        "rough": m(F.col("surface") >= 2), "ascent": climb, "dist": F.sum("len_m"),
+    }
+    return df.where("not ferry").groupBy("route_id").agg(*[v.alias(k) for k, v in named.items()])
+
+
+def top_labels(labels: DataFrame, weights: dict[str, float], most: int) -> DataFrame:
+    """labels(node, label, metrics) -> at most ``most`` of each node, with their rank: the best in each metric first, then by weighted sum."""
+    by = Window.partitionBy("node")
+    extreme = F.least(*[F.row_number().over(by.orderBy(m, "label")) for m in weights]) == 1
+    cost = F.round(sum(w * F.col(m) for m, w in weights.items()).cast("double"), 6)
+    marked = labels.withColumns({"first": F.when(extreme, 0).otherwise(1), "cost": cost})
+    return marked.withColumn("rank", F.row_number().over(by.orderBy("first", "cost", "label"))).where(F.col("rank") <= most)
 
 
 def _front(values: np.ndarray) -> np.ndarray:

@@ -158,3 +158,10 @@ def valid_point(lon: Column, lat: Column) -> Column:
 def directions_joined(directions: DataFrame, df: DataFrame) -> DataFrame:
     """directions(route_id, index, text) with the segment that they begin at; null beyond the route."""
     return directions.join(df.select("route_id", F.col("seq").alias("index"), "name", "len_m"), ["route_id", "index"], "left")
+
+
+def report_stats(df: DataFrame) -> DataFrame:
+    """Per route, on land: metres of over 5 % grade, of 30 mph and more without space, unpaved and to walk; greatest and mean speed."""
+    walk = F.col("dismount") & F.col("dismount_tagged")
+    named = {"incline_m": F.col("grade_pct") > 5, "no_space_m": (F.col("mph") >= 30) & (F.col("sh") < 4) & (F.col("facility") < 2), "unpaved_m": F.col("surface") >= 2, "walk_m": walk}
+    return df.where("not ferry").groupBy("route_id").agg(*[_metres(c).alias(n) for n, c in named.items()], F.max("mph").alias("max_mph"), F.round(F.sum(F.col("mph") * F.col("len_m")) / F.sum("len_m").cast("double"), 6).alias("mean_mph"))

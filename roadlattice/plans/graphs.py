@@ -114,15 +114,3 @@ def turn_aware_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = spark.range(1).select(F.lit(-1).cast("long").alias("node"), F.lit(0).alias("request"))
     best = G.distances(turns.union(enter), source)
     return best.join(usable.select(F.col("arc_id").alias("node"), F.col("dst").alias("end")), "node").groupBy(F.col("end").alias("node")).agg(F.min("dist").alias("cost"))
-
-
-def strict_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes of the least path that uses no level-4 arc but short crossings, from its goal back to its start."""
-    safe = A.legal(A.judged(arcs(spark, sf_dir)), require_safe=True)
-    source = spark.range(1).select(F.lit(42).cast("long").alias("node"), F.lit(0).alias("request"))
-    best = G.distances(safe.select("src", "dst", whole_cost().alias("cost")), source)
-    goal = best.orderBy(F.desc("dist"), "node").limit(1).select("request", "node")
-    return G.walked_back(best, goal)
-
-
-query()(strict_route)
