@@ -162,15 +162,15 @@ def strict_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.walked_back(best, goal).select("node", F.col("steps_back").cast("long").alias("steps_back"))
 
 
-_LABELS = "LB AS (SELECT l_partkey AS node, l_orderkey * 10 + l_linenumber AS label, CAST(l_quantity AS BIGINT) AS time, l_suppkey % 50 AS fail, l_orderkey % 40 AS ascent FROM lineitem)"
+_LABELS = "LB AS (SELECT l_partkey AS node, (l_orderkey * 10 + l_linenumber) * 10000 + l_suppkey AS label, CAST(l_quantity AS BIGINT) AS time, l_suppkey % 50 AS fail, l_orderkey % 40 AS ascent FROM lineitem)"
 
 
-@query(f"""WITH {_LABELS}, R AS (SELECT *, least(row_number() OVER (PARTITION BY node ORDER BY time, label), row_number() OVER (PARTITION BY node ORDER BY fail, label), row_number() OVER (PARTITION BY node ORDER BY ascent, label)) = 1 AS extreme, round(CAST(time + 2.0 * fail + 0.6 * ascent AS DOUBLE), 6) AS cost FROM LB),
+@query(f"""WITH {_LABELS}, R AS (SELECT *, least(row_number() OVER (PARTITION BY node ORDER BY time, label), row_number() OVER (PARTITION BY node ORDER BY fail, label), row_number() OVER (PARTITION BY node ORDER BY ascent, label)) = 1 AS extreme, time * 10 + fail * 20 + ascent * 6 AS cost FROM LB),
 K AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY CASE WHEN extreme THEN 0 ELSE 1 END, cost, label) AS k FROM R) SELECT node, label, CAST(k AS BIGINT) AS rank FROM K WHERE k <= 8""")
 def top_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight labels a node: those that are best in a metric first, then in practical order."""
-    labels = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("node"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("label"), F.col("l_quantity").cast("long").alias("time"), (F.col("l_suppkey") % 50).alias("fail"), (F.col("l_orderkey") % 40).alias("ascent"))
-    return P.top_labels(labels, {"time": 1.0, "fail": 2.0, "ascent": 0.6}, 8).select("node", "label", F.col("rank").cast("long").alias("rank"))
+    labels = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("node"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10000 + F.col("l_suppkey")).alias("label"), F.col("l_quantity").cast("long").alias("time"), (F.col("l_suppkey") % 50).alias("fail"), (F.col("l_orderkey") % 40).alias("ascent"))
+    return P.top_labels(labels, {"time": 10, "fail": 20, "ascent": 6}, 8).select("node", "label", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""WITH {TAGS}, M AS (SELECT way_id, count(*) AS n FROM (SELECT c_custkey * 13 % 2100 AS way_id FROM customer) GROUP BY 1) SELECT t.way_id, coalesce(t.bicycle = 'designated', false) AS designated, coalesce(M.n, 0) AS members FROM TAGS t LEFT JOIN M USING (way_id) WHERE t.highway IN ('cycleway', 'path', 'footway') ORDER BY 1""")
