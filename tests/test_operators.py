@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from roadlattice.operators import etl, graph, lines, portfolio, reporting, sequences, spatial
+from roadlattice.operators import etl, generation, graph, lines, portfolio, reporting, sequences, spatial
 
 
 def grade(spark, *parts):
@@ -143,3 +143,38 @@ def test_geojson_round_trip(spark, tmp_path):
     assert etl.read_geojson(spark, str(tmp_path / "in.json"), "name string").first().geometry_type == "Point"
     (tmp_path / "page.json").write_text('{"features":[{"attributes":{"id":1},"geometry":{"paths":[[[0,1],[2,3]],[[4,5],[6,7]]]}}]}')
     assert etl.lines(etl.read_pages(spark, str(tmp_path / "page.json"), "id long")).count() == 2
+
+
+def stretches(rows):
+    """Runs of failing edges of a route: (metres, whether bounded by other edges)."""
+    out, i = [], 0
+    while i < len(rows):
+        j = i
+        while j < len(rows) and rows[j].level == 4:
+            j += 1
+        if j > i:
+            out.append((sum(r.len_m for r in rows[i:j]), i > 0 and j < len(rows)))
+        i = max(j, i + 1)
+    return out
+
+
+def test_strict_routes_hold_short_crossings_alone(spark):
+    """A ladder whose cheap rail fails in pieces of 30 m: two in a row are no crossing, one between passing edges is."""
+    flags = {k: False for k in ("prohibited", "freeway", "ferry", "mtb")}
+    edge = lambda i, a, b, cost, level, m: dict(edge_id=i, src=a, dst=b, cost=float(cost), level=level, len_m=m, **flags)
+    arcs = [edge(1, 1, 2, 1, 1, 100), edge(2, 2, 3, 1, 4, 30), edge(3, 3, 4, 1, 4, 35), edge(4, 4, 5, 1, 1, 100), edge(5, 2, 6, 4, 1, 100), edge(6, 6, 4, 1, 4, 40), edge(7, 6, 7, 9, 1, 100), edge(8, 7, 5, 9, 1, 100), edge(9, 8, 9, 1, 4, 30)]
+    df = spark.createDataFrame(arcs, "edge_id long, src long, dst long, cost double, level int, len_m long, prohibited boolean, freeway boolean, ferry boolean, mtb boolean")
+    requests = spark.createDataFrame([(0, 1, 5), (1, 8, 9)], "request long, start long, goal long")
+    got = generation.strict_routes(df, requests).orderBy("request", "seq").collect()
+    assert [(r.request, r.tries, r.edge_id) for r in got] == [(0, 1, 1), (0, 1, 5), (0, 1, 6), (0, 1, 4)]
+    assert all(m <= 40 and bounded for m, bounded in stretches(got))
+    near = spark.createDataFrame([(1, 9)], "request long, edge_id long")
+    assert [r.edge_id for r in generation.strict_routes(df, requests.where("request = 1"), near, retries=1).collect()] == [9]
+
+
+def test_rejected_crossings(spark):
+    rows = [(0, i, 10 + i, level, False, m) for i, (level, m) in enumerate([(1, 90), (4, 30), (4, 35), (1, 90), (4, 40), (2, 90), (4, 20)])]
+    route = spark.createDataFrame(rows, "request long, seq long, edge_id long, level int, freeway boolean, len_m long")
+    assert {r.edge_id for r in generation.rejected_crossings(route).collect()} == {12, 16}
+    exempt = spark.createDataFrame([(0, 16)], "request long, edge_id long")
+    assert {r.edge_id for r in generation.rejected_crossings(route, exempt).collect()} == {12}
