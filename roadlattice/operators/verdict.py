@@ -94,44 +94,59 @@ def bike_network() -> Column:
     return is_true("infra") | ge("facility", 4) | (ge("facility", 2) & ~ge("stress_rating", 4))
 
 
-def verdict(rules=Rules()) -> Column:
-    """struct(level, rule, shoulder, limited, high_stress, caution) of a row of sealed facts.
-
-    Rungs are tried in order; a comparison with an unknown value is false. With literal rules the
-    optimiser folds what a setting turns off.
-    """
-    r = rule_columns(rules)
-    painted = ge("facility", 2)
-    stress = ge("stress_rating", 4) & ~painted
-    soft = is_true("limited_access") | stress
-    shoulder = effective_shoulder(r)
+def _ladder(r: dict) -> list[tuple[Column, str, int, int]]:
+    """Rungs in order: condition, rule, level, and level of a road that is soft (limited access, or stressful without a lane). A
+    comparison with an unknown value is false."""
     t = triggers(r)
     wants = t["speed"] | t["lanes"] | t["traffic"]
-    narrow = ~painted & (shoulder < r["min_shoulder"])
+    narrow = ~ge("facility", 2) & (effective_shoulder(r) < r["min_shoulder"])
     side = is_true(r["allow_sidewalk_fallback"]) & is_text("sidewalk", "present") & t["speed"] & narrow
-    graded = lambda a, b: F.when(soft, a).otherwise(b)
-    ladder = [
-        (is_true("prohibited"), "prohibited", F.lit(4)),
-        (is_true("ferry"), "ferry", F.lit(2)),
-        (is_true("freeway"), "freeway", F.lit(4)),
-        (is_true("infra"), "infra", F.coalesce(F.col("infra_score").cast("int"), F.lit(0))),
-        (~is_true(r["no_upper_limit"]) & gt("speed", r["upper_max_speed"]), "speed-cap", F.lit(4)),
-        (gt("speed", 0) & le("speed", 15), "slow-street", graded(3, 1)),
-        (wants & narrow & side, "sidewalk-fallback", F.lit(3)),
-        (wants & narrow, "needs-space", F.lit(4)),
-        (wants, "default", graded(3, 2)),
-        (known("speed"), "shares-lane", graded(3, 1)),
+    return [
+        (is_true("prohibited"), "prohibited", 4, 4),
+        (is_true("ferry"), "ferry", 2, 2),
+        (is_true("freeway"), "freeway", 4, 4),
+        (is_true("infra"), "infra", 0, 0),
+        (~is_true(r["no_upper_limit"]) & gt("speed", r["upper_max_speed"]), "speed-cap", 4, 4),
+        (gt("speed", 0) & le("speed", 15), "slow-street", 1, 3),
+        (wants & narrow & side, "sidewalk-fallback", 3, 3),
+        (wants & narrow, "needs-space", 4, 4),
+        (wants, "default", 2, 3),
+        (known("speed"), "shares-lane", 1, 3),
+        (F.lit(True), "default", 2, 3),
     ]
-    level = reduce(lambda rest, x: F.when(x[0], x[2]).otherwise(rest), reversed(ladder), graded(3, 2))
-    rule = reduce(lambda rest, x: F.when(x[0], F.lit(x[1])).otherwise(rest), reversed(ladder), F.lit("default"))
-    caution = F.when(rule == "sidewalk-fallback", F.lit("sidewalk-fallback")).when((level == 3) & is_true("limited_access"), F.lit("limited-access")).when((level == 3) & stress, F.lit("high-stress"))
-    return F.struct(level.cast("int").alias("level"), rule.alias("rule"), shoulder.alias("shoulder"), is_true("limited_access").alias("limited"), stress.alias("high_stress"), caution.alias("caution"))
+
+
+def _rung(ladder: list) -> Column:
+    return reduce(lambda rest, x: F.when(x[1][0], F.lit(x[0])).otherwise(rest), reversed(list(enumerate(ladder))), F.lit(len(ladder) - 1))
+
+
+def _read(ladder: list, rung: Column, soft: Column, stress: Column) -> dict[str, Column]:
+    """Level, rule and caution of a rung."""
+    table = lambda k: F.get(F.array(*[F.lit(x[k]) for x in ladder]), rung)
+    names = [x[1] for x in ladder]
+    level = F.when(rung == names.index("infra"), F.coalesce(F.col("infra_score").cast("int"), F.lit(0))).when(soft, table(3)).otherwise(table(2))
+    caution = F.when(rung == names.index("sidewalk-fallback"), F.lit("sidewalk-fallback")).when((level == 3) & is_true("limited_access"), F.lit("limited-access")).when((level == 3) & stress, F.lit("high-stress"))
+    return {"level": level, "rule": table(1), "caution": caution}
+
+
+def verdict(rules=Rules()) -> Column:
+    """struct(level, rule, shoulder, limited, high_stress, caution) of a row of sealed facts. With literal rules the
+    optimiser folds what a setting turns off."""
+    r = rule_columns(rules)
+    ladder, stress = _ladder(r), ge("stress_rating", 4) & ~ge("facility", 2)
+    limited = is_true("limited_access")
+    v = _read(ladder, _rung(ladder), limited | stress, stress)
+    return F.struct(v["level"].cast("int").alias("level"), v["rule"].alias("rule"), effective_shoulder(r).alias("shoulder"), limited.alias("limited"), stress.alias("high_stress"), v["caution"].alias("caution"))
 
 
 def evaluate(facts: DataFrame, rules=Rules()) -> DataFrame:
-    """Facts with the columns of the verdict struct (null facts take defaults first)."""
-    v = seal(facts).withColumn("verdict", verdict(rules))
-    return v.withColumns({"level": F.col("verdict.level"), "rule": F.col("verdict.rule"), "eff_shoulder": F.col("verdict.shoulder"), "caution": F.col("verdict.caution")}).drop("verdict")
+    """Facts with level, rule, eff_shoulder and caution (null facts take defaults first). The rung is found once, in a column of its own;
+    what follows from it is looked up."""
+    r = rule_columns(rules)
+    ladder, stress = _ladder(r), ge("stress_rating", 4) & ~ge("facility", 2)
+    found = seal(facts).withColumns({"__rung": _rung(ladder), "__stress": stress, "eff_shoulder": effective_shoulder(r)})
+    v = _read(ladder, F.col("__rung"), is_true("limited_access") | F.col("__stress"), F.col("__stress"))
+    return found.withColumns({"level": v["level"].cast("int"), "rule": v["rule"], "caution": v["caution"]}).drop("__rung", "__stress")
 
 
 def metres_by_level(df: DataFrame, by: list[str], length: str = "len_m") -> DataFrame:
