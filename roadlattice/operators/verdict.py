@@ -117,7 +117,7 @@ def _ladder(r: dict) -> list[tuple[Column, str, int, int]]:
 
 
 def _rung(ladder: list) -> Column:
-    return reduce(lambda rest, x: F.when(x[1][0], F.lit(x[0])).otherwise(rest), reversed(list(enumerate(ladder))), F.lit(len(ladder) - 1))
+    return reduce(lambda rest, x: F.when(x[1][0], F.lit(x[0])).otherwise(rest), reversed(list(enumerate(ladder[:-1]))), F.lit(len(ladder) - 1))
 
 
 def _read(ladder: list, rung: Column, soft: Column, stress: Column) -> dict[str, Column]:
@@ -130,13 +130,17 @@ def _read(ladder: list, rung: Column, soft: Column, stress: Column) -> dict[str,
 
 
 def verdict(rules=Rules()) -> Column:
-    """struct(level, rule, shoulder, limited, high_stress, caution) of a row of sealed facts. With literal rules the
-    optimiser folds what a setting turns off."""
+    """struct(level, rule, shoulder, limited, high_stress, caution) of a row of sealed facts, as one expression. With literal rules
+    the optimiser folds what a setting turns off."""
     r = rule_columns(rules)
     ladder, stress = _ladder(r), ge("stress_rating", 4) & ~ge("facility", 2)
     limited = is_true("limited_access")
-    v = _read(ladder, _rung(ladder), limited | stress, stress)
-    return F.struct(v["level"].cast("int").alias("level"), v["rule"].alias("rule"), effective_shoulder(r).alias("shoulder"), limited.alias("limited"), stress.alias("high_stress"), v["caution"].alias("caution"))
+    score = F.coalesce(F.col("infra_score").cast("int"), F.lit(0))
+    grade = lambda x: score if x[1] == "infra" else F.lit(x[2]) if x[2] == x[3] else F.when(limited | stress, x[3]).otherwise(x[2])
+    pick = lambda value: reduce(lambda rest, x: F.when(x[0], value(x)).otherwise(rest), reversed(ladder[:-1]), value(ladder[-1]))
+    level, rule = pick(grade), pick(lambda x: F.lit(x[1]))
+    caution = F.when(rule == "sidewalk-fallback", F.lit("sidewalk-fallback")).when((level == 3) & limited, F.lit("limited-access")).when((level == 3) & stress, F.lit("high-stress"))
+    return F.struct(level.cast("int").alias("level"), rule.alias("rule"), effective_shoulder(r).alias("shoulder"), limited.alias("limited"), stress.alias("high_stress"), caution.alias("caution"))
 
 
 def evaluate(facts: DataFrame, rules=Rules()) -> DataFrame:
