@@ -9,11 +9,14 @@ from .verdict import Rules, evaluate
 
 
 def directed(edges: DataFrame) -> DataFrame:
-    """Two rows for an edge (a forward one, and a backward one with ascent and descent exchanged), one if it is one-way."""
+    """Two rows for an edge (a forward one, and a backward one with ascent and descent exchanged), one if it is one-way. Columns that
+    end in _ba hold what another column is for the backward arc (where they are not null), as shoulder_ft_ba does for shoulder_ft."""
+    other = [c for c in edges.columns if c.endswith("_ba") and c.removesuffix("_ba") in edges.columns]
     forward = edges.withColumns({"src": F.col("a"), "dst": F.col("b"), "forward": F.lit(True)})
     backward = edges.where("not one_way").withColumns({"src": F.col("b"), "dst": F.col("a"), "forward": F.lit(False), "__asc": F.col("down_m"), "__des": F.col("up_m")})
+    backward = backward.withColumns({c.removesuffix("_ba"): F.coalesce(c, c.removesuffix("_ba")) for c in other}) if other else backward
     backward = backward.drop("up_m", "down_m").withColumnsRenamed({"__asc": "up_m", "__des": "down_m"})
-    return forward.unionByName(backward).withColumn("arc_id", F.col("edge_id") * 2 + F.when(F.col("forward"), 0).otherwise(1))
+    return forward.unionByName(backward).drop(*other).withColumn("arc_id", F.col("edge_id") * 2 + F.when(F.col("forward"), 0).otherwise(1))
 
 
 def judged(arcs: DataFrame, rules=Rules()) -> DataFrame:

@@ -179,3 +179,22 @@ def off_street_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     used = read(spark, sf_dir, "customer").select((F.col("c_custkey") * 13 % 2100).alias("way_id")).groupBy("way_id").agg(F.count("*").alias("n"))
     w = osm_ways(spark, sf_dir).where(tags.tag("highway").isin("cycleway", "path", "footway")).join(used, "way_id", "left")
     return w.select("way_id", F.coalesce(tags.tag("bicycle") == "designated", F.lit(False)).alias("designated"), F.coalesce("n", F.lit(0)).alias("members"))
+
+
+@query("""WITH P AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 11 > 0 THEN CAST(c_custkey * 7 % 400 - 200 AS DOUBLE) END AS lon, CAST(c_custkey * 3 % 200 - 100 AS DOUBLE) AS lat, c_custkey % 6 - 1 AS surface FROM customer)
+SELECT id, coalesce(lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90, false) AS valid, CASE surface WHEN 1 THEN 'Paved' WHEN 2 THEN 'Gravel' WHEN 3 THEN 'Rough' ELSE 'Surface not recorded' END AS surface FROM P""")
+def point_and_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roadlattice.functions import formats
+
+    c = F.col("c_custkey")
+    p = read(spark, sf_dir, "customer").select(c.alias("id"), F.when(c % 11 > 0, (c * 7 % 400 - 200).cast("double")).alias("lon"), (c * 3 % 200 - 100).cast("double").alias("lat"), (c % 6 - 1).alias("surface"))
+    return p.select("id", R.valid_point(F.col("lon"), F.col("lat")).alias("valid"), formats.surface_label(F.col("surface")).alias("surface"))
+
+
+@query(f"""WITH E AS (SELECT *, CASE WHEN p % 4 = 0 THEN p % 10 END AS sh_ba, CASE WHEN p % 6 = 0 THEN p % 12 = 0 END AS pr_ba FROM grid_edges) SELECT edge_id * 2 AS arc_id, shoulder_ft, prohibited, up_m FROM E
+UNION ALL SELECT edge_id * 2 + 1, coalesce(sh_ba, shoulder_ft), coalesce(pr_ba, prohibited), down_m FROM E WHERE NOT one_way""")
+def directional_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arcs whose backward side has a shoulder and a ban of its own."""
+    p = F.col("p")
+    e = view(spark, sf_dir, "grid_edges").withColumns({"shoulder_ft_ba": F.when(p % 4 == 0, p % 10), "prohibited_ba": F.when(p % 6 == 0, p % 12 == 0)})
+    return A.directed(e).select("arc_id", "shoulder_ft", "prohibited", "up_m")
