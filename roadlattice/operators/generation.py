@@ -118,17 +118,30 @@ def strict_routes(arcs: DataFrame, requests: DataFrame, exempt: DataFrame | None
     arcs(edge_id, src, dst, cost, level, freeway, len_m and what ``legal`` needs). Failing arcs of at most 40 m are let in; where a
     route uses some as more than a crossing, the longest of each stretch is barred for its request and that is searched again,
     at most ``retries`` times. Requests that are still not clean, or have no path, give no rows. Exempt edges (request,
-    edge_id; near the route's ends) may be used and are never barred.
+    edge_id; near the route's ends, see requests.terminal_access) may be used by their request whatever their length, and are never
+    barred for it. Parallel arcs count as the cheapest of them.
     """
-    usable = cut_lineage(legal(cut_lineage(arcs), require_safe=True, freeways=True, mtb=True))
-    attr = usable.select("edge_id", "src", "level", "freeway", "len_m").dropDuplicates(["edge_id", "src"])
+    arcs = cut_lineage(arcs)
+    usable = cut_lineage(legal(arcs, require_safe=True, freeways=True, mtb=True))
+    attr = usable
+    allowed = None
+    if exempt is not None:
+        # failing edges near someone's ends are in the graph at a cost that nobody pays but those whom a factor brings back to theirs
+        extra = legal(arcs, freeways=True, mtb=True).join(exempt.select("edge_id").distinct(), "edge_id", "left_semi").join(usable.select("edge_id", "src"), ["edge_id", "src"], "left_anti")
+        extra = cut_lineage(extra.select(usable.columns))
+        allowed = extra.select("edge_id", "cost").join(exempt.select("request", "edge_id").distinct(), "edge_id").groupBy("request", "edge_id").agg(F.min("cost").alias("cost"))
+        allowed = cut_lineage(allowed.select("request", F.lit(0).alias("plan"), "edge_id", (F.col("cost") / (2 * BARRED)).alias("factor")))
+        attr = usable.union(extra)
+        usable = usable.union(extra.withColumn("cost", F.lit(2 * BARRED)))
+    attr = attr.select("edge_id", "src", "level", "freeway", "len_m", "cost").dropDuplicates(["edge_id", "src"])
     graph = {"strict": usable.select("edge_id", "src", "dst", "cost")}
     plan = lambda r: r.select("request", F.lit(0).alias("plan"), F.lit("strict").alias("graph"), "start", "goal")
     todo, barred, done = requests, None, None
     for attempt in range(retries + 1):
         dear = barred.select("request", F.lit(0).alias("plan"), "edge_id", F.lit(BARRED).alias("factor")) if barred is not None else None
+        dear = dear.union(allowed) if dear is not None and allowed is not None else allowed if dear is None else dear
         paths = searched(graph, plan(todo), dear, **blocks)
-        route = cut_lineage(paths.select("request", F.col("step").alias("seq"), "edge_id", "src", "dst", "cost").join(attr, ["edge_id", "src"]))
+        route = cut_lineage(paths.select("request", F.col("step").alias("seq"), "edge_id", "src", "dst").join(attr, ["edge_id", "src"]))
         bad = cut_lineage(rejected_crossings(route, exempt))
         good = route.join(bad.select("request").distinct(), "request", "left_anti").select("request", F.lit(attempt).alias("tries"), "seq", "edge_id", "src", "dst", "cost", "level", "len_m")
         good = cut_lineage(good)

@@ -21,6 +21,8 @@ OFF_M, BACK_M, WORST_ACCURACY_M, POOR_ACCURACY_M, MEMORY_S, REPEAT_S = 65.0, 40.
 APPROACH_M, IMMEDIATE_M, PASSED_M, ARRIVAL_M = 350.0, 90.0, 60.0, 45.0
 #: Near the route again (told once, and anew after having been far), and how often a status timer looks.
 NEAR_M, FAR_M, POLL_S = 130.0, 250.0, 15
+#: Seconds of silence after which the state of a ride that has arrived goes.
+ENDED_S = 120
 #: A match looks at so many segments on both sides of the last one, and at all of them when it is far off, so often.
 REACH, RESCAN_S = 120, 30.0
 #: Degrees of a turn and of a sharp one, metres that a heading takes, and points ahead in which a road's name is sought.
@@ -99,7 +101,8 @@ def guide(fixes: DataFrame, *, idle_minutes: int | None = 30, status_s: int | No
     """Streaming fixes(ride_id, ts, event_id, off_m, accuracy_m, route_m, instructions, end_m) -> events.
 
     instructions is an array of struct(at_m, text) of the ride's route (joined to the fixes from a static table). State is kept for
-    each ride and dropped ``idle_minutes`` after its last fix (None: kept, for streams that end). With ``status_s`` a timer
+    each ride and dropped ``idle_minutes`` after its last fix (None: kept, for streams that end), two minutes after the last one once
+    it has arrived. With ``status_s`` a timer
     looks every 15 s (or sooner), and a ride gets a status event every status_s seconds, whether fixes come or not.
     """
     poll = None if status_s is None else min(POLL_S, status_s) * 1000
@@ -109,7 +112,7 @@ def guide(fixes: DataFrame, *, idle_minutes: int | None = 30, status_s: int | No
         now = state.getCurrentProcessingTimeMs() if idle is not None or poll is not None else 0
         if state.hasTimedOut:
             old = list(state.get)
-            if poll is None or idle is not None and now - old[9] >= idle:
+            if poll is None or old[7] or idle is not None and now - old[9] >= idle:
                 state.remove()
                 return
             if now - old[10] >= status_s * 1000 and not old[7]:
@@ -122,7 +125,9 @@ def guide(fixes: DataFrame, *, idle_minutes: int | None = 30, status_s: int | No
         plan, end = _plan(group.iloc[0])
         new, events = advance(state.get if state.exists else None, group, plan, end)
         state.update((*new[:9], now, new[10] or now, new[11]))
-        if idle is not None or poll is not None:
+        if new[7] and idle is not None:
+            state.setTimeoutDuration(min(idle, ENDED_S * 1000))
+        elif idle is not None or poll is not None:
             state.setTimeoutDuration(poll if poll is not None else idle)
         if events:
             yield _events(key[0], events)

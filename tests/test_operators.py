@@ -170,6 +170,12 @@ def test_strict_routes_hold_short_crossings_alone(spark):
     assert all(m <= 40 and bounded for m, bounded in stretches(got))
     near = spark.createDataFrame([(1, 9)], "request long, edge_id long")
     assert [r.edge_id for r in generation.strict_routes(df, requests.where("request = 1"), near, retries=1).collect()] == [9]
+    # a long failing edge at an end serves the request that it is exempt for, and no other
+    longer = spark.createDataFrame([edge(20, 11, 1, 2, 4, 300)], df.schema)
+    asks = spark.createDataFrame([(5, 11, 2), (6, 11, 2)], "request long, start long, goal long")
+    ends = spark.createDataFrame([(5, 20)], "request long, edge_id long")
+    got = generation.strict_routes(df.union(longer), asks, ends, retries=1).orderBy("seq").collect()
+    assert [(r.request, r.edge_id, r.cost) for r in got] == [(5, 20, 2.0), (5, 1, 1.0)]
 
 
 def test_rejected_crossings(spark):
