@@ -2,8 +2,8 @@
 
 from pyspark import cloudpickle
 
-from . import html_kernel, kernels, langid_kernel, packing_kernel, toxicity_kernel, warc_kernel, wu_manber
+from . import bpe_kernel, codes_kernel, html_kernel, kernels, langid_kernel, packing_kernel, runs_kernel, toxicity_kernel, warc_kernel, wu_manber
 
 # Executors get the task helpers with the task, so they need no installed copy of this package.
-for _module in (html_kernel, kernels, langid_kernel, packing_kernel, toxicity_kernel, warc_kernel, wu_manber):
+for _module in (bpe_kernel, codes_kernel, html_kernel, kernels, langid_kernel, packing_kernel, runs_kernel, toxicity_kernel, warc_kernel, wu_manber):
     cloudpickle.register_pickle_by_value(_module)

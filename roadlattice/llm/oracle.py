@@ -144,4 +144,67 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIG
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-SQL = {"op1_line_dedup": OP1, "op2_warc": OP2, "op3_near_dedup": OP3, "op6_quality": OP6, "op7_decontaminate": OP7}
+OP11 = r"""
+WITH c AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w0,
+    xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: [CAST(ascii(d) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, o: CASE WHEN o >= 0 THEN xor(c, o) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) AS h
+  FROM documents
+), g AS (
+  SELECT doc_id, w0, len(w0) AS n, h % 10 = 0 AND len(w0) > 0 AS moved, (h // 10) % greatest(len(w0), 1) AS a, 3 + (h // 10) % 8 AS k FROM c
+), x AS (
+  SELECT doc_id, n, CASE WHEN moved THEN list_transform(range(n), lambda i: w0[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // k) END]) ELSE w0 END AS w FROM g
+), grams AS (
+  SELECT doc_id, i, hash(array_to_string(w[i + 1 : i + 8], ' ')) AS s FROM x, unnest(range(greatest(n - 7, 0))) AS u(i)
+), pairs AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q FROM grams x JOIN grams y ON x.doc_id = y.doc_id AND x.s = y.s AND x.i < y.i
+), islands AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + 7 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs) GROUP BY doc_id, q, island
+), runs AS (
+  SELECT doc_id, start, length, min(q) AS period FROM islands WHERE length >= greatest(24, 3 * q) GROUP BY 1, 2, 3
+), gone AS (
+  SELECT DISTINCT doc_id, start + j AS i FROM runs, unnest(range(period, length)) AS u(j)
+), kept AS (
+  SELECT x.doc_id, string_agg(w[i + 1], ' ' ORDER BY i) AS body FROM x CROSS JOIN unnest(range(n)) AS u(i) ANTI JOIN gone g ON g.doc_id = x.doc_id AND g.i = u.i GROUP BY 1
+), per AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines FROM runs GROUP BY 1
+), best AS (
+  SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) = 1
+)
+SELECT x.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period, CAST(1000 * length // period AS BIGINT) AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
+FROM x LEFT JOIN per USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+def _books(before: str, after: str) -> str:
+    """One round: codes by the entries of ``before``, then means into ``after``."""
+    return f"""a_{after} AS (
+  SELECT p.r, p.part, arg_min(entry, d) AS entry FROM (
+    SELECT p.r, p.part, b.entry, list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.x[i]) * (p.x[i] - b.x[i]))) * 64 + b.entry AS d FROM p JOIN {before} b USING (part)) p GROUP BY 1, 2
+), {after} AS (
+  SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM {before} b LEFT JOIN (
+    SELECT part, entry, list(CAST(floor(total / n) AS BIGINT) ORDER BY dim) AS x FROM (
+      SELECT part, entry, dim, sum(v) AS total, count(*) AS n FROM (SELECT part, entry, unnest(range(len(x))) AS dim, unnest(x) AS v FROM p JOIN a_{after} USING (r, part)) GROUP BY 1, 2, 3) GROUP BY 1, 2) m USING (part, entry)
+)"""
+
+
+OP12 = f"""
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+), p AS MATERIALIZED (
+  SELECT r, part, x[part * (len(x) // 16) + 1 : (part + 1) * (len(x) // 16)] AS x FROM v, unnest(range(16)) AS u(part)
+), b0 AS (
+  SELECT part, r AS entry, x FROM p WHERE r < 64
+), {_books("b0", "b1")}, {_books("b1", "b2")}, coded AS (
+  SELECT r, part, min(d) AS d FROM (
+    SELECT p.r, p.part, list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.x[i]) * (p.x[i] - b.x[i]))) * 64 + b.entry AS d FROM p JOIN b2 b USING (part)) GROUP BY 1, 2
+), each AS (
+  SELECT vec_id, label, string_agg(printf('%02x', CAST(d % 64 AS BIGINT)), '' ORDER BY part) AS code, CAST(sum(d // 64) AS BIGINT) AS error FROM coded JOIN v USING (r) GROUP BY r, vec_id, label
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM b2) AS codebooks_sha256 FROM each
+"""
+
+SQL = {"op11_periodic_runs": OP11, "op12_vector_codes": OP12, "op1_line_dedup": OP1, "op2_warc": OP2, "op3_near_dedup": OP3, "op6_quality": OP6, "op7_decontaminate": OP7}

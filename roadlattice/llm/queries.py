@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import runs_kernel
+from .byte_bpe import round_trip
 from .common import scratch_path, table
 from .decontaminate import contamination
 from .html_text import main_texts
@@ -14,9 +16,11 @@ from .line_dedup import drop_recurring_lines
 from .oracle import SQL
 from .near_dedup import near_duplicates
 from .packing import pack
+from .periodic_runs import periodic_runs, run_digests
 from .pii import personal_data
 from .quality import quality
 from .toxicity import toxicity
+from .vector_codes import vector_codes
 from .warc import read_archives, write_archives
 
 
@@ -65,8 +69,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, docs, table(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(table(spark, sf_dir, "documents"), rewrite=runs_kernel.tail_repeats))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_near_dedup, op4_language, op5_html_text, op6_quality, op7_decontaminate, op8_pii, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_near_dedup, op4_language, op5_html_text, op6_quality, op7_decontaminate, op8_pii, op9_packing, op10_toxicity, op11_periodic_runs, op12_vector_codes, op13_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
