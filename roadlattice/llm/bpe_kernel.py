@@ -68,9 +68,46 @@ _LATER = """
 """
 LATER = re.compile("[" + "".join("-".join(rf"\U{int(x, 16):08x}" for x in r.split("-")) for r in _LATER.split()) + "]")
 
-_GAP = r"[^\S\x1c-\x1f]"  # white space as the pattern's \s takes it
-#: Texts may be cut before white space that follows something else without changing the pattern's matches.
-CHUNK = re.compile(rf"{_GAP}*(?:\S|[\x1c-\x1f])+|{_GAP}+")
+#: The last byte of white space beyond ASCII, by the bytes before it: \x85 \xa0 \u1680 \u2000-\u200a \u2028 \u2029 \u202f \u205f \u3000.
+_WIDE = {(0xC2,): [0x85, 0xA0], (0xE1, 0x9A): [0x80], (0xE2, 0x80): [*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF], (0xE2, 0x81): [0x9F], (0xE3, 0x80): [0x80]}
+_GAPS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def chunk_starts(data: np.ndarray) -> np.ndarray:
+    """Where texts may be cut without changing the pattern's matches: before ASCII white space that follows something else."""
+    gap = _GAPS[data]
+    after = gap.copy()
+    for head, last in _WIDE.items():
+        k = len(head)
+        at = np.flatnonzero(data[: len(data) - k] == head[0])
+        for j in range(1, k):
+            at = at[data[at + j] == head[j]]
+        after[at[np.isin(data[at + k], last)] + k] = True
+    return np.flatnonzero(gap[1:] & ~after[:-1]) + 1
+
+
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets from 0 and bytes of a string or binary column; nulls are empty."""
+    column = pa.concat_arrays([pc.fill_null(column.cast(pa.binary()), b"")])
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    return offsets - offsets[0], np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
+
+
+def _binary(offsets: np.ndarray, data) -> pa.BinaryArray:
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int32)), pa.py_buffer(data)])
+
+
+def _recoded(offsets: np.ndarray, data: np.ndarray, cuts: np.ndarray, recode) -> pa.BinaryArray:
+    """Rows cut further at cuts, each distinct piece recoded once, and put together again as rows."""
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    edge[cuts] = True
+    edges = np.flatnonzero(edge)
+    pieces = _binary(edges, data).dictionary_encode()
+    done = pa.array(recode(pieces.dictionary), pa.binary()).take(pieces.indices) if len(pieces) else pa.array([], pa.binary())
+    at, out = _flat(done)
+    return _binary(at[np.searchsorted(edges, offsets)], out)
 
 
 class Coder:
@@ -80,7 +117,7 @@ class Coder:
         lines = (line.split() for line in open(path, "rb") if line.strip())
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
         self.pattern, self.most, self.known, self.decoded = regex.compile(pattern), most, {}, {}
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         rows = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         left, right, rank = (np.array(c, np.int64) for c in zip(*rows)) if rows else (np.empty(0, np.int64),) * 3
         lone = np.isin(rank, np.concatenate([left[rank < left], right[rank < right]]))  # tokens that may at once join one of lower rank
@@ -151,38 +188,41 @@ class Coder:
         """The pattern's matches, with later letters and numbers as what they were in the pattern's Unicode version: unassigned."""
         return [chunk[m.start() : m.end()] for m in self.pattern.finditer(LATER.sub("\U000e0fff", chunk))]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Texts are cut into chunks; only distinct chunks are split into words, and only distinct words contracted."""
-        cuts = [CHUNK.findall(t) for t in texts]
-        chunks: dict = dict.fromkeys(c for cut in cuts for c in cut)
-        split = list(map(self.split if any(map(LATER.search, texts)) else self.pattern.findall, chunks))
+    def chunks(self, chunks: pa.BinaryArray) -> list[bytes]:
+        """Ids of distinct chunks of text; only distinct words are contracted."""
+        texts = chunks.cast(pa.string()).to_numpy(zero_copy_only=False).tolist()
+        split = list(map(self.split if LATER.search(" ".join(texts)) else self.pattern.findall, texts))
         ids = self.words(list(dict.fromkeys(w for found in split for w in found)))
-        chunks = {c: ids[found[0]] if len(found) == 1 else b"".join(map(ids.__getitem__, found)) for c, found in zip(chunks, split)}
-        return [b"".join(map(chunks.__getitem__, cut)) for cut in cuts]
-
-    def decode(self, sequences: list[bytes]) -> list[bytes]:
-        """Bytes of sequences of ids: each is cut before tokens that begin with a space, and distinct pieces are decoded."""
-        cuts = []
-        for s in sequences:
-            edge = (4 * np.flatnonzero(self.opens[np.frombuffer(s, "<u4")])).tolist()
-            cuts.append([s[i:j] for i, j in zip([0, *edge], [*edge, len(s)]) if i < j])
-        pieces = dict.fromkeys(p for cut in cuts for p in cut)
-        names = []
-        for p in pieces:
-            if (known := self.decoded.get(p)) is None:
-                names.append(p)
-            else:
-                pieces[p] = known
-        for start in range(0, len(names), 100_000):
-            part = names[start : start + 100_000]
+        return [ids[found[0]] if len(found) == 1 else b"".join(map(ids.__getitem__, found)) for found in split]
+
+    def encode(self, column) -> pa.BinaryArray:
+        """Ids of texts, as little-endian 32-bit integers."""
+        offsets, data = _flat(column)
+        return _recoded(offsets, data, chunk_starts(data), self.chunks)
+
+    def sequences(self, pieces: pa.BinaryArray) -> list[bytes]:
+        """Bytes of distinct sequences of ids."""
+        pieces = pieces.to_numpy(zero_copy_only=False).tolist()
+        found = dict.fromkeys(pieces)
+        new = [p for p in pieces if p not in self.decoded]
+        found.update((p, self.decoded[p]) for p in pieces if p in self.decoded)
+        for start in range(0, len(new), 100_000):
+            part = new[start : start + 100_000]
             counts = np.fromiter(map(len, part), np.int64, len(part)) // 4
             place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             self.table("seq", number=np.repeat(np.arange(len(part)), counts), place=place, id=np.frombuffer(b"".join(part), "<u4").astype(np.int64))
-            new = dict(zip(part, self.con.sql(DECODE).to_arrow_table()["bytes"].to_pylist()))
-            pieces.update(new)
+            done = self.con.sql(DECODE).to_arrow_table()["bytes"].to_numpy(zero_copy_only=False).tolist()
+            if len(done) < len(part):
+                raise ValueError("ids that the rank file lacks")
+            found.update(zip(part, done))
             if len(self.decoded) < self.most:
-                self.decoded.update(new)
-        return [b"".join(map(pieces.__getitem__, cut)) for cut in cuts]
+                self.decoded.update(zip(part, done))
+        return [found[p] for p in pieces]
+
+    def decode(self, column) -> pa.BinaryArray:
+        """Bytes of ids: rows are cut before tokens that begin with a space, and distinct pieces decoded."""
+        offsets, data = _flat(column)
+        return _recoded(offsets, data, 4 * np.flatnonzero(self.opens[data.view("<u4")]), self.sequences)
 
 
 def coder(path: str, pattern: str, most: int) -> Coder:
@@ -193,7 +233,7 @@ def coder(path: str, pattern: str, most: int) -> Coder:
     return kept[path, pattern, most]
 
 
-def _slices(column, limit: int = 1 << 24):
+def _slices(column, limit: int = 1 << 23):
     """Ranges of rows of at most ``limit`` bytes each, or one row."""
     lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     start = size = 0
@@ -212,8 +252,7 @@ def encoder(path: str, pattern: str, most: int):
         c = coder(path, pattern, most)
         for batch in batches:
             for i, j in _slices(batch.column(1)):
-                ids = c.encode([t or "" for t in batch.column(1)[i:j].to_pylist()])
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], c.encode(batch.column(1)[i:j])], names=["doc_id", "ids"])
 
     return run
 
@@ -225,7 +264,13 @@ def decoder(path: str, pattern: str, most: int):
         c = coder(path, pattern, most)
         for batch in batches:
             for i, j in _slices(batch.column(1)):
-                out = c.decode([s or b"" for s in batch.column(1)[i:j].to_pylist()])
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
+                ids = batch.column(1)[i:j]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], ids, c.decode(ids)], names=["doc_id", "ids", "decoded"])
 
     return run
+
+
+def both_ways(path: str, pattern: str, most: int):
+    """mapInArrow: the encoder and then the decoder of its ids, in one process."""
+    there, back = encoder(path, pattern, most), decoder(path, pattern, most)
+    return lambda batches: back(there(batches))

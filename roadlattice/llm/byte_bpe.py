@@ -18,7 +18,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, remembered: int =
     that holds white space and something else begins with a single space) is encoded by itself: a match that is a token is that
     token; of others the leftmost pair of neighbours whose joined bytes have the least rank becomes one token, until no pair is
     left. This is done in each task by a recursive DuckDB query over rows of tokens and places (bpe_kernel.CONTRACT), for
-    the distinct words of up to 16 MB of text at a time. Special tokens are ordinary text.
+    the distinct words of up to 8 MB of text at a time. Special tokens are ordinary text.
 
     Null and empty texts have no ids. Equal ranks go to the leftmost pair (ties). Texts and words of any length are encoded
     whole. Repeated rows each get their row, null ids stay null; an empty table gives no rows. Other columns are ignored, whatever
@@ -34,7 +34,9 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, *, remembered: int
     return encoded.select("doc_id", "ids").mapInArrow(bpe_kernel.decoder(ranks_path, pattern, remembered), "doc_id long, ids binary, decoded binary")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, **args) -> DataFrame:
-    """documents -> doc_id, n_tokens, and digests of the ids and of the bytes decoded from them."""
-    done = decode(encode(docs, ranks_path, pattern, **args), ranks_path, pattern, **args)
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, remembered: int = REMEMBERED) -> DataFrame:
+    """documents -> doc_id, n_tokens, and digests of the ids and of the bytes decoded from them: encode and decode in one process, which
+    shares what it remembers. All cases as there; null and empty texts have the digests of nothing."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    done = texts.mapInArrow(bpe_kernel.both_ways(ranks_path, pattern, remembered), "doc_id long, ids binary, decoded binary")
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2(F.coalesce("ids", F.lit(b"")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
