@@ -27,6 +27,8 @@ LIMITED = (1.05, 1.35, 1.75)
 CLIMB = (0.25, 0.9, 1.6)
 TURN = (6.0, 11.0, 15.0)
 FREEWAY, MTB, DISMOUNT, LONG_DISMOUNT, DISMOUNT_ENTRY_S, FERRY_WAIT_S, SIGNED, RESIDENTIAL = 60.0, 6.0, 4.0, 8.0, 360.0, 900.0, 0.94, 0.78
+#: A signed route where such are preferred.
+STRONGLY_SIGNED = 0.5
 GRAVEL, ROUGH = 0.065, 0.2
 MPH = 0.44704
 
@@ -124,6 +126,26 @@ def arc_cost(m: int, prefer_paved: bool = False) -> Column:
     return (time + climb_preference(m)) * product + steep_avoidance(m, time) + surface_preference(prefer_paved)
 
 
+def profile_cost(m: int, designated: bool, residential: bool, rules_limit: int = 35) -> Column:
+    """Cost of an arc under a profile: a mode, with or without signed routes and residential streets preferred."""
+    f = factors(m, rules_limit)
+    plain = (F.col("road_class") <= 3) & ~(F.col("infra") | F.col("ferry") | F.col("freeway") | F.col("limited_access"))
+    lane = reduce(lambda rest, k: F.when(F.col("facility") == k, FACILITY[k]).otherwise(rest), FACILITY, F.when(F.col("designated"), STRONGLY_SIGNED if designated else SIGNED).otherwise(1.0))
+    f["facility"] = F.when(F.col("ferry") | F.col("freeway") | F.col("dismount") | (F.col("level") == 4), 1.0).otherwise(lane)
+    f["residential"] = F.when(plain, RESIDENTIAL).otherwise(1.0) if residential else F.lit(1.0)
+    return (F.col("time_s") + climb_preference(m)) * reduce(lambda a, b: a * b, f.values()) + steep_avoidance(m, F.col("time_s")) + surface_preference()
+
+
+def profile_name(mode: str, designated: bool, residential: bool) -> str:
+    return mode + ("_signed" if designated else "") + ("_quiet" if residential else "")
+
+
+def priced_profiles(arcs: DataFrame, rules_limit: int = 35) -> DataFrame:
+    """arcs with level and rule -> time_s and the costs of the twelve profiles (cost_ and profile_name), all in one pass."""
+    timed = arcs.withColumn("time_s", time_s())
+    return timed.withColumns({f"cost_{profile_name(n, d, r)}": profile_cost(m, d, r, rules_limit) for m, n in enumerate(MODES) for d in (False, True) for r in (False, True)})
+
+
 def priced(arcs: DataFrame) -> DataFrame:
     """arcs with level and rule -> time_s and a cost column for each mode, all in one pass."""
     timed = arcs.withColumn("time_s", time_s())

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import overlay
 from .arcs import legal
-from .graph import cut_lineage, distances, walked_back
+from .costs import MODES, TURN, profile_name
+from .graph import cut_lineage, distances, stored, walked_back
+from .portfolio import SAFETY, overlap
+from .recombine import distinct_routes
+from .requests import different, profiles
 from .sequences import islands
 
 #: Bits of a node's number below those of its graph, and of a search's number below its request's.
@@ -60,24 +65,16 @@ def searched(graphs: dict[str, DataFrame], plans: DataFrame, penalties: DataFram
 
 def measured(paths: DataFrame, arcs: DataFrame) -> DataFrame:
     """Totals of each (request, plan) over its arcs(edge_id, src, time_s, level and the flags of an edge)."""
-    a = arcs.dropDuplicates(["edge_id", "src"]).drop("dst", "cost")
+    a = arcs.dropDuplicates(["edge_id", "src"]).drop("dst", "cost", "arc_id")
     j = paths.join(a, ["edge_id", "src"])
     metres = lambda test: F.sum(F.when(test, F.col("len_m")).otherwise(0))
     return j.groupBy("request", "plan").agg(
         F.sum("cost").alias("cost"), F.sum("len_m").alias("dist"), F.sum("time_s").alias("time"), F.sum("up_m").alias("ascent"), metres((F.col("level") == 4) & ~F.col("ferry")).alias("fail"), metres(F.col("ferry")).alias("ferry"),
         metres(F.col("freeway")).alias("freeway"), metres(F.col("limited_access")).alias("limited"), metres(F.col("mtb")).alias("mtb"), metres(F.col("dismount")).alias("dismount"), metres(F.col("designated")).alias("designated"),
-        metres(F.col("facility") >= 2).alias("facility"), metres(F.col("infra")).alias("trail"), metres(F.col("hazard") >= 2).alias("hazard"), F.count("*").alias("edges"),
+        metres(F.col("facility") >= 2).alias("facility"), metres(F.col("infra")).alias("trail"), metres(F.col("hazard") >= 2).alias("hazard"), metres((F.col("road_class") <= 3) & (F.col("facility") == 0)).alias("residential"), F.count("*").alias("edges"),
     )
 
 
-def probe_plans(seeds: DataFrame, requests: DataFrame, first_plan: int) -> tuple[DataFrame, DataFrame]:
-    """seeds(request, seed, edge_id) -> plans and penalties of the four probes: each searches with its seed's edges made dearer."""
-    kinds = F.explode(F.array(*[F.struct(F.lit(first_plan + k).alias("plan"), F.lit({"quick": "direct", "safer": "low"}.get(n, "balanced")).alias("graph"), F.lit(s).alias("seed"), F.lit(f).alias("factor")) for k, (n, (s, f)) in enumerate(PROBES.items())])).alias("k")
-    wanted = requests.select("request", "start", "goal", kinds).select("request", "k.plan", "k.graph", "start", "goal", "k.seed", "k.factor")
-    dear = wanted.join(seeds, ["request", "seed"]).select("request", "plan", "edge_id", "factor")
-    return wanted.drop("seed", "factor"), dear
-
-
 def stricter_mph(mph: Column) -> Column:
     """Speed up to which discovery accepts no shoulder: 5 mph less, between 15 and 30; null if that is no stricter."""
     s = F.greatest(F.lit(LEAST_MPH), F.least(F.lit(MOST_MPH), mph - STRICTER_MPH))
@@ -111,7 +108,20 @@ def rejected_crossings(route: DataFrame, exempt: DataFrame | None = None) -> Dat
     return bad.groupBy("request", "run").agg(F.max(F.struct("len_m", (-F.col("seq")).alias("s"), "edge_id")).alias("b")).select("request", "b.edge_id").distinct()
 
 
-def strict_routes(arcs: DataFrame, requests: DataFrame, exempt: DataFrame | None = None, retries: int = RETRIES, **blocks) -> DataFrame:
+def strict_arcs(arcs: DataFrame, exempt: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(arcs of the strict graph, their attributes, factors of requests): legal arcs, and failing ones near someone's ends at a cost that
+    nobody pays but those whom a factor brings back to theirs."""
+    usable = cut_lineage(legal(arcs, require_safe=True, freeways=True, mtb=True))
+    if exempt is None:
+        return usable, usable, None
+    extra = legal(arcs, freeways=True, mtb=True).join(exempt.select("edge_id").distinct(), "edge_id", "left_semi").join(usable.select("edge_id", "src"), ["edge_id", "src"], "left_anti")
+    extra = cut_lineage(extra.select(usable.columns))
+    allowed = extra.select("edge_id", "cost").join(exempt.select("request", "edge_id").distinct(), "edge_id").groupBy("request", "edge_id").agg(F.min("cost").alias("cost"))
+    allowed = cut_lineage(allowed.select("request", F.lit(0).alias("plan"), "edge_id", (F.col("cost") / (2 * BARRED)).alias("factor")))
+    return usable.union(extra.withColumn("cost", F.lit(2 * BARRED))), usable.union(extra), allowed
+
+
+def strict_routes(arcs: DataFrame, requests: DataFrame, exempt: DataFrame | None = None, retries: int = RETRIES, find=None, parts=None, **blocks) -> DataFrame:
     """requests(request, start, goal) -> (request, tries, seq, edge_id, src, dst, cost, level, len_m): least-cost routes on which every
     failing stretch is a short crossing.
 
@@ -119,20 +129,10 @@ def strict_routes(arcs: DataFrame, requests: DataFrame, exempt: DataFrame | None
     route uses some as more than a crossing, the longest of each stretch is barred for its request and that is searched again,
     at most ``retries`` times. Requests that are still not clean, or have no path, give no rows. Exempt edges (request,
     edge_id; near the route's ends, see requests.terminal_access) may be used by their request whatever their length, and are never
-    barred for it. Parallel arcs count as the cheapest of them.
+    barred for it. Parallel arcs count as the cheapest of them. ``find`` (plans, penalties) searches instead of ``searched``, as on an
+    overlay built with ``parts`` (see strict_arcs).
     """
-    arcs = cut_lineage(arcs)
-    usable = cut_lineage(legal(arcs, require_safe=True, freeways=True, mtb=True))
-    attr = usable
-    allowed = None
-    if exempt is not None:
-        # failing edges near someone's ends are in the graph at a cost that nobody pays but those whom a factor brings back to theirs
-        extra = legal(arcs, freeways=True, mtb=True).join(exempt.select("edge_id").distinct(), "edge_id", "left_semi").join(usable.select("edge_id", "src"), ["edge_id", "src"], "left_anti")
-        extra = cut_lineage(extra.select(usable.columns))
-        allowed = extra.select("edge_id", "cost").join(exempt.select("request", "edge_id").distinct(), "edge_id").groupBy("request", "edge_id").agg(F.min("cost").alias("cost"))
-        allowed = cut_lineage(allowed.select("request", F.lit(0).alias("plan"), "edge_id", (F.col("cost") / (2 * BARRED)).alias("factor")))
-        attr = usable.union(extra)
-        usable = usable.union(extra.withColumn("cost", F.lit(2 * BARRED)))
+    usable, attr, allowed = parts or strict_arcs(cut_lineage(arcs), exempt)
     attr = attr.select("edge_id", "src", "level", "freeway", "len_m", "cost").dropDuplicates(["edge_id", "src"])
     graph = {"strict": usable.select("edge_id", "src", "dst", "cost")}
     plan = lambda r: r.select("request", F.lit(0).alias("plan"), F.lit("strict").alias("graph"), "start", "goal")
@@ -140,7 +140,7 @@ def strict_routes(arcs: DataFrame, requests: DataFrame, exempt: DataFrame | None
     for attempt in range(retries + 1):
         dear = barred.select("request", F.lit(0).alias("plan"), "edge_id", F.lit(BARRED).alias("factor")) if barred is not None else None
         dear = dear.union(allowed) if dear is not None and allowed is not None else allowed if dear is None else dear
-        paths = searched(graph, plan(todo), dear, **blocks)
+        paths = find(plan(todo), dear) if find else searched(graph, plan(todo), dear, **blocks)
         route = cut_lineage(paths.select("request", F.col("step").alias("seq"), "edge_id", "src", "dst").join(attr, ["edge_id", "src"]))
         bad = cut_lineage(rejected_crossings(route, exempt))
         good = route.join(bad.select("request").distinct(), "request", "left_anti").select("request", F.lit(attempt).alias("tries"), "seq", "edge_id", "src", "dst", "cost", "level", "len_m")
@@ -153,32 +153,89 @@ def strict_routes(arcs: DataFrame, requests: DataFrame, exempt: DataFrame | None
     return done
 
 
-def pool(arcs: DataFrame, requests: DataFrame, **blocks) -> tuple[DataFrame, DataFrame]:
-    """requests(request, start, goal) -> (paths, totals) of all candidates: the three profiles; where they give under five different
-    routes, the four probes off the fastest and the safest; the direct lens and its friendly probe; and a strict route where none
-    matches fully. arcs carry cost_direct, cost_balanced, cost_low, time_s, level and the flags of an edge.
-
-    Plans: 0 to 2 the profiles, 3 to 6 the probes, 7 the lens, 8 its probe, 9 the strict route.
+#: Plans of a request: twelve profiles, the probes, discovery, the lens and its probe, the strict route.
+PROFILES = [(m, d, r) for m in MODES for d in (False, True) for r in (False, True)]
+FIRST_PROBE, FIRST_DISCOVERY, LENS, LENS_PROBE, STRICT = 12, 16, 19, 20, 21
+#: Fewer different routes than this call for probes; a gentle discovery may take so many times the direct one's time and seconds more.
+ENOUGH, GENTLE_TIMES, GENTLE_S = 5, 2.2, 600
+#: What probes search (mode, signed, quiet), off which seed, and by what factor; None takes what the request forces.
+PROBE_PLANS = [("direct", None, None, "fastest", 1.3), ("balanced", True, True, "fastest", 1.35), ("low", True, True, "safest", 1.35), ("balanced", None, True, "fastest", 1.6)]
+
+
+def _graph_name(mode: str, designated: Column, residential: Column) -> Column:
+    return F.concat(F.lit(mode), F.when(designated, "_signed").otherwise(""), F.when(residential, "_quiet").otherwise(""))
+
+
+def pool_graphs(arcs: DataFrame, discovery: DataFrame, exempt: DataFrame | None = None) -> tuple[dict, tuple]:
+    """The graphs that a pool searches, each with its turn cost, and the strict graph's parts. arcs have the costs of all profiles under
+    the rider's rules (costs.priced_profiles), discovery those of the same arcs under stricter ones."""
+    usable, turn = legal(arcs, freeways=True, mtb=True), dict(zip(MODES, TURN))
+    shape = lambda df, cost: df.select("arc_id", "edge_id", "src", "dst", cost.alias("cost"), "bearing_in", "bearing_out", "name")
+    graphs = {profile_name(*p): (shape(usable, F.col(f"cost_{profile_name(*p)}")), turn[p[0]]) for p in PROFILES}
+    careful = legal(discovery, freeways=True, mtb=True)
+    for mode, both in (("direct", False), ("low", True), ("balanced", True)):
+        graphs[f"discover_{mode}"] = (shape(careful, F.col(f"cost_{profile_name(mode, both, both)}")), turn[mode])
+    for mode, both in (("direct", False), ("balanced", True)):
+        graphs[f"lens_{mode}"] = (shape(usable, flattened(F.col(f"cost_{profile_name(mode, both, both)}"), F.col("time_s"))), turn[mode])
+    parts = strict_arcs(arcs.withColumn("cost", F.col("cost_direct_signed_quiet")), exempt)
+    graphs["strict"] = (shape(parts[0], F.col("cost")), turn["direct"])
+    return graphs, parts
+
+
+def pool(arcs: DataFrame, discovery: DataFrame, requests: DataFrame, nodes: DataFrame, exempt: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """requests(request, start, goal, prefer_designated, prefer_residential) -> (paths, totals) of all candidates, with turns priced.
+
+    Plans: the profiles that the request leaves (0 to 11); where fewer than five of their routes are different, four probes off the
+    fastest and the safest (12 to 15); without a boat on any of these, discovery on roads that stricter rules (``discovery``, see
+    pool_graphs) price: direct, gentle (kept within 2.2 times the direct one's time and 600 s) and an alternative off the direct one's
+    edges (16 to 18); the direct lens and its probe (19, 20); where nothing matches fully, a strict route (21). Probes leave protected
+    infrastructure at its price. All searches of a step run together on one overlay (see overlay.build); nodes(node, x, y) are its cells.
+    exempt(request, edge_id) are failing edges near the ends (requests.terminal_access). Totals are judged under the rider's rules.
     """
-    arcs = cut_lineage(arcs)
-    usable = legal(arcs, freeways=True, mtb=True)
-    graphs = {m: usable.select("edge_id", "src", "dst", F.col(f"cost_{m}").alias("cost")) for m in ("direct", "balanced", "low")}
-    graphs["lens"] = usable.select("edge_id", "src", "dst", flattened(F.col("cost_direct"), F.col("time_s")).alias("cost"))
-    plan = lambda k, g, r=requests: r.select("request", F.lit(k).alias("plan"), F.lit(g).alias("graph"), "start", "goal")
-    first = plan(0, "direct").union(plan(1, "balanced")).union(plan(2, "low")).union(plan(7, "lens"))
-    paths = cut_lineage(searched(graphs, first, **blocks))
-    totals = cut_lineage(measured(paths, arcs))
-    own = totals.where("plan < 3")
-    kinds = own.groupBy("request").agg(F.min(F.struct("time", "plan"))["plan"].alias("fastest"), F.min(F.struct("fail", "freeway", "time", "plan"))["plan"].alias("safest"), F.count_distinct("cost", "dist").alias("different"), F.min("fail").alias("least_fail"))
-    kinds = cut_lineage(kinds)
-    seed = lambda n: kinds.where("different < 5").select("request", F.lit(n).alias("seed"), F.col(n).alias("plan")).join(paths, ["request", "plan"]).select("request", "seed", "edge_id")
-    open_requests = requests.join(kinds.where("different < 5").select("request"), "request", "left_semi")
-    probes, dear = probe_plans(seed("fastest").union(seed("safest")), open_requests, 3)
-    lens_dear = paths.where("plan = 7").select("request", F.lit(8).alias("plan"), "edge_id", F.lit(PROBES["balanced"][1]).alias("factor"))
-    more = cut_lineage(searched(graphs, probes.union(plan(8, "lens")), dear.union(lens_dear), **blocks))
-    strict = strict_routes(arcs.withColumn("cost", F.col("cost_direct")), requests.join(kinds.where("least_fail > 0").select("request"), "request", "left_semi"), **blocks)
-    paths = paths.union(more).union(strict.select("request", F.lit(9).alias("plan"), F.col("seq").alias("step"), "edge_id", "src", "dst", "cost"))
-    paths = cut_lineage(paths)
+    arcs, requests = stored(arcs, "pool-arcs"), stored(requests, "pool-requests")
+    graphs, parts = pool_graphs(arcs, stored(discovery, "pool-discovery"), exempt)
+    on = overlay.build(graphs, nodes)
+    columns = ["request", "plan", "step", "edge_id", "src", "dst", "cost"]
+    find = lambda plans, dear=None: overlay.routes(on, plans, dear, cap=BARRED / 2)
+    plan = lambda k, graph, r=requests: r.select("request", F.lit(k).cast("int").alias("plan"), (F.lit(graph) if isinstance(graph, str) else graph).alias("graph"), "start", "goal")
+    forced_d, forced_r = F.coalesce("prefer_designated", F.lit(False)), F.coalesce("prefer_residential", F.lit(False))
+
+    number = F.lit(None).cast("int")
+    for k, p in enumerate(PROFILES):
+        number = F.when((F.col("mode") == p[0]) & (F.col("designated") == p[1]) & (F.col("residential") == p[2]), k).otherwise(number)
+    first = profiles(requests).join(requests.select("request", "start", "goal"), "request")
+    first = first.select("request", number.alias("plan"), F.concat("mode", F.when(F.col("designated"), "_signed").otherwise(""), F.when(F.col("residential"), "_quiet").otherwise("")).alias("graph"), "start", "goal")
+    own = stored(find(first.unionByName(plan(LENS, "lens_direct")).unionByName(plan(FIRST_DISCOVERY, "discover_direct"))), "pool-first")
+    totals = stored(measured(own, arcs), "pool-totals")
+    base = totals.where(F.col("plan") < FIRST_PROBE).withColumn("candidate", F.col("plan"))
+    shares = stored(overlap(own.where(F.col("plan") < FIRST_PROBE).join(arcs.select("edge_id", "src", "len_m").dropDuplicates(["edge_id", "src"]), ["edge_id", "src"]).withColumn("route", F.col("plan"))), "pool-shares")
+    alike = shares.join(different(base, shares), ["request", "a", "b"], "left_anti")
+    apart = distinct_routes(base, alike, ["plan"]).groupBy("request").agg(F.count("*").alias("different"))
+    fewest = F.min(F.struct(*[c for c in SAFETY if c in base.columns and c != "aggression"], "plan"))["plan"]
+    kinds = base.groupBy("request").agg(F.min(F.struct("time", "plan"))["plan"].alias("fastest"), fewest.alias("safest"), F.max("ferry").alias("ferry"))
+    kinds = stored(kinds.join(apart, "request"), "pool-kinds")
+
+    open_ = requests.join(kinds.where(F.col("different") < ENOUGH).select("request"), "request", "left_semi")
+    dry = requests.join(kinds.where("ferry = 0").select("request"), "request", "left_semi")
+    ordinary = arcs.where(~F.col("infra") & (F.col("facility") < 4)).select("edge_id").distinct()
+    more, dear = plan(LENS_PROBE, "lens_balanced").unionByName(plan(FIRST_DISCOVERY + 1, "discover_low", dry)).unionByName(plan(FIRST_DISCOVERY + 2, "discover_balanced", dry)), None
+    seeds = [(LENS, LENS_PROBE, PROBES["balanced"][1]), (FIRST_DISCOVERY, FIRST_DISCOVERY + 2, PROBES["balanced"][1])]
+    for seed, k, factor in seeds:
+        part = own.where(F.col("plan") == seed).select("request", F.lit(k).cast("int").alias("plan"), "edge_id", F.lit(factor).alias("factor"))
+        dear = part if dear is None else dear.union(part)
+    for k, (mode, d, r, seed, factor) in enumerate(PROBE_PLANS, FIRST_PROBE):
+        more = more.unionByName(plan(k, _graph_name(mode, forced_d if d is None else F.lit(d), forced_r if r is None else F.lit(r)), open_))
+        part = kinds.where(F.col("different") < ENOUGH).select("request", F.col(seed).alias("plan")).join(own, ["request", "plan"])
+        dear = dear.union(part.select("request", F.lit(k).cast("int").alias("plan"), "edge_id", F.lit(factor).alias("factor")))
+    dear = stored(dear.distinct().join(ordinary, "edge_id", "left_semi").select("request", "plan", "edge_id", "factor"), "pool-dear")
+    found = stored(own.join(dry.select("request").withColumn("dry", F.lit(True)), "request", "left").where((F.col("plan") != FIRST_DISCOVERY) | F.col("dry")).select(columns).union(find(more, dear).select(columns)), "pool-more")
+    totals = stored(measured(found, arcs), "pool-totals")
+    direct = totals.where(F.col("plan") == FIRST_DISCOVERY).select("request", F.col("time").alias("direct_time"))
+    slow = totals.where(F.col("plan") == FIRST_DISCOVERY + 1).join(direct, "request").where(F.col("time") > GENTLE_TIMES * F.col("direct_time") + GENTLE_S).select("request", "plan")
+    unmatched = requests.join(totals.where("fail = 0").select("request").distinct(), "request", "left_anti")
+    strict = strict_routes(arcs, unmatched, exempt, find=lambda plans, d=None: find(plans, d).select(columns), parts=parts)
+    paths = found.join(slow, ["request", "plan"], "left_anti").select(columns).union(strict.select("request", F.lit(STRICT).alias("plan"), F.col("seq").cast("int").alias("step"), "edge_id", "src", "dst", "cost"))
+    paths = stored(paths, "pool-paths")
     return paths, measured(paths, arcs)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import sys
 import tempfile
+import uuid
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -35,6 +36,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read again: one job, and a lost executor costs only what is read."""
+    path = f"{shared_folder(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def neighbours(edges: DataFrame) -> DataFrame:
     """Undirected incidence: (node, other) from both ends."""
     return edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select(F.col("b"), F.col("a")))

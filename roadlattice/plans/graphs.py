@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from roadlattice.operators import arcs as A
 from roadlattice.operators import costs as C
 from roadlattice.operators import graph as G
+from roadlattice.operators import overlay as O
 from roadlattice.sources.adapters import read, view
 
 from .costs import ARCS_SQL, arcs, bearing
@@ -96,6 +97,25 @@ def goal_potential(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.distances(back, goal, cap=12000.0).select("node", F.col("dist").alias("potential"))
 
 
+#: Grid steps of a cell's side on the lowest level of an overlay.
+SIDE = 12
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cell of every node of the grid."""
+    return view(spark, sf_dir, "grid_nodes").select("node", F.floor(F.col("gx") / SIDE).alias("x"), F.floor(F.col("gy") / SIDE).alias("y"))
+
+
+def placed_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arcs(spark, sf_dir).withColumn("bearing_in", bearing()).withColumn("bearing_out", F.col("bearing_in"))
+
+
+def _turning(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, O.Overlay]:
+    usable = A.legal(placed_arcs(spark, sf_dir).withColumn("level", F.lit(1)), freeways=True, mtb=True).withColumn("cost", whole_cost())
+    grid = usable.select("arc_id", "edge_id", "src", "dst", "cost", "bearing_in", "bearing_out", F.lit(None).cast("string").alias("name"))
+    return usable, O.build({"grid": (grid, C.TURN[1])}, cells(spark, sf_dir))
+
+
 #: Turn-aware search runs on the graph of arcs: its nodes are arcs, its arcs are turns.
 _TURNS = f"""{ARCS_SQL}, B AS (SELECT arc_id, edge_id, src, dst, name, {COST_SQL} AS c, CASE WHEN dir = 0 THEN CASE WHEN forward THEN 90 ELSE 270 END ELSE CASE WHEN forward THEN 0 ELSE 180 END END AS h FROM ARCS WHERE NOT prohibited),
 T AS (SELECT i.arc_id AS s, o.arc_id AS d, o.c + CASE WHEN abs((o.h - i.h + 540) % 360 - 180) < 30 THEN 0 WHEN abs((o.h - i.h + 540) % 360 - 180) >= 150 THEN 22 ELSE 11 END AS c FROM B i JOIN B o ON i.dst = o.src AND i.edge_id <> o.edge_id)"""
@@ -104,13 +124,28 @@ T AS (SELECT i.arc_id AS s, o.arc_id AS d, o.c + CASE WHEN abs((o.h - i.h + 540)
 @query(f"""WITH RECURSIVE {_TURNS}, D(node, dist) USING KEY (node) AS (SELECT arc_id, c FROM B WHERE src = 42 UNION SELECT T.d, CAST(min(D.dist + T.c) AS BIGINT) FROM D JOIN T ON T.s = D.node LEFT JOIN recurring.D r ON r.node = T.d WHERE r.dist IS NULL OR D.dist + T.c < r.dist GROUP BY T.d)
 SELECT B.dst AS node, CAST(min(dist) AS DOUBLE) AS cost FROM D JOIN B ON B.arc_id = D.node GROUP BY 1""")
 def turn_aware_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    usable = A.legal(arcs(spark, sf_dir).withColumn("level", F.lit(1)), freeways=True, mtb=True).withColumn("h", bearing()).withColumn("cost", whole_cost())
-    usable = G.cut_lineage(usable.select("arc_id", "edge_id", "src", "dst", "name", "cost", "h"))
-    i = usable.select(F.col("arc_id").alias("from_arc"), F.col("edge_id").alias("e1"), F.col("dst").alias("at"), F.col("h").alias("bearing_in"))
-    o = usable.select(F.col("arc_id").alias("to_arc"), F.col("edge_id").alias("e2"), F.col("src").alias("at"), F.col("h").alias("bearing_out"), "cost")
-    turns = i.join(o, "at").where("e1 <> e2").select(F.col("from_arc").alias("src"), F.col("to_arc").alias("dst"), (F.col("cost") + C.turn_cost(1)).alias("cost"))
-    start = usable.where("src = 42")
-    enter = start.select(F.lit(-1).cast("long").alias("src"), F.col("arc_id").alias("dst"), "cost")
-    source = spark.range(1).select(F.lit(-1).cast("long").alias("node"), F.lit(0).alias("request"))
-    best = G.distances(turns.union(enter), source)
-    return best.join(usable.select(F.col("arc_id").alias("node"), F.col("dst").alias("end")), "node").groupBy(F.col("end").alias("node")).agg(F.min("dist").alias("cost"))
+    usable, on = _turning(spark, sf_dir)
+    start = spark.range(1).select(F.lit(0).cast("long").alias("request"), F.lit(0).alias("plan"), F.lit("grid").alias("graph"), F.lit(42).cast("long").alias("start"))
+    best = O.labels(on, start)
+    return best.join(usable.select("arc_id", F.col("dst").alias("node")), "arc_id").groupBy("node").agg(F.min("dist").alias("cost"))
+
+
+#: Plans that all sizes of the grid have: request, start, goal, and the factor of limited access.
+_ASKED = [(0, 42, 187, 1.0), (1, 3, 155, 1.0), (2, 42, 187, 1.5), (3, 155, 42, 3.0)]
+
+
+def _turn_plan_sql(k: int, start: int, goal: int, factor: float) -> str:
+    return f"""B{k} AS (SELECT B.*, B.c * CASE WHEN g.limited_access THEN {factor} ELSE 1 END AS w FROM B JOIN grid_edges g USING (edge_id)),
+T{k} AS (SELECT T.s, T.d, T.c - o.c + o.w AS c FROM T JOIN B{k} o ON o.arc_id = T.d),
+D{k}(node, dist) USING KEY (node) AS (SELECT arc_id, CAST(w AS DOUBLE) FROM B{k} WHERE src = {start} UNION SELECT t.d, CAST(min(D{k}.dist + t.c) AS DOUBLE) FROM D{k} JOIN T{k} t ON t.s = D{k}.node LEFT JOIN recurring.D{k} r ON r.node = t.d WHERE r.dist IS NULL OR D{k}.dist + t.c < r.dist GROUP BY t.d)"""
+
+
+@query(f"""WITH RECURSIVE {_TURNS}, {", ".join(_turn_plan_sql(*a) for a in _ASKED)}
+{" UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS request, round(min(dist), 6) AS cost FROM D{k} JOIN B ON B.arc_id = D{k}.node WHERE B.dst = {goal}" for k, _, goal, _ in _ASKED)}""")
+def turn_aware_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many requests on one overlay, two of them with edges of limited access made dearer: the least cost of each with its turns."""
+    usable, on = _turning(spark, sf_dir)
+    asked = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("request"), F.lit(0).alias("plan"), F.lit("grid").alias("graph"), F.lit(s).cast("long").alias("start"), F.lit(g).cast("long").alias("goal"), F.lit(f).alias("factor")) for k, s, g, f in _ASKED])).alias("a")
+    plans = spark.range(1).select(asked).select("a.*")
+    dear = usable.where("limited_access").select("edge_id").distinct().crossJoin(F.broadcast(plans.where("factor > 1").select("request", "plan", "factor")))
+    return O.routes(on, plans.drop("factor"), dear).groupBy("request").agg(F.round(F.sum("spent"), 6).alias("cost"))

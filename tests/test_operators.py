@@ -184,3 +184,65 @@ def test_rejected_crossings(spark):
     assert {r.edge_id for r in generation.rejected_crossings(route).collect()} == {12, 16}
     exempt = spark.createDataFrame([(0, 16)], "request long, edge_id long")
     assert {r.edge_id for r in generation.rejected_crossings(route, exempt).collect()} == {12}
+
+
+def test_turning_routes_on_an_overlay(spark):
+    """Every plan's least cost with turns equals a plain search over arcs, with levels of cells, penalties and odd requests."""
+    import heapq
+    import random
+
+    from roadlattice.operators import overlay
+
+    r, side = random.Random(4), 9
+    nodes = [(y * side + x, x // 2, y // 2) for y in range(side) for x in range(side)]
+    arcs = []
+    for n, *_ in nodes:
+        for far, heading in ((n + 1, 90.0), (n + side, 0.0)):
+            if (heading == 90.0 and n % side == side - 1) or far >= side * side:
+                continue
+            edge = len(arcs)
+            arcs.append((2 * edge, edge, n, far, r.randint(1, 9) * 1.0, heading, heading, r.choice(["A", "B", None])))
+            if r.random() < 0.8:
+                arcs.append((2 * edge + 1, edge, far, n, r.randint(1, 9) * 1.0, (heading + 180) % 360, (heading + 180) % 360, arcs[-1][7]))
+    frame = spark.createDataFrame(arcs, "arc_id long, edge_id long, src long, dst long, cost double, bearing_in double, bearing_out double, name string")
+    on = overlay.build({"turns": (frame, 5.0), "plain": (frame, 0.0)}, spark.createDataFrame(nodes, "node long, x long, y long"))
+    assert on.top == 1
+    asked = [(k, k % 3, r.choice(["turns", "plain"]), r.randrange(81), r.randrange(81)) for k in range(12)] + [(20, 0, "turns", 3, 3), (21, 0, "no such", 1, 5), (22, 0, "turns", 1, 9999)]
+    dear = [(k, p, e, f) for k, p, *_ in asked[:4] for e, f in ((3, 2.0), (10, 3.5), (11, 3.5), (40, 9.0))]
+    got = overlay.routes(on, spark.createDataFrame(asked, "request long, plan int, graph string, start long, goal long"), spark.createDataFrame(dear, "request long, plan int, edge_id long, factor double")).orderBy("request", "step").collect()
+
+    def plain(k, p, graph, start, goal):
+        factor = {e: f for a, b, e, f in dear if (a, b) == (k, p)}
+        turn = 5.0 if graph == "turns" else 0.0
+        known, heap = {}, []
+        for a in arcs:
+            if a[2] == start:
+                heapq.heappush(heap, (a[4] * factor.get(a[1], 1.0), a[0]))
+        by_id = {a[0]: a for a in arcs}
+        while heap:
+            cost, at = heapq.heappop(heap)
+            if at in known:
+                continue
+            known[at], here = cost, by_id[at]
+            if here[3] == goal:
+                return cost
+            for a in arcs:
+                if a[2] == here[3] and a[1] != here[1]:
+                    delta = abs((a[6] - here[5] + 540) % 360 - 180)
+                    heapq.heappush(heap, (cost + a[4] * factor.get(a[1], 1.0) + turn * (0 if delta < 30 else 2 if delta >= 150 else 1), a[0]))
+
+    routes = {}
+    for x in got:
+        routes.setdefault((x.request, x.plan), []).append(x)
+    for k, p, graph, start, goal in asked:
+        steps = routes.get((k, p), [])
+        want = plain(k, p, graph, start, goal) if graph != "no such" and start != goal else None
+        assert (sum(x.spent for x in steps) if steps else None) == want
+        if steps:
+            assert steps[0].src == start and steps[-1].dst == goal and all(a.dst == b.src for a, b in zip(steps, steps[1:])) and [x.step for x in steps] == list(range(len(steps)))
+    ends = {a[0]: a[3] for a in arcs}
+    least = {}
+    for x in overlay.labels(on, spark.createDataFrame([(0, 0, "turns", 0)], "request long, plan int, graph string, start long")).collect():
+        least[ends[x.arc_id]] = min(least.get(ends[x.arc_id], 1e9), x.dist)
+    dear.clear()
+    assert all(least[goal] == plain(0, 0, "turns", 0, goal) for goal in range(1, 81) if goal in least)
