@@ -110,6 +110,8 @@ def terminals(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.bool_or("ferry").alias("boat"), F.bool_or(~F.col("ferry")).alias("land")).where("boat and land").select("node")
 
 
+#: Labels that could only be on paths of over so many times the best known cost are not kept, if a search has bounds.
+MARGIN = 1.15
 OFFERS = "request long, node long, block long, dist double, pred long, offer boolean"
 
 
@@ -117,9 +119,10 @@ def _block(node: Column, size: int) -> Column:
     return F.floor(node / size).cast("long")
 
 
-def _relax(arcs: pd.DataFrame, state: pd.DataFrame, cap: float, size: int) -> pd.DataFrame:
+def _relax(arcs: pd.DataFrame, state: pd.DataFrame, cap: float, size: int, margin: float | None = None) -> pd.DataFrame:
     """One block's turn: for each request the offers enter its labels, and what they improve spreads inside the block, least cost
-    first. Gives the changed labels and, for nodes of other blocks, the least offers. Of equal costs the least predecessor stays."""
+    first. Gives the changed labels and, for nodes of other blocks, the least offers. Of equal costs the least predecessor stays.
+    With a margin, labels whose cost and bound exceed margin times the goal's best known cost go, and those without a bound."""
     out: dict[int, list] = {}
     for s, d, c in zip(arcs["src"].tolist(), arcs["dst"].tolist(), arcs["cost"].tolist()):
         out.setdefault(s, []).append((d, c))
@@ -127,29 +130,36 @@ def _relax(arcs: pd.DataFrame, state: pd.DataFrame, cap: float, size: int) -> pd
     for request, own in state.groupby("request", sort=False):
         block, is_offer, is_penalty = int(own["block"].iloc[0]), own["kind"].to_numpy() == 1, own["kind"].to_numpy() == 2
         dear = {(n, p): d for n, p, d in own.loc[is_penalty, ["node", "pred", "dist"]].itertuples(index=False)}
-        known = own.loc[~is_penalty & ~is_offer]
+        lower = dict(own.loc[own["kind"] == 3, ["node", "dist"]].itertuples(index=False)) if margin is not None else None
+        most, goal = cap, None
+        for n, d in own.loc[own["kind"] == 4, ["node", "dist"]].itertuples(index=False):
+            goal, most = n, min(cap, margin * d)
+        known = own.loc[own["kind"] == 0]
         best = {n: (d, -1 if p != p or p is None else p) for n, d, p in known[["node", "dist", "pred"]].itertuples(index=False)}
         heap, changed, away = [], set(), {}
 
         def offer(n, d, p):
-            have = best.get(n)
-            if d <= cap and (have is None or (d, p) < have):
+            nonlocal most
+            have, bound = best.get(n), 0.0 if lower is None else lower.get(n, float("inf"))
+            if d + bound <= most and (have is None or (d, p) < have):
+                if n == goal:
+                    most = min(most, margin * d)
                 if have is None or d < have[0]:
-                    heapq.heappush(heap, (d, n))
+                    heapq.heappush(heap, (d + bound, d, n))
                 best[n] = (d, p)
                 changed.add(n)
 
         for n, d, p in own.loc[is_offer, ["node", "dist", "pred"]].itertuples(index=False):
             offer(n, d, -1 if p != p or p is None else p)
         while heap:
-            d, u = heapq.heappop(heap)
-            if d > best[u][0]:
+            key, d, u = heapq.heappop(heap)
+            if d > best[u][0] or key > most:
                 continue
             for v, c in out.get(u, ()):
                 c = c * dear.get((u, v), 1.0)
                 if v // size == block:
                     offer(v, d + c, u)
-                elif d + c <= cap and (v not in away or (d + c, u) < away[v]):
+                elif d + c <= most and (v not in away or (d + c, u) < away[v]):
                     away[v] = (d + c, u)
         rows += [(request, n, block, *best[n], False) for n in changed]
         rows += [(request, n, n // size, d, p, True) for n, (d, p) in away.items()]
@@ -160,7 +170,7 @@ def _relax(arcs: pd.DataFrame, state: pd.DataFrame, cap: float, size: int) -> pd
     return out
 
 
-def distances(arcs: DataFrame, sources: DataFrame, *, cap: float | None = None, block_nodes: int = 1 << 14, request_parts: int = 1, penalties: DataFrame | None = None) -> DataFrame:
+def distances(arcs: DataFrame, sources: DataFrame, *, cap: float | None = None, block_nodes: int = 1 << 14, request_parts: int = 1, penalties: DataFrame | None = None, bounds: DataFrame | None = None, goals: DataFrame | None = None, margin: float = MARGIN) -> DataFrame:
     """arcs(src, dst, cost >= 0), sources(node, request) -> (request, node, dist, pred): least costs, of equal ones with the least
     predecessor.
 
@@ -170,6 +180,11 @@ def distances(arcs: DataFrame, sources: DataFrame, *, cap: float | None = None,
     that a path crosses, not its arcs; a task holds a block's arcs and the labels of one of ``request_parts`` parts of the
     requests. ``penalties(request, src, dst, factor)`` make arcs dearer for one request. With ``cap`` costs above it are not
     followed. Lineage is cut with a reliable checkpoint, so a lost executor costs no more than the current round.
+
+    With bounds(request, node, bound), which no path from the node to the request's goal costs less than (see goal_bounds), and
+    goals(request, node) only labels that can still be on a path of at most ``margin`` (1 or more) times the goal's best known cost
+    are kept: the goals' labels and their paths are those of the search without bounds, others may be missing. Nodes without a bound
+    do not lead to the goal. Bounds join the labels of a block that has its turn.
     """
     part = F.pmod(F.xxhash64("request"), F.lit(request_parts)).cast("int").alias("part")
     least = arcs.where("src <> dst").groupBy("src", "dst").agg(F.min("cost").alias("cost")).withColumn("block", _block(F.col("src"), block_nodes))
@@ -180,15 +195,25 @@ def distances(arcs: DataFrame, sources: DataFrame, *, cap: float | None = None,
     best = offers.limit(0)
     fixed = penalties.select(F.col("request").cast("long").alias("request"), F.col("src").alias("node"), _block(F.col("src"), block_nodes).alias("block"), F.col("factor").cast("double").alias("dist"), F.col("dst").alias("pred")) if penalties is not None else None
     limit, size = float("inf") if cap is None else cap, block_nodes
+    bounded, aim = bounds is not None, None
+    if bounded:
+        no_pred = F.lit(None).cast("long").alias("pred")
+        aim = cut_lineage(goals.select(F.col("request").cast("long").alias("request"), F.col("node").alias("goal")))
+        lows = bounds.select(F.col("request").cast("long").alias("request"), "node", _block(F.col("node"), block_nodes).alias("block"), F.col("bound").cast("double").alias("dist"), no_pred)
+        lows = cut_lineage(lows.join(aim.select("request"), "request", "left_semi"))
 
     def turn(a: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        return _relax(a, state, limit, size)
+        return _relax(a, state, limit, size, margin if bounded else None)
 
     while True:
         active = offers.select("request", "block").distinct()
         state = offers.select(*names, label(1)).union(best.join(active, ["request", "block"], "left_semi").select(*names, label(0)))
         if fixed is not None:
             state = state.union(fixed.join(active, ["request", "block"], "left_semi").select(*names, label(2)))
+        if bounded:
+            state = state.union(lows.join(active, ["request", "block"], "left_semi").select(*names, label(3)))
+            known = aim.join(best.select("request", F.col("node").alias("goal"), "dist"), ["request", "goal"], "left")
+            state = state.union(active.join(known, "request").select("request", F.col("goal").alias("node"), "block", F.coalesce("dist", F.lit(float("inf"))).alias("dist"), no_pred, label(4)))
         moved = least.groupBy("block", "part").cogroup(state.select("*", part).groupBy("block", "part")).applyInPandas(turn, OFFERS)
         moved = cut_lineage(moved)
         labels = best.union(moved.where("not offer").select(names)).groupBy("request", "node", "block").agg(F.min(F.struct("dist", F.coalesce("pred", F.lit(-1)).alias("pred"))).alias("o"))
@@ -201,6 +226,13 @@ def distances(arcs: DataFrame, sources: DataFrame, *, cap: float | None = None,
             return best.select("request", "node", "dist", "pred")
 
 
+def goal_bounds(arcs: DataFrame, goals: DataFrame, floor: Column, **blocks) -> DataFrame:
+    """(request, node, bound): least costs to each request's goal over the arcs with their ``floor`` (as costs.cost_floor) instead of a
+    cost. Floors hold for every profile of a mode and whatever penalties, so one table serves all searches to a goal."""
+    back = arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), floor.cast("double").alias("cost"))
+    return distances(back, goals.select("request", "node"), **blocks).select("request", "node", F.col("dist").alias("bound"))
+
+
 def walked_back(best: DataFrame, goals: DataFrame, *, block_nodes: int = 1 << 14) -> DataFrame:
     """goals(request, node) -> (request, node, steps_back): the nodes of each least path, from the goal. A round walks inside each
     block and hands over at its border."""

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import sys
+from functools import reduce
+from operator import and_, or_
 
 import numpy as np
 import pandas as pd
@@ -253,40 +255,86 @@ def select_six(c: DataFrame, shares: DataFrame, required: DataFrame) -> DataFram
 
 #: Metrics of a section-frontier label, smaller is better, and the weight of each in the practical order.
 LABEL = {"time": 1.0, "fail": 2.0, "danger": 0.35, "caution": 0.2, "gap": 0.08, "non_trail": 0.12, "rough": 0.2, "ascent": 0.6, "dist": 0.0}
+#: The order of labels by safety, and the orders whose first label a full bag keeps in any case.
+LABEL_SAFETY = ("fail", "danger", "caution", "rough", "gap", "non_trail", "ascent", "time")
+KEPT_FIRST = (LABEL_SAFETY, ("practical",), ("caution", *LABEL_SAFETY), ("gap", *LABEL_SAFETY), ("non_trail", *LABEL_SAFETY), ("rough", "time"), ("ascent", "time"), ("time",))
+#: Paths may take so many times the fastest one's time and metres, and seconds and metres more, to be chosen; those near the safest fail by
+#: at most so many metres more than it, or than the practical one.
+FRONTIER_TIME, FRONTIER_S, FRONTIER_DIST, FRONTIER_M, NEAR_SAFEST_M, NEAR_PRACTICAL_M = 1.85, 600, 1.8, 1600, 80, 20
+
+
+def _practical(get) -> Column:
+    return F.round(sum(w * get(n) for n, w in LABEL.items()), 6)
+
+
+def _front_of(labels: Column) -> Column:
+    """Labels that no other dominates; of equal ones that which was there, then that of the least path."""
+    names = list(LABEL)
+    earlier = lambda y, x: F.struct(y["fresh"], y["path"]) < F.struct(x["fresh"], x["path"])
+    beats = lambda y, x: reduce(and_, [y[n] <= x[n] for n in names]) & (reduce(or_, [y[n] < x[n] for n in names]) | earlier(y, x))
+    return F.filter(labels, lambda x: ~F.exists(labels, lambda y: beats(y, x)))
+
+
+def _in_order(labels: Column, by: tuple[str, ...]) -> Column:
+    """Labels after their sort keys, the path last."""
+
+    def keyed(x: Column) -> Column:
+        keys = [(_practical(lambda n: x[n]) if k == "practical" else x[k]).alias(f"k{i}") for i, k in enumerate(by)]
+        return F.struct(*keys, x["path"].alias("p"), x.alias("x"))
+
+    return F.transform(labels, keyed)
+
+
+def _cut(front: Column, most: int) -> Column:
+    """At most ``most`` labels: the first of each of KEPT_FIRST, then by the practical order."""
+    firsts = [F.array_min(_in_order(front, by))["x"] for by in KEPT_FIRST]
+    ranked = F.transform(F.array_sort(_in_order(front, ("practical",))), lambda x: x["x"])
+    return F.when(F.size(front) <= most, front).otherwise(F.slice(F.array_distinct(F.concat(F.array(*firsts), ranked)), 1, most))
 
 
 def section_frontier(arcs: DataFrame, most: int = 8) -> DataFrame:
-    """arcs(request, src, dst, edge, start, goal, metrics) -> non-dominated simple paths of each request's small union graph.
+    """arcs(request, src, dst, edge, start, goal, metrics) -> (request, rank, edges, metrics): paths of each request's small union graph that
+    no other dominates, by the practical order.
 
-    Labels grow arc by arc; a node keeps at most ``most``: the best in each metric first, the rest in practical order.
+    Every node has a bag of labels. A round sends the labels that the last one added along their arcs and merges each node's bag with
+    what arrives, for all requests together; a bag keeps at most ``most`` labels (see _cut). No label returns to a node that it has
+    passed. A bag meets at most ``most`` labels for each arc that leads to its node, so no group grows with the graph.
     """
-    names = list(LABEL)
+    from .graph import stored
 
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        start, goal = int(group["start"].iloc[0]), int(group["goal"].iloc[0])
-        out: dict[int, list] = {}
-        for r in group.drop_duplicates(["src", "dst", "edge"]).sort_values(["src", "dst", "edge"]).itertuples():
-            out.setdefault(int(r.src), []).append((int(r.dst), int(r.edge), tuple(float(getattr(r, n)) for n in names)))
-        at: dict[int, list] = {start: [((0.0,) * len(names), (start,), ())]}
-        queue = [start]
-        while queue:
-            node = queue.pop(0)
-            for total, nodes, edges in list(at.get(node, [])):
-                for dst, edge, m in out.get(node, []):
-                    if dst in nodes:
-                        continue
-                    label = (tuple(x + y for x, y in zip(total, m)), (*nodes, dst), (*edges, edge))
-                    have = at.setdefault(dst, [])
-                    if any(x[2] == label[2] or all(p <= q for p, q in zip(x[0], label[0])) for x in have):
-                        continue
-                    have[:] = [x for x in have if not (all(p <= q for p, q in zip(label[0], x[0])))] + [label]
-                    if len(have) > most:
-                        first = {min(range(len(have)), key=lambda i: (have[i][0][k], i)) for k in range(len(names))}
-                        order = sorted(range(len(have)), key=lambda i: (i not in first, sum(w * v for w, v in zip(LABEL.values(), have[i][0])), have[i][2]))
-                        have[:] = [have[i] for i in sorted(order[:most])]
-                    if label in have and dst != goal and dst not in queue:
-                        queue.append(dst)
-        found = sorted(at.get(goal, []), key=lambda x: (sum(w * v for w, v in zip(LABEL.values(), x[0])), x[2]))
-        return pd.DataFrame({"request": [int(group["request"].iloc[0])] * len(found), "rank": range(1, len(found) + 1), "edges": pd.Series([",".join(map(str, x[2])) for x in found], dtype=object), "time": pd.Series([x[0][0] for x in found], dtype=float)})
-
-    return arcs.groupBy("request").applyInPandas(search, "request long, rank long, edges string, time double")
+    names = list(LABEL)
+    a = stored(arcs.select("request", "src", "dst", "edge", "goal", *[F.col(n).cast("double").alias(n) for n in names]).dropDuplicates(["request", "src", "dst", "edge"]), "frontier-arcs")
+    label = lambda get, path, nodes: F.struct(*[get(n).alias(n) for n in names], path.alias("path"), nodes.alias("nodes"), F.lit(True).alias("fresh"))
+    begin = arcs.select("request", "goal", F.col("start").alias("node")).distinct()
+    begin = begin.select("request", "goal", "node", F.array(label(lambda n: F.lit(0.0), F.array().cast("array<bigint>"), F.array("node"))).alias("labels"))
+    bags = stored(begin, "bags")
+    while True:
+        fresh = bags.where("node <> goal").select("request", "node", F.explode(F.filter("labels", lambda x: x["fresh"])).alias("l"))
+        sent = fresh.join(a.withColumnRenamed("src", "node"), ["request", "node"]).where(~F.array_contains("l.nodes", F.col("dst")))
+        sent = sent.select("request", "goal", F.col("dst").alias("node"), label(lambda n: F.col(f"l.{n}") + F.col(n), F.concat("l.path", F.array("edge")), F.concat("l.nodes", F.array("dst"))).alias("l"))
+        have = bags.select("request", "goal", "node", F.explode(F.transform("labels", lambda x: x.withField("fresh", F.lit(False)))).alias("l"))
+        met = have.union(sent).groupBy("request", "goal", "node").agg(F.collect_list("l").alias("all")).withColumn("front", _front_of(F.col("all")))
+        bags = stored(met.select("request", "goal", "node", _cut(F.col("front"), most).alias("labels")), "bags")
+        if bags.where(F.exists("labels", lambda x: x["fresh"]) & (F.col("node") != F.col("goal"))).isEmpty():
+            break
+    ends = bags.where("node = goal").select("request", F.explode("labels").alias("l")).select("request", "l.*")
+    rank = F.row_number().over(Window.partitionBy("request").orderBy(_practical(F.col), "path"))
+    return ends.select("request", rank.cast("long").alias("rank"), F.array_join("path", ",").alias("edges"), *names)
+
+
+def frontier_choices(paths: DataFrame) -> DataFrame:
+    """section_frontier's paths -> (request, kind, rank): up to six that become children of their request's section: the practical and the safest
+    one; and of those that fail little more than these the ones with the least caution, gaps, metres off trails and climbing.
+
+    All are within 1.85 times the fastest path's time and 600 s, and 1.8 times its metres and 1600 m. A path may be of several kinds.
+    """
+    by = Window.partitionBy("request")
+    first = lambda *order: F.min(F.struct(*order, "rank")).over(by)
+    p = paths.withColumn("practical", _practical(F.col)).withColumn("fastest", F.min(F.struct("time", "rank", "dist")).over(by))
+    p = p.where((F.col("time") <= FRONTIER_TIME * F.col("fastest.time") + FRONTIER_S) & (F.col("dist") <= FRONTIER_DIST * F.col("fastest.dist") + FRONTIER_M))
+    p = p.withColumns({"best": F.min(F.struct("practical", "rank", "fail")).over(by), "safe": first(*LABEL_SAFETY)})
+    near = F.col("fail") <= F.greatest(F.col("safe.fail") + NEAR_SAFEST_M, F.col("best.fail") + NEAR_PRACTICAL_M)
+    kinds = {"practical": F.col("best.rank"), "safest": F.col("safe.rank")} | {k: F.min(F.when(near, F.struct(k, "practical", "rank"))).over(by)["rank"] for k in ("caution", "gap", "non_trail", "ascent")}
+    p = p.withColumns({f"of_{k}": v for k, v in kinds.items()})
+    chosen = p.select("request", "rank", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"of_{k}").alias("of")) for k in kinds])).alias("k"))
+    return chosen.where(F.col("rank") == F.col("k.of")).select("request", "k.kind", "rank")

@@ -11,7 +11,7 @@ from roadlattice.operators import graph as G
 from roadlattice.operators import overlay as O
 from roadlattice.sources.adapters import read, view
 
-from .costs import ARCS_SQL, arcs, bearing
+from .costs import ARCS_SQL, LEVELS_SQL, arcs, bearing, cost_sql
 from .registry import query
 
 
@@ -97,6 +97,8 @@ def goal_potential(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.distances(back, goal, cap=12000.0).select("node", F.col("dist").alias("potential"))
 
 
+#: Nodes of a block, few enough that all sizes of the grid have several.
+BLOCK = 1024
 #: Grid steps of a cell's side on the lowest level of an overlay.
 SIDE = 12
 
@@ -149,3 +151,30 @@ def turn_aware_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     plans = spark.range(1).select(asked).select("a.*")
     dear = usable.where("limited_access").select("edge_id").distinct().crossJoin(F.broadcast(plans.where("factor > 1").select("request", "plan", "factor")))
     return O.routes(on, plans.drop("factor"), dear).groupBy("request").agg(F.round(F.sum("spent"), 6).alias("cost"))
+
+
+#: Searches with bounds: request, start, goal and the mode that prices them.
+_AIMED = [(0, 42, 187, 1), (1, 3, 155, 1), (2, 155, 42, 1), (3, 187, 3, 1)]
+
+
+def _aimed_sql(k: int, start: int) -> str:
+    return f"D{k}(node, dist) USING KEY (node) AS (SELECT CAST({start} AS BIGINT), CAST(0 AS DOUBLE) UNION SELECT c.d, CAST(min(x.dist + c.c) AS DOUBLE) FROM D{k} x JOIN C c ON c.s = x.node LEFT JOIN recurring.D{k} r ON r.node = c.d WHERE r.dist IS NULL OR x.dist + c.c < r.dist GROUP BY c.d)"
+
+
+@query(f"""WITH RECURSIVE {LEVELS_SQL}, C AS (SELECT src AS s, dst AS d, CAST(min({cost_sql(1)}) AS DOUBLE) AS c FROM LEVELLED WHERE NOT prohibited GROUP BY 1, 2), {", ".join(_aimed_sql(k, s) for k, s, _, _ in _AIMED)}
+{" UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS request, round(dist, 6) AS cost FROM D{k} WHERE node = {g}" for k, _, g, _ in _AIMED)}""")
+def bounded_route_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least balanced costs where lower bounds from each goal, over the floors of arcs, keep a search from spreading everywhere."""
+    return bounded_labels(spark, sf_dir)[0]
+
+
+def bounded_labels(spark: SparkSession, sf_dir: str, margin: float = G.MARGIN) -> tuple[DataFrame, DataFrame]:
+    """Costs at the goals, and all labels that the searches kept."""
+    priced = A.legal(C.priced(A.judged(arcs(spark, sf_dir))), freeways=True, mtb=True)
+    priced = G.stored(priced.select("src", "dst", F.col("cost_balanced").alias("cost"), C.cost_floor(1).alias("floor")), "aimed-arcs")
+    ends = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("request"), F.lit(s).cast("long").alias("start"), F.lit(g).cast("long").alias("goal")) for k, s, g, _ in _AIMED])).alias("e")
+    asked = spark.range(1).select(ends).select("e.*")
+    goals = asked.select("request", F.col("goal").alias("node"))
+    bounds = G.goal_bounds(priced, goals, F.col("floor"), block_nodes=BLOCK)
+    best = G.distances(priced, asked.select("request", F.col("start").alias("node")), bounds=bounds, goals=goals, margin=margin, block_nodes=BLOCK)
+    return best.join(goals, ["request", "node"]).select("request", F.round("dist", 6).alias("cost")), best

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from roadlattice.operators import portfolio as P
 from roadlattice.sources.adapters import read, view
 
+from .costs import ARCS_SQL, arcs
 from .registry import query
 
 _AGG = """((0.18 * l2 + 0.75 * l3 + 3.5 * fail + 4.0 * freeway + 0.8 * limited + 1.1 * hazard + 1.25 * mtb + CASE WHEN dismount > 0 THEN 450 + 1.5 * dismount ELSE 0 END
@@ -136,14 +137,47 @@ def select_six(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.select_six(c, _corridor(spark, sf_dir), required)
 
 
-@query()
-def section_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths across blocks of 3 x 3 grid nodes, from their south-west to their north-east corner."""
-    from .costs import arcs
+_METRICS = {"time": "len_m / CAST(5 AS DOUBLE)", "fail": "CASE WHEN facility = 0 THEN len_m ELSE 0 END", "danger": "hazard * 10", "caution": "lanes * 5", "gap": "CASE WHEN facility < 2 THEN len_m ELSE 0 END", "non_trail": "CASE WHEN infra THEN 0 ELSE len_m END", "rough": "surface * 3", "ascent": "up_m", "dist": "len_m"}
+_SCORE = "round(" + " + ".join(f"CAST({w} AS DOUBLE) * {n}" for n, w in P.LABEL.items()) + ", 6)"
+
+
+def _paths_sql() -> str:
+    """All simple paths across the blocks, then those that no other dominates."""
+    block = lambda n: f"CAST(floor(floor({n} / 40.0) / 3) * 20 + floor({n} % 40 / 3.0) AS BIGINT)"
+    sums = ", ".join(f"p.{n} + a.{n}" for n in P.LABEL)
+    beats = " AND ".join(f"y.{n} <= x.{n}" for n in P.LABEL) + " AND (" + " OR ".join(f"y.{n} < x.{n}" for n in P.LABEL) + " OR y.path < x.path)"
+    return f"""WITH RECURSIVE {ARCS_SQL}, A AS (SELECT {block('src')} AS request, src, dst, edge_id AS edge, {", ".join(f"CAST({v} AS DOUBLE) AS {n}" for n, v in _METRICS.items())} FROM ARCS WHERE NOT prohibited AND {block('src')} = {block('dst')} AND src % 40 < 39),
+S AS (SELECT DISTINCT request, request // 20 * 120 + request % 20 * 3 AS start FROM A),
+W(request, node, nodes, path, {", ".join(P.LABEL)}) AS (SELECT request, start, [start], CAST([] AS BIGINT[]), {", ".join("CAST(0 AS DOUBLE)" for _ in P.LABEL)} FROM S
+  UNION ALL SELECT p.request, a.dst, list_append(p.nodes, a.dst), list_append(p.path, a.edge), {sums} FROM W p JOIN A a ON a.request = p.request AND a.src = p.node WHERE NOT list_contains(p.nodes, a.dst) AND p.node <> p.request // 20 * 120 + p.request % 20 * 3 + 82),
+G AS (SELECT * FROM W WHERE node = request // 20 * 120 + request % 20 * 3 + 82),
+F AS (SELECT *, {_SCORE} AS practical FROM G x WHERE NOT EXISTS (SELECT 1 FROM G y WHERE y.request = x.request AND {beats})),
+R AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY practical, path) AS rank FROM F)"""
 
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paths across blocks of 3 x 3 grid nodes, from their south-west to their north-east corner; no bag there can hold 16 labels."""
     a = arcs(spark, sf_dir).where("not prohibited")
     block = lambda n: (F.floor(F.floor(n / 40) / 3) * 20 + F.floor(n % 40 / 3)).cast("long")
     inner = a.where(block(F.col("src")) == block(F.col("dst"))).where(F.col("src") % 40 < 39).withColumn("request", block(F.col("src")))
     corner = F.floor(F.col("request") / 20) * 120 + F.col("request") % 20 * 3
-    metric = {"time": F.col("len_m") / 5.0, "fail": F.when(F.col("facility") == 0, F.col("len_m")).otherwise(0), "danger": F.col("hazard") * 10, "caution": F.col("lanes") * 5, "gap": F.lit(0), "non_trail": F.when(F.col("infra"), 0).otherwise(F.col("len_m")), "rough": F.col("surface") * 3, "ascent": F.col("up_m"), "dist": F.col("len_m")}
-    return P.section_frontier(inner.select("request", "src", "dst", F.col("edge_id").alias("edge"), corner.cast("long").alias("start"), (corner + 82).cast("long").alias("goal"), *[c.cast("double").alias(n) for n, c in metric.items()]))
+    metrics = [F.expr(v).cast("double").alias(n) for n, v in _METRICS.items()]
+    return P.section_frontier(inner.select("request", "src", "dst", F.col("edge_id").alias("edge"), corner.cast("long").alias("start"), (corner + 82).cast("long").alias("goal"), *metrics), most=16)
+
+
+@query(f"{_paths_sql()} SELECT request, rank, array_to_string(path, ',') AS edges, time, fail FROM R")
+def section_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bags of labels in shared rounds: all paths across every block that no other dominates."""
+    return _blocks(spark, sf_dir).select("request", "rank", "edges", "time", "fail")
+
+
+def _kind_sql(kind: str, where: str, order: str) -> str:
+    return f"SELECT request, '{kind}' AS kind, rank FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY {order}, rank) AS n FROM N {where}) WHERE n = 1"
+
+
+@query(f"""{_paths_sql()}, T AS (SELECT *, first_value(time) OVER f AS ft, first_value(dist) OVER f AS fd FROM R WINDOW f AS (PARTITION BY request ORDER BY time, rank)),
+B AS (SELECT *, first_value(fail) OVER (PARTITION BY request ORDER BY practical, rank) AS pf, min(fail) OVER (PARTITION BY request) AS sf FROM T WHERE time <= 1.85 * ft + 600 AND dist <= 1.8 * fd + 1600), N AS (SELECT *, fail <= greatest(sf + 80, pf + 20) AS near FROM B)
+{" UNION ALL ".join([_kind_sql("practical", "", "practical"), _kind_sql("safest", "", ", ".join(P.LABEL_SAFETY)), *[_kind_sql(k, "WHERE near", f"{k}, practical") for k in ("caution", "gap", "non_trail", "ascent")]])}""")
+def section_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of a section's paths become children, and as what."""
+    return P.frontier_choices(_blocks(spark, sf_dir))
