@@ -106,15 +106,28 @@ def nearest_node(points: DataFrame, nodes: DataFrame, cells_size: float = 0.01)
         size *= 8
 
 
-def blocked_edges(blocks: DataFrame, edges: DataFrame, within_m: float = BLOCK_M, reach_m: float = 400.0) -> DataFrame:
-    """Edges that road blocks close: all within ``within_m`` metres of a block, else the closest one within reach_m."""
-    size = reach_m / geo.LAT_M
-    p = blocks.withColumn("c", F.explode(geo.near_cells(F.col("lon"), F.col("lat"), size)))
-    e = edges.withColumn("c", F.explode(covering_cells(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2"), size)))
-    m = F.round(geo.point_segment_m(F.col("lon"), F.col("lat"), F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2")), 6)
-    near = p.join(e, "c").select("block_id", "edge_id", m.alias("m")).distinct().where(F.col("m") <= reach_m)
-    first = F.row_number().over(Window.partitionBy("block_id").orderBy("m", "edge_id"))
-    return near.withColumn("k", first).where((F.col("m") <= within_m) | (F.col("k") == 1)).select("block_id", "edge_id", "m")
+def blocked_edges(blocks: DataFrame, edges: DataFrame, within_m: float = BLOCK_M, first_m: float = 400.0) -> DataFrame:
+    """Edges that road blocks close: all within ``within_m`` metres of a block, else the closest one, however far it is.
+
+    Blocks and edges meet in cells of ``first_m``; blocks without an edge so near are looked for again with eight times the reach, until all
+    have one or a cell is wider than the map. Cells are wide enough up to 70 degrees of latitude.
+    """
+    reach, found, open_blocks = first_m, None, blocks
+    while True:
+        size = 3 * reach / geo.LAT_M
+        p = open_blocks.withColumn("c", F.explode(geo.near_cells(F.col("lon"), F.col("lat"), size)))
+        e = edges.withColumn("c", F.explode(covering_cells(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2"), size)))
+        m = F.round(geo.point_segment_m(F.col("lon"), F.col("lat"), F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2")), 6)
+        near = p.join(e, "c").select("block_id", "edge_id", m.alias("m")).distinct()
+        last = size > 360
+        near = near if last else near.where(F.col("m") <= reach)
+        first = F.row_number().over(Window.partitionBy("block_id").orderBy("m", "edge_id"))
+        part = cut_lineage(near.withColumn("k", first).where((F.col("m") <= within_m) | (F.col("k") == 1)).select("block_id", "edge_id", "m"))
+        found = part if found is None else found.union(part)
+        open_blocks = cut_lineage(open_blocks.join(part.select("block_id").distinct(), "block_id", "left_anti"))
+        if last or open_blocks.isEmpty():
+            return found
+        reach *= 8
 
 
 def seam_pairs(ends: DataFrame, existing: DataFrame, within_m: float = SEAM_M) -> DataFrame:

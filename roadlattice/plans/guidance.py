@@ -33,30 +33,37 @@ def fix_speeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.speeds(_fixes(spark, sf_dir)).where("speed is not null").select("ride_id", "event_id", F.round("speed", 6).alias("speed"), F.round("mph", 5).alias("mph"))
 
 
-@query("""SELECT ride_id, min(event_id) AS event_id FROM gps_fixes WHERE accuracy_m <= 120 AND 11900 - event_id % 1201 * 10 <= 45 AND off_m <= 65 GROUP BY 1""")
-def ride_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First fix of each ride, of fair accuracy and on the route, within 45 m of its end."""
-    near = _fixes(spark, sf_dir).where((F.col("accuracy_m") <= L.WORST_ACCURACY_M) & (F.col("end_m") - F.col("route_m") <= L.ARRIVAL_M) & (F.col("off_m") <= L.OFF_M))
-    return near.groupBy("ride_id").agg(F.min("event_id").alias("event_id"))
-
-
-#: The state machine in SQL: one recursion step for each fix of a ride.
+#: The rules of the road in SQL, one recursion step for each fix of a ride: a fix off the route that only raises suspicion ends its turn,
+#: so does one of a ride that stays off; all others clear suspicion and go on to the instructions, and to the arrival when none is left.
 _EVENTS = """WITH RECURSIVE F AS (SELECT user_id AS ride_id, event_id AS e, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, event_id / 10.0 AS t, event_id * 7 % 120 AS off_m, 10 + 10 * (event_id % 15) AS acc, event_id % 1201 * 10 AS m FROM events),
-S(ride_id, n, e, off, sus, last, told, nxt, ap, im, arr, ev) AS (
-  SELECT DISTINCT ride_id, 0::BIGINT, 0::BIGINT, false, []::DOUBLE[], -1e18::DOUBLE, false, 0::BIGINT, false, false, false, []::VARCHAR[] FROM F
+S(ride_id, n, e, off, began, fixes, told_at, told, nxt, ap, im, arr, ev) AS (
+  SELECT DISTINCT ride_id, 0::BIGINT, 0::BIGINT, false, NULL::DOUBLE, 0::BIGINT, -1e18::DOUBLE, false, 0::BIGINT, false, false, false, []::VARCHAR[] FROM F
   UNION ALL
-  SELECT ride_id, n, e, off3, sus3, last3, told3, nxt3, CASE WHEN quiet THEN ap2 ELSE ap2 OR ahead <= 350 END, CASE WHEN quiet THEN im2 ELSE im2 OR ahead <= 90 END, arr OR (NOT skip AND NOT off3 AND 11900 - m <= 45),
-    list_concat(ev1, CASE WHEN quiet THEN [] WHEN ahead <= 90 AND NOT im2 THEN [concat('now:turn ', nxt3 + 1)] WHEN ahead <= 350 AND NOT ap2 THEN [concat('ahead:turn ', nxt3 + 1)] ELSE [] END, CASE WHEN NOT skip AND NOT off3 AND 11900 - m <= 45 THEN ['arrived:'] ELSE [] END)
-  FROM (SELECT *, skip OR off3 OR nxt3 >= 12 AS quiet, 900 * (nxt3 + 1) - m AS ahead, CASE WHEN nxt3 > nxt THEN false ELSE ap END AS ap2, CASE WHEN nxt3 > nxt THEN false ELSE im END AS im2 FROM (
-    SELECT *, CASE WHEN skip OR off3 THEN nxt ELSE greatest(nxt, least(12, greatest(0, CAST(ceil((m - 60) / 900.0) AS BIGINT) - 1))) END AS nxt3 FROM (
-      SELECT *, CASE WHEN skip THEN off WHEN off THEN off_m > 40 ELSE enters END AS off3, CASE WHEN skip THEN sus WHEN off AND off_m > 40 THEN sus WHEN off THEN [] WHEN off_m > 65 THEN sus1 WHEN off_m <= 40 THEN [] ELSE sus END AS sus3,
-        CASE WHEN skip THEN last WHEN enters OR near OR again THEN t ELSE last END AS last3, CASE WHEN skip THEN told WHEN enters THEN false WHEN off AND off_m <= 40 THEN false WHEN near THEN true WHEN off AND off_m > 250 THEN false ELSE told END AS told3,
-        CASE WHEN skip THEN [] WHEN enters THEN ['off-route:'] WHEN off AND off_m <= 40 THEN ['rejoined:'] WHEN near THEN ['approach:'] WHEN again THEN ['still-off:'] ELSE [] END AS ev1 FROM (
-        SELECT *, NOT skip AND NOT off AND off_m > 65 AND len(sus1) >= CASE WHEN acc > 60 THEN 3 ELSE 2 END AS enters, NOT skip AND off AND off_m > 40 AND off_m <= 130 AND NOT told AS near, NOT skip AND off AND off_m > 40 AND NOT (off_m <= 130 AND NOT told) AND t - last >= 30 AS again FROM (
-          SELECT s.ride_id, f.n, f.e, f.t, f.off_m, f.acc, f.m, s.off, s.sus, s.last, s.told, s.nxt, s.ap, s.im, s.arr, s.arr OR f.acc > 120 AS skip, list_append(list_filter(s.sus, lambda x: f.t - x <= 40), f.t::DOUBLE) AS sus1 FROM S s JOIN F f ON f.ride_id = s.ride_id AND f.n = s.n + 1)))))
+  SELECT ride_id, n, e, CASE WHEN enters THEN true WHEN back THEN false ELSE off END,
+    CASE WHEN enters OR riding THEN NULL WHEN counted THEN began1 ELSE began END, CASE WHEN enters OR riding THEN 0 WHEN counted THEN fixes1 ELSE fixes END,
+    CASE WHEN enters OR back OR near OR again THEN t ELSE told_at END, CASE WHEN enters OR back THEN false WHEN near THEN true ELSE told1 END,
+    nxt1, ap1 OR now OR soon, im1 OR now, arr OR arrives,
+    list_concat(CASE WHEN enters THEN ['off-route:'] WHEN back THEN ['rejoined:'] WHEN near THEN ['approach:'] WHEN again THEN ['still-off:'] ELSE [] END,
+      CASE WHEN now THEN [concat('now:turn ', nxt1 + 1)] WHEN soon THEN [concat('ahead:turn ', nxt1 + 1)] ELSE [] END, CASE WHEN arrives THEN ['arrived:'] ELSE [] END)
+  FROM (SELECT *, pending AND ahead <= 350 AND NOT ap1 AND NOT now AS soon FROM (
+    SELECT *, pending AND ahead <= 90 AND NOT im1 AS now FROM (
+      SELECT *, riding AND nxt1 < 12 AS pending, 900 * (nxt1 + 1) - m AS ahead, ap AND nxt1 = nxt AS ap1, im AND nxt1 = nxt AS im1, riding AND nxt1 >= 12 AND m >= 11900 - 45 AS arrives FROM (
+        SELECT *, counted AND fixes1 >= CASE WHEN acc > 60 THEN 3 ELSE 2 END AS enters, away AND off_m <= 130 AND NOT told1 AS near, away AND NOT (off_m <= 130 AND NOT told1) AND t - told_at >= 30 AS again,
+          CASE WHEN riding THEN greatest(nxt, least(12, greatest(0, CAST(ceil((m - 60) / 900.0) AS BIGINT) - 1))) ELSE nxt END AS nxt1 FROM (
+          SELECT *, suspect AND acc <= 120 AS counted, NOT arr AND NOT suspect AND NOT away AS riding, CASE WHEN began IS NULL OR t - began > 40 THEN t ELSE began END AS began1, CASE WHEN began IS NULL OR t - began > 40 THEN 1 ELSE fixes + 1 END AS fixes1,
+            told AND NOT (away AND off_m > 250) AS told1 FROM (
+            SELECT s.ride_id, f.n, f.e, f.t::DOUBLE AS t, f.off_m, f.acc, f.m, s.off, s.began, s.fixes, s.told_at, s.told, s.nxt, s.ap, s.im, s.arr, NOT s.arr AND NOT s.off AND f.off_m > 65 AS suspect, NOT s.arr AND s.off AND f.off_m > 40 AS away, NOT s.arr AND s.off AND f.off_m <= 40 AS back
+            FROM S s JOIN F f ON f.ride_id = s.ride_id AND f.n = s.n + 1))))))
 ), X AS (SELECT ride_id, 1704067200000 + e * 100 AS at_ms, unnest(ev) AS k FROM S WHERE n > 0), E AS (SELECT ride_id, at_ms, split_part(k, ':', 1) AS kind, split_part(k, ':', 2) AS detail FROM X)"""
 
 
+@query(f"{_EVENTS} SELECT ride_id, (at_ms - 1704067200000) // 100 AS event_id FROM E WHERE kind = 'arrived'")
+def ride_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fix with which each ride arrives."""
+    ends = L.guide_batch(_fixes(spark, sf_dir)).where("kind = 'arrived'")
+    return ends.select("ride_id", F.floor((F.unix_millis("ts") - 1_704_067_200_000) / 100).cast("long").alias("event_id"))
+
+
 @query(f"{_EVENTS} SELECT * FROM E")
 def instruction_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.guide_batch(_fixes(spark, sf_dir)).select("ride_id", F.unix_millis("ts").alias("at_ms"), "kind", "detail")

@@ -70,7 +70,7 @@ def nearest_node(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PS = """sqrt(pow(x1 + t * (x2 - x1), 2) + pow(y1 + t * (y2 - y1), 2))"""
 BLOCKS = f"""WITH {POINTS}, {WAYS}, X AS (SELECT point_id AS block_id, way_id AS edge_id, (lon1 - CAST(lon AS DOUBLE)) * 111320.0 * cos(radians(CAST(lat AS DOUBLE))) AS x1, (lat1 - CAST(lat AS DOUBLE)) * 110540.0 AS y1,
   (lon2 - CAST(lon AS DOUBLE)) * 111320.0 * cos(radians(CAST(lat AS DOUBLE))) AS x2, (lat2 - CAST(lat AS DOUBLE)) * 110540.0 AS y2 FROM POINTS, WAYS),
-T AS (SELECT *, greatest(0.0, least(1.0, -(x1 * (x2 - x1) + y1 * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) AS t FROM X), M AS (SELECT block_id, edge_id, round({_PS}, 6) AS m FROM T), K AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY m, edge_id) AS k FROM M WHERE m <= 400)"""
+T AS (SELECT *, greatest(0.0, least(1.0, -(x1 * (x2 - x1) + y1 * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) AS t FROM X), M AS (SELECT block_id, edge_id, round({_PS}, 6) AS m FROM T), K AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY m, edge_id) AS k FROM M)"""
 
 
 @query(f"{BLOCKS} SELECT block_id, edge_id, round(m, 3) AS m FROM K WHERE m <= 16 OR k = 1")

@@ -37,38 +37,41 @@ FRESH = (False, [], -1e18, -1e18, 0, False, False, False, False, 0, 0, float("na
 def advance(state: tuple | None, fixes: pd.DataFrame, instructions: list[tuple[float, str]], end_m: float | None) -> tuple[tuple, list[tuple]]:
     """State after fixes (ts, event_id, off_m, accuracy_m, route_m, in order) and the events they raise.
 
-    Off route: two fixes over 65 m (three if accuracy is over 60 m) within 40 s; fixes of accuracy over 120 m are ignored; back at
-    40 m. While off, coming within 130 m is told once (again after 250 m), and else the prompt is repeated every 30 s. An
-    instruction is announced once at 350 m and once at 90 m and dropped when 60 m behind. Within 45 m of the end the ride has
-    arrived, once.
+    Off route: two fixes over 65 m (three if the last one's accuracy is over 60 m) within 40 s of the first of them, with none of 65 m or
+    less between; those of accuracy over 120 m do not count, nor does a fix that only raises suspicion do anything else. Back at 40 m.
+    While off, coming within 130 m is told once (again after 250 m), and else the prompt is repeated every 30 s. On the route an
+    instruction is announced once at 350 m and once at 90 m and dropped when over 60 m behind; when none is left, within 45 m of the
+    end the ride has arrived, once. Accuracy plays no part there.
     """
     off, suspects, last_prompt, last_ts, nxt, approach, immediate, arrived, near_told, seen_ms, status_ms, left_m = state or FRESH
     suspects, events = list(suspects), []
     for f in fixes.sort_values(["ts", "event_id"]).itertuples():
         t = f.ts.timestamp()
-        if arrived or t < last_ts or f.accuracy_m > WORST_ACCURACY_M:
+        if arrived or t < last_ts:
             continue
         last_ts = t
-        if off:
-            if f.off_m <= BACK_M:
-                off, near_told, suspects = False, False, []
-                events.append((f.ts, "rejoined", ""))
-            else:
-                near_told = near_told and f.off_m <= FAR_M
-                if f.off_m <= NEAR_M and not near_told:
-                    near_told, last_prompt = True, t
-                    events.append((f.ts, "approach", ""))
-                elif t - last_prompt >= REPEAT_S:
-                    last_prompt = t
-                    events.append((f.ts, "still-off", ""))
-        elif f.off_m > OFF_M:
-            suspects = [s for s in suspects if t - s <= MEMORY_S] + [t]
-            if len(suspects) >= (3 if f.accuracy_m > POOR_ACCURACY_M else 2):
-                off, near_told, last_prompt = True, False, t
+        if not off and f.off_m > OFF_M:
+            if f.accuracy_m > WORST_ACCURACY_M:
+                continue
+            suspects = [suspects[0], suspects[1] + 1] if suspects and t - suspects[0] <= MEMORY_S else [t, 1.0]
+            if suspects[1] >= (3 if f.accuracy_m > POOR_ACCURACY_M else 2):
+                off, suspects, near_told, last_prompt = True, [], False, t
                 events.append((f.ts, "off-route", ""))
-        elif f.off_m <= BACK_M:
-            suspects = []
-        if off or f.route_m is None or f.route_m != f.route_m:
+            continue
+        if off and f.off_m > BACK_M:
+            near_told = near_told and f.off_m <= FAR_M
+            if f.off_m <= NEAR_M and not near_told:
+                near_told, last_prompt = True, t
+                events.append((f.ts, "approach", ""))
+            elif t - last_prompt >= REPEAT_S:
+                last_prompt = t
+                events.append((f.ts, "still-off", ""))
+            continue
+        if off:
+            off, near_told, last_prompt = False, False, t
+            events.append((f.ts, "rejoined", ""))
+        suspects = []
+        if f.route_m is None or f.route_m != f.route_m:
             continue
         left_m = float("nan") if end_m is None else end_m - f.route_m
         while nxt < len(instructions) and f.route_m > instructions[nxt][0] + PASSED_M:
@@ -81,7 +84,7 @@ def advance(state: tuple | None, fixes: pd.DataFrame, instructions: list[tuple[f
             elif ahead <= APPROACH_M and not approach:
                 approach = True
                 events.append((f.ts, "ahead", instructions[nxt][1]))
-        if end_m is not None and end_m - f.route_m <= ARRIVAL_M:
+        elif end_m is not None and f.route_m >= end_m - ARRIVAL_M:
             arrived = True
             events.append((f.ts, "arrived", ""))
     return (off, suspects, last_prompt, last_ts, nxt, approach, immediate, arrived, near_told, seen_ms, status_ms, left_m), events

@@ -246,3 +246,38 @@ def test_turning_routes_on_an_overlay(spark):
         least[ends[x.arc_id]] = min(least.get(ends[x.arc_id], 1e9), x.dist)
     dear.clear()
     assert all(least[goal] == plain(0, 0, "turns", 0, goal) for goal in range(1, 81) if goal in least)
+
+
+def test_road_blocks_close_the_nearest_edge_however_far(spark):
+    edges = spark.createDataFrame([(1, -122.0, 47.0, -122.0, 47.001), (2, -121.0, 47.0, -121.0, 47.001), (3, -122.0001, 47.0, -122.0001, 47.001)], "edge_id long, lon1 double, lat1 double, lon2 double, lat2 double")
+    blocks = spark.createDataFrame([(1, -122.0, 47.0005), (2, -122.0145, 47.0005), (3, -100.0, 40.0)], "block_id long, lon double, lat double")
+    got = sorted((r.block_id, r.edge_id, round(r.m)) for r in spatial.blocked_edges(blocks, edges).collect())
+    assert [(b, e) for b, e, _ in got] == [(1, 1), (1, 3), (2, 3), (3, 2)] and 1080 < got[2][2] < 1120
+
+
+def test_bags_keep_the_first_of_each_order_when_full(spark):
+    """More parallel ways than a bag holds: eight stay, among them the best of each metric."""
+    n = len(portfolio.LABEL)
+    rows = [(1, 0, 1, k, 0, 1, *[float(1 if j == k else 20 + (k * 7 + j * 3) % 11) for j in range(n - 1)], 5.0) for k in range(n - 1)] + [(1, 0, 1, 100 + k, 0, 1, *[18.0 - k * 0.001] * (n - 1), 5.0) for k in range(6)]
+    df = spark.createDataFrame(rows, "request long, src long, dst long, edge long, start long, goal long, " + ", ".join(f"{x} double" for x in portfolio.LABEL))
+    got = {r.edges for r in portfolio.section_frontier(df).collect()}
+    assert len(got) == 8 and "105" in got and {str(k) for k in (0, 1, 3, 4, 5, 6)} <= got
+    kinds = {r.kind: r.rank for r in portfolio.frontier_choices(portfolio.section_frontier(df)).collect()}
+    assert set(kinds) == {"practical", "safest", "caution", "gap", "non_trail", "ascent"}
+
+
+def test_bounds_keep_costs_and_drop_labels(spark):
+    """Over several blocks: the goal's cost and path stay, other labels go."""
+    side = 14
+    rows = [(y * side + x, v, float(3 + (x * 7 + y * 5) % 9)) for y in range(side) for x in range(side) for v in ([y * side + x + 1] if x < side - 1 else []) + ([(y + 1) * side + x] if y < side - 1 else [])]
+    arcs = spark.createDataFrame(rows + [(v, u, c + 1) for u, v, c in rows], "src long, dst long, cost double")
+    ends = spark.createDataFrame([(0, 20, 60), (1, 100, 5)], "request long, start long, goal long")
+    goals, starts = ends.selectExpr("request", "goal AS node"), ends.selectExpr("request", "start AS node")
+    exact = {(r.request, r.node): (r.dist, r.pred) for r in graph.distances(arcs, starts, block_nodes=40).collect()}
+    bounds = graph.goal_bounds(arcs, goals, F.col("cost") * 0.8, block_nodes=40)
+    some = {(r.request, r.node): (r.dist, r.pred) for r in graph.distances(arcs, starts, bounds=bounds, goals=goals, block_nodes=40).collect()}
+    assert len(some) < 0.7 * len(exact)
+    for request, node in ((0, 60), (1, 5)):
+        while node is not None:
+            assert some[request, node] == exact[request, node]
+            node = exact[request, node][1]
