@@ -40,3 +40,34 @@ def test_parsing(spark):
 def test_formats(spark):
     r = one(spark, formats.distance(F.lit(100.0)).alias("a"), formats.distance(F.lit(5000.0)).alias("b"), formats.duration(F.lit(4000)).alias("c"), formats.compass(F.lit(350)).alias("d"))
     assert (r.a, r.b, r.c, r.d) == ("330 ft", "3.1 mi", "1 h 7 min", "north")
+
+
+def test_projection_round_trip_and_origin(spark):
+    """Points of the whole state come back to under 1e-8 degrees; the origin is the false easting; feet are survey feet."""
+    from roadlattice.functions import projection as J
+
+    rows = [(float(lon), float(lat)) for lon in range(-125, -116) for lat in (45.4, 46.0, 47.123456, 48.9)] + [(-120.5, 45 + 20 / 60), (None, 47.0)]
+    df = spark.createDataFrame(rows, "lon double, lat double").withColumn("p", J.to_plane(F.col("lon"), F.col("lat"))).withColumn("q", J.to_lonlat(F.col("p.x"), F.col("p.y")))
+    for r in df.collect():
+        if r.lon is None:
+            assert r.q.lon is None
+            continue
+        assert abs(r.q.lon - r.lon) < 1e-8 and abs(r.q.lat - r.lat) < 1e-8
+        if (r.lon, r.lat) == (-120.5, 45 + 20 / 60):
+            assert abs(r.p.x - 1640416.6667) < 1e-3 and abs(r.p.y) < 1e-3
+
+
+def test_clipped_rings(spark):
+    from roadlattice.functions import projection as J
+
+    ring = lambda *ps: [{"lon": float(x), "lat": float(y)} for x, y in ps]
+    rows = [
+        (1, ring((0, 0), (4, 0), (4, 4), (0, 4)), 4.0), (2, ring((0, 0), (0, 4), (4, 4), (4, 0), (0, 0)), 4.0), (3, ring((1, 1), (2, 1), (1.5, 2)), 0.5), (4, ring((9, 9), (10, 9), (9, 10)), 0.0),
+        (5, ring((-5, 2), (2, -5), (9, 2), (2, 9)), 4.0), (6, ring((0, 0), (3, 0), (3, 3), (2, 0.5)), 1.0), (7, [], 0.0), (8, None, None),
+    ]
+    df = spark.createDataFrame(rows, "k int, ring array<struct<lon:double,lat:double>>, want double")
+    for r in df.withColumn("area", J.ring_area(J.clipped_ring(F.col("ring"), J.box(1, 1, 3, 3)))).collect():
+        if r.k == 6:
+            assert 0 < r.area < 2
+        else:
+            assert r.area == r.want
