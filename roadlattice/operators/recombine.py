@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from roadlattice.functions import formats
 
-from .graph import cut_lineage
-from .portfolio import SAFETY
+from .costs import score
+from .graph import cut_lineage, stored
+from .portfolio import SAFETY, cut_points, overlap, reasonable, scored
+from .requests import different, prefix_sums
 from .sequences import islands
 
 #: Metres that both parts of a splice have at least, and seconds or points by which a child beats its parents.
@@ -118,6 +120,93 @@ def farthest(c: DataFrame, shares: DataFrame, seeds: DataFrame, most: int, weigh
     return chosen
 
 
+#: Seeds and children of the general cross-breeding, and what difference counts beside quality in the choice of each.
+MOST_SEEDS, MOST_CHILDREN, SEED_APART, CHILD_APART = 10, 6, 0.8, 0.7
+#: Columns of paths that add up to a route's metrics.
+ADDED = ("time", "fail", "freeway", "mtb", "hazard", "dismount", "limited", "ferry", "facility", "trail", "designated", "residential", "l2", "l3")
+
+
+def _totals(paths: DataFrame) -> DataFrame:
+    sums = [F.sum(c).alias(c) for c in ADDED]
+    t = paths.groupBy("request", "route").agg(F.sum("len_m").alias("dist"), F.count("*").alias("edges"), F.count_distinct("node").alias("nodes"), *sums)
+    return scored(t.withColumn("candidate", F.col("route")))
+
+
+def _alike(c: DataFrame, shares: DataFrame) -> DataFrame:
+    return shares.join(different(c, shares), ["request", "a", "b"], "left_anti").select("request", "a", "b")
+
+
+def _rated(c: DataFrame) -> DataFrame:
+    """quality: the best score of a request over each candidate's, at most 1."""
+    return c.withColumn("quality", F.least(F.lit(1.0), F.min("score").over(Window.partitionBy("request")) / F.col("score")))
+
+
+def _ends(c: DataFrame, *orders: tuple[str, ...]) -> DataFrame:
+    """The first candidate of each request in every order."""
+    first = c.groupBy("request").agg(*[F.min(F.struct(*o, "candidate"))["candidate"].alias(f"c{i}") for i, o in enumerate(orders)])
+    return first.select("request", F.explode(F.array_distinct(F.array(*[f"c{i}" for i in range(len(orders))]))).alias("candidate"))
+
+
+def crossbred(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """paths(request, route, seq, edge_id, node, len_m and ADDED) -> (children's paths, children's totals), route being the recipe.
+
+    Seeds are a request's reasonable routes on land without a node twice, each unlike the better ones; of more than ten the best, the fastest
+    and the safest, then those that differ most from the chosen ones (0.8) and are good (0.2). Two seeds that differ are joined at the places
+    where they part or meet, both ways round, if both parts have 1000 m and no node comes twice; of each pair the best-priced and the safest
+    recipe are made. A child must be better than both parents in time, price or safety, and unlike every route there is. Of a pair the best
+    child stays, and the safest if unlike it; of all the best and the safest, then up to six by difference (0.7) and price (0.3). node is
+    where an edge begins. No search is needed; requests are independent of each other and share all rounds.
+    """
+    p = stored(paths.select("request", "route", "seq", "edge_id", "node", "len_m", *ADDED), "cross-paths")
+    totals = stored(_totals(p), "cross-totals")
+    shares = stored(overlap(p), "cross-shares")
+    alike = stored(_alike(totals, shares), "cross-alike")
+    land = reasonable(totals.where("ferry <= 0 and edges > 1 and nodes = edges").withColumn("ord", F.lit(0)))
+    apart = land.join(distinct_routes(land, alike, ["score", *SAFETY, "candidate"]), ["request", "candidate"], "left_semi")
+    apart = stored(_rated(apart), "cross-apart")
+    seeds = farthest(apart, shares, _ends(apart, ("score",), ("time",), SAFETY), MOST_SEEDS, SEED_APART)
+    own = stored(p.join(seeds.select("request", F.col("candidate").alias("route")), ["request", "route"], "left_semi"), "cross-seeds")
+
+    cuts = cut_points(own.groupBy("request", "route", "node").agg(F.min("seq").alias("seq"))).join(alike, ["request", "a", "b"], "left_anti")
+    metrics = ["len_m", *ADDED]
+    before = prefix_sums(own.withColumn("route_id", F.col("route")), metrics).withColumnRenamed("route_id", "route")
+    whole = own.groupBy("route").agg(*[F.sum(m).alias(m) for m in metrics])
+    est = estimated(recipes_at(cuts), before, whole, metrics).withColumn("dist", F.col("len_m")).withColumn("score", score())
+    clean = stored(est.join(looping(own, est), "recipe", "left_anti"), "cross-recipes")
+    best = clean.groupBy("request", "a", "b").agg(F.min(F.struct("score", "fail", "recipe"))["recipe"].alias("x"), F.min(F.struct("fail", "dismount", "score", "recipe"))["recipe"].alias("y"))
+    final = best.select("request", F.explode(F.array_distinct(F.array("x", "y"))).alias("recipe")).join(clean.select("request", "recipe", "a", "b", "prefix", "prefix_cut", "suffix", "suffix_cut"), ["request", "recipe"])
+    final = stored(final, "cross-finalists")
+
+    made = spliced(own, final.select("request", "recipe", "prefix", "prefix_cut", "suffix", "suffix_cut")).withColumnRenamed("recipe", "route")
+    made = stored(made, "cross-children")
+    old = p.withColumn("route", F.col("route").cast("string"))
+    born = stored(_totals(made), "cross-born").join(final.select(F.col("recipe").alias("candidate"), F.col("a").alias("ma"), F.col("b").alias("mb")), "candidate")
+    better = born.alias("x").join(totals.alias("y"), (F.col("x.request") == F.col("y.request")) & F.col("y.candidate").isin(F.col("x.ma"), F.col("x.mb")))
+    ok = better.groupBy(F.col("x.request").alias("request"), F.col("x.candidate").alias("candidate")).agg(F.bool_and(improves("x", "y")).alias("ok")).where("ok").drop("ok")
+    good = stored(born.join(ok, ["request", "candidate"], "left_semi"), "cross-good")
+    all_totals = good.drop("ma", "mb").unionByName(totals.withColumn("candidate", F.col("candidate").cast("string")).withColumn("route", F.col("route").cast("string")))
+    every = overlap(old.unionByName(made.join(good.select("request", "route"), ["request", "route"], "left_semi").select(old.columns)))
+    near = stored(_alike(all_totals, every), "cross-near")
+    both = near.select("request", F.col("a").alias("candidate"), F.col("b").alias("other")).union(near.select("request", "b", "a"))
+    known = both.join(old.select("request", F.col("route").alias("other")).distinct(), ["request", "other"], "left_semi")
+    new = stored(good.join(known.select("request", "candidate"), ["request", "candidate"], "left_anti"), "cross-new")
+
+    rank = Window.partitionBy("request", "ma", "mb")
+    pick = new.withColumns({"first": F.min(F.struct("score", *SAFETY, "candidate")).over(rank)["candidate"], "safest": F.min(F.struct(*SAFETY, "candidate")).over(rank)["candidate"]})
+    like_first = both.withColumnRenamed("other", "first")
+    second = pick.where("candidate = safest and candidate <> first").join(like_first, ["request", "candidate", "first"], "left_anti").select(new.columns)
+    chosen = stored(pick.where("candidate = first").select(new.columns).union(second), "cross-chosen")
+    unlike = chosen.join(distinct_routes(chosen, near.join(chosen.select("request", F.col("candidate").alias("a")), ["request", "a"], "left_semi").join(chosen.select("request", F.col("candidate").alias("b")), ["request", "b"], "left_semi"), ["score", *SAFETY, "candidate"]), ["request", "candidate"], "left_semi")
+    numbered = stored(_rated(unlike).withColumn("number", F.row_number().over(Window.partitionBy("request").orderBy("score", *SAFETY, "candidate"))), "cross-unlike")
+    # numbers stand for recipes, which are texts
+    to = numbered.select("request", F.col("candidate").alias("a"), F.col("number").alias("na"))
+    pairs = every.join(to, ["request", "a"]).join(to.toDF("request", "b", "nb"), ["request", "b"]).select("request", F.col("na").alias("a"), F.col("nb").alias("b"), "share")
+    by_number = numbered.drop("candidate").withColumnRenamed("number", "candidate")
+    last = farthest(by_number, pairs, _ends(by_number, ("score",), SAFETY), MOST_CHILDREN, CHILD_APART).select("request", F.col("candidate").alias("number"))
+    result = stored(numbered.join(last, ["request", "number"], "left_semi").drop("ma", "mb", "number", "quality", "nodes"), "cross-result")
+    return made.join(result.select("request", "route"), ["request", "route"], "left_semi"), result
+
+
 def ferry_signatures(paths: DataFrame) -> DataFrame:
     """paths(route, seq, edge_id, ferry) -> (route, boats, signature): the edges of each boat trip, trips apart. Routes without a boat have no row."""
     runs = islands(paths, F.col("ferry"), "run", keys=["route"], order=["seq"]).where("ferry")

@@ -281,3 +281,21 @@ def test_bounds_keep_costs_and_drop_labels(spark):
         while node is not None:
             assert some[request, node] == exact[request, node]
             node = exact[request, node][1]
+
+
+def test_crossbred_children(spark):
+    """A route good at first and one good at last meet half way: their child is made, better than both; a copy of the first adds none."""
+    from roadlattice.operators import recombine
+
+    added = {k: 0 for k in recombine.ADDED}
+    row = lambda route, seq, edge, node, m, **more: (1, route, seq, edge, node, m, *(added | more).values())
+    rows = [row(1, k, k, k, 600, time=100) for k in range(3)] + [row(1, 3 + k, 10 + k, 30 + k, 600, time=300, fail=600) for k in range(3)]
+    rows += [row(2, k, 20 + k, 40 + k if k else 0, 600, time=300, fail=600) for k in range(3)] + [row(2, 3 + k, 40 + k, 30 if not k else 50 + k, 600, time=100) for k in range(3)]
+    rows += [row(3, k, k, k, 600, time=100) for k in range(3)] + [row(3, 3 + k, 10 + k, 30 + k, 600, time=301, fail=600) for k in range(3)]
+    schema = "request long, route long, seq long, edge_id long, node long, len_m long, " + ", ".join(f"{k} long" for k in added)
+    df = spark.createDataFrame(rows, schema)
+    paths, totals = recombine.crossbred(df.union(df.where("route <> 3").withColumn("request", F.lit(2).cast("long")).withColumn("route", F.col("route") + 10)))
+    got = {(r.request, r.candidate): (r.time, r.fail, r.dist) for r in totals.collect()}
+    assert got == {(1, "1:3:2:3"): (600, 0, 3600), (2, "11:3:12:3"): (600, 0, 3600)}
+    assert [r.edge_id for r in paths.where("request = 1").orderBy("seq").collect()] == [0, 1, 2, 40, 41, 42]
+    assert recombine.crossbred(df.where("route <> 2"))[1].count() == 0
