@@ -9,8 +9,8 @@ from . import overlay
 from .arcs import legal
 from .costs import MODES, TURN, profile_name
 from .graph import cut_lineage, distances, stored, walked_back
-from .portfolio import SAFETY, overlap
-from .recombine import distinct_routes
+from .portfolio import SAFETY, dominated, lettered, overlap, reasonable, recommended, select_six
+from .recombine import alike_pairs, crossbred, distinct_routes, totalled
 from .requests import different, profiles
 from .sequences import islands
 
@@ -239,6 +239,52 @@ def pool(arcs: DataFrame, discovery: DataFrame, requests: DataFrame, nodes: Data
     return paths, measured(paths, arcs)
 
 
+#: Where the other plans stand among the profiles, which stand at 0, 0.1, 0.2, 0.3, 1, ...; children of two routes behind them.
+PLACES = {12: 0.45, 13: 1.45, 14: 2.35, 15: 1.55, 16: 0.48, 17: 2.28, 18: 1.48, LENS: 0.46, LENS_PROBE: 1.46, STRICT: 2.42}
+FIRST_CHILD, CHILD_PLACE = 64, 1.47
+
+
+def measured_edges(paths: DataFrame, arcs: DataFrame) -> DataFrame:
+    """paths(request, plan, step, edge_id, src) -> rows for recombine.crossbred: every edge with what it adds to a route's metrics."""
+    metres = lambda test: F.when(test, F.col("len_m")).otherwise(0)
+    a = arcs.dropDuplicates(["edge_id", "src"]).drop("dst", "cost", "arc_id")
+    return paths.select("request", "plan", "step", "edge_id", "src").join(a, ["edge_id", "src"]).select(
+        "request", F.col("plan").cast("long").alias("route"), F.col("step").cast("long").alias("seq"), "edge_id", F.col("src").alias("node"), "len_m", F.col("time_s").alias("time"), metres((F.col("level") == 4) & ~F.col("ferry")).alias("fail"), metres(F.col("freeway")).alias("freeway"),
+        metres(F.col("mtb")).alias("mtb"), metres(F.col("hazard") >= 2).alias("hazard"), metres(F.col("dismount")).alias("dismount"), metres(F.col("limited_access")).alias("limited"), metres(F.col("ferry")).alias("ferry"), metres(F.col("facility") >= 2).alias("facility"),
+        metres(F.col("infra")).alias("trail"), metres(F.col("designated")).alias("designated"), metres((F.col("road_class") <= 3) & (F.col("facility") == 0)).alias("residential"), metres(F.col("level") == 2).alias("l2"), metres(F.col("level") == 3).alias("l3"),
+    )
+
+
+def composed(paths: DataFrame, arcs: DataFrame) -> DataFrame:
+    """The pool's paths -> what a request offers: (request, rank, letter, candidate, recommended, totals).
+
+    Candidates are the pool's plans and their cross-bred children (64 and up). Too slow ones go, then those that are like one before them,
+    then those that another of their corridor beats; six of the others are chosen, the recommended one among them, and lettered by time.
+    """
+    raw = stored(measured_edges(paths, arcs), "composed-edges")
+    child_paths, children = crossbred(raw)
+    number = (F.row_number().over(Window.partitionBy("request").orderBy("score", "candidate")) + (FIRST_CHILD - 1)).cast("long")
+    numbered = stored(children.select("request", F.col("candidate").alias("route"), number.alias("number")), "composed-children")
+    born = child_paths.join(numbered, ["request", "route"]).withColumn("route", F.col("number")).select(raw.columns)
+    edges = stored(raw.unionByName(born), "composed-all")
+    place = F.col("candidate")
+    order = F.when(place >= FIRST_CHILD, CHILD_PLACE + (place - FIRST_CHILD) * 0.001)
+    for k, at in PLACES.items():
+        order = order.when(place == k, at)
+    c = totalled(edges).withColumns({"ord": order.otherwise(F.floor(place / 4) + place % 4 * 0.1).cast("double"), "pref": (place < FIRST_PROBE) & (place % 4 == 3) | place.isin(13, 14, 17, 18, LENS_PROBE)})
+    c = stored(c, "composed-totals")
+    shares = stored(overlap(edges), "composed-shares")
+    kept = reasonable(c)
+    unlike = kept.join(distinct_routes(kept, alike_pairs(kept, shares), ["ord", F.desc("aggression"), "time", "candidate"]), ["request", "candidate"], "left_semi")
+    unlike = stored(unlike, "composed-unlike")
+    left = stored(unlike.join(dominated(unlike, shares).select("request", "candidate"), ["request", "candidate"], "left_anti"), "composed-left")
+    star = stored(recommended(left), "composed-star")
+    six = select_six(left, shares, star.select("request", "candidate"))
+    out = lettered(left.join(six.select("request", "candidate"), ["request", "candidate"], "left_semi"))
+    marked = out.join(star.select("request", "candidate", F.lit(True).alias("star")), ["request", "candidate"], "left")
+    return marked.select("request", "rank", "letter", "candidate", F.coalesce("star", F.lit(False)).alias("recommended"), "time", "dist", "fail", "score")
+
+
 def connector(arcs: DataFrame, requests: DataFrame, blocked: DataFrame | None = None, **blocks) -> DataFrame:
     """A way to a planned route's start, or on from where a rider is: one balanced search that failing roads don't bar; blocked(request,
     edge_id) are."""

@@ -126,13 +126,15 @@ MOST_SEEDS, MOST_CHILDREN, SEED_APART, CHILD_APART = 10, 6, 0.8, 0.7
 ADDED = ("time", "fail", "freeway", "mtb", "hazard", "dismount", "limited", "ferry", "facility", "trail", "designated", "residential", "l2", "l3")
 
 
-def _totals(paths: DataFrame) -> DataFrame:
+def totalled(paths: DataFrame) -> DataFrame:
+    """Metrics, score and aggression of each route."""
     sums = [F.sum(c).alias(c) for c in ADDED]
     t = paths.groupBy("request", "route").agg(F.sum("len_m").alias("dist"), F.count("*").alias("edges"), F.count_distinct("node").alias("nodes"), *sums)
     return scored(t.withColumn("candidate", F.col("route")))
 
 
-def _alike(c: DataFrame, shares: DataFrame) -> DataFrame:
+def alike_pairs(c: DataFrame, shares: DataFrame) -> DataFrame:
+    """Pairs of a request's routes that are not worth showing both."""
     return shares.join(different(c, shares), ["request", "a", "b"], "left_anti").select("request", "a", "b")
 
 
@@ -158,9 +160,9 @@ def crossbred(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
     where an edge begins. No search is needed; requests are independent of each other and share all rounds.
     """
     p = stored(paths.select("request", "route", "seq", "edge_id", "node", "len_m", *ADDED), "cross-paths")
-    totals = stored(_totals(p), "cross-totals")
+    totals = stored(totalled(p), "cross-totals")
     shares = stored(overlap(p), "cross-shares")
-    alike = stored(_alike(totals, shares), "cross-alike")
+    alike = stored(alike_pairs(totals, shares), "cross-alike")
     land = reasonable(totals.where("ferry <= 0 and edges > 1 and nodes = edges").withColumn("ord", F.lit(0)))
     apart = land.join(distinct_routes(land, alike, ["score", *SAFETY, "candidate"]), ["request", "candidate"], "left_semi")
     apart = stored(_rated(apart), "cross-apart")
@@ -180,13 +182,13 @@ def crossbred(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
     made = spliced(own, final.select("request", "recipe", "prefix", "prefix_cut", "suffix", "suffix_cut")).withColumnRenamed("recipe", "route")
     made = stored(made, "cross-children")
     old = p.withColumn("route", F.col("route").cast("string"))
-    born = stored(_totals(made), "cross-born").join(final.select(F.col("recipe").alias("candidate"), F.col("a").alias("ma"), F.col("b").alias("mb")), "candidate")
+    born = stored(totalled(made), "cross-born").join(final.select(F.col("recipe").alias("candidate"), F.col("a").alias("ma"), F.col("b").alias("mb")), "candidate")
     better = born.alias("x").join(totals.alias("y"), (F.col("x.request") == F.col("y.request")) & F.col("y.candidate").isin(F.col("x.ma"), F.col("x.mb")))
     ok = better.groupBy(F.col("x.request").alias("request"), F.col("x.candidate").alias("candidate")).agg(F.bool_and(improves("x", "y")).alias("ok")).where("ok").drop("ok")
     good = stored(born.join(ok, ["request", "candidate"], "left_semi"), "cross-good")
     all_totals = good.drop("ma", "mb").unionByName(totals.withColumn("candidate", F.col("candidate").cast("string")).withColumn("route", F.col("route").cast("string")))
     every = overlap(old.unionByName(made.join(good.select("request", "route"), ["request", "route"], "left_semi").select(old.columns)))
-    near = stored(_alike(all_totals, every), "cross-near")
+    near = stored(alike_pairs(all_totals, every), "cross-near")
     both = near.select("request", F.col("a").alias("candidate"), F.col("b").alias("other")).union(near.select("request", "b", "a"))
     known = both.join(old.select("request", F.col("route").alias("other")).distinct(), ["request", "other"], "left_semi")
     new = stored(good.join(known.select("request", "candidate"), ["request", "candidate"], "left_anti"), "cross-new")
