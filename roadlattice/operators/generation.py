@@ -10,7 +10,7 @@ from .arcs import legal
 from .costs import MODES, TURN, profile_name
 from .graph import cut_lineage, distances, stored, walked_back
 from .portfolio import SAFETY, dominated, lettered, overlap, reasonable, recommended, select_six
-from .recombine import alike_pairs, crossbred, distinct_routes, totalled
+from .recombine import LEAST_PART_M, alike_pairs, crossbred, distinct_routes, ferry_seeds, ferry_signatures, totalled
 from .requests import different, profiles
 from .sequences import islands
 
@@ -188,7 +188,8 @@ def pool(arcs: DataFrame, discovery: DataFrame, requests: DataFrame, nodes: Data
     Plans: the profiles that the request leaves (0 to 11); where fewer than five of their routes are different, four probes off the
     fastest and the safest (12 to 15); without a boat on any of these, discovery on roads that stricter rules (``discovery``, see
     pool_graphs) price: direct, gentle (kept within 2.2 times the direct one's time and 600 s) and an alternative off the direct one's
-    edges (16 to 18); the direct lens and its probe (19, 20); where nothing matches fully, a strict route (21). Probes leave protected
+    edges (16 to 18); the direct lens and its probe (19, 20); where nothing matches fully, a strict route (21); and ferry itineraries with a land
+    section searched anew (100 and up, see refined_ferries; their costs are not given). Probes leave protected
     infrastructure at its price. All searches of a step run together on one overlay (see overlay.build); nodes(node, x, y) are its cells.
     exempt(request, edge_id) are failing edges near the ends (requests.terminal_access). Totals are judged under the rider's rules.
     """
@@ -232,43 +233,100 @@ def pool(arcs: DataFrame, discovery: DataFrame, requests: DataFrame, nodes: Data
     totals = stored(measured(found, arcs), "pool-totals")
     direct = totals.where(F.col("plan") == FIRST_DISCOVERY).select("request", F.col("time").alias("direct_time"))
     slow = totals.where(F.col("plan") == FIRST_DISCOVERY + 1).join(direct, "request").where(F.col("time") > GENTLE_TIMES * F.col("direct_time") + GENTLE_S).select("request", "plan")
-    unmatched = requests.join(totals.where("fail = 0").select("request").distinct(), "request", "left_anti")
-    strict = strict_routes(arcs, unmatched, exempt, find=lambda plans, d=None: find(plans, d).select(columns), parts=parts)
-    paths = found.join(slow, ["request", "plan"], "left_anti").select(columns).union(strict.select("request", F.lit(STRICT).alias("plan"), F.col("seq").cast("int").alias("step"), "edge_id", "src", "dst", "cost"))
-    paths = stored(paths, "pool-paths")
+    unmatched = stored(requests.join(totals.where("fail = 0").select("request").distinct(), "request", "left_anti"), "pool-unmatched")
+    paths = found.join(slow, ["request", "plan"], "left_anti").select(columns)
+    if not unmatched.isEmpty():
+        strict = strict_routes(arcs, unmatched, exempt, find=lambda plans, d=None: find(plans, d).select(columns), parts=parts)
+        paths = paths.union(strict.select("request", F.lit(STRICT).alias("plan"), F.col("seq").cast("int").alias("step"), "edge_id", "src", "dst", "cost"))
+    refined = refined_ferries(stored(measured_edges(found.join(slow, ["request", "plan"], "left_anti"), arcs), "pool-edges"), arcs, lambda plans, d=None: find(plans, d).select(columns))
+    paths = stored(paths.union(refined.select(columns)), "pool-paths")
     return paths, measured(paths, arcs)
 
 
 #: Where the other plans stand among the profiles, which stand at 0, 0.1, 0.2, 0.3, 1, ...; children of two routes behind them.
 PLACES = {12: 0.45, 13: 1.45, 14: 2.35, 15: 1.55, 16: 0.48, 17: 2.28, 18: 1.48, LENS: 0.46, LENS_PROBE: 1.46, STRICT: 2.42}
-FIRST_CHILD, CHILD_PLACE = 64, 1.47
+FIRST_CHILD, CHILD_PLACE, REFINED_PLACE = 64, 1.47, 1.53
 
 
 def measured_edges(paths: DataFrame, arcs: DataFrame) -> DataFrame:
     """paths(request, plan, step, edge_id, src) -> rows for recombine.crossbred: every edge with what it adds to a route's metrics."""
     metres = lambda test: F.when(test, F.col("len_m")).otherwise(0)
     a = arcs.dropDuplicates(["edge_id", "src"]).drop("dst", "cost", "arc_id")
-    return paths.select("request", "plan", "step", "edge_id", "src").join(a, ["edge_id", "src"]).select(
-        "request", F.col("plan").cast("long").alias("route"), F.col("step").cast("long").alias("seq"), "edge_id", F.col("src").alias("node"), "len_m", F.col("time_s").alias("time"), metres((F.col("level") == 4) & ~F.col("ferry")).alias("fail"), metres(F.col("freeway")).alias("freeway"),
+    return paths.select("request", "plan", "step", "edge_id", "src", F.col("dst").alias("end")).join(a, ["edge_id", "src"]).select(
+        "request", F.col("plan").cast("long").alias("route"), F.col("step").cast("long").alias("seq"), "edge_id", F.col("src").alias("node"), "end", "len_m", F.col("time_s").alias("time"), metres((F.col("level") == 4) & ~F.col("ferry")).alias("fail"), metres(F.col("freeway")).alias("freeway"),
         metres(F.col("mtb")).alias("mtb"), metres(F.col("hazard") >= 2).alias("hazard"), metres(F.col("dismount")).alias("dismount"), metres(F.col("limited_access")).alias("limited"), metres(F.col("ferry")).alias("ferry"), metres(F.col("facility") >= 2).alias("facility"),
         metres(F.col("infra")).alias("trail"), metres(F.col("designated")).alias("designated"), metres((F.col("road_class") <= 3) & (F.col("facility") == 0)).alias("residential"), metres(F.col("level") == 2).alias("l2"), metres(F.col("level") == 3).alias("l3"),
     )
 
 
+#: Refined ferry itineraries are numbered from here; bits of a section's number and of a plan's in the number of a section's search.
+FIRST_REFINED, SECTION_BITS, SEED_BITS = 100, 14, 6
+#: A replacement may take so many times the quickest way over its section and seconds more, unless it fails by 80 m less; one that fails by 80 m
+#: more must gain at least so many friendly metres, or that share of its own.
+SECTION_TIMES, SECTION_S, LESS_FAIL_M, FRIENDLY_M, FRIENDLY_SHARE = 1.85, 300, 80, 1600, 0.08
+
+
+def refined_ferries(edges: DataFrame, arcs: DataFrame, find) -> DataFrame:
+    """edges (measured_edges, with the node where each ends) -> (request, plan, step, edge_id, src, dst, cost): itineraries of which one
+    land section between boats is searched anew, numbered from FIRST_REFINED.
+
+    Seeds are those of ferry_seeds (discovery apart) with two land sections of 1000 m or more. Every such section is searched between
+    its own ends under the stricter rules, directly and then balanced off the direct one's ordinary edges (``find`` with the graphs
+    discover_direct and discover_balanced). The second replaces the section if it stays on land, differs from it, and is about as quick
+    or fails less, and friendlier if it fails more. Boats and the other sections stay. All sections of all seeds share the searches.
+    A request without boats has no rows. Requests must be under 2^37, plans under 64 and an itinerary's sections under 2^14.
+    """
+    key = (F.col("request") * (1 << SEED_BITS) + F.col("route")).cast("long")
+    boats = ferry_signatures(edges.select(key.alias("route"), "seq", "edge_id", (F.col("ferry") > 0).alias("ferry")))
+    signed = totalled(edges).join(boats.select(F.col("route").alias("k"), "signature"), key == F.col("k")).where(~F.col("candidate").between(FIRST_DISCOVERY, FIRST_DISCOVERY + 2))
+    seeds = stored(ferry_seeds(signed).select("request", F.col("candidate").alias("route")).distinct(), "ferry-seeds")
+    if seeds.isEmpty():
+        return edges.limit(0).select("request", F.col("route").cast("int").alias("plan"), F.col("seq").cast("int").alias("step"), "edge_id", F.col("node").alias("src"), F.col("end").alias("dst"), F.lit(0.0).alias("cost"))
+    own = islands(edges.join(seeds, ["request", "route"], "left_semi"), F.col("ferry") > 0, "run", keys=["request", "route"], order=["seq"])
+    own = stored(own.withColumn("search", ((F.col("request") * (1 << SEED_BITS) + F.col("route")) * (1 << SECTION_BITS) + F.col("run")).cast("long")), "ferry-own")
+    first_last = [F.min(F.struct("seq", "node"))["node"].alias("start"), F.max(F.struct("seq", "end"))["end"].alias("goal")]
+    land = own.where("ferry <= 0").groupBy("request", "route", "run", "search").agg(*first_last, F.sum("len_m").alias("m")).where(F.col("m") >= LEAST_PART_M)
+    land = stored(land.join(land.groupBy("request", "route").agg(F.count("*").alias("n")).where("n >= 2"), ["request", "route"], "left_semi"), "ferry-land")
+    ask = lambda k, graph: land.select(F.col("search").alias("request"), F.lit(k).cast("int").alias("plan"), F.lit(graph).alias("graph"), "start", "goal").where("start <> goal")
+    columns = ["request", "plan", "step", "edge_id", "src", "dst", "cost"]
+    direct = stored(find(ask(1, "discover_direct"), None).select(columns), "ferry-direct")
+    ordinary = arcs.where(~F.col("infra") & (F.col("facility") < 4)).select("edge_id").distinct()
+    dear = direct.select("request", F.lit(2).cast("int").alias("plan"), "edge_id", F.lit(PROBES["balanced"][1]).alias("factor")).distinct().join(ordinary, "edge_id", "left_semi").select("request", "plan", "edge_id", "factor")
+    other = stored(find(ask(2, "discover_balanced"), stored(dear, "ferry-dear")).select(columns), "ferry-other")
+    before = own.join(land.select("search"), "search", "left_semi").withColumn("request", F.col("search")).withColumn("route", F.lit(0).cast("long")).drop("search", "run")
+    tried = stored(before.unionByName(measured_edges(direct.unionByName(other), arcs)), "ferry-tried")
+    c, shares = stored(totalled(tried), "ferry-totals"), overlap(tried)
+    like = alike_pairs(c, shares).where("a = 0 and b = 2").select("request")
+    o, d, x = (c.where(F.col("candidate") == k).alias(n) for k, n in ((0, "o"), (1, "d"), (2, "x")))
+    j = x.join(o, F.col("x.request") == F.col("o.request")).join(d, F.col("x.request") == F.col("d.request"))
+    quick = F.col("x.time") <= SECTION_TIMES * F.least("o.time", "d.time") + SECTION_S
+    safer = F.col("x.fail") + LESS_FAIL_M < F.least("o.fail", "d.fail")
+    gain = sum((F.col(f"x.{n}") - F.col(f"o.{n}") for n in ("facility", "designated", "residential")), F.lit(0))
+    friendly = (F.col("x.fail") <= F.col("o.fail") + LESS_FAIL_M) | (gain >= F.greatest(F.lit(FRIENDLY_M), F.col("x.dist") * FRIENDLY_SHARE))
+    taken = j.where((F.col("x.ferry") <= 0) & (quick | safer) & friendly).select(F.col("x.request").alias("search")).join(like.withColumnRenamed("request", "search"), "search", "left_anti")
+    number = (F.row_number().over(Window.partitionBy("request").orderBy("route", "run")) + (FIRST_REFINED - 1)).cast("int")
+    made = stored(land.join(taken, "search", "left_semi").select("request", "route", "search", F.col("run").alias("section"), number.alias("plan")), "ferry-made")
+    kept = own.join(made.select("request", "route", "section", "plan"), ["request", "route"]).where(F.col("run") != F.col("section"))
+    kept = kept.select("request", "plan", F.struct("run", F.col("seq").alias("at")).alias("place"), "edge_id", F.col("node").alias("src"), F.col("end").alias("dst"))
+    new = other.select(F.col("request").alias("search"), "step", "edge_id", "src", "dst").join(made, "search").select("request", "plan", F.struct(F.col("section").alias("run"), F.col("step").cast("long").alias("at")).alias("place"), "edge_id", "src", "dst")
+    step = (F.row_number().over(Window.partitionBy("request", "plan").orderBy("place")) - 1).cast("int")
+    return kept.unionByName(new).select("request", "plan", step.alias("step"), "edge_id", "src", "dst", F.lit(0.0).alias("cost"))
+
+
 def composed(paths: DataFrame, arcs: DataFrame) -> DataFrame:
     """The pool's paths -> what a request offers: (request, rank, letter, candidate, recommended, totals).
 
     Candidates are the pool's plans and their cross-bred children (64 and up). Too slow ones go, then those that are like one before them,
     then those that another of their corridor beats; six of the others are chosen, the recommended one among them, and lettered by time.
     """
-    raw = stored(measured_edges(paths, arcs), "composed-edges")
+    raw = stored(measured_edges(paths, arcs).drop("end"), "composed-edges")
     child_paths, children = crossbred(raw)
     number = (F.row_number().over(Window.partitionBy("request").orderBy("score", "candidate")) + (FIRST_CHILD - 1)).cast("long")
     numbered = stored(children.select("request", F.col("candidate").alias("route"), number.alias("number")), "composed-children")
     born = child_paths.join(numbered, ["request", "route"]).withColumn("route", F.col("number")).select(raw.columns)
     edges = stored(raw.unionByName(born), "composed-all")
     place = F.col("candidate")
-    order = F.when(place >= FIRST_CHILD, CHILD_PLACE + (place - FIRST_CHILD) * 0.001)
+    order = F.when(place >= FIRST_REFINED, REFINED_PLACE + (place - FIRST_REFINED) * 0.001).when(place >= FIRST_CHILD, CHILD_PLACE + (place - FIRST_CHILD) * 0.001)
     for k, at in PLACES.items():
         order = order.when(place == k, at)
     c = totalled(edges).withColumns({"ord": order.otherwise(F.floor(place / 4) + place % 4 * 0.1).cast("double"), "pref": (place < FIRST_PROBE) & (place % 4 == 3) | place.isin(13, 14, 17, 18, LENS_PROBE)})

@@ -299,3 +299,17 @@ def test_crossbred_children(spark):
     assert got == {(1, "1:3:2:3"): (600, 0, 3600), (2, "11:3:12:3"): (600, 0, 3600)}
     assert [r.edge_id for r in paths.where("request = 1").orderBy("seq").collect()] == [0, 1, 2, 40, 41, 42]
     assert recombine.crossbred(df.where("route <> 2"))[1].count() == 0
+
+
+def test_refined_ferries(spark):
+    """Two land sections with a boat between: the failing one gets a way round, the good one and the boat stay."""
+    #           edge, src, dst, len_m, fail level, ferry
+    road = [(1, 0, 1, 1500, 4, False), (2, 1, 2, 3000, 1, True), (3, 2, 3, 1500, 1, False), (4, 0, 5, 900, 1, False), (5, 5, 1, 900, 1, False)]
+    flags = {k: False for k in ("freeway", "mtb", "limited_access", "designated", "infra", "dismount")}
+    rows = [(e, s, d, m, lv, b, m / 5, *flags.values(), 0, 0, 9) for e, s, d, m, lv, b in road]
+    arcs = spark.createDataFrame(rows, "edge_id long, src long, dst long, len_m long, level int, ferry boolean, time_s double, " + ", ".join(f"{k} boolean" for k in flags) + ", facility int, hazard int, road_class int").withColumns({"cost": F.lit(1.0), "arc_id": F.col("edge_id")})
+    paths = spark.createDataFrame([(7, 0, 0, 1, 0, 1), (7, 0, 1, 2, 1, 2), (7, 0, 2, 3, 2, 3), (8, 0, 0, 1, 0, 1)], "request long, plan int, step int, edge_id long, src long, dst long")
+    careful = arcs.where("level < 4").withColumn("cost", F.col("len_m") * 1.0)
+    find = lambda plans, dear=None: generation.searched({"discover_direct": careful, "discover_balanced": careful}, plans, dear, block_nodes=4)
+    got = generation.refined_ferries(generation.measured_edges(paths, arcs), arcs, find).orderBy("step").collect()
+    assert [(r.request, r.plan, r.step, r.edge_id) for r in got] == [(7, 100, 0, 4), (7, 100, 1, 5), (7, 100, 2, 2), (7, 100, 3, 3)]
