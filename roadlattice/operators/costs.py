@@ -140,10 +140,11 @@ def profile_name(mode: str, designated: bool, residential: bool) -> str:
     return mode + ("_signed" if designated else "") + ("_quiet" if residential else "")
 
 
-def priced_profiles(arcs: DataFrame, rules_limit: int = 35) -> DataFrame:
-    """arcs with level and rule -> time_s and the costs of the twelve profiles (cost_ and profile_name), all in one pass."""
+def priced_profiles(arcs: DataFrame, rules_limit: int = 35, only: list[tuple[str, bool, bool]] | None = None) -> DataFrame:
+    """arcs with level and rule -> time_s and the costs of the twelve profiles, or ``only`` some (cost_ and profile_name), all in one pass."""
     timed = arcs.withColumn("time_s", time_s())
-    return timed.withColumns({f"cost_{profile_name(n, d, r)}": profile_cost(m, d, r, rules_limit) for m, n in enumerate(MODES) for d in (False, True) for r in (False, True)})
+    every = [(n, d, r) for n in MODES for d in (False, True) for r in (False, True)]
+    return timed.withColumns({f"cost_{profile_name(n, d, r)}": profile_cost(MODES.index(n), d, r, rules_limit) for n, d, r in only or every})
 
 
 def priced(arcs: DataFrame) -> DataFrame:

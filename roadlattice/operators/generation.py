@@ -155,6 +155,8 @@ def strict_routes(arcs: DataFrame, requests: DataFrame, exempt: DataFrame | None
 
 #: Plans of a request: twelve profiles, the probes, discovery, the lens and its probe, the strict route.
 PROFILES = [(m, d, r) for m in MODES for d in (False, True) for r in (False, True)]
+#: The profiles of discovery, which are all that its arcs need prices for.
+DISCOVERED = [("direct", False, False), ("low", True, True), ("balanced", True, True)]
 FIRST_PROBE, FIRST_DISCOVERY, LENS, LENS_PROBE, STRICT = 12, 16, 19, 20, 21
 #: Fewer different routes than this call for probes; a gentle discovery may take so many times the direct one's time and seconds more.
 ENOUGH, GENTLE_TIMES, GENTLE_S = 5, 2.2, 600
@@ -168,13 +170,13 @@ def _graph_name(mode: str, designated: Column, residential: Column) -> Column:
 
 def pool_graphs(arcs: DataFrame, discovery: DataFrame, exempt: DataFrame | None = None) -> tuple[dict, tuple]:
     """The graphs that a pool searches, each with its turn cost, and the strict graph's parts. arcs have the costs of all profiles under
-    the rider's rules (costs.priced_profiles), discovery those of the same arcs under stricter ones."""
+    the rider's rules (costs.priced_profiles), discovery those of DISCOVERED for the same arcs under stricter ones."""
     usable, turn = legal(arcs, freeways=True, mtb=True), dict(zip(MODES, TURN))
     shape = lambda df, cost: df.select("arc_id", "edge_id", "src", "dst", cost.alias("cost"), "bearing_in", "bearing_out", "name")
     graphs = {profile_name(*p): (shape(usable, F.col(f"cost_{profile_name(*p)}")), turn[p[0]]) for p in PROFILES}
     careful = legal(discovery, freeways=True, mtb=True)
-    for mode, both in (("direct", False), ("low", True), ("balanced", True)):
-        graphs[f"discover_{mode}"] = (shape(careful, F.col(f"cost_{profile_name(mode, both, both)}")), turn[mode])
+    for p in DISCOVERED:
+        graphs[f"discover_{p[0]}"] = (shape(careful, F.col(f"cost_{profile_name(*p)}")), turn[p[0]])
     for mode, both in (("direct", False), ("balanced", True)):
         graphs[f"lens_{mode}"] = (shape(usable, flattened(F.col(f"cost_{profile_name(mode, both, both)}"), F.col("time_s"))), turn[mode])
     parts = strict_arcs(arcs.withColumn("cost", F.col("cost_direct_signed_quiet")), exempt)
