@@ -24,9 +24,12 @@ _TOKEN = re.compile(
 )
 #: Elements that are not shown or are no text. Without an end tag only the tag itself goes.
 _HIDDEN = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("svg", "noscript", "template", "iframe", "noframes", "select")}
+_PARAGRAPH = re.compile(r"<p\b", re.I)
 _CLOSES = {"li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th"}
 _SCOPE = frozenset("ul ol menu dl table".split())
-_AWAY = frozenset("nav footer aside form button menu dialog fieldset".split())
+_AWAY = frozenset("nav footer aside form button menu dialog fieldset noscript".split())
+#: Of these, and of all names, only forms, field sets and noscript may hold a whole article (see wrappers).
+_FIRM = frozenset("<nav> <footer> <aside> <button> <menu> <dialog> <header>".split())
 _HINT = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 #: Names of what is no article (fixed values, whole words of class names, ids and roles), and names that an article's own
 #: parts bear as well.
@@ -50,12 +53,14 @@ START[: len(NAMED)] = (-0.3, 0.6, 0.3, 0.0, -1.2, 0.2, 0.2, 0.0, 0.0, 2.0, -10.0
 #: Capacities: neighbours on the page by how near they are in the tree (children of one element, of one grandparent,
 #: others), and the following child of the same element. Costs count up to LIMIT.
 EDGE_SAME, EDGE_NEAR, EDGE_FAR, EDGE_SIBLING, LIMIT = 1.0, 0.6, 0.2, 0.8, 8.0
+#: Words of prose that make an article: in an element with a good name, and anywhere else.
+PROSE_NAMED, PROSE = 8, 40
 
 
 def blocks(html: str) -> list[tuple[str, dict, tuple[int, int]]]:
     """(text, features, (parent, grandparent)) of each block with text, in page order."""
-    out: list[tuple[str, dict, tuple[int, int]]] = []
-    stack: list[tuple[str, int, int, int, tuple, frozenset]] = [("", 0, 0, 0, (0, 0), frozenset())]  # tag, element, good, bad, doubtful outside and inside, tokens
+    out: list[tuple] = []  # text, linked characters, tag, good, bad, doubtful, tokens, place
+    stack: list[tuple[str, int, int, tuple, tuple, frozenset]] = [("", 0, 0, (), ((), ()), frozenset())]  # tag, element, good, bad names, doubtful names outside and inside, tokens
     text: list[str] = []
     linked = in_link = elements = 0
     unclosed: set[str] = set()
@@ -66,7 +71,7 @@ def blocks(html: str) -> list[tuple[str, dict, tuple[int, int]]]:
             joined = " ".join("".join(text).split())
             if joined:
                 tag, _, good, bad, doubt, tokens = stack[-1]
-                out.append((joined, features(joined, linked, tag, good, bad, doubt, tokens), (stack[-2][1] if len(stack) > 1 else 0, stack[-3][1] if len(stack) > 2 else 0)))
+                out.append((joined, linked, tag, good, bad, doubt, tokens, (stack[-2][1] if len(stack) > 1 else 0, stack[-3][1] if len(stack) > 2 else 0)))
         text, linked = [], 0
 
     def add(raw: str):
@@ -76,6 +81,12 @@ def blocks(html: str) -> list[tuple[str, dict, tuple[int, int]]]:
         if in_link:
             linked += len(piece.strip())
 
+    def close(tag: str):
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k][0] == tag:
+                del stack[k:]
+                break
+
     at = 0
     while m := _TOKEN.search(html, at):
         if m.start() > at:
@@ -88,9 +99,18 @@ def blocks(html: str) -> list[tuple[str, dict, tuple[int, int]]]:
         if tag in _HIDDEN:
             if not m["end"] and not m["attr"].endswith("/") and tag not in unclosed:
                 if stop := _HIDDEN[tag].search(html, at):
-                    at = stop.end()
+                    if tag == "noscript" and _PARAGRAPH.search(html, at, stop.start()):
+                        flush()
+                        _, _, good, bad, doubt, tokens = stack[-1]
+                        elements += 1
+                        stack.append((tag, elements, good, (*bad, "<noscript>"), doubt, tokens))
+                    else:
+                        at = stop.end()
                 else:
                     unclosed.add(tag)
+            elif m["end"] and tag == "noscript" and any(x[0] == tag for x in stack):
+                flush()
+                close(tag)
         elif tag == "a":
             in_link = 0 if m["end"] else 1
         elif tag == "br":
@@ -98,10 +118,7 @@ def blocks(html: str) -> list[tuple[str, dict, tuple[int, int]]]:
         elif tag in _BLOCK:
             flush()
             if m["end"]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                close(tag)
                 continue
             while len(stack) > 1 and stack[-1][0] == "p":
                 stack.pop()
@@ -122,9 +139,10 @@ def blocks(html: str) -> list[tuple[str, dict, tuple[int, int]]]:
             # a good name beside the bad one, as in "post tag-news", leaves the block to its text and the cut
             torn = (hint_bad or hint_doubt) and any(_GOOD.search(h) and not _BAD.search(h) and not _DOUBTFUL.search(h) for h in hints.split())
             if tag in _AWAY or hint_bad and not torn:
-                bad += 1
+                bad = (*bad, f"<{tag}>" if tag in _AWAY else hints)
             elif tag == "header" or hint_doubt and not torn:
-                doubt = (doubt[0], doubt[1] + 1) if good else (doubt[0] + 1, doubt[1])
+                name = "<header>" if tag == "header" else hints
+                doubt = (doubt[0], (*doubt[1], name)) if good else ((*doubt[0], name), doubt[1])
             if tag in ("article", "main") or named and not torn and _GOOD.search(hints):
                 good += 1
             if named:
@@ -134,15 +152,41 @@ def blocks(html: str) -> list[tuple[str, dict, tuple[int, int]]]:
     if at < len(html):
         add(html[at:])
     flush()
-    return out
-
-
-def features(text: str, linked: int, tag: str, good: int, bad: int, doubt: tuple, tokens: frozenset) -> dict[int, float]:
+    idle = wrappers(out)
+    return [(t, features(t, linked, tag, good, set(bad) - idle, (set(doubt[0]) - idle, doubt[1]), tokens), place) for t, linked, tag, good, bad, doubt, tokens, place in out]
+
+
+def wrappers(found: list[tuple]) -> set[str]:
+    """Names that say nothing on this page. A name tells boilerplate from an article only where the page has an article
+    without it: prose (PROSE words in sentences that are not mostly links, or PROSE_NAMED in an element with a good name). Where there is
+    none, the names about most of the prose, if it is PROSE words, are those of the article's own wrappers, as
+    <form id="aspnetForm"> or <div class="popular-science"> about all of a page. Of equal ones the first on the page."""
+    named = free = 0
+    under: dict[tuple, int] = {}
+    for text, linked, _, good, bad, doubt, _, _ in found:
+        words = text.count(" ") + 1
+        if 2 * linked >= len(text) or not _STOP.search(text):
+            continue
+        names = bad + doubt[0]
+        if names:
+            if not _FIRM.intersection(names):
+                under[names] = under.get(names, 0) + words
+        elif good and not doubt[1]:
+            named += words
+        else:
+            free += words
+    if named >= PROSE_NAMED or named + free >= PROSE or not under:
+        return set()
+    most = max(under, key=under.get)
+    return set(most) if under[most] >= PROSE else set()
+
+
+def features(text: str, linked: int, tag: str, good: int, bad: set, doubt: tuple, tokens: frozenset) -> dict[int, float]:
     words = text.count(" ") + 1
     stops = len(_STOP.findall(text))
     named = (
         1.0, min(words, 40) / 40, float(stops > 0), min(1.0, stops / words), linked / len(text), float(tag in ("h1", "h2", "h3", "h4", "h5", "h6")), float(tag in ("p", "blockquote", "pre")),
-        float(tag in ("li", "dt", "dd")), float(tag in ("td", "th")), float(good > 0), float(bad > 0), float(doubt[0] > 0), float(doubt[1] > 0), float(text[:1].isupper()),
+        float(tag in ("li", "dt", "dd")), float(tag in ("td", "th")), float(good > 0), float(bool(bad)), float(bool(doubt[0])), float(bool(doubt[1])), float(text[:1].isupper()),
     )
     return {i: v for i, v in enumerate(named) if v} | dict.fromkeys(tokens, 1.0)
 
@@ -294,11 +338,16 @@ def main_text(html: str | None, weights=PRIOR) -> str:
     return "\n\n".join(b[0] for b, keep in zip(found, labelled(found, weights)) if keep)
 
 
-def sampler(batches):
-    """mapInArrow: key, html -> key, the page's blocks without their text, pickled."""
-    for batch in batches:
-        rows = [pickle.dumps([("", f, place) for _, f, place in blocks(h.as_py() or "")]) for h in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["key", "blocks"])
+def sampler(page_blocks: int):
+    """mapInArrow: key, html -> key, the page's blocks without their text, pickled; none of pages with more blocks."""
+
+    def run(batches):
+        for batch in batches:
+            found = [blocks(h.as_py() or "") for h in batch.column(1)]
+            rows = [pickle.dumps([("", f, place) for _, f, place in page] if len(page) <= page_blocks else []) for page in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["key", "blocks"])
+
+    return run
 
 
 def extractor(model):
