@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wu_manber
-from .common import materialize
+from .common import materialize, unused
 
 FOUND = "doc_id long, n_words long, spans array<array<long>>, items array<string>"
 PLACED = "part long, block long, size long, item string, text string"
@@ -118,10 +118,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, blo
     """
     blocks = Blocks(benchmark, block_chars)
     if len(blocks) > 1:
-        rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-        found = _united(rows.select(F.col("__row").alias("row"), F.col("text").cast("string").alias("text")), blocks, width)
-        bad = _judged(found, per_cent).where("contaminated").select(F.col("row").alias("__row"))
-        return rows.join(bad, "__row", "left_anti").select(docs.columns)
+        mark = unused(docs, "row")
+        rows = materialize(docs.withColumn(mark, F.monotonically_increasing_id()), "rows")
+        found = _united(rows.select(F.col(mark).alias("row"), F.col("text").cast("string").alias("text")), blocks, width)
+        bad = _judged(found, per_cent).where("contaminated").select(F.col("row").alias(mark))
+        return rows.join(bad, mark, "left_anti").select(docs.columns)
     run = wu_manber.judge(docs.sparkSession.sparkContext.broadcast(wu_manber.tables(blocks.load(0), width)), per_cent)
 
     @F.pandas_udf("boolean")
