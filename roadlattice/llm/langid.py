@@ -25,9 +25,10 @@ def sample(train: DataFrame, per_lang: int, most_langs: int) -> DataFrame:
     return train.withColumn("key", key).join(F.broadcast(chosen), ["lang", "key"]).select("lang", "key", "text")
 
 
-def fit(train: DataFrame, *, dims: int = 4096, clusters: int = 4, per_lang: int = 400, most_langs: int = 256) -> tuple:
+def fit(train: DataFrame, *, dims: int = 4096, clusters: int = 4, per_lang: int = 400, most_langs: int = 8192) -> tuple:
     """Document frequencies over all rows of train(doc_id, text, lang); centroids from a bounded sample (see sample), clustered
-    in one task a language. The driver gets dims counts and most_langs * clusters centroids at most."""
+    in one task a language. The driver gets dims counts and most_langs * clusters centroids at most
+    (64 KB a language; most_langs is above the number of language codes there are)."""
     sums = {r.dim: r.df for r in train.select("text").mapInArrow(langid_kernel.document_frequencies(dims), "dim long, df long").groupBy("dim").agg(F.sum("df").alias("df")).collect()}
     n = sums.pop(-1, 0)
     idf = np.log((1 + n) / (1 + np.array([sums.get(i, 0) for i in range(dims)]))).astype(np.float32) + np.float32(0.05)
