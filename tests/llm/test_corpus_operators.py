@@ -4,12 +4,14 @@ import collections
 import hashlib
 import itertools
 import math
+import pickle
 import random
 import re
 import time
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -18,7 +20,7 @@ from roadlattice.llm import html_kernel, langid, packing_kernel, toxicity_kernel
 from roadlattice.llm.common import held_out
 from roadlattice.llm.components import connected_components
 from roadlattice.llm.decontaminate import contamination, decontaminate
-from roadlattice.llm.html_text import main_texts
+from roadlattice.llm.html_text import fit, main_texts
 from roadlattice.llm.langid import languages
 from roadlattice.llm.line_dedup import dedup_lines, drop_recurring_lines
 from roadlattice.llm.near_dedup import deduplicate, near_duplicates
@@ -296,6 +298,15 @@ def test_languages_are_the_nearest_centroids(spark):
         assert got[i] == langs[of[best]]
 
 
+def test_decontaminate_keeps_columns_of_any_name(spark):
+    words = " ".join(f"w{i}" for i in range(13))
+    rows = spark.createDataFrame([(1, words, 77, 1, "s", "x"), (2, "clean words", 88, 2, "s", "y"), (None, None, None, None, None, None)], "doc_id long, text string, __row long, ROW long, spans string, row_ string")
+    bench = spark.createDataFrame([(f"b{i}", words if i == 3 else f"other item {i} of the list") for i in range(6)], "item_id string, text string")
+    for block_chars in (20_000_000, 40):
+        got = decontaminate(rows, bench, block_chars=block_chars)
+        assert got.columns == rows.columns and {tuple(r) for r in got.collect()} == {(2, "clean words", 88, 2, "s", "y"), (None,) * 6}
+
+
 def test_language_sample_is_bounded_and_counts_repeats_once(spark):
     rows = [(i, f"text {i}", "en") for i in range(300)] + [(7, "copy", "fr")] * 200 + [(i, "zz", f"l{i}") for i in range(3)]
     got = collections.Counter(r.lang for r in langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 20, 3).dropDuplicates(["lang", "key"]).collect())
@@ -338,6 +349,30 @@ def test_main_text_of_good_and_bad_names():
     assert html_kernel.main_text(f"<body><div class='entry-meta'>{say}</div></body>") == ""
 
 
+def test_names_about_a_whole_article_do_not_lose_it(spark):
+    """Each name below rejects its element beside an article and keeps it where nothing else is one."""
+    say = "The council met on Tuesday to settle the plan for the new bridge, which had been delayed twice already. Work could begin in spring."
+    article, menu, foot = f"<h1>A bridge at last</h1><p>{say}</p><p>{say}</p>", "<nav><a href=x>Home</a> <a href=y>About</a></nav>", "<footer>Example 2024. All rights reserved.</footer>"
+    want = f"A bridge at last\n\n{say}\n\n{say}"
+    wrappers = [f"<div class='{c}'>%s</div>" for c in ("popular-science", "overflow-hidden", "search-results", "top", "links")]
+    wrappers += ["<form id='aspnetForm'>%s</form>", "<noscript>%s</noscript>", "<form><div class='overflow-hidden'>%s</div></form>", "<fieldset>%s</fieldset>"]
+    pages = [f"<html><body>{menu}{w % article}{foot}</body></html>" for w in wrappers] + [f"<html><body>{menu}<article><p>{say}</p></article>{w % article}{foot}</body></html>" for w in wrappers]
+    cards = f"<h1>A bridge at last</h1><div class='popular card'><p>{say}</p></div><div class='popular card'><p>{say}</p></div>"
+    pages += [f"<body>{menu}<form>{menu}<div class='social'><a href=z>Share it</a></div>{article}</form>{foot}", f"<body>{menu}{cards}{foot}", f"<body>{menu}<nav>{article}</nav>{foot}"]
+    got = [r.text for r in main_texts(spark.createDataFrame([(k, "u", h) for k, h in enumerate(pages)], "page_id long, url string, html string")).orderBy("page_id").collect()]
+    n = len(wrappers)
+    assert got[:n] == [want] * n and got[n : 2 * n] == [say] * n
+    assert got[2 * n] == want and got[2 * n + 1].endswith(f"{say}\n\n{say}") and got[2 * n + 2] == ""
+
+
+def test_fit_of_main_texts_is_bounded_and_does_not_depend_on_order(spark):
+    pages = spark.createDataFrame([(1, "u", f"<article><p>One sentence, number {k}, of the article.</p></article><nav>menu {k}</nav>") for k in range(6)] + [(2, "u", "<p>a" * 50_000)], "page_id long, url string, html string")
+    one, two = fit(pages.repartition(3)), fit(pages.orderBy(F.desc("html")).coalesce(1))
+    assert (one == two).all() and (one != html_kernel.PRIOR).any()
+    (batch,) = html_kernel.sampler(10)([pa.RecordBatch.from_pydict({"key": [1, 2], "html": ["<p>a" * 10, "<p>a" * 11]})])
+    assert [len(pickle.loads(x.as_py())) for x in batch.column(1)] == [10, 0]
+
+
 def test_minimum_cut_is_minimal():
     r = random.Random(6)
     for k in range(80):
