@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .graph import stored
+
 
 def read_pages(spark: SparkSession, path: str, fields: str) -> DataFrame:
     """Features of paged JSON answers: one row for each feature, with ``fields`` (a DDL string) and its paths."""
@@ -26,11 +28,46 @@ def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f")).select("f.properties.*", F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("coordinates"))
 
 
+def feature_line(properties: list[str]) -> Column:
+    """A row as one line of JSON, without null properties."""
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), F.struct(F.col("geometry_type").alias("type"), F.col("coordinates").alias("coordinates")).alias("geometry"))
+    return F.to_json(feature, {"ignoreNullFields": "true"})
+
+
 def write_features(df: DataFrame, path: str, *, rows_per_file: int = 200_000, codec: str = "gzip") -> None:
     """One JSON feature a line without null properties, in files of bounded size."""
     properties = [c for c in df.columns if c not in ("geometry_type", "coordinates")]
-    feature = F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), F.struct(F.col("geometry_type").alias("type"), F.col("coordinates").alias("coordinates")).alias("geometry"))
-    df.select(F.to_json(feature, {"ignoreNullFields": "true"}).alias("value")).write.option("maxRecordsPerFile", rows_per_file).option("compression", codec).text(path)
+    df.select(feature_line(properties).alias("value")).write.option("maxRecordsPerFile", rows_per_file).option("compression", codec).text(path)
+
+
+def dealt(lines: DataFrame, order: list[str], max_bytes: int) -> DataFrame:
+    """Lines (value, order) dealt to files of at most max_bytes with their line feeds: adds ``file``.
+
+    Lines in order are laid end to end; those that begin in the same half of max_bytes go to one file, and a line longer than such a half
+    has a file of its own, as it cannot push another over the limit then. Only a line longer than max_bytes makes a
+    longer file. Running bytes are summed within ranges of the order; one row a range carries what lies before it, so files do not depend
+    on how the ranges fall. Equal lines are told apart by nothing and may swap places.
+    """
+    half = max_bytes // 2
+    size = F.octet_length("value") + 1
+    parts = stored(lines.select(*order, "value", size.cast("long").alias("bytes")).repartitionByRange(*order, "value").withColumn("part", F.spark_partition_id()), "lines")
+    small = F.when(F.col("bytes") <= half, F.col("bytes")).otherwise(0)
+    large = (F.col("bytes") > half).cast("long")
+    sums = parts.groupBy("part").agg(F.sum(small).alias("s"), F.sum(large).alias("l"))
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("part", F.coalesce(F.sum("s").over(upto), F.lit(0)).alias("s0"), F.coalesce(F.sum("l").over(upto), F.lit(0)).alias("l0"))
+    w = Window.partitionBy("part").orderBy(*order, "value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = parts.join(F.broadcast(offsets), "part")  # a row for each partition of the shuffle
+    start = F.col("s0") + F.sum(small).over(w) - small
+    alone = F.when(large == 1, F.col("l0") + F.sum(large).over(w)).otherwise(0)
+    return placed.select(*order, "value", F.concat_ws("-", F.floor(start / half).cast("string"), alone.cast("string")).alias("file"))
+
+
+def write_bounded(df: DataFrame, path: str, order: list[str], *, max_bytes: int = 55_000_000, codec: str = "gzip") -> None:
+    """Features (see write_features) in files of at most max_bytes before compression, each in order and in a folder ``file=<name>``."""
+    properties = [c for c in df.columns if c not in ("geometry_type", "coordinates")]
+    lines = df.select(*order, feature_line(properties).alias("value"))
+    dealt(lines, order, max_bytes).repartition("file").sortWithinPartitions("file", *order).select("file", "value").write.partitionBy("file").option("compression", codec).text(path)
 
 
 def version_stamp(df: DataFrame, columns: list[str]) -> DataFrame:

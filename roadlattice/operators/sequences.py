@@ -63,16 +63,16 @@ def _credible(df: DataFrame) -> DataFrame:
 def grade_windows(df: DataFrame, window_m: int = 100) -> DataFrame:
     """(route_id, seq, from_seq, mean): mean grade of the window_m metres that end with each segment.
 
-    The rise to a point is a running sum; a window begins inside the segment that holds its start (found by a range join on
-    running distance), whose part is taken in proportion. Ferries end an island. Only whole windows count.
+    The rise to a point is a running sum; a window begins inside the segment that holds its start (found by a merge on
+    running distance, see as_of), whose part is taken in proportion. Ferries end an island. Only whole windows count.
     """
     keys = ["route_id", "leg"]
     run = running(_credible(df), keys=keys)
     rise = F.col("g") * F.col("len_m")
     run = run.withColumn("rise_end", F.sum(rise).over(along(keys).rowsBetween(Window.unboundedPreceding, 0))).withColumn("rise_start", F.col("rise_end") - rise)
     ends = run.where(F.col("end_m") >= window_m).select(*keys, "seq", "end_m", "rise_end", (F.col("end_m") - window_m).alias("from_m"))
-    starts = run.select(*keys, F.col("seq").alias("from_seq"), F.col("start_m").alias("s0"), F.col("end_m").alias("s1"), F.col("rise_start").alias("r0"), F.col("g").alias("g0"))
-    windows = ends.join(starts, keys).where((F.col("from_m") >= F.col("s0")) & (F.col("from_m") < F.col("s1")))
+    starts = run.select(*keys, F.col("seq").alias("from_seq"), F.col("start_m").alias("s0"), F.col("rise_start").alias("r0"), F.col("g").alias("g0"))
+    windows = as_of(ends, starts, keys, "from_m", "s0", "from_seq")
     mean = (F.col("rise_end") - (F.col("r0") + F.col("g0") * (F.col("from_m") - F.col("s0")))) / (F.col("end_m") - F.col("from_m"))
     return windows.select("route_id", "seq", "from_seq", mean.alias("mean"))
 
@@ -100,9 +100,41 @@ def worst_by_bucket(df: DataFrame, buckets: int) -> DataFrame:
     return placed.groupBy("route_id", "bucket").agg(F.max("level").alias("worst"))
 
 
+def as_of(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, order: str) -> DataFrame:
+    """Each point with the columns of the span of its key that begins last at or before it; of spans that begin together the last by
+    ``order``. Points and spans are sorted into one sequence, so a key's rows meet once and nothing is paired; points
+    before every span are dropped. Column names of both sides must differ but for the keys."""
+    of_span, of_point = [c for c in spans.columns if c not in keys], [c for c in points.columns if c not in keys]
+    s = spans.select(*keys, F.col(start).alias("__at"), F.lit(0).alias("__side"), F.col(order).alias("__order"), F.struct(*of_span).alias("__span"), F.lit(None).alias("__point"))
+    p = points.select(*keys, F.col(at).alias("__at"), F.lit(1).alias("__side"), F.lit(None).alias("__order"), F.lit(None).alias("__span"), F.struct(*of_point).alias("__point"))
+    w = Window.partitionBy(*keys).orderBy("__at", "__side", "__order").rowsBetween(Window.unboundedPreceding, 0)
+    met = s.unionAll(p).withColumn("__span", F.last("__span", ignorenulls=True).over(w))
+    return met.where((F.col("__side") == 1) & F.col("__span").isNotNull()).select(*keys, "__point.*", "__span.*")
+
+
 def at_distance(df: DataFrame, points: DataFrame) -> DataFrame:
-    """points(route_id, at_m) -> the segment that holds each distance (the last one beyond the end)."""
-    run = running(df)
-    last = F.max("end_m").over(Window.partitionBy("route_id"))
-    spans = run.withColumn("last_m", last).select("route_id", "seq", "start_m", F.when(F.col("end_m") == F.col("last_m"), F.lit(1 << 60)).otherwise(F.col("end_m")).alias("end_m"))
-    return points.join(spans, "route_id").where((F.col("at_m") >= F.col("start_m")) & (F.col("at_m") < F.col("end_m"))).select("route_id", "at_m", "seq", (F.col("at_m") - F.col("start_m")).alias("into_m"))
+    """points(route_id, at_m) -> the segment that holds each distance (the last one beyond the end; none before the start)."""
+    spans = running(df).select("route_id", "seq", "start_m")
+    return as_of(points.select("route_id", "at_m"), spans, ROUTE, "at_m", "start_m", "seq").select("route_id", "at_m", "seq", (F.col("at_m") - F.col("start_m")).alias("into_m"))
+
+
+def previewed(segments: DataFrame, points: DataFrame) -> DataFrame:
+    """segments(route_id, seq, c1), points(route_id, pos, route_index) -> (route_id, pos, seq): the segment that each edge
+    from one point of a preview to the next shows.
+
+    c1 is where a segment ends in the route's own coordinates. An edge shows the first segment that ends after its middle (the last one
+    beyond all ends); it never shows a segment before that of an edge before it, and none behind a segment without an end.
+    Points without an index are spread evenly over the route. A route of one point has no edges.
+    """
+    route = Window.partitionBy("route_id")
+    before = along().rowsBetween(Window.unboundedPreceding, -1)
+    spans = segments.select("route_id", "seq", F.lag("c1").over(along()).alias("begin"), F.coalesce(F.bool_or(F.col("c1").isNull()).over(before), F.lit(False)).alias("cut"))
+    spans = spans.where("not cut").select("route_id", "seq", F.coalesce(F.col("begin").cast("double"), F.lit(float("-inf"))).alias("begin"))
+    longest = segments.groupBy("route_id").agg(F.greatest(F.lit(1), F.coalesce(F.max("c1"), F.lit(1))).alias("longest"))
+    by_pos = route.orderBy("pos")
+    placed = points.join(longest, "route_id").withColumn("place", F.row_number().over(by_pos) - 1).withColumn("n", F.count("*").over(route))
+    even = F.col("longest") * F.col("place") / F.greatest(F.lit(1), F.col("n") - 1)
+    placed = placed.withColumn("i", F.coalesce(F.col("route_index").cast("double"), even))
+    middle = placed.withColumn("middle", (F.col("i") + F.lead("i").over(by_pos)) / 2).where(F.col("middle").isNotNull())
+    edges = middle.select("route_id", "pos", F.max("middle").over(by_pos.rowsBetween(Window.unboundedPreceding, 0)).alias("at"))
+    return as_of(edges, spans, ROUTE, "at", "begin", "seq").select("route_id", "pos", "seq")

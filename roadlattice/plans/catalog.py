@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import costs, extras, generation, graphs, guidance, layers, portfolio, projection, recombine, reports, requests, routes, spatial, verdicts, ways  # noqa: F401  (they register)
+from . import costs, extras, files, generation, graphs, guidance, layers, portfolio, projection, recombine, reports, requests, routes, spatial, verdicts, ways  # noqa: F401  (they register)
 from .registry import ORACLES, QUERIES
 
 
