@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from roadlattice.operators.graph import shared_folder
 from roadlattice.sources.adapters import read, view
 from roadlattice.streaming import guidance as L
+from roadlattice.streaming import rides as V
 
 from .registry import query
 
@@ -115,6 +116,34 @@ def matched_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.matched(fixes.join(route, "r").drop("r")).select("ride_id", "event_id", F.round("off_m", 3).alias("off_m"))
 
 
+#: The same rules for fixes beside whole rows of the grid, with six instructions on each and 5850 m to its end.
+_RIDE_EVENTS = (
+    _EVENTS.replace("event_id * 7 % 120 AS off_m", "abs(event_id % 7 - 3) * 0.0004 * 110540.0 AS off_m").replace("event_id % 1201 * 10 AS m FROM events", "0.000131 * (event_id * 37 % 596) / 0.002 * 150 AS m FROM events")
+    .replace("nxt1 < 12", "nxt1 < 6").replace("nxt1 >= 12", "nxt1 >= 6").replace("least(12,", "least(6,").replace("11900 - 45", "5850 - 45").replace("f.off_m, f.acc, f.m", "f.off_m::DOUBLE AS off_m, f.acc, f.m::DOUBLE AS m")
+)
+
+
+@query(f"{_RIDE_EVENTS} SELECT * FROM E")
+def ride_guidance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Match and guidance as one stateful stream over the events file, routes as initial state: each ride follows a row of the grid."""
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    folder, _, name = path.rpartition("/")
+    e, u = F.col("event_id"), F.col("user_id")
+    grid = view(spark, sf_dir, "grid_nodes")
+    rows = grid.agg(F.greatest(F.lit(1), F.floor(F.max("node") / 40) - 1).alias("rows"))  # one row; rows 1 .. rows are whole
+    on = lambda events: events.crossJoin(F.broadcast(rows)).withColumn("gy", 1 + u % F.col("rows"))
+    text = F.when((F.col("gx") % 6 == 0) & (F.col("gx") > 0), F.concat(F.lit("turn "), F.floor(F.col("gx") / 6).cast("string")))
+    points = grid.select("gy", F.col("gx").alias("idx"), F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"), (F.col("gx") * 150.0).cast("double").alias("distance_m"), text.alias("text"))
+    routes = on(spark.read.parquet(path).select("user_id").distinct()).join(points, "gy").withColumnRenamed("user_id", "ride_id")
+    stream = on(spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder))
+    fixes = stream.select(u.alias("ride_id"), F.timestamp_millis(1_704_067_200_000 + e * 100).alias("ts"), e.alias("event_id"), (F.lit(-122.5) + F.lit(0.000131) * (e * 37 % 596)).cast("double").alias("lon"), (F.lit(47.3) + F.lit(0.0015) * F.col("gy") + F.lit(0.0004) * (e % 7 - 3)).cast("double").alias("lat"), (10 + 10 * (e % 15)).cast("double").alias("accuracy_m"))
+    out = f"{shared_folder(spark)}/rides-{uuid.uuid4().hex}"
+    q = V.ride_events(V.fixes_as_input(fixes), routes, idle_minutes=None).writeStream.outputMode("append").format("parquet").option("path", f"{out}/events").option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(L.EVENTS).parquet(f"{out}/events").select("ride_id", F.unix_millis("ts").alias("at_ms"), "kind", "detail")
+
+
 _SPOKEN = "CASE WHEN m < 160.9344 THEN concat(CAST(CAST(floor(m / 0.3048 / 10 + 0.5) * 10 AS BIGINT) AS VARCHAR), ' feet') ELSE concat(printf('%.1f', floor(m / 1609.344 * 10 + 0.5) / 10), ' miles') END"
 _COMPASS = "(['north', 'northeast', 'east', 'southeast', 'south', 'southwest', 'west', 'northwest'])[CAST(floor({0} / 45.0 + 0.5) AS BIGINT) % 8 + 1]"
 
