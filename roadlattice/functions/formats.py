@@ -37,6 +37,19 @@ HIGHWAY = "(?i)\\b(highway|state route|sr\\s*\\d|us\\s*(?:route\\s*)?\\d|i-?\\s*
 SURFACES = ("Surface not recorded", "Paved", "Gravel", "Rough")
 
 
+#: Fixed names of facilities (1 to 5) and of road classes (1 to 13).
+FACILITY_NAMES = ("sharrow (no dedicated space)", "bike lane", "buffered bike lane", "separated bike lane", "shared-use path")
+ROAD_CLASS_NAMES = (
+    "residential street", "living street", "unclassified road", "tertiary road", "tertiary link", "secondary road", "secondary link",
+    "primary road", "primary link", "trunk road", "trunk link", "motorway", "motorway link",
+)
+
+
+def numbered_name(names: tuple, k: Column) -> Column:
+    """The name of a number counted from 1; null for others."""
+    return F.when(k >= 1, F.get(F.array(*[F.lit(n) for n in names]), (k - 1).cast("int")))
+
+
 def is_highway_name(name: Column) -> Column:
     return F.coalesce(name.rlike(HIGHWAY), F.lit(False))
 

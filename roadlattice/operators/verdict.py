@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadlattice.functions import formats
 from roadlattice.functions.nullsafe import col, ge, gt, is_text, is_true, known, le, lt
 
 #: Fixed vocabulary of facts, with the value that a missing one takes.
@@ -153,6 +154,43 @@ def evaluate(facts: DataFrame, rules=Rules()) -> DataFrame:
     return found.withColumns({"level": v["level"].cast("int"), "rule": v["rule"], "caution": v["caution"]}).drop("__rung", "__stress")
 
 
+def _number(c: Column) -> Column:
+    """A number as a reader writes it: without a fraction that is nought."""
+    return F.when(c == F.floor(c), F.floor(c).cast("string")).otherwise(c.cast("string"))
+
+
+def fail_texts(evaluated: DataFrame, rules=Rules()) -> DataFrame:
+    """Adds ``reason``, why a road fails, and ``details``, what is known of it, to rows of evaluate (with road_class, if there is one).
+
+    Details, each only where known: speed, what wants riding space (speed, lanes, the count or class of traffic), shoulder, facility, and
+    limited access or else the class of road. A freeway's limited access goes without saying.
+    """
+    r = rule_columns(rules)
+    t, said = triggers(r), F.col("rule")
+    own, inferred = known("shoulder"), shoulder_was_inferred(r)
+    feet = _number(F.col("eff_shoulder"))
+    below = F.concat(F.lit(" — below your "), r["min_shoulder"].cast("string"), F.lit(" ft minimum"))
+    space = F.concat(F.when(inferred, F.concat(feet, F.lit(" ft inferred shoulder"))).when(own, F.concat(feet, F.lit(" ft shoulder"))).otherwise("No shoulder recorded"), below)
+    reason = (
+        F.when(said == "prohibited", "Bicycles are prohibited").when(said == "freeway", "Limited-access freeway — last resort only")
+        .when(said == "speed-cap", F.concat(F.lit("Above your "), r["upper_max_speed"].cast("string"), F.lit(" mph maximum"))).when(said == "needs-space", space).otherwise("Does not meet your selected riding rules")
+    )
+    wants = lambda n: (said == "needs-space") & t[n]
+    limit = F.when(r["max_speed_no_shoulder"] == 0, 35).otherwise(r["max_speed_no_shoulder"])
+    road_class = formats.numbered_name(formats.ROAD_CLASS_NAMES, F.col("road_class")) if "road_class" in evaluated.columns else F.lit(None).cast("string")
+    details = [
+        F.when(gt("speed", 0), F.concat(F.col("speed").cast("string"), F.lit(" mph"))),
+        F.when(wants("speed"), F.concat(F.lit("Shoulder or bike lane required above "), limit.cast("string"), F.lit(" mph"))),
+        F.when(wants("lanes"), F.concat(F.col("lanes").cast("string"), F.lit(" lanes — bike space required above "), r["lanes_no_shoulder_over"].cast("string"))),
+        F.when(wants("traffic") & gt("adt", 0), F.concat(F.format_number("adt", 0), F.lit(" vehicles/day"))),
+        F.when(wants("traffic") & ~known("adt"), "Busy-road class requires bike space"),
+        F.when(own, F.concat(F.col("shoulder").cast("string"), F.lit(" ft shoulder"))).when(inferred, F.concat(feet, F.lit(" ft inferred shoulder"))),
+        formats.numbered_name(formats.FACILITY_NAMES, F.col("facility")),
+        F.when(~is_true("freeway") & is_true("limited_access"), "Limited access").otherwise(road_class),
+    ]
+    return evaluated.withColumns({"reason": reason, "details": F.array_compact(F.array(*details))})
+
+
 def metres_by_level(df: DataFrame, by: list[str], length: str = "len_m") -> DataFrame:
     """Array of metres for the levels 0 to 4, for each group."""
     sums = [F.sum(F.when(F.col("level") == k, F.col(length)).otherwise(0)).cast("bigint") for k in range(5)]
