@@ -313,3 +313,11 @@ def test_refined_ferries(spark):
     find = lambda plans, dear=None: generation.searched({"discover_direct": careful, "discover_balanced": careful}, plans, dear, block_nodes=4)
     got = generation.refined_ferries(generation.measured_edges(paths, arcs), arcs, find).orderBy("step").collect()
     assert [(r.request, r.plan, r.step, r.edge_id) for r in got] == [(7, 100, 0, 4), (7, 100, 1, 5), (7, 100, 2, 2), (7, 100, 3, 3)]
+
+
+def test_cut_lineage_forgets_estimated_sizes(spark):
+    """Joins multiply estimated sizes; carried through a loop their digits double every round."""
+    rows = graph.cut_lineage(spark.range(5).select("id", F.col("id").alias("up")))
+    for _ in range(6):
+        rows = graph.cut_lineage(rows.join(rows.select(F.col("id").alias("up"), F.col("up").alias("next")), "up").select("id", F.col("next").alias("up")))
+    assert rows.count() == 5 and rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() <= 64
