@@ -44,9 +44,8 @@ def terminal_access(edges: DataFrame, ends: DataFrame) -> DataFrame:
     """Edges(edge_id, len_m, freeway, lon1..lat2) exempt near a leg's end: at most 800 m, no freeway, an end within 300 m."""
     short = edges.where((F.col("len_m") <= ACCESS_EDGE_M) & ~F.col("freeway"))
     both = short.select("edge_id", F.col("lon1").alias("lon"), F.col("lat1").alias("lat")).union(short.select("edge_id", "lon2", "lat2"))
-    size = 2 * ACCESS_REACH_M / geo.LAT_M
-    e = ends.select("end_id", F.col("lon").alias("e_lon"), F.col("lat").alias("e_lat")).withColumn("c", F.explode(geo.near_cells(F.col("e_lon"), F.col("e_lat"), size)))
-    near = both.withColumn("c", geo.cell(F.col("lon"), F.col("lat"), size)).join(e, "c")
+    e = ends.select("end_id", F.col("lon").alias("e_lon"), F.col("lat").alias("e_lat")).withColumn("c", F.explode(geo.near_reach_cells(F.col("e_lon"), F.col("e_lat"), ACCESS_REACH_M)))
+    near = both.withColumn("c", geo.reach_cell(F.col("lon"), F.col("lat"), ACCESS_REACH_M)).join(e, "c")
     return near.where(geo.planar_m(F.col("lon"), F.col("lat"), F.col("e_lon"), F.col("e_lat")) <= ACCESS_REACH_M).select("end_id", "edge_id").distinct()
 
 

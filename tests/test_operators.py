@@ -321,3 +321,19 @@ def test_cut_lineage_forgets_estimated_sizes(spark):
     for _ in range(6):
         rows = graph.cut_lineage(rows.join(rows.select(F.col("id").alias("up"), F.col("up").alias("next")), "up").select("id", F.col("next").alias("up")))
     assert rows.count() == 5 and rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() <= 64
+
+
+def test_near_points_at_high_latitudes(spark):
+    """Degrees of longitude shrink towards the pole, where points many cells apart are near each other."""
+    left = spark.createDataFrame([(k, 10.0 + 0.07 * k, lat) for k, lat in enumerate((47.0, 75.0, 89.2, 89.9995))], "l_id long, lon double, lat double")
+    right = left.select(F.col("l_id").alias("r_id"), (F.col("lon") + F.array(F.lit(0.004), F.lit(0.008), F.lit(0.13), F.lit(90.0))[F.col("l_id").cast("int")]).alias("r_lon"), F.col("lat").alias("r_lat"))
+    got = {r.l_id: r.m for r in spatial.near_points(left, right, 250.0).where("l_id = r_id").collect()}
+    assert set(got) == {1, 2, 3} and all(m <= 250 for m in got.values())
+
+
+def test_growing_tables_are_not_broadcast(spark):
+    from roadlattice.plans import catalog
+
+    for name in ("terminal_proximity", "terminal_access", "urban_midpoint"):
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan, name
