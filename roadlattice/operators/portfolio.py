@@ -23,12 +23,13 @@ SAFETY = ("fail", "freeway", "mtb", "hazard", "dismount", "limited", "aggression
 
 
 def aggression() -> Column:
-    """How much a route asks of its rider, per metre ridden."""
+    """How much a route asks of its rider, per metre ridden. Weights are hundredths, so that the sum of whole metres is exact and routes
+    of equal worth tie."""
     riding = F.greatest(F.col("dist") - F.col("ferry"), F.lit(1)).cast("double")
-    bad = 0.18 * F.col("l2") + 0.75 * F.col("l3") + 3.5 * F.col("fail") + 4.0 * F.col("freeway") + 0.8 * F.col("limited") + 1.1 * F.col("hazard") + 1.25 * F.col("mtb")
-    bad = bad + F.when(F.col("dismount") > 0, 450 + 1.5 * F.col("dismount")).otherwise(0.0)
-    good = 0.12 * F.col("designated") + 0.08 * F.col("facility") + 0.12 * F.col("trail") + 0.08 * F.col("residential")
-    return (bad - good) / riding
+    bad = 18 * F.col("l2") + 75 * F.col("l3") + 350 * F.col("fail") + 400 * F.col("freeway") + 80 * F.col("limited") + 110 * F.col("hazard") + 125 * F.col("mtb")
+    bad = bad + F.when(F.col("dismount") > 0, 45000 + 150 * F.col("dismount")).otherwise(0)
+    good = 12 * F.col("designated") + 8 * F.col("facility") + 12 * F.col("trail") + 8 * F.col("residential")
+    return (bad - good) / 100.0 / riding
 
 
 def scored(c: DataFrame) -> DataFrame:

@@ -132,7 +132,7 @@ X AS (SELECT id, k, px, py, ax, ay, bx, by_, {_T} AS t FROM S JOIN G ON abs(px -
 def on_designated_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges as lines of two vertices, some of them beside their road, against the designated edges."""
     w = ways(spark, sf_dir)
-    off = F.lit(0.0001) * (F.col("p") % 4)
+    off = (F.col("p") % 4) / 10000.0  # the double nearest to the decimal; a third of the edges lies just at the limit
     point = lambda i: F.struct(F.col(f"lon{i}").alias("lon"), (F.col(f"lat{i}") + off).alias("lat"))
     line = F.array(point(1), point(1), point(2), point(2))  # samples are the vertices 1, 2 and 3
     return L.on_route(w.select(F.col("way_id").alias("id"), line.alias("line")), w.where("designated").select("lon1", "lat1", "lon2", "lat2"))
@@ -236,12 +236,14 @@ def snap_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {WAYS} SELECT way_id, CASE WHEN dir = 0 THEN round(degrees(atan2(sin(radians(lon2 - lon1)) * cos(radians(lat2)), cos(radians(lat1)) * sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lon2 - lon1)))), 5) ELSE 0.0 END AS first_deg, CASE WHEN dir = 0 THEN 90.0 ELSE 0.0 END AS near_deg, CAST(dir AS BIGINT) AS dir FROM WAYS""")
 def bearings_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each edge's first vertex is repeated, which the bearing passes over."""
+    """Each edge's first vertex is repeated, which the bearing passes over; its first bearing from -180 to 180."""
     w = ways(spark, sf_dir)
     point = lambda i: F.struct(F.col(f"lon{i}").alias("lon"), F.col(f"lat{i}").alias("lat"))
     line = F.array(point(1), point(1), point(2))
     near = L.bearing_near(F.array(point(1), point(2)), F.col("lon1"), F.col("lat1"))
-    return w.select("way_id", F.round(L.end_bearings(line)["first"], 5).alias("first_deg"), F.round(near, 5).alias("near_deg"), "dir")
+    first = F.col("first")
+    w = w.select("way_id", L.end_bearings(line)["first"].alias("first"), near.alias("near"), "dir")
+    return w.select("way_id", F.round(F.when(first > 180, first - 360).otherwise(first), 5).alias("first_deg"), F.round("near", 5).alias("near_deg"), "dir")
 
 
 @query("SELECT coalesce(max(greatest(mph, 3) * 0.44704), 0) AS mps FROM grid_edges WHERE ferry")

@@ -337,3 +337,20 @@ def test_growing_tables_are_not_broadcast(spark):
     for name in ("terminal_proximity", "terminal_access", "urban_midpoint"):
         plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" not in plan, name
+
+
+def test_sql_holds_past_the_pole_and_at_limits(spark, tmp_path):
+    """Grids that go on past a pole, lines just at the limit of a designated route, and candidates of equal worth."""
+    import duckdb
+
+    from roadlattice.plans import catalog
+
+    duckdb.sql(f"COPY (SELECT p_partkey + 1138000 * (p_partkey // 1000 % 2) + 19000 AS p_partkey, p_size FROM '/root/testdata/sf0.01/part.parquet') TO '{tmp_path}/part.parquet'")
+    duckdb.sql(f"COPY (SELECT c_custkey + 249000 * i AS c_custkey, c_nationkey FROM range(8) r(i), '/root/testdata/sf0.01/customer.parquet') TO '{tmp_path}/customer.parquet'")
+    for name in ("bearings_of_lines", "geo_functions", "on_designated_route", "reprojected_nodes", "portfolio_order"):
+        got, db = catalog.queries()[name](spark, str(tmp_path)), duckdb.connect()
+        for t in ("part", "customer"):
+            db.sql(f"CREATE VIEW {t} AS FROM '{tmp_path}/{t}.parquet'")
+        want = db.sql(catalog.oracle_sql()[name])
+        key = lambda r: tuple(str(v + 0 if isinstance(v, float) else v) for v in r)
+        assert sorted(map(key, got.select(want.columns).collect())) == sorted(map(key, want.fetchall())), name
