@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,7 +62,9 @@ def to_plane(lon: Column, lat: Column, conic: Conic = WASHINGTON_SOUTH) -> Colum
     phi = F.radians(lat)
     rho = scale * F.pow(F.tan(math.pi / 4 - phi / 2) / _squeeze(F.sin(phi), conic.eccentricity), F.lit(n))
     theta = n * F.radians(lon - conic.origin_lon)
-    return F.struct(((conic.false_east_m + rho * F.sin(theta)) / conic.unit).alias("x"), ((conic.false_north_m + origin - rho * F.cos(theta)) / conic.unit).alias("y"))
+    unit = Fraction(conic.unit).limit_denominator(10_000)  # a foot is a ratio, which its double rounds
+    feet = lambda m: m * unit.denominator / unit.numerator
+    return F.struct(feet(conic.false_east_m + rho * F.sin(theta)).alias("x"), feet(conic.false_north_m + origin - rho * F.cos(theta)).alias("y"))
 
 
 def to_lonlat(x: Column, y: Column, conic: Conic = WASHINGTON_SOUTH) -> Column:
