@@ -354,3 +354,16 @@ def test_sql_holds_past_the_pole_and_at_limits(spark, tmp_path):
         want = db.sql(catalog.oracle_sql()[name])
         key = lambda r: tuple(str(v + 0 if isinstance(v, float) else v) for v in r)
         assert sorted(map(key, got.select(want.columns).collect())) == sorted(map(key, want.fetchall())), name
+
+
+def test_milepost_overlap_makes_no_pairs(spark):
+    """Points, reversed intervals, touching ends and nulls as in the condition; the join's keys hold the milepost, not the route alone."""
+    rnd = random.Random(3)
+    pick = lambda: rnd.choice([None, *range(12)])
+    rows = [(k, rnd.choice(["a", "b", None]), pick(), pick()) for k in range(400)]
+    bars = [(rnd.choice(["a", "b", None]), pick(), pick()) for _ in range(6)]
+    segs = spark.createDataFrame(rows, "seg long, route string, begin long, end long")
+    got = spatial.milepost_overlap(segs, spark.createDataFrame(bars, "route string, begin long, end long"))
+    hit = lambda r, q: None not in (*r[1:], *q) and r[1] == q[0] and r[2] < q[2] and r[3] > q[1]
+    assert got.columns == segs.columns and sorted(r.seg for r in got.collect()) == [r[0] for r in rows if any(hit(r, q) for q in bars)]
+    assert "[route#" in (plan := got._jdf.queryExecution().executedPlan().toString()) and ", end#" in plan.split("SortMergeJoin")[-1].split("]")[0] + plan.split("BroadcastHashJoin")[-1].split("]")[0]
