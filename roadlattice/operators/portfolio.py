@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .costs import score
+from .graph import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -47,14 +48,19 @@ def reasonable(c: DataFrame) -> DataFrame:
 
 def overlap(edges: DataFrame) -> DataFrame:
     """edges(request, route, edge_id, len_m) -> (request, a, b, share) of routes that share an edge: metres in common
-    over the shorter route's. Routes without a common edge have no row."""
+    over the shorter route's. Routes without a common edge have no row. Edges are compared once for routes that are the same."""
     one = edges.groupBy("request", "route", "edge_id").agg(F.max("len_m").alias("len_m"))
-    total = one.groupBy("request", "route").agg(F.sum("len_m").alias("m"))
-    a, b = (one.select("request", "edge_id", F.col("route").alias(n), F.col("len_m").alias(f"m{n}")) for n in ("a", "b"))
-    both = a.join(b, ["request", "edge_id"]).where("a < b").groupBy("request", "a", "b").agg(F.sum("ma").alias("common"))
-    for n in ("a", "b"):
-        both = both.join(total.select("request", F.col("route").alias(n), F.col("m").alias(f"t{n}")), ["request", n])
-    return both.select("request", "a", "b", (F.col("common") / F.least("ta", "tb")).alias("share"))
+    whole = one.groupBy("request", "route").agg(F.sort_array(F.collect_list(F.struct("edge_id", "len_m"))).alias("edges"), F.sum("len_m").alias("m"))
+    kinds = Window.partitionBy("request", "edges")
+    of = cut_lineage(whole.withColumn("kind", F.min("route").over(kinds)).select("request", "route", "kind", "m", F.when(F.col("route") == F.col("kind"), F.col("edges")).alias("edges")))
+    each = of.where("edges is not null").select("request", "kind", F.explode("edges").alias("e")).select("request", "kind", "e.edge_id", "e.len_m")
+    x, y = (each.select("request", "edge_id", F.col("kind").alias(n), F.col("len_m").alias(f"m{n}")) for n in ("x", "y"))
+    both = x.join(y, ["request", "edge_id"]).where("x <= y").groupBy("request", "x", "y").agg(F.sum("mx").alias("mx"), F.sum("my").alias("my"))
+    for n in ("x", "y"):
+        both = both.join(of.select("request", F.col("kind").alias(n), F.col("route").alias(f"r{n}"), F.col("m").alias(f"t{n}")), ["request", n])
+    first = F.col("rx") < F.col("ry")
+    both = both.where("rx <> ry and (x <> y or rx < ry)")
+    return both.select("request", F.least("rx", "ry").alias("a"), F.greatest("rx", "ry").alias("b"), (F.when(first, F.col("mx")).otherwise(F.col("my")) / F.least("tx", "ty")).alias("share"))
 
 
 def material(a: str = "a", b: str = "b") -> Column:

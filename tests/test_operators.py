@@ -367,3 +367,19 @@ def test_milepost_overlap_makes_no_pairs(spark):
     hit = lambda r, q: None not in (*r[1:], *q) and r[1] == q[0] and r[2] < q[2] and r[3] > q[1]
     assert got.columns == segs.columns and sorted(r.seg for r in got.collect()) == [r[0] for r in rows if any(hit(r, q) for q in bars)]
     assert "[route#" in (plan := got._jdf.queryExecution().executedPlan().toString()) and ", end#" in plan.split("SortMergeJoin")[-1].split("]")[0] + plan.split("BroadcastHashJoin")[-1].split("]")[0]
+
+
+def test_overlap_compares_equal_routes_once(spark):
+    """Routes of the same edges in any order, lengths that differ by route, a route alone; the pairs are those of all routes."""
+    sets = {1: [(7, 10), (8, 20)], 2: [(8, 20), (7, 10)], 3: [(8, 25), (9, 5)], 4: [(7, 10), (8, 20)], 5: [(99, 1)], 6: [(8, 25), (9, 5)]}
+    edges = spark.createDataFrame([(q, r, e, m) for q in (0, 1) for r, es in sets.items() for e, m in es], "request long, route long, edge_id long, len_m long")
+    got = {(r.request, r.a, r.b): r.share for r in portfolio.overlap(edges).collect()}
+    want = {}
+    for a, b in ((a, b) for a in sets for b in sets if a < b):
+        if common := [m for e, m in sets[a] if e in dict(sets[b])]:
+            want |= {(q, a, b): sum(common) / min(sum(m for _, m in sets[a]), sum(m for _, m in sets[b])) for q in (0, 1)}
+    assert got == want
+    twelve = spark.range(400).selectExpr("0L AS request", "id % 40 AS route", "id div 40 AS edge_id", "5L AS len_m")
+    rows = portfolio.overlap(twelve)
+    assert rows.count() == 780
+    assert "kind#" in rows._jdf.queryExecution().optimizedPlan().toString()
