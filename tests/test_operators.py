@@ -383,3 +383,11 @@ def test_overlap_compares_equal_routes_once(spark):
     rows = portfolio.overlap(twelve)
     assert rows.count() == 780
     assert "kind#" in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_components_broadcast_nothing(spark, monkeypatch):
+    plans, cut = [], graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: (out := cut(df), plans.append(df._jdf.queryExecution().executedPlan().toString()))[0])
+    edges = spark.range(60).selectExpr("id AS a", "id + 1 AS b")
+    assert graph.components(edges, spark.range(61).withColumnRenamed("id", "node")).where("component = 0").count() == 61
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
