@@ -391,3 +391,18 @@ def test_components_broadcast_nothing(spark, monkeypatch):
     edges = spark.range(60).selectExpr("id AS a", "id + 1 AS b")
     assert graph.components(edges, spark.range(61).withColumnRenamed("id", "node")).where("component = 0").count() == 61
     assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_nearest_node_looks_a_place_up_once(spark):
+    """Copies of a place do not multiply the pairs with the nodes about it, and every point has its row, also one without a place."""
+    nodes = spark.createDataFrame([(1, 0.001, 0.0, True), (2, 0.002, 0.0, False), (3, 60.0, 0.0, False)], "node long, lon double, lat double, local boolean")
+    rows = [(i, 0.0015, 0.0) for i in range(50)] + [(50, 60.001, 0.0), (51, None, 0.0)]
+    points = spark.createDataFrame(rows, "point_id long, lon double, lat double")
+    looked = []
+    cut, spatial.cut_lineage = spatial.cut_lineage, lambda df: looked.append(df.count()) or cut(df)
+    try:
+        got = {r.point_id: r.node for r in spatial.nearest_node(points, nodes).collect()}
+    finally:
+        spatial.cut_lineage = cut
+    assert got == {**{i: 1 for i in range(50)}, 50: 3, 51: None}
+    assert max(looked) == 3
