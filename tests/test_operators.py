@@ -406,3 +406,14 @@ def test_nearest_node_looks_a_place_up_once(spark):
         spatial.cut_lineage = cut
     assert got == {**{i: 1 for i in range(50)}, 50: 3, 51: None}
     assert max(looked) == 3
+
+
+def test_span_match_deals_a_sample_once(spark):
+    """A sample enters the join in its own cell only; cells about a segment are told once; doubled rows cover nothing twice."""
+    km = 1000 / (111320 * math.cos(math.radians(47.6)))
+    ways = spark.createDataFrame([(1, -122.0, 47.6, -122.0 + km, 47.6)] * 2, "way_id long, lon1 double, lat1 double, lon2 double, lat2 double")
+    segs = [(k, -122.0 + a * km, 47.6 + n / 110540, -122.0 + b * km, 47.6 + n / 110540) for k, a, b, n in ((7, 0, 0.35, 3), (8, 0.4, 1, 9), (8, 0.4, 1, 9), (9, 0.4, 1, 17))]
+    schema = "seg_id long, s_lon1 double, s_lat1 double, s_lon2 double, s_lat2 double"
+    assert [tuple(r) for r in spatial.span_match(ways, spark.createDataFrame(segs, schema)).collect()] == [(1, 8, 3, 5)]
+    about = spark.createDataFrame([segs[0]], schema).select(spatial.cells_about(F.col("s_lon1"), F.col("s_lat1"), F.col("s_lon2"), F.col("s_lat2"), 0.0005).alias("c")).first().c
+    assert len(about) == len(set(about)) and len(about) % 3 == 0
