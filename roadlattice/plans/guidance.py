@@ -113,7 +113,8 @@ def matched_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stateful match; routes of 39 segments lie within its reach whole, so it finds the nearest."""
     fixes, n = _rides(spark, sf_dir)
     route = n.groupBy("r").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "lon", "lat", "distance_m"))), lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"), p["distance_m"].alias("distance_m"))).alias("route"))
-    return L.matched(fixes.join(route, "r").drop("r")).select("ride_id", "event_id", F.round("off_m", 3).alias("off_m"))
+    rides = fixes.select("ride_id", "r").distinct().join(F.broadcast(route), "r").drop("r")  # five routes
+    return L.matched(fixes.drop("r"), rides).select("ride_id", "event_id", F.round("off_m", 3).alias("off_m"))
 
 
 #: The same rules for fixes beside whole rows of the grid, with six instructions on each and 5850 m to its end.
