@@ -163,7 +163,7 @@ def restriction_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT layer, count(*) AS matched, round(sum(m), 3) AS metres FROM H GROUP BY 1""")
 def credited_metres(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, s = ways(spark, sf_dir), segments(spark, sf_dir)
-    hit = S.span_match(w, s).join(s.select("seg_id", F.col("source").alias("layer")), "seg_id")
+    hit = S.span_match(w, s).join(view(spark, sf_dir, "measure_segments").select("seg_id", F.col("source").alias("layer")), "seg_id")
     metres = w.select("way_id", geo.haversine_m(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2")).alias("metres"))
     return L.credited(hit, metres).withColumn("metres", F.round("metres", 3))
 
