@@ -84,11 +84,16 @@ def sampled_ascent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.col("gy").alias("row_id"), L.climbs(F.col("e")).alias("c")).select("row_id", "c.up_m", "c.down_m")
 
 
+def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers over as many tasks as shuffles have: small rows make much work here, and their file is one task's."""
+    return read(spark, sf_dir, "customer").select("c_custkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+
+
 def _zigzag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A line of nine vertices for each customer, that bends by its number."""
     c = F.col("c_custkey")
     bend = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.struct((-122.0 + i * 0.0001).alias("lon"), (47.0 + F.when(i % 2 == 0, 0.0).otherwise((c % 5) * 0.00002)).alias("lat")))
-    return read(spark, sf_dir, "customer").select(c.alias("id"), bend.alias("line"))
+    return _spread(spark, sf_dir).select(c.alias("id"), bend.alias("line"))
 
 
 #: Vertices of the five shapes, as a plain recursion over the points gives them.
@@ -124,4 +129,4 @@ def curve_hazards(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.struct((F.lit(-122.0) + F.lit(0.00015) * i * F.when((i > 4) & (c % 5 > 2), 0.5).otherwise(1.0)).alias("lon"), (F.lit(47.0) + F.lit(0.00002) * (c % 5) * up(i) * up(i)).alias("lat")))
     ele = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: ((c % 9) * i).cast("double") / 8)
     h = L.curve_hazard()(line, ele, (25 + 5 * (c % 6)).cast("int"), F.when(c % 4 > 0, c % 6).cast("int"), (c % 3).cast("int"))
-    return read(spark, sf_dir, "customer").select(c.alias("id"), h.alias("h")).select("id", *[F.col(f"h.{n}").cast("long").alias(n) for n in ("ab", "ba", "ab_first", "ab_last", "ba_first", "ba_last")])
+    return _spread(spark, sf_dir).select(c.alias("id"), h.alias("h")).select("id", *[F.col(f"h.{n}").cast("long").alias(n) for n in ("ab", "ba", "ab_first", "ab_last", "ba_first", "ba_last")])

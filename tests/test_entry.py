@@ -37,3 +37,10 @@ def test_against_duckdb(spark, name):
     cols = sorted(want.columns)
     text = lambda df: sorted(tuple(map(plain, row)) for row in df[cols].astype(object).itertuples(index=False))
     assert sorted(got.columns) == cols and text(got) == text(want)
+
+
+def test_lines_are_spread_over_tasks(spark):
+    from roadlattice.plans import reports
+
+    for q in (reports.simplified_lines, reports.curve_hazards):
+        assert q(spark, entry.SMALL).rdd.getNumPartitions() == 4
