@@ -164,42 +164,81 @@ _ARCS = ["variant", "cell", "arc", "edge_id", "node_from", "node_to", "cost", "b
 
 
 @dataclass
-class Overlay:
-    """Arcs by cell, and for each level the least costs across its cells: tables in the shared folder, for any number of searches."""
+class Part:
+    """Arcs of some graphs by cell, in a box of cells or the whole map, and for each level the least costs across its cells: tables in
+    the shared folder, for any number of searches. Ways out of the box end OUTSIDE; ways into it are left out."""
 
     arcs: DataFrame
     nodes: DataFrame
     graphs: list[str]
     top: int
+    whole: bool
     levels: list[DataFrame] = field(default_factory=list)
 
 
+#: x and y of the least and the greatest cell of a box.
+Box = tuple[int, int, int, int]
+
+
+@dataclass
+class Overlay:
+    """Graphs and the places of their nodes. A part is cut into cells once a search asks for it."""
+
+    frames: dict[str, tuple[DataFrame, float]]
+    nodes: DataFrame
+    top: int
+    reach: Box
+    parts: list[tuple[set[str], Box, Part]] = field(default_factory=list)
+
+
+#: Cells of a box up to which its nodes are broadcast, and by how much a box's margin grows where a search may leave it.
+NEAR_CELLS, WIDER = 1024, 4
+
+
 def build(graphs: dict[str, tuple[DataFrame, float]], nodes: DataFrame) -> Overlay:
     """graphs gives by name arcs(arc_id >= 0, edge_id, src, dst, cost > 0, bearing_in, bearing_out, name) and the seconds of a turn (see
     costs.turn_cost; 0 for a search without turns); nodes(node, x, y) the cell of level 0 of every node, as whole numbers from 0.
 
     A cell of level 0 should hold some hundred nodes. One task searches a cell; its table grows with the square of the arcs that cross
     the cell's border, which on road maps grow with the square root of its nodes. Null names are no names; null bearings make no turns.
-    Arcs at unknown nodes are left out.
+    Arcs at unknown nodes are left out. The graphs are read when searches ask for cells, so they should be stored tables.
     """
-    place = nodes.select(F.col("node").cast("long").alias("node"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
+    place = stored(nodes.select(F.col("node").cast("long").alias("node"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")), "overlay-nodes")
+    reach = place.agg(F.max("x"), F.max("y")).first()
+    reach = (0, 0, reach[0] or 0, reach[1] or 0)
+    top = 0
+    while FAN**top <= max(reach):
+        top += 1
+    return Overlay(graphs, place, top, reach)
+
+
+def _part(overlay: Overlay, names: set[str], box: Box) -> Part:
+    """The named graphs in a box, or a part that is there and holds both."""
+    for known, b, part in overlay.parts:
+        if names <= known and b[0] <= box[0] and b[1] <= box[1] and b[2] >= box[2] and b[3] >= box[3]:
+            return part
+    whole, near = box == overlay.reach, overlay.nodes
+    if not whole:
+        near = stored(near.where(F.col("x").between(box[0], box[2]) & F.col("y").between(box[1], box[3])), "overlay-near")
     arcs = None
-    for i, (frame, turn) in enumerate(graphs.values()):
+    for i, (name, (frame, turn)) in enumerate(overlay.frames.items()):
+        if name not in names:
+            continue
         part = frame.select(
             F.lit(-1 - i).cast("long").alias("variant"), F.col("arc_id").cast("long").alias("arc"), F.col("edge_id").cast("long").alias("edge_id"), F.col("src").cast("long").alias("node_from"), F.col("dst").cast("long").alias("node_to"),
             F.col("cost").cast("double").alias("cost"), F.col("bearing_in").cast("double").alias("bearing_in"), F.col("bearing_out").cast("double").alias("bearing_out"), F.coalesce("name", F.lit("")).alias("name"), F.lit(float(turn)).alias("turn"),
         )
         arcs = part if arcs is None else arcs.union(part)
-    ends = arcs.join(place.toDF("node_from", "fx", "fy"), "node_from").join(place.toDF("node_to", "ux", "uy"), "node_to")
-    cells = F.array_distinct(F.array(cell_of(F.col("fx"), F.col("fy"), 0), cell_of(F.col("ux"), F.col("uy"), 0)))
-    arcs = stored(ends.withColumn("cell", F.explode(cells)).select(_ARCS), "overlay-arcs")
-    reach = place.agg(F.max("x"), F.max("y")).first()
-    top = 0
-    while FAN**top <= max(reach[0] or 0, reach[1] or 0):
-        top += 1
-    found = Overlay(arcs, place, list(graphs), top)
-    for level in range(top):
-        found.levels.append(_cliques(arcs if not level else _up(found.levels[-1]), level))
+    few = not whole and (box[2] - box[0] + 1) * (box[3] - box[1] + 1) <= NEAR_CELLS
+    side = F.broadcast(near) if few else near
+    ends = arcs.join(side.toDF("node_from", "fx", "fy"), "node_from").join(side.toDF("node_to", "ux", "uy"), "node_to", "inner" if whole else "left")
+    own, other = cell_of(F.col("fx"), F.col("fy"), 0), cell_of(F.col("ux"), F.col("uy"), 0)
+    cells = F.array_distinct(F.when(F.col("ux").isNull(), F.array(own)).otherwise(F.array(own, other)))
+    ends = ends.withColumn("cell", F.explode(cells)).withColumns({c: F.coalesce(c, F.lit(OUTSIDE).cast("long")) for c in ("ux", "uy")})
+    found = Part(stored(ends.select(_ARCS), "overlay-arcs"), near, list(overlay.frames), overlay.top, whole)
+    for level in range(overlay.top):
+        found.levels.append(_cliques(found.arcs if not level else _up(found.levels[-1]), level))
+    overlay.parts.append((set(names), box, found))
     return found
 
 
@@ -222,7 +261,7 @@ def _up(rows: DataFrame) -> DataFrame:
 class Search:
     """Plans on an overlay. Where penalties change a cell for a plan, the plan has that cell's costs of its own on every level."""
 
-    overlay: Overlay
+    overlay: Part
     plans: DataFrame  # key, variant (the graph's), start, goal and their places
     raised: list[DataFrame] | None = None  # of each level: variant (the plan's), graph, cell
     arcs: DataFrame | None = None
@@ -269,9 +308,9 @@ def _virtual(plans: DataFrame) -> DataFrame:
     return start.union(goal)
 
 
-def prepare(overlay: Overlay, plans: DataFrame, penalties: DataFrame | None = None) -> Search:
+def prepare(overlay: Part, plans: DataFrame, penalties: DataFrame | None = None) -> Search:
     """plans(request, plan 0 to 63, graph, start, goal) and penalties(request, plan, edge_id, factor > 0) on an overlay. Plans that name
-    an unknown graph or node have no path. A goal may be null, for searches to everywhere."""
+    an unknown graph or node have no path. A goal may be null, for searches to everywhere. ``overlay`` is the part that is searched."""
     key = (F.col("request") * (1 << PLAN_BITS) + F.col("plan")).cast("long")
     graph = F.lit(None).cast("long")
     for i, name in enumerate(overlay.graphs):
@@ -334,25 +373,94 @@ def _reach(search: Search) -> None:
         search.ends.append(stored(_dealt(base.select(columns)).cogroup(_dealt(_fresh(own).select(columns))).applyInPandas(_ends_task(level), _ROWS), f"ends-{level}"))
 
 
+def _needed(search: Search, hops: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of the cells in which hops of a level lie, and the hops with their variants."""
+    hops = search.variants(hops, level)
+    base = search.inside(hops, level)
+    if level:
+        added = search.variants(_owners(_up(search.ends[level - 1]).drop("variant"), search), level)
+    else:
+        added = search.variants(_virtual(search.plans), 0)
+    columns = [c for c in base.columns if c != "graph"]
+    return base.select(columns).union(added.select(columns).join(F.broadcast(hops.select("variant", "cell").distinct()), ["variant", "cell"], "left_semi").select(columns)), hops
+
+
+def _bounds(rows: pd.DataFrame, hops: pd.DataFrame) -> pd.DataFrame:
+    """(key, cost, away) of each hop: its least cost, and that of leaving the box; infinite where there is no way."""
+    states, (f, d) = _numbered(rows["frm"].to_numpy(), rows["dst"].to_numpy())
+    at = {s: i for i, s in enumerate(states.tolist())}
+    leaves = np.zeros(len(states), bool)
+    leaves[d[rows["ux"].to_numpy() == OUTSIDE]] = True
+    leaves &= states >= 0
+    out = []
+    for frm, own in hops.groupby("frm", sort=True):
+        dist = np.full(len(states), np.inf)
+        if frm in at:
+            seeds = np.full((1, len(states)), np.inf)
+            seeds[0, at[frm]] = 0.0
+            (dist,), _ = relaxed(len(states), f, d, rows["cost"].to_numpy(), seeds)
+        away = dist[leaves].min(initial=np.inf)
+        out += [(key, dist[at[dst]] if dst in at else np.inf, away) for key, dst in zip(own["key"], own["dst"])]
+    return pd.DataFrame(out, columns=["key", "cost", "away"]).astype({"key": "int64", "cost": "float64", "away": "float64"})
+
+
+def _bounds_task(level: int):
+    def cell(key, part, own):
+        return _bounds(part if level or not len(part) else _transitions(part, int(key[1])), own)
+
+    return cell
+
+
+def _sure(search: Search, hops: DataFrame, cap: float | None) -> DataFrame:
+    """(key) of the plans whose way cannot leave the box: leaving it costs as much already as the whole way inside, or as much as the cap."""
+    rows, hops = _needed(search, hops, search.overlay.top)
+    found = _dealt(rows).cogroup(_dealt(hops.select("variant", "cell", "key", "frm", "dst"))).applyInPandas(_bounds_task(search.overlay.top), "key long, cost double, away double")
+    most = F.col("cost") if cap is None else F.least("cost", F.lit(float(cap)))
+    return stored(found.where(most <= F.col("away")).select("key"), "sure")
+
+
 def routes(overlay: Overlay, plans: DataFrame, penalties: DataFrame | None = None, cap: float | None = None) -> DataFrame:
     """The least-cost path of every plan: (request, plan, step, arc_id, edge_id, src, dst, cost, spent), steps from 0.
 
     cost is the arc's own, times the plan's factor; spent also holds the turn before it, so its sum is the path's least cost. A plan
     whose goal is not reached gives no rows, nor does one whose start is its goal. Of equally dear ways the choice follows the arcs'
     numbers and the cells, so it is the same every time. Penalties of one plan leave the others' cells as they are. Paths dearer than ``cap`` are left out.
+
+    The plans are searched in a box about all their ends first. A plan is done if the cheapest way out of the box costs it no less than
+    its path inside, so that every way that leaves the box is dearer; the others are searched in wider boxes, up to the whole map.
     """
-    search = prepare(overlay, plans.where("start <> goal"), penalties)
-    _reach(search)
-    hops = search.plans.select("key", "graph", F.array().cast("array<int>").alias("place"), (-2 * (F.col("key") + 1)).alias("frm"), (1 - 2 * (F.col("key") + 1)).alias("dst"), cell_of(F.lit(0), F.lit(0), overlay.top).alias("cell"))
-    for level in range(overlay.top, -1, -1):
-        hops = search.variants(hops, level)
-        base = search.inside(hops, level)
-        if level:
-            added = search.variants(_owners(_up(search.ends[level - 1]).drop("variant"), search), level)
-        else:
-            added = search.variants(_virtual(search.plans), 0)
-        columns = [c for c in base.columns if c != "graph"]
-        rows = base.select(columns).union(added.select(columns).join(F.broadcast(hops.select("variant", "cell").distinct()), ["variant", "cell"], "left_semi").select(columns))
+    at = lambda end, x, y: overlay.nodes.toDF(end, x, y)
+    asked = plans.where("start <> goal").where(F.col("graph").isin(list(overlay.frames))).select("request", "plan", "graph", F.col("start").cast("long").alias("start"), F.col("goal").cast("long").alias("goal"))
+    todo = stored(asked.join(at("start", "sx", "sy"), "start").join(at("goal", "tx", "ty"), "goal"), "asked")
+    out, margin, key = None, None, (F.col("request") * (1 << PLAN_BITS) + F.col("plan")).cast("long")
+    while True:
+        ends = [F.min(F.least("sx", "tx")), F.min(F.least("sy", "ty")), F.max(F.greatest("sx", "tx")), F.max(F.greatest("sy", "ty"))]
+        spread = todo.groupBy("graph").agg(*ends).collect()  # a row for each graph
+        if not spread:
+            break
+        x0, y0, x1, y1 = min(r[1] for r in spread), min(r[2] for r in spread), max(r[3] for r in spread), max(r[4] for r in spread)
+        margin = margin * WIDER if margin else max(x1 - x0, y1 - y0) + 1
+        box = (max(x0 - margin, 0), max(y0 - margin, 0), min(x1 + margin, overlay.reach[2]), min(y1 + margin, overlay.reach[3]))
+        part = _part(overlay, {r["graph"] for r in spread}, box)
+        search = prepare(part, todo, penalties)
+        _reach(search)
+        hops = search.plans.select("key", "graph", F.array().cast("array<int>").alias("place"), (-2 * (F.col("key") + 1)).alias("frm"), (1 - 2 * (F.col("key") + 1)).alias("dst"), cell_of(F.lit(0), F.lit(0), overlay.top).alias("cell"))
+        sure = None if part.whole else _sure(search, hops, cap)
+        found = _walked(search, hops if sure is None else hops.join(sure, "key", "left_semi"), penalties, cap)
+        out = found if out is None else out.union(found)
+        if sure is None:
+            break
+        todo = stored(todo.withColumn("key", key).join(sure, "key", "left_anti").drop("key"), "asked")
+    return out if out is not None else todo.sparkSession.createDataFrame([], _ROUTES)
+
+
+_ROUTES = "request long, plan int, step int, arc_id long, edge_id long, src long, dst long, cost double, spent double"
+
+
+def _walked(search: Search, hops: DataFrame, penalties: DataFrame | None, cap: float | None) -> DataFrame:
+    """The paths of hops at the top, unpacked level by level."""
+    for level in range(search.overlay.top, -1, -1):
+        rows, hops = _needed(search, hops, level)
         steps = stored(_dealt(rows).cogroup(_dealt(hops.select("variant", "cell", "key", "place", "frm", "dst"))).applyInPandas(_hops_task(level), _STEPS), f"hops-{level}")
         hops = steps.join(F.broadcast(search.plans.select("key", "graph")), "key").drop("cost")
     kept = steps.where("dst >= 0").join(F.broadcast(search.plans.select("key", "graph")), "key")
@@ -374,7 +482,8 @@ def labels(overlay: Overlay, plans: DataFrame) -> DataFrame:
 
     From the top, each cell passes what its ways in cost down to the cells that it holds, so there is one round a level.
     """
-    search = prepare(overlay, plans.withColumn("goal", F.lit(None).cast("long")))
+    part = _part(overlay, set(overlay.frames), overlay.reach)
+    search = prepare(part, plans.withColumn("goal", F.lit(None).cast("long")))
     _reach(search)
     virtual = _virtual(search.plans)
     have = search.plans.select("key", "graph", (-2 * (F.col("key") + 1)).alias("state"), F.lit(0.0).alias("dist"), "sx", "sy")

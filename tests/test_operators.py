@@ -248,6 +248,38 @@ def test_turning_routes_on_an_overlay(spark):
     assert all(least[goal] == plain(0, 0, "turns", 0, goal) for goal in range(1, 81) if goal in least)
 
 
+def test_searches_near_each_other_leave_far_cells_alone(spark):
+    """Paths in a box are those of the whole map, also of equally dear ways; a way that leaves the box is found, a closed place ends the search."""
+    import random
+
+    from roadlattice.operators import overlay
+
+    r, width, height = random.Random(7), 4, 60
+    arcs = []
+    for n in range(width * height):
+        for far, heading in ((n + 1, 90.0), (n + width, 0.0)):
+            if (heading == 90.0 and n % width == width - 1) or far >= width * height or n // width == 20 < far // width:
+                continue
+            edge = len(arcs)
+            arcs += [(2 * edge + back, edge, *((far, n) if back else (n, far)), r.randint(1, 2) * 1.0, heading + 180 * back, heading + 180 * back, None) for back in (0, 1)]
+    frame = spark.createDataFrame(arcs, "arc_id long, edge_id long, src long, dst long, cost double, bearing_in double, bearing_out double, name string")
+    nodes = spark.createDataFrame([(n, n % width // 2, n // width // 2) for n in range(width * height)], "node long, x long, y long")
+    dear = spark.createDataFrame([(1, 0, a[1], 50.0) for a in arcs if a[5] == 90.0 and a[2] // width < 10], "request long, plan int, edge_id long, factor double")
+    asked = spark.createDataFrame([(0, 0, "g", 0, 7), (1, 0, "g", 0, 3), (2, 0, "g", 1, 9)], "request long, plan int, graph string, start long, goal long")
+    got = []
+    for forced in (False, True):
+        on = overlay.build({"g": (frame, 1.0), "unasked": (frame, 0.0)}, nodes)
+        if forced:
+            overlay._part(on, {"g"}, on.reach)
+        got.append([tuple(x) for x in overlay.routes(on, asked, dear).orderBy("request", "step").collect()])
+        boxes = [b for _, b, _ in on.parts]
+        assert forced or (boxes[0] == (0, 0, 1, 3) and len(boxes) > 1 and all(known == {"g"} for known, *_ in on.parts))
+    assert got[0] == got[1] and {x[0] for x in got[0]} == {0, 1, 2} and max(x[5] for x in got[0]) // width >= 10
+    on = overlay.build({"g": (frame, 1.0)}, nodes)
+    closed = spark.createDataFrame([(0, 0, "g", 84, 76), (1, 0, "g", 84, 92)], asked.schema)
+    assert {x.request for x in overlay.routes(on, closed).collect()} == {1}
+
+
 def test_road_blocks_close_the_nearest_edge_however_far(spark):
     edges = spark.createDataFrame([(1, -122.0, 47.0, -122.0, 47.001), (2, -121.0, 47.0, -121.0, 47.001), (3, -122.0001, 47.0, -122.0001, 47.001)], "edge_id long, lon1 double, lat1 double, lon2 double, lat2 double")
     blocks = spark.createDataFrame([(1, -122.0, 47.0005), (2, -122.0145, 47.0005), (3, -100.0, 40.0)], "block_id long, lon double, lat double")
