@@ -200,16 +200,18 @@ def skyline(c: DataFrame, metrics: list[str], key: str = "candidate", block: int
     return fronts.join(gone, ["request", key], "left_anti").select(c.columns)
 
 
-def cut_points(paths: DataFrame) -> DataFrame:
+def cut_points(paths: DataFrame | None, both: DataFrame | None = None) -> DataFrame:
     """paths(request, route, seq, node) -> shared nodes of two routes where they part or meet: runs of shared nodes, consecutive
-    on both, count once by their first and last node."""
-    a, b = (paths.select("request", F.col("route").alias(n), F.col("seq").alias(f"s{n}"), "node") for n in ("a", "b"))
-    both = a.join(b, ["request", "node"]).where("a < b")
+    on both, count once by their first and last node. Shared nodes may be given as both(request, a, b, node, sa, sb, ...); more columns stay."""
+    if both is None:
+        a, b = (paths.select("request", F.col("route").alias(n), F.col("seq").alias(f"s{n}"), "node") for n in ("a", "b"))
+        both = a.join(b, ["request", "node"]).where("a < b")
+    more = [c for c in both.columns if c not in ("request", "a", "b", "node", "sa", "sb")]
     w = Window.partitionBy("request", "a", "b").orderBy("sa")
     starts = ~((F.lag("sa").over(w) == F.col("sa") - 1) & (F.lag("sb").over(w) == F.col("sb") - 1))
     ends = ~((F.lead("sa").over(w) == F.col("sa") + 1) & (F.lead("sb").over(w) == F.col("sb") + 1))
     marked = both.withColumn("starts", F.coalesce(starts, F.lit(True))).withColumn("ends", F.coalesce(ends, F.lit(True)))
-    return marked.where("starts or ends").select("request", "a", "b", "node", "sa", "sb", "starts", "ends")
+    return marked.where("starts or ends").select("request", "a", "b", "node", "sa", "sb", "starts", "ends", *more)
 
 
 def select_six(c: DataFrame, shares: DataFrame, required: DataFrame) -> DataFrame:

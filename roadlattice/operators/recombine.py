@@ -10,7 +10,7 @@ from roadlattice.functions import formats
 from .costs import score
 from .graph import cut_lineage, stored
 from .portfolio import SAFETY, cut_points, overlap, reasonable, scored
-from .requests import different, prefix_sums
+from .requests import different
 from .sequences import islands
 
 #: Metres that both parts of a splice have at least, and seconds or points by which a child beats its parents.
@@ -28,11 +28,12 @@ def fragments(paths: DataFrame, cuts: DataFrame) -> DataFrame:
 
 def spliced(paths: DataFrame, recipes: DataFrame) -> DataFrame:
     """recipes(recipe, prefix, prefix_cut, suffix, suffix_cut) -> the child's rows: the prefix before its cut, then the suffix from its
-    own, numbered through. No search is needed."""
-    p = paths.drop("request")
-    head = recipes.join(p, F.col("prefix") == F.col("route")).where(F.col("seq") < F.col("prefix_cut")).withColumn("at", F.col("seq"))
-    tail = recipes.join(p, F.col("suffix") == F.col("route")).where(F.col("seq") >= F.col("suffix_cut")).withColumn("at", F.col("seq") - F.col("suffix_cut") + F.col("prefix_cut"))
-    drop = ["prefix", "prefix_cut", "suffix", "suffix_cut", "route"]
+    own, numbered through. If recipes have a request, routes are numbered within requests. No search is needed."""
+    p = paths.withColumnRenamed("request", "__of") if "request" in recipes.columns else paths.drop("request")
+    of = F.col("request") == F.col("__of") if "request" in recipes.columns else F.lit(True)
+    head = recipes.join(p, of & (F.col("prefix") == F.col("route"))).where(F.col("seq") < F.col("prefix_cut")).withColumn("at", F.col("seq"))
+    tail = recipes.join(p, of & (F.col("suffix") == F.col("route"))).where(F.col("seq") >= F.col("suffix_cut")).withColumn("at", F.col("seq") - F.col("suffix_cut") + F.col("prefix_cut"))
+    drop = ["prefix", "prefix_cut", "suffix", "suffix_cut", "route", "__of"]
     return head.union(tail).withColumn("seq", F.col("at")).drop(*drop, "at")
 
 
@@ -43,23 +44,33 @@ def looping(paths: DataFrame, recipes: DataFrame) -> DataFrame:
     return head.join(tail, ["recipe", "node"], "left_semi").select("recipe").distinct()
 
 
-def recipes_at(cuts: DataFrame) -> DataFrame:
-    """cuts(request, a, b, sa, sb) -> two recipes a cut: a before it and b behind, and the other way round."""
-    one = F.struct(F.col("a").alias("prefix"), F.col("sa").alias("prefix_cut"), F.col("b").alias("suffix"), F.col("sb").alias("suffix_cut"))
-    two = F.struct(F.col("b").alias("prefix"), F.col("sb").alias("prefix_cut"), F.col("a").alias("suffix"), F.col("sa").alias("suffix_cut"))
-    r = cuts.select("request", "a", "b", F.explode(F.array(one, two)).alias("r")).select("request", "a", "b", "r.*")
-    return r.withColumn("recipe", F.concat_ws(":", "prefix", "prefix_cut", "suffix", "suffix_cut"))
+def crossed(paths: DataFrame, metrics: list[str], alike: DataFrame | None = None) -> DataFrame:
+    """paths(request, route, seq, node, metrics with len_m) -> (request, a, b, prefix, prefix_cut, suffix, suffix_cut, recipe, metrics): the
+    children of two routes at the places where they part or meet (see cut_points), both ways round, with each metric of the child. Both
+    parts have LEAST_PART_M metres and no node comes twice. Pairs in alike(request, a, b) are left out.
 
-
-def estimated(recipes: DataFrame, before: DataFrame, totals: DataFrame, metrics: list[str]) -> DataFrame:
-    """Recipes with each metric of the child, from running sums before the cuts and the totals, and the metres of both parts; those with a
-    part under LEAST_PART_M metres go."""
-    p = before.select(F.col("route").alias("prefix"), F.col("seq").alias("prefix_cut"), *[F.col(m).alias(f"p_{m}") for m in metrics])
-    s = before.select(F.col("route").alias("suffix"), F.col("seq").alias("suffix_cut"), *[F.col(m).alias(f"s_{m}") for m in metrics])
-    t = totals.select(F.col("route").alias("suffix"), *[F.col(m).alias(f"t_{m}") for m in metrics])
-    j = recipes.join(p, ["prefix", "prefix_cut"]).join(s, ["suffix", "suffix_cut"]).join(t, "suffix")
-    long = (F.col("p_len_m") >= LEAST_PART_M) & (F.col("t_len_m") - F.col("s_len_m") >= LEAST_PART_M)
-    return j.where(long).select(*recipes.columns, *[(F.col(f"p_{m}") + F.col(f"t_{m}") - F.col(f"s_{m}")).alias(m) for m in metrics])
+    Running sums travel with the first visit of each node. A child has a node twice if one that is on the prefix before the cut is on
+    the suffix behind its own, so a running maximum over the nodes that a pair shares tells; no path is written out for it.
+    """
+    route = Window.partitionBy("request", "route")
+    before = route.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    summed = paths.select("request", "route", "seq", "node", *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"p_{m}") for m in metrics], *[F.sum(m).over(route).alias(f"t_{m}") for m in metrics])
+    sums = [f"{k}_{m}" for k in "pt" for m in metrics]
+    visits = summed.repartition("request", "node").groupBy("request", "route", "node").agg(F.min(F.struct("seq", *sums)).alias("at"), F.max("seq").alias("last"))
+    a, b = (visits.select("request", "node", F.col("route").alias(n), F.col("at.seq").alias(f"s{n}"), F.col("last").alias(f"l{n}"), *[F.col(f"at.{c}").alias(f"{n}_{c}") for c in sums]) for n in ("a", "b"))
+    pair = Window.partitionBy("request", "a", "b")
+    ahead = lambda n: pair.orderBy(f"s{n}").rangeBetween(Window.unboundedPreceding, -1)
+    cuts = cut_points(None, a.join(b, ["request", "node"]).where("a < b").withColumns({"upto_a": F.max("lb").over(ahead("a")), "upto_b": F.max("la").over(ahead("b"))}))
+    if alike is not None:
+        cuts = cuts.join(alike, ["request", "a", "b"], "left_anti")
+
+    def child(x, y):
+        long = (F.col(f"{x}_p_len_m") >= LEAST_PART_M) & (F.col(f"{y}_t_len_m") - F.col(f"{y}_p_len_m") >= LEAST_PART_M)
+        made = [(F.col(f"{x}_p_{m}") + F.col(f"{y}_t_{m}") - F.col(f"{y}_p_{m}")).alias(m) for m in metrics]
+        return F.when(long & ~F.coalesce(F.col(f"upto_{x}") > F.col(f"s{y}"), F.lit(False)), F.struct(F.col(x).alias("prefix"), F.col(f"s{x}").alias("prefix_cut"), F.col(y).alias("suffix"), F.col(f"s{y}").alias("suffix_cut"), *made))
+
+    r = cuts.select("request", "a", "b", F.explode(F.array(child("a", "b"), child("b", "a"))).alias("r")).where("r is not null").select("request", "a", "b", "r.*")
+    return r.select("request", "a", "b", "prefix", "prefix_cut", "suffix", "suffix_cut", F.concat_ws(":", "prefix", "prefix_cut", "suffix", "suffix_cut").alias("recipe"), *metrics)
 
 
 def finalists(estimates: DataFrame, price: str, fail: str) -> DataFrame:
@@ -169,12 +180,8 @@ def crossbred(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
     seeds = farthest(apart, shares, _ends(apart, ("score",), ("time",), SAFETY), MOST_SEEDS, SEED_APART)
     own = stored(p.join(seeds.select("request", F.col("candidate").alias("route")), ["request", "route"], "left_semi"), "cross-seeds")
 
-    cuts = cut_points(own.groupBy("request", "route", "node").agg(F.min("seq").alias("seq"))).join(alike, ["request", "a", "b"], "left_anti")
-    metrics = ["len_m", *ADDED]
-    before = prefix_sums(own.withColumn("route_id", F.col("route")), metrics).withColumnRenamed("route_id", "route")
-    whole = own.groupBy("route").agg(*[F.sum(m).alias(m) for m in metrics])
-    est = estimated(recipes_at(cuts), before, whole, metrics).withColumn("dist", F.col("len_m")).withColumn("score", score())
-    clean = stored(est.join(looping(own, est), "recipe", "left_anti"), "cross-recipes")
+    est = crossed(own, ["len_m", *ADDED], alike).withColumn("dist", F.col("len_m")).withColumn("score", score())
+    clean = stored(est, "cross-recipes")
     best = clean.groupBy("request", "a", "b").agg(F.min(F.struct("score", "fail", "recipe"))["recipe"].alias("x"), F.min(F.struct("fail", "dismount", "score", "recipe"))["recipe"].alias("y"))
     final = best.select("request", F.explode(F.array_distinct(F.array("x", "y"))).alias("recipe")).join(clean.select("request", "recipe", "a", "b", "prefix", "prefix_cut", "suffix", "suffix_cut"), ["request", "recipe"])
     final = stored(final, "cross-finalists")
@@ -182,7 +189,7 @@ def crossbred(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
     made = spliced(own, final.select("request", "recipe", "prefix", "prefix_cut", "suffix", "suffix_cut")).withColumnRenamed("recipe", "route")
     made = stored(made, "cross-children")
     old = p.withColumn("route", F.col("route").cast("string"))
-    born = stored(totalled(made), "cross-born").join(final.select(F.col("recipe").alias("candidate"), F.col("a").alias("ma"), F.col("b").alias("mb")), "candidate")
+    born = stored(totalled(made), "cross-born").join(final.select("request", F.col("recipe").alias("candidate"), F.col("a").alias("ma"), F.col("b").alias("mb")), ["request", "candidate"])
     better = born.alias("x").join(totals.alias("y"), (F.col("x.request") == F.col("y.request")) & F.col("y.candidate").isin(F.col("x.ma"), F.col("x.mb")))
     ok = better.groupBy(F.col("x.request").alias("request"), F.col("x.candidate").alias("candidate")).agg(F.bool_and(improves("x", "y")).alias("ok")).where("ok").drop("ok")
     good = stored(born.join(ok, ["request", "candidate"], "left_semi"), "cross-good")

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlattice.operators import portfolio as P
 from roadlattice.operators import recombine as R
-from roadlattice.operators import requests as Q
 from roadlattice.sources.adapters import view
 
 from .portfolio import CORRIDOR, SCORED, _KEY, _candidates, _corridor
@@ -61,13 +59,7 @@ OK AS (SELECT * FROM EST e WHERE NOT EXISTS (SELECT 1 FROM PATHS x JOIN PATHS y
 def crossbred_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each pair of a request's routes the junctions at which their parts make the best and the safest child."""
     p = paths(spark, sf_dir)
-    cuts = P.cut_points(p.groupBy("request", "route", "node").agg(F.min("seq").alias("seq")))
-    metrics = ["len_m", "time", "fail"]
-    before = Q.prefix_sums(p.withColumn("route_id", F.col("route")), metrics).withColumnRenamed("route_id", "route")
-    totals = p.groupBy("route").agg(*[F.sum(m).alias(m) for m in metrics])
-    est = R.estimated(R.recipes_at(cuts), before, totals, metrics)
-    clean = est.join(R.looping(p, est), "recipe", "left_anti")
-    return R.finalists(clean, "time", "fail")
+    return R.finalists(R.crossed(p, ["len_m", "time", "fail"]), "time", "fail")
 
 
 @query(f"""WITH {SCORED}, {CORRIDOR} SELECT c.request, c.a AS child, c.b AS parent, x.time + 5 < y.time OR x.score + 5 < y.score OR ({_KEY.format('x')[1:-1]}, x.time) < ({_KEY.format('y')[1:-1]}, y.time) AS better FROM CORRIDOR c JOIN SCORED x ON x.candidate = c.a JOIN SCORED y ON y.candidate = c.b""".replace("OR (x.fail", "OR row(x.fail").replace("< (y.fail", "< row(y.fail"))

@@ -280,6 +280,35 @@ def test_searches_near_each_other_leave_far_cells_alone(spark):
     assert {x.request for x in overlay.routes(on, closed).collect()} == {1}
 
 
+def test_children_of_crossing_routes(spark):
+    """All clean children with their sums, against plain loops; routes of two requests may have the same numbers."""
+    import random
+
+    from roadlattice.operators import recombine
+
+    r = random.Random(2)
+    rows = [(q, k, i, r.randrange(25), r.randint(100, 900), r.randint(1, 9)) for q in (0, 1) for k in (0, 1, 2) for i in range(14)]
+    got = recombine.crossed(spark.createDataFrame(rows, "request long, route long, seq long, node long, len_m long, time long"), ["len_m", "time"]).collect()
+    want = set()
+    for q in (0, 1):
+        path = {k: [x for x in rows if x[:2] == (q, k)] for k in (0, 1, 2)}
+        first = {k: {n: next(i for i, x in enumerate(p) if x[3] == n) for n in {x[3] for x in p}} for k, p in path.items()}
+        for a, b in ((0, 1), (0, 2), (1, 2)):
+            met = sorted((first[a][n], first[b][n]) for n in first[a].keys() & first[b].keys())
+            for i, (sa, sb) in enumerate(met):
+                joins = lambda j, d: 0 <= j < len(met) and met[j] == (sa + d, sb + d)
+                if joins(i - 1, -1) and joins(i + 1, 1):
+                    continue
+                for x, sx, y, sy in ((a, sa, b, sb), (b, sb, a, sa)):
+                    head, tail = path[x][:sx], path[y][sy:]
+                    if min(sum(s[4] for s in head), sum(s[4] for s in tail)) >= 1000 and not {s[3] for s in head} & {s[3] for s in tail[1:]}:
+                        want.add((q, a, b, f"{x}:{sx}:{y}:{sy}", sum(s[4] for s in head + tail), sum(s[5] for s in head + tail)))
+    assert len(want) > 4 and {(x.request, x.a, x.b, x.recipe, x.len_m, x.time) for x in got} == want and len(got) == len(want)
+    recipes = spark.createDataFrame([(1, "c", 0, 2, 1, 12)], "request long, recipe string, prefix long, prefix_cut long, suffix long, suffix_cut long")
+    made = recombine.spliced(spark.createDataFrame(rows, "request long, route long, seq long, node long, len_m long, time long"), recipes).orderBy("seq").collect()
+    assert [x.node for x in made] == [x[3] for x in rows if x[:2] == (1, 0)][:2] + [x[3] for x in rows if x[:2] == (1, 1)][12:]
+
+
 def test_road_blocks_close_the_nearest_edge_however_far(spark):
     edges = spark.createDataFrame([(1, -122.0, 47.0, -122.0, 47.001), (2, -121.0, 47.0, -121.0, 47.001), (3, -122.0001, 47.0, -122.0001, 47.001)], "edge_id long, lon1 double, lat1 double, lon2 double, lat2 double")
     blocks = spark.createDataFrame([(1, -122.0, 47.0005), (2, -122.0145, 47.0005), (3, -100.0, 40.0)], "block_id long, lon double, lat double")
