@@ -142,8 +142,13 @@ def metric_vectors(df: DataFrame) -> DataFrame:
     return df.where("not ferry").groupBy("route_id").agg(*[v.alias(k) for k, v in named.items()])
 
 
-def top_labels(labels: DataFrame, weights: dict[str, float], most: int) -> DataFrame:
-    """labels(node, label, metrics) -> at most ``most`` of each node, with their rank: the best in each metric first, then by weighted sum."""
+def top_labels(labels: DataFrame, weights: dict[str, float], most: int, rows_per_task: int = 1 << 18) -> DataFrame:
+    """labels(node, label, metrics) -> at most ``most`` of each node, with their rank: the best in each metric first, then by weighted sum.
+
+    Labels are counted, so that a task sorts about ``rows_per_task`` of them however many there are; labels should be cheap to read twice.
+    """
+    tasks = max(int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-labels.count() // rows_per_task))
+    labels = labels.repartition(tasks, "node")
     by = Window.partitionBy("node")
     extreme = F.least(*[F.row_number().over(by.orderBy(m, "label")) for m in weights]) == 1
     cost = F.round(sum(w * F.col(m) for m, w in weights.items()).cast("double"), 6)

@@ -309,6 +309,19 @@ def test_children_of_crossing_routes(spark):
     assert [x.node for x in made] == [x[3] for x in rows if x[:2] == (1, 0)][:2] + [x[3] for x in rows if x[:2] == (1, 1)][12:]
 
 
+def test_labels_are_sorted_in_tasks_of_bounded_size(spark):
+    df = spark.range(400).select((F.col("id") % 40).alias("node"), F.col("id").alias("label"), (F.col("id") * 7 % 31).alias("x"), (F.col("id") * 11 % 37).alias("y"))
+    top = portfolio.top_labels(df, {"x": 1.0, "y": 2.0}, 3, rows_per_task=20)
+    assert top.rdd.getNumPartitions() == 20
+    order = lambda rows: [x[1] for x in rows]
+    rows = [(k % 40, k, k * 7 % 31, k * 11 % 37) for k in range(400)]
+    for n in (0, 17):
+        own = [x for x in rows if x[0] == n]
+        first = {min(own, key=lambda x: (x[2], x[1]))[1], min(own, key=lambda x: (x[3], x[1]))[1]}
+        want = sorted(own, key=lambda x: (x[1] not in first, x[2] + 2.0 * x[3], x[1]))[:3]
+        assert order(want) == [x.label for x in top.where(F.col("node") == n).orderBy("rank").collect()]
+
+
 def test_road_blocks_close_the_nearest_edge_however_far(spark):
     edges = spark.createDataFrame([(1, -122.0, 47.0, -122.0, 47.001), (2, -121.0, 47.0, -121.0, 47.001), (3, -122.0001, 47.0, -122.0001, 47.001)], "edge_id long, lon1 double, lat1 double, lon2 double, lat2 double")
     blocks = spark.createDataFrame([(1, -122.0, 47.0005), (2, -122.0145, 47.0005), (3, -100.0, 40.0)], "block_id long, lon double, lat double")
