@@ -63,11 +63,22 @@ def dealt(lines: DataFrame, order: list[str], max_bytes: int) -> DataFrame:
     return placed.select(*order, "value", F.concat_ws("-", F.floor(start / half).cast("string"), alone.cast("string")).alias("file"))
 
 
-def write_bounded(df: DataFrame, path: str, order: list[str], *, max_bytes: int = 55_000_000, codec: str = "gzip") -> None:
-    """Features (see write_features) in files of at most max_bytes before compression, each in order and in a folder ``file=<name>``."""
+#: Groups of folders: so many tasks write files of bounded size, and list them.
+GROUPS = 128
+
+
+def write_bounded(df: DataFrame, path: str, order: list[str], *, max_bytes: int = 55_000_000, codec: str = "gzip", grouped: bool = False) -> None:
+    """Features (see write_features) in files of at most max_bytes before compression, each in order and in a folder ``file=<name>``.
+
+    Files cost more than their bytes, so they are dealt to tasks by number, and each task puts its own in place. Many files should be ``grouped``
+    in folders ``group=<number>``: Spark lists folders beside each other in a job with a task for each.
+    """
     properties = [c for c in df.columns if c not in ("geometry_type", "coordinates")]
     lines = df.select(*order, feature_line(properties).alias("value"))
-    dealt(lines, order, max_bytes).repartition("file").sortWithinPartitions("file", *order).select("file", "value").write.partitionBy("file").option("compression", codec).text(path)
+    files = dealt(lines, order, max_bytes).withColumn("group", F.pmod(F.xxhash64("file"), F.lit(GROUPS)).cast("int"))
+    folders = ["group", "file"] if grouped else ["file"]
+    files = files.repartition(GROUPS, "group").sortWithinPartitions(*folders, *order).select(*folders, "value")
+    files.write.partitionBy(*folders).option("compression", codec).option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
 
 
 def version_stamp(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -86,6 +86,18 @@ def test_files_stay_under_their_bytes(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/empty").count() == 0
 
 
+def test_many_files_are_grouped_and_written_by_many_tasks(spark, tmp_path):
+    df = spark.range(300).selectExpr("id", "repeat('x', 150) AS name", "'Point' AS geometry_type", "'[0,0]' AS coordinates")
+    etl.write_bounded(df, f"{tmp_path}/many", ["id"], max_bytes=1000, grouped=True)
+    groups = [g for g in os.listdir(f"{tmp_path}/many") if g.startswith("group=")]
+    names = [f for g in groups for f in os.listdir(f"{tmp_path}/many/{g}")]
+    assert len(groups) > 20 and len(names) == len(set(names)) > 60 and all(f.startswith("file=") for f in names)
+    back = spark.read.schema("value string, file string").text(f"{tmp_path}/many")
+    assert sorted(x[0] for x in back.selectExpr("CAST(get_json_object(value, '$.properties.id') AS LONG)").collect()) == list(range(300))
+    tasks = {p.split("part-")[1][:5] for g in groups for f in os.listdir(f"{tmp_path}/many/{g}") for p in os.listdir(f"{tmp_path}/many/{g}/{f}") if p.startswith("part-")}
+    assert len(tasks) > 20
+
+
 def test_features_are_read_as_they_were_written(spark, tmp_path):
     (tmp_path / "a.geojson").write_text('{"type": "FeatureCollection", "features": [{"properties": {"id": 1}, "geometry": {"type": "Point", "coordinates": [1, 2]}},\n {"properties": {"id": 2, "name": "b"}, "geometry": null}]}')
     got = sorted(map(tuple, etl.read_geojson(spark, f"{tmp_path}/a.geojson", "id long, name string").collect()))
