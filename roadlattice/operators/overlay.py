@@ -26,6 +26,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 FAN = 8
 #: Coordinate of what lies outside every cell, and bits of a cell's second coordinate.
 OUTSIDE, BITS = -(1 << 29), 31
+#: Ways to a state up to which a round looks at all states.
+FEW_WAYS = 16
 #: Bits of a search's number below its request's.
 PLAN_BITS = 6
 
@@ -50,6 +52,8 @@ def relaxed(n: int, frm: np.ndarray, dst: np.ndarray, cost: np.ndarray, seeds: n
     states behind those that the last one lowered, until nothing changes."""
     dist = np.ascontiguousarray(seeds.T)
     rank = np.where(np.isfinite(dist), 0, -1) if ranked else None
+    if np.bincount(dst, minlength=n).max(initial=0) <= FEW_WAYS:
+        return _relaxed_all(n, frm, dst, cost, dist, rank)
     order = np.argsort(dst, kind="stable")
     f, d, w = frm[order], dst[order], cost[order][:, None]
     lowered, k = np.isfinite(dist).any(axis=1), 0
@@ -71,21 +75,49 @@ def relaxed(n: int, frm: np.ndarray, dst: np.ndarray, cost: np.ndarray, seeds: n
         lowered[heads[lower.any(axis=1)]] = True
 
 
+def _relaxed_all(n: int, frm: np.ndarray, dst: np.ndarray, cost: np.ndarray, dist: np.ndarray, rank: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+    """As relaxed, where few ways lead to any state: a round takes every state's first way, then all second ones, and so on. States with
+    more ways come first, so the k-th ways lead to the first states."""
+    ways = np.bincount(dst, minlength=n)
+    place = np.argsort(-ways, kind="stable")
+    spot = np.empty(n, np.int64)
+    spot[place] = np.arange(n)
+    order = np.argsort(spot[dst], kind="stable")
+    f, d, w = spot[frm[order]], spot[dst[order]], cost[order]
+    nth = np.arange(len(d)) - np.searchsorted(d, d)
+    turns = [(f[nth == j], w[nth == j][:, None]) for j in range(ways.max(initial=0))]
+    dist, rank = dist[place], None if rank is None else rank[place]
+    have, k = dist[: np.count_nonzero(ways)], 0
+    while turns:
+        k += 1
+        new = dist[turns[0][0]] + turns[0][1]
+        for at, more in turns[1:]:
+            np.minimum(new[: len(at)], dist[at] + more, out=new[: len(at)])
+        lower = new < have
+        if not lower.any():
+            break
+        if rank is not None:
+            rank[: len(new)][lower] = k
+        np.minimum(have, new, out=have)
+    return dist[spot].T, None if rank is None else rank[spot].T
+
+
 def _numbered(*columns: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     states, codes = np.unique(np.concatenate(columns), return_inverse=True)
     return states, np.split(codes, np.cumsum([len(c) for c in columns])[:-1])
 
 
-def _transitions(arcs: pd.DataFrame, cell: int) -> pd.DataFrame:
-    """frm, dst, cost of a cell of level 0: every arc that ends in it before every arc that begins at that node, but for the way
-    back on the same edge. The cost is the second arc's and that of the turn."""
-    ends, begins = arcs.loc[_cells(arcs["ux"].to_numpy(), arcs["uy"].to_numpy(), 0) == cell], arcs.loc[_cells(arcs["fx"].to_numpy(), arcs["fy"].to_numpy(), 0) == cell]
-    t = ends[["arc", "edge_id", "node_to", "bearing_in", "name", "fx", "fy"]].merge(begins[["arc", "edge_id", "node_from", "bearing_out", "name", "cost", "turn", "ux", "uy"]], left_on="node_to", right_on="node_from", suffixes=("", "_o"))
+def _transitions(arcs: pd.DataFrame, cell: int, level: int = 0) -> pd.DataFrame:
+    """frm, dst, cost of a cell of a part's base level: every arc that ends in it before every arc that begins at that node, but for the
+    way back on the same edge. The cost is the second arc's and that of the turn; x and y are the node's cell of level 0."""
+    ends, begins = arcs.loc[_cells(arcs["ux"].to_numpy(), arcs["uy"].to_numpy(), level) == cell], arcs.loc[_cells(arcs["fx"].to_numpy(), arcs["fy"].to_numpy(), level) == cell]
+    ends = ends.assign(x=ends["ux"], y=ends["uy"])
+    t = ends[["arc", "edge_id", "node_to", "bearing_in", "name", "fx", "fy", "x", "y"]].merge(begins[["arc", "edge_id", "node_from", "bearing_out", "name", "cost", "turn", "ux", "uy"]], left_on="node_to", right_on="node_from", suffixes=("", "_o"))
     t = t.loc[(t["edge_id"] != t["edge_id_o"]) & ((t["arc"] >= 0) | (t["arc_o"] >= 0) | (t["arc"] // 2 == t["arc_o"] // 2))]
     delta = ((t["bearing_out"] - t["bearing_in"] + 180) % 360 - 180).abs().to_numpy(np.float64)
     same = ((t["name"] == t["name_o"]) & (t["name"] != "")).to_numpy()
     share = np.select([np.isnan(delta) | (delta < 30) | same & (delta < 70), delta >= 150, delta < 55], [0.0, 2.0, 0.65], 1.0)
-    return pd.DataFrame({"frm": t["arc"], "dst": t["arc_o"], "cost": t["cost"] + t["turn"].fillna(0.0) * share, "fx": t["fx"], "fy": t["fy"], "ux": t["ux"], "uy": t["uy"]}).astype({k: v for k, v in _KINDS.items() if k not in ("variant", "cell")})
+    return pd.DataFrame({"frm": t["arc"], "dst": t["arc_o"], "cost": t["cost"] + t["turn"].fillna(0.0) * share, "fx": t["fx"], "fy": t["fy"], "ux": t["ux"], "uy": t["uy"], "x": t["x"], "y": t["y"]}).astype({k: v for k, v in _KINDS.items() if k not in ("variant", "cell")})
 
 
 def _across(rows: pd.DataFrame, variant: int, cell: int, level: int, chosen: str) -> pd.DataFrame:
@@ -128,6 +160,73 @@ def _across(rows: pd.DataFrame, variant: int, cell: int, level: int, chosen: str
     return (pd.concat(out) if out else pd.DataFrame(columns=_NAMES)).astype(_KINDS)
 
 
+def _joined(a: tuple, b: tuple) -> tuple:
+    """(ways in, ways out, least costs from each to each) of two places beside each other as one. The ways from one into the other are
+    taken out one after the other: what passes through one costs what it takes to it and from it on."""
+    ins, outs = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+    cost = np.full((len(ins), len(outs)), np.inf)
+    cost[: len(a[0]), : len(a[1])], cost[len(a[0]) :, len(a[1]) :] = a[2], b[2]
+    _, row, col = np.intersect1d(ins, outs, assume_unique=True, return_indices=True)
+    through = np.empty_like(cost)
+    for i, j in zip(row.tolist(), col.tolist()):
+        np.minimum(cost, np.add.outer(cost[:, j], cost[i], out=through), out=cost)
+    row, col = np.delete(np.arange(len(ins)), row), np.delete(np.arange(len(outs)), col)
+    return ins[row], outs[col], cost[np.ix_(row, col)]
+
+
+def _merged(places: dict[tuple[int, int], tuple]) -> tuple:
+    """Places by x and y as one: the two halves of the longer side are merged by themselves first, so that few ways lie between them."""
+    if len(places) == 1:
+        return next(iter(places.values()))
+    xs, ys = (sorted({at[k] for at in places}) for k in (0, 1))
+    k = int(ys[-1] - ys[0] > xs[-1] - xs[0])
+    middle = (xs, ys)[k][len((xs, ys)[k]) // 2]
+    return _joined(_merged({at: v for at, v in places.items() if at[k] < middle}), _merged({at: v for at, v in places.items() if at[k] >= middle}))
+
+
+def _crossed(rows: pd.DataFrame, x: int, y: int) -> tuple:
+    """(ways in, ways out, least costs from each to each) of a cell of level 0, from its transitions."""
+    states, (f, d) = _numbered(rows["frm"].to_numpy(), rows["dst"].to_numpy())
+    starts = np.unique(f[(rows["fx"].to_numpy() != x) | (rows["fy"].to_numpy() != y)])
+    exits = np.unique(d[(rows["ux"].to_numpy() != x) | (rows["uy"].to_numpy() != y)])
+    cost, out = rows["cost"].to_numpy(), [np.empty((0, len(exits)))]
+    for k in range(0, len(starts), 64):
+        some = starts[k : k + 64]
+        seeds = np.full((len(some), len(states)), np.inf)
+        seeds[np.arange(len(some)), some] = 0.0
+        out.append(relaxed(len(states), f, d, cost, seeds)[0][:, exits])
+    return states[starts], states[exits], np.concatenate(out)
+
+
+def _at(keys: np.ndarray, rows: pd.DataFrame, by: str, *columns: str) -> list[np.ndarray]:
+    """Columns of any row of each key."""
+    known, first = np.unique(rows[by].to_numpy(), return_index=True)
+    i = first[np.searchsorted(known, keys)]
+    return [rows[c].to_numpy()[i] for c in columns]
+
+
+def _across_merged(rows: pd.DataFrame, variant: int, cell: int, level: int) -> pd.DataFrame:
+    """As _across for all ways: the cells of level 0, or those of the level below, are merged in pairs."""
+    places = {}
+    if "sub" in rows:
+        for k, own in rows.groupby("sub", sort=False):
+            ins, f = np.unique(own["frm"].to_numpy(), return_inverse=True)
+            outs, d = np.unique(own["dst"].to_numpy(), return_inverse=True)
+            cost = np.full((len(ins), len(outs)), np.inf)
+            cost[f, d] = own["cost"].to_numpy()
+            places[k >> BITS, (k & ((1 << BITS) - 1)) - (1 << (BITS - 1))] = ins, outs, cost
+    else:
+        for at, own in rows.groupby(["x", "y"], sort=False):
+            places[at] = _crossed(own, *at)
+    if not places:
+        return pd.DataFrame(columns=_NAMES).astype(_KINDS)
+    ins, outs, cost = _merged(places)
+    fx, fy = _at(ins, rows, "frm", "fx", "fy")
+    ux, uy = _at(outs, rows, "dst", "ux", "uy")
+    a, b = np.nonzero(np.isfinite(cost) & (_cells(fx, fy, level) != cell)[:, None] & (_cells(ux, uy, level) != cell))
+    return pd.DataFrame({"variant": variant, "cell": cell, "frm": ins[a], "dst": outs[b], "cost": cost[a, b], "fx": fx[a], "fy": fy[a], "ux": ux[b], "uy": uy[b]}).astype(_KINDS)
+
+
 def _unpacked(rows: pd.DataFrame, hops: pd.DataFrame) -> list[tuple]:
     """(key, place, frm, dst, cost, sub) of the steps that make up each hop, in order. Of equally dear steps the least state's counts."""
     states, (f, d) = _numbered(rows["frm"].to_numpy(), rows["dst"].to_numpy())
@@ -165,15 +264,16 @@ _ARCS = ["variant", "cell", "arc", "edge_id", "node_from", "node_to", "cost", "b
 
 @dataclass
 class Part:
-    """Arcs of some graphs by cell, in a box of cells or the whole map, and for each level the least costs across its cells: tables in
-    the shared folder, for any number of searches. Ways out of the box end OUTSIDE; ways into it are left out."""
+    """Arcs of some graphs by cell of the base level, in a box of cells or the whole map, and for each level from there the least costs
+    across its cells: tables in the shared folder, for any number of searches. Ways out of the box end OUTSIDE; ways into it are left out."""
 
     arcs: DataFrame
     nodes: DataFrame
     graphs: list[str]
     top: int
     whole: bool
-    levels: list[DataFrame] = field(default_factory=list)
+    base: int = 0
+    levels: dict[int, DataFrame] = field(default_factory=dict)
 
 
 #: x and y of the least and the greatest cell of a box.
@@ -212,10 +312,10 @@ def build(graphs: dict[str, tuple[DataFrame, float]], nodes: DataFrame) -> Overl
     return Overlay(graphs, place, top, reach)
 
 
-def _part(overlay: Overlay, names: set[str], box: Box) -> Part:
+def _part(overlay: Overlay, names: set[str], box: Box, base: int = 0) -> Part:
     """The named graphs in a box, or a part that is there and holds both."""
     for known, b, part in overlay.parts:
-        if names <= known and b[0] <= box[0] and b[1] <= box[1] and b[2] >= box[2] and b[3] >= box[3]:
+        if part.base == base and names <= known and b[0] <= box[0] and b[1] <= box[1] and b[2] >= box[2] and b[3] >= box[3]:
             return part
     whole, near = box == overlay.reach, overlay.nodes
     if not whole:
@@ -232,21 +332,22 @@ def _part(overlay: Overlay, names: set[str], box: Box) -> Part:
     few = not whole and (box[2] - box[0] + 1) * (box[3] - box[1] + 1) <= NEAR_CELLS
     side = F.broadcast(near) if few else near
     ends = arcs.join(side.toDF("node_from", "fx", "fy"), "node_from").join(side.toDF("node_to", "ux", "uy"), "node_to", "inner" if whole else "left")
-    own, other = cell_of(F.col("fx"), F.col("fy"), 0), cell_of(F.col("ux"), F.col("uy"), 0)
+    own, other = cell_of(F.col("fx"), F.col("fy"), base), cell_of(F.col("ux"), F.col("uy"), base)
     cells = F.array_distinct(F.when(F.col("ux").isNull(), F.array(own)).otherwise(F.array(own, other)))
     ends = ends.withColumn("cell", F.explode(cells)).withColumns({c: F.coalesce(c, F.lit(OUTSIDE).cast("long")) for c in ("ux", "uy")})
-    found = Part(stored(ends.select(_ARCS), "overlay-arcs"), near, list(overlay.frames), overlay.top, whole)
-    for level in range(overlay.top):
-        found.levels.append(_cliques(found.arcs if not level else _up(found.levels[-1]), level))
+    found = Part(stored(ends.select(_ARCS), "overlay-arcs"), near, list(overlay.frames), overlay.top, whole, base)
+    for level in range(base, overlay.top):
+        found.levels[level] = _cliques(found.arcs if level == base else _up(found.levels[level - 1]), level, base)
     overlay.parts.append((set(names), box, found))
     return found
 
 
-def _cliques(rows: DataFrame, level: int) -> DataFrame:
-    """Costs across every (variant, cell) in rows, which are arcs at level 0 and else costs across the cells below."""
+def _cliques(rows: DataFrame, level: int, base: int = 0) -> DataFrame:
+    """Costs across every (variant, cell) in rows, which are arcs at the base level and else costs across the cells below."""
 
     def cell(key, part):
-        return _across(part if level else _transitions(part, key[1]), int(key[0]), int(key[1]), level, "all")
+        inside = part if level > base else _transitions(part, key[1], base)
+        return _across_merged(inside, int(key[0]), int(key[1]), level) if base else _across(inside, int(key[0]), int(key[1]), level, "all")
 
     return stored(_dealt(rows).applyInPandas(cell, _ROWS), f"overlay-{level}")
 
@@ -276,9 +377,9 @@ class Search:
         return cells.join(r, ["key", "cell"], "left").withColumn("variant", F.when(F.col("own"), F.col("key")).otherwise(F.col("graph"))).drop("own")
 
     def inside(self, wanted: DataFrame, level: int) -> DataFrame:
-        """The rows of wanted (variant, graph, cell) of a level: arcs at level 0, else costs across the cells below (with sub)."""
+        """The rows of wanted (variant, graph, cell) of a level: arcs at the base level, else costs across the cells below (with sub)."""
         wanted = _fresh(wanted.select("variant", "graph", "cell").distinct())
-        base = _fresh(self.overlay.arcs if not level else _up(self.overlay.levels[level - 1])).withColumnRenamed("variant", "graph")
+        base = _fresh(self.overlay.arcs if level == self.overlay.base else _up(self.overlay.levels[level - 1])).withColumnRenamed("variant", "graph")
         rows = base.join(wanted, ["graph", "cell"])
         if self.raised is None:
             return rows
@@ -299,12 +400,12 @@ def _fresh(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
-def _virtual(plans: DataFrame) -> DataFrame:
-    """The arcs that requests add: to each start from outside, and from each goal to outside, with their cell."""
+def _virtual(plans: DataFrame, base: int = 0) -> DataFrame:
+    """The arcs that requests add: to each start from outside, and from each goal to outside, with their cell of the base level."""
     none, out = F.lit(None).cast("double"), F.lit(OUTSIDE).cast("long")
     common = [none.alias("bearing_in"), none.alias("bearing_out"), F.lit("").alias("name"), F.lit(0.0).alias("turn")]
-    start = plans.select("key", "graph", cell_of(F.col("sx"), F.col("sy"), 0).alias("cell"), (-2 * (F.col("key") + 1)).alias("arc"), F.lit(-1).cast("long").alias("edge_id"), out.alias("node_from"), F.col("start").alias("node_to"), F.lit(0.0).alias("cost"), *common, out.alias("fx"), out.alias("fy"), F.col("sx").alias("ux"), F.col("sy").alias("uy"))
-    goal = plans.where("tx is not null").select("key", "graph", cell_of(F.col("tx"), F.col("ty"), 0).alias("cell"), (1 - 2 * (F.col("key") + 1)).alias("arc"), F.lit(-2).cast("long").alias("edge_id"), F.col("goal").alias("node_from"), out.alias("node_to"), F.lit(0.0).alias("cost"), *common, F.col("tx").alias("fx"), F.col("ty").alias("fy"), out.alias("ux"), out.alias("uy"))
+    start = plans.select("key", "graph", cell_of(F.col("sx"), F.col("sy"), base).alias("cell"), (-2 * (F.col("key") + 1)).alias("arc"), F.lit(-1).cast("long").alias("edge_id"), out.alias("node_from"), F.col("start").alias("node_to"), F.lit(0.0).alias("cost"), *common, out.alias("fx"), out.alias("fy"), F.col("sx").alias("ux"), F.col("sy").alias("uy"))
+    goal = plans.where("tx is not null").select("key", "graph", cell_of(F.col("tx"), F.col("ty"), base).alias("cell"), (1 - 2 * (F.col("key") + 1)).alias("arc"), F.lit(-2).cast("long").alias("edge_id"), F.col("goal").alias("node_from"), out.alias("node_to"), F.lit(0.0).alias("cost"), *common, F.col("tx").alias("fx"), F.col("ty").alias("fy"), out.alias("ux"), out.alias("uy"))
     return start.union(goal)
 
 
@@ -338,10 +439,10 @@ def _owners(rows: DataFrame, search: Search) -> DataFrame:
     return rows.withColumn("key", (-F.floor(own / 2) - 1).cast("long")).join(F.broadcast(search.plans.select("key", "graph")), "key")
 
 
-def _ends_task(level: int):
+def _ends_task(level: int, base: int):
     def cell(key, part, added):
         rows = pd.concat([part, added], ignore_index=True) if len(part) else added
-        return _across(rows if level else _transitions(rows, int(key[1])), int(key[0]), int(key[1]), level, "own")
+        return _across(rows if level > base else _transitions(rows, int(key[1]), base), int(key[0]), int(key[1]), level, "own")
 
     return cell
 
@@ -355,22 +456,23 @@ def _hops_task(level: int):
     return cell
 
 
-def _labels_task(level: int):
+def _labels_task(level: int, base: int):
     def cell(key, part, own):
-        return _spread(part if level or not len(part) else _transitions(part, int(key[1])), own)
+        return _spread(part if level > base or not len(part) else _transitions(part, int(key[1]), base), own)
 
     return cell
 
 
 def _reach(search: Search) -> None:
     """Costs from starts and to goals across the cells that hold them, up to the level below the top."""
-    virtual = search.variants(_virtual(search.plans), 0)
-    for level in range(search.overlay.top):
-        own = virtual if not level else search.variants(_owners(_up(search.ends[-1]).drop("variant"), search), level)
-        base = search.inside(own, level)
+    base = search.overlay.base
+    virtual = search.variants(_virtual(search.plans, base), base)
+    for level in range(base, search.overlay.top):
+        own = virtual if level == base else search.variants(_owners(_up(search.ends[-1]).drop("variant"), search), level)
+        rows = search.inside(own, level)
 
-        columns = [c for c in base.columns if c not in ("graph", "sub")]
-        search.ends.append(stored(_dealt(base.select(columns)).cogroup(_dealt(_fresh(own).select(columns))).applyInPandas(_ends_task(level), _ROWS), f"ends-{level}"))
+        columns = [c for c in rows.columns if c not in ("graph", "sub")]
+        search.ends.append(stored(_dealt(rows.select(columns)).cogroup(_dealt(_fresh(own).select(columns))).applyInPandas(_ends_task(level, base), _ROWS), f"ends-{level}"))
 
 
 def _needed(search: Search, hops: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
@@ -480,22 +582,25 @@ def _walked(search: Search, hops: DataFrame, penalties: DataFrame | None, cap: f
 def labels(overlay: Overlay, plans: DataFrame) -> DataFrame:
     """Least costs from every plan's start to the end of every arc that it reaches: (request, plan, arc_id, dist).
 
-    From the top, each cell passes what its ways in cost down to the cells that it holds, so there is one round a level.
+    From the top, each cell passes what its ways in cost down to the cells that it holds, so there is one round a level. The lowest cells
+    here are those of level 1: one task makes their transitions, crosses each cell of level 0 in them, merges these in pairs and keeps only
+    the costs across the whole.
     """
-    part = _part(overlay, set(overlay.frames), overlay.reach)
+    base = int(overlay.top > 1)
+    part = _part(overlay, set(overlay.frames), overlay.reach, base)
     search = prepare(part, plans.withColumn("goal", F.lit(None).cast("long")))
     _reach(search)
-    virtual = _virtual(search.plans)
+    virtual = _virtual(search.plans, base)
     have = search.plans.select("key", "graph", (-2 * (F.col("key") + 1)).alias("state"), F.lit(0.0).alias("dist"), "sx", "sy")
     seeds = have.select("key", "graph", "state", "dist", cell_of(F.lit(0), F.lit(0), overlay.top).alias("cell"))
-    for level in range(overlay.top, -1, -1):
+    for level in range(overlay.top, base - 1, -1):
         seeds = search.variants(seeds, level)
-        base = search.inside(seeds, level)
-        added = search.variants(_owners(_up(search.ends[level - 1]).drop("variant"), search), level) if level else search.variants(virtual, 0)
-        columns = [c for c in base.columns if c not in ("graph", "sub")]
-        rows = base.select(columns).union(added.select(columns))
-        got = stored(_dealt(rows).cogroup(_dealt(seeds.select("variant", "cell", "key", "state", "dist"))).applyInPandas(_labels_task(level), "key long, state long, dist double, ux long, uy long"), f"labels-{level}")
-        if level:
+        inside = search.inside(seeds, level)
+        added = search.variants(_owners(_up(search.ends[level - 1 - base]).drop("variant"), search), level) if level > base else search.variants(virtual, level)
+        columns = [c for c in inside.columns if c not in ("graph", "sub")]
+        rows = inside.select(columns).union(added.select(columns))
+        got = stored(_dealt(rows).cogroup(_dealt(seeds.select("variant", "cell", "key", "state", "dist"))).applyInPandas(_labels_task(level, base), "key long, state long, dist double, ux long, uy long"), f"labels-{level}")
+        if level > base:
             inner = got.join(F.broadcast(search.plans.select("key", "graph")), "key").select("key", "graph", "state", "dist", cell_of(F.col("ux"), F.col("uy"), level - 1).alias("cell"))
             seeds = inner.union(have.select("key", "graph", "state", "dist", cell_of(F.col("sx"), F.col("sy"), level - 1)))
     least = got.where("state >= 0").groupBy("key", "state").agg(F.min("dist").alias("dist"))

@@ -280,6 +280,68 @@ def test_searches_near_each_other_leave_far_cells_alone(spark):
     assert {x.request for x in overlay.routes(on, closed).collect()} == {1}
 
 
+def test_costs_to_all_arcs_from_cells_merged_in_a_task(spark):
+    """Costs to everywhere equal a plain search over arcs, also through other cells and back; costs across cells of level 0 are not kept."""
+    import heapq
+    import random
+
+    from roadlattice.operators import overlay
+
+    r, width, height = random.Random(11), 5, 50
+    arcs = []
+    for n in range(width * height):
+        for far, heading in ((n + 1, 90.0), (n + width, 0.0)):
+            # row 17 has one way through, row 40 none
+            if (heading == 90.0 and n % width == width - 1) or far >= width * height or heading == 0.0 and (n // width == 17 and n % width != 4 or n // width == 40):
+                continue
+            edge = len(arcs)
+            arcs.append((2 * edge, edge, n, far, r.randint(1, 40) / 4, heading, heading, r.choice(["A", "B", None])))
+            if r.random() < 0.7:
+                arcs.append((2 * edge + 1, edge, far, n, r.randint(1, 40) / 4, heading + 180, heading + 180, arcs[-1][7]))
+    arcs.append((9001, 9000, 7, 7, 0.25, 90.0, 90.0, None))
+    frame = spark.createDataFrame(arcs, "arc_id long, edge_id long, src long, dst long, cost double, bearing_in double, bearing_out double, name string")
+    nodes = spark.createDataFrame([(n, n % width // 2, n // width // 2) for n in range(width * height)], "node long, x long, y long")
+    on = overlay.build({"turns": (frame, 5.0), "plain": (frame, 0.0)}, nodes)
+    assert on.top == 2
+    asked = [(0, 0, "turns", 2), (0, 1, "plain", 2), (3, 0, "turns", 133), (4, 0, "turns", 248), (5, 0, "turns", 9999)]
+    got = {}
+    for x in overlay.labels(on, spark.createDataFrame(asked, "request long, plan int, graph string, start long")).collect():
+        assert (x.request, x.plan, x.arc_id) not in got
+        got[x.request, x.plan, x.arc_id] = x.dist
+    by_id, want = {a[0]: a for a in arcs}, {}
+    for k, p, graph, start in asked:
+        heap = [(a[4], a[0]) for a in arcs if a[2] == start]
+        while heap:
+            cost, at = heapq.heappop(heap)
+            if (k, p, at) in want:
+                continue
+            want[k, p, at], here = cost, by_id[at]
+            for a in arcs:
+                if a[2] == here[3] and a[1] != here[1]:
+                    delta = abs((a[6] - here[5] + 540) % 360 - 180)
+                    heapq.heappush(heap, (cost + a[4] + (5.0 if graph == "turns" else 0.0) * (0 if delta < 30 else 2 if delta >= 150 else 1), a[0]))
+    assert got == want and {k for k, *_ in got} == {0, 3, 4}
+    ((_, _, part),) = on.parts
+    assert set(part.levels) == {1}
+
+
+def test_rounds_over_all_states_are_those_over_lowered_ones(monkeypatch):
+    """Costs and rounds do not depend on how many ways lead to a state."""
+    import numpy as np
+
+    from roadlattice.operators import overlay
+
+    r = np.random.default_rng(3)
+    for n, m in ((1, 0), (5, 0), (1, 3), (12, 30), (40, 120), (40, 90)):
+        frm, dst, cost, seeds = r.integers(0, n, m), r.integers(0, n, m), r.choice([0.1, 0.7, 1.0, 2.0], m), np.full((3, n), np.inf)
+        seeds[np.arange(3), r.integers(0, n, 3)] = 0.0
+        found = []
+        for few in (-1, 1000):
+            monkeypatch.setattr(overlay, "FEW_WAYS", few)
+            found.append(overlay.relaxed(n, frm, dst, cost, seeds, ranked=True))
+        assert all(np.array_equal(a, b) for a, b in zip(*found))
+
+
 def test_children_of_crossing_routes(spark):
     """All clean children with their sums, against plain loops; routes of two requests may have the same numbers."""
     import random
