@@ -175,6 +175,7 @@ def bounded_labels(spark: SparkSession, sf_dir: str, margin: float = G.MARGIN) -
     ends = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("request"), F.lit(s).cast("long").alias("start"), F.lit(g).cast("long").alias("goal")) for k, s, g, _ in _AIMED])).alias("e")
     asked = spark.range(1).select(ends).select("e.*")
     goals = asked.select("request", F.col("goal").alias("node"))
-    bounds = G.goal_bounds(priced, goals, F.col("floor"), block_nodes=BLOCK)
-    best = G.distances(priced, asked.select("request", F.col("start").alias("node")), bounds=bounds, goals=goals, margin=margin, block_nodes=BLOCK)
+    starts = asked.select("request", F.col("start").alias("node"))
+    bounds = G.goal_bounds(priced, goals, F.col("floor"), starts=starts, block_nodes=BLOCK)
+    best = G.distances(priced, starts, bounds=bounds, goals=goals, margin=margin, block_nodes=BLOCK)
     return best.join(goals, ["request", "node"]).select("request", F.round("dist", 6).alias("cost")), best

@@ -419,6 +419,32 @@ def test_bounds_keep_costs_and_drop_labels(spark):
             node = exact[request, node][1]
 
 
+def test_searches_with_goals_end_near_them(spark):
+    """Along a strip of 300 rows, blocks far from the goals are left alone; goals' costs and paths are those of a search everywhere."""
+    width, rows = 4, 300
+    cost = lambda u: float(3 + u * 7 % 9)
+    links = [(n, m, cost(n + m)) for n in range(width * rows) for m in ([n + 1] if n % width < width - 1 else []) + ([n + width] if n // width < rows - 1 else [])]
+    arcs = spark.createDataFrame(links + [(v, u, c + 1) for u, v, c in links] + [(1300, 0, 1.0)], "src long, dst long, cost double")
+    ends = spark.createDataFrame([(0, 600, 613), (1, 640, 622), (3, 601, 601)], "request long, start long, goal long")
+    goals, starts = ends.selectExpr("request", "goal AS node"), ends.selectExpr("request", "start AS node")
+    exact = {(r.request, r.node): (r.dist, r.pred) for r in graph.distances(arcs, starts).collect()}  # in one block
+    whole = {(r.request, r.node): r.bound for r in graph.goal_bounds(arcs, goals, F.col("cost") * 0.6).collect()}
+    bounds = graph.goal_bounds(arcs, goals, F.col("cost") * 0.6, starts=starts, block_nodes=16)
+    near = {(r.request, r.node): r.bound for r in bounds.collect()}
+    assert all(near.get((k, n), near[k, None]) <= b for (k, n), b in whole.items()) and len(near) < 300
+    for some in (graph.distances(arcs, starts, goals=goals, margin=1.0, block_nodes=16), graph.distances(arcs, starts, bounds=bounds, goals=goals, block_nodes=16)):
+        some = {(r.request, r.node): (r.dist, r.pred) for r in some.collect()}
+        assert len(some) < 300 and some[3, 601] == (0.0, None)
+        for request, node in ((0, 613), (1, 622)):
+            while node is not None:
+                assert some[request, node] == exact[request, node]
+                node = exact[request, node][1]
+    more = spark.createDataFrame([(0, 613), (0, 700), (1, 1300)], "request long, node long")  # the dearest goal counts; nothing leads to 1300
+    some = {(r.request, r.node): (r.dist, r.pred) for r in graph.distances(arcs, starts, goals=more, margin=1.0).collect()}
+    assert some[0, 613] == exact[0, 613] and some[0, 700] == exact[0, 700] and (1, 1300) not in some and (0, 1199) not in some and (1, 1199) in some
+    assert (1, None) not in {(r.request, r.node) for r in graph.goal_bounds(arcs, more.where("request = 1"), F.col("cost"), starts=starts.where("request = 1")).collect()}
+
+
 def test_crossbred_children(spark):
     """A route good at first and one good at last meet half way: their child is made, better than both; a copy of the first adds none."""
     from roadlattice.operators import recombine
