@@ -391,6 +391,21 @@ def test_road_blocks_close_the_nearest_edge_however_far(spark):
     assert [(b, e) for b, e, _ in got] == [(1, 1), (1, 3), (2, 3), (3, 2)] and 1080 < got[2][2] < 1120
 
 
+def test_road_blocks_look_a_place_up_once(spark):
+    """Copies of a place are looked up once, the nearest edge is found where cells are narrow, and a block at two places closes what is near both."""
+    up = 390 / 110540
+    edges = spark.createDataFrame([(1, 0.0, 47.0, 0.0, 47.001), (2, 0.0301, 85.0, 0.0301, 85.0001), (3, 0.0, 85.0 + up, 0.0001, 85.0 + up), (4, 5.0, 47.0, 5.0, 47.001)], "edge_id long, lon1 double, lat1 double, lon2 double, lat2 double")
+    rows = [(i, 0.0001, 47.0005) for i in range(50)] + [(50, 0.0001, 85.0), (51, 0.0001, 47.0005), (51, 5.0001, 47.0005), (52, 5.01, 47.0005), (52, 5.02, 47.0005), (53, None, 47.0)]
+    looked = []
+    cut, spatial.cut_lineage = spatial.cut_lineage, lambda df: looked.append(df.count()) or cut(df)
+    try:
+        got = sorted((r.block_id, r.edge_id) for r in spatial.blocked_edges(spark.createDataFrame(rows, "block_id long, lon double, lat double"), edges).collect())
+    finally:
+        spatial.cut_lineage = cut
+    assert got == [(i, 1) for i in range(50)] + [(50, 2), (51, 1), (51, 4), (52, 4)]
+    assert max(looked) == 5
+
+
 def test_bags_keep_the_first_of_each_order_when_full(spark):
     """More parallel ways than a bag holds: eight stay, among them the best of each metric."""
     n = len(portfolio.LABEL)
