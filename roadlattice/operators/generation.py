@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import overlay
 from .arcs import legal
 from .costs import MODES, TURN, profile_name
-from .graph import cut_lineage, distances, stored, walked_back
+from .graph import Dealt, cut_lineage, dealt, distances, stored, walked_back
 from .portfolio import SAFETY, dominated, lettered, overlap, reasonable, recommended, select_six
 from .recombine import LEAST_PART_M, alike_pairs, crossbred, distinct_routes, ferry_seeds, ferry_signatures, totalled
 from .requests import different, profiles
@@ -25,22 +27,38 @@ STRICTER_MPH, LEAST_MPH, MOST_MPH = 5, 15, 30
 FLATTEN = 0.22
 
 
-def searched(graphs: dict[str, DataFrame], plans: DataFrame, penalties: DataFrame | None = None, **blocks) -> DataFrame:
-    """The least-cost path of every plan: (request, plan, step, edge_id, src, dst, cost), steps from 0.
+@dataclass
+class Copies:
+    """Graphs for any number of searches: their arcs on copies of the nodes of their own, as tables in the shared folder."""
 
-    graphs gives arcs(edge_id, src, dst, cost) by name; plans has request, plan (0 to 63), graph, start and goal; penalties
-    (request, plan, edge_id, factor) make edges dearer for one plan. All plans run in the same rounds, each on its graph's copy of
-    the nodes. A plan whose goal is not reached gives no rows.
-    """
+    number: dict[str, int]
+    arcs: DataFrame
+    dealt: Dealt
+
+
+def copies(graphs: dict[str, DataFrame], **blocks) -> Copies:
+    """graphs gives arcs(edge_id, src, dst, cost) by name."""
     number = {name: i for i, name in enumerate(graphs)}
     copy = lambda i, node: (F.lit(i << NODE_BITS) + node).cast("long")
     arcs = None
     for name, i in number.items():
         part = graphs[name].select("edge_id", copy(i, F.col("src")).alias("src"), copy(i, F.col("dst")).alias("dst"), F.col("cost").cast("double").alias("cost"))
         arcs = part if arcs is None else arcs.union(part)
-    arcs = cut_lineage(arcs)
+    arcs = stored(arcs, "copies")
+    return Copies(number, arcs, dealt(arcs.select("src", "dst", "cost"), **blocks))
+
+
+def searched(graphs: dict[str, DataFrame] | Copies, plans: DataFrame, penalties: DataFrame | None = None, **blocks) -> DataFrame:
+    """The least-cost path of every plan: (request, plan, step, edge_id, src, dst, cost), steps from 0.
+
+    graphs gives arcs(edge_id, src, dst, cost) by name, or what ``copies`` made of them; plans has request, plan (0 to 63), graph, start and goal; penalties
+    (request, plan, edge_id, factor) make edges dearer for one plan. All plans run in the same rounds, each on its graph's copy of
+    the nodes, and each until its goal's cost is known. A plan whose goal is not reached gives no rows.
+    """
+    on = graphs if isinstance(graphs, Copies) else copies(graphs, **blocks)
+    arcs = on.arcs
     shift = F.lit(None).cast("long")
-    for name, i in number.items():
+    for name, i in on.number.items():
         shift = F.when(F.col("graph") == name, F.lit(i << NODE_BITS)).otherwise(shift)
     key = (F.col("request") * (1 << PLAN_BITS) + F.col("plan")).cast("long")
     keyed = cut_lineage(plans.select(key.alias("key"), (F.col("start") + shift).alias("start"), (F.col("goal") + shift).alias("goal")))
@@ -50,12 +68,14 @@ def searched(graphs: dict[str, DataFrame], plans: DataFrame, penalties: DataFram
         ends = arcs.select("edge_id", "src", "dst")
         dear = p.join(ends, "edge_id").where(F.col("src").between(F.col("shift"), F.col("shift") + ((1 << NODE_BITS) - 1))).groupBy("request", "src", "dst").agg(F.max("factor").alias("factor"))
         dear = cut_lineage(dear)
-    best = distances(arcs.select("src", "dst", "cost"), keyed.select(F.col("key").alias("request"), F.col("start").alias("node")), penalties=dear, cap=BARRED / 2, **blocks)
-    reached = keyed.select(F.col("key").alias("request"), F.col("goal").alias("node")).join(best.select("request", "node"), ["request", "node"], "left_semi")
-    back = walked_back(best, reached, **blocks)
+    goals = keyed.select(F.col("key").alias("request"), F.col("goal").alias("node"))
+    best = distances(on.dealt, keyed.select(F.col("key").alias("request"), F.col("start").alias("node")), penalties=dear, cap=BARRED / 2, goals=goals, margin=1.0)
+    reached = goals.join(best.select("request", "node"), ["request", "node"], "left_semi")
+    back = walked_back(best, reached, block_nodes=on.dealt.block_nodes)
     w = Window.partitionBy("request").orderBy(F.desc("steps_back"))
     hops = back.select("request", F.col("node").alias("src"), F.lead("node").over(w).alias("dst"), (F.row_number().over(w) - 1).alias("step")).where("dst is not null")
-    cheapest = arcs.groupBy("src", "dst").agg(F.min(F.struct("cost", "edge_id")).alias("a"))
+    hops = cut_lineage(hops)
+    cheapest = arcs.join(hops.select("src", "dst").distinct(), ["src", "dst"], "left_semi").groupBy("src", "dst").agg(F.min(F.struct("cost", "edge_id")).alias("a"))
     mask = (1 << NODE_BITS) - 1
     return hops.join(cheapest, ["src", "dst"]).select(
         F.shiftright("request", PLAN_BITS).alias("request"), F.col("request").bitwiseAND(F.lit((1 << PLAN_BITS) - 1)).cast("int").alias("plan"), "step", "a.edge_id",
@@ -111,7 +131,7 @@ def rejected_crossings(route: DataFrame, exempt: DataFrame | None = None) -> Dat
 def strict_arcs(arcs: DataFrame, exempt: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(arcs of the strict graph, their attributes, factors of requests): legal arcs, and failing ones near someone's ends at a cost that
     nobody pays but those whom a factor brings back to theirs."""
-    usable = cut_lineage(legal(arcs, require_safe=True, freeways=True, mtb=True))
+    usable = stored(legal(arcs, require_safe=True, freeways=True, mtb=True), "strict-arcs")
     if exempt is None:
         return usable, usable, None
     extra = legal(arcs, freeways=True, mtb=True).join(exempt.select("edge_id").distinct(), "edge_id", "left_semi").join(usable.select("edge_id", "src"), ["edge_id", "src"], "left_anti")
@@ -132,16 +152,17 @@ def strict_routes(arcs: DataFrame, requests: DataFrame, exempt: DataFrame | None
     barred for it. Parallel arcs count as the cheapest of them. ``find`` (plans, penalties) searches instead of ``searched``, as on an
     overlay built with ``parts`` (see strict_arcs).
     """
-    usable, attr, allowed = parts or strict_arcs(cut_lineage(arcs), exempt)
-    attr = attr.select("edge_id", "src", "level", "freeway", "len_m", "cost").dropDuplicates(["edge_id", "src"])
-    graph = {"strict": usable.select("edge_id", "src", "dst", "cost")}
+    usable, attr, allowed = parts or strict_arcs(stored(arcs.select("edge_id", "src", "dst", "cost", "level", "freeway", "len_m", "prohibited", "ferry", "mtb"), "strict-all"), exempt)
+    attr = attr.select("edge_id", "src", "level", "freeway", "len_m", "cost")
+    graph = None if find else copies({"strict": usable.select("edge_id", "src", "dst", "cost")}, **blocks)
     plan = lambda r: r.select("request", F.lit(0).alias("plan"), F.lit("strict").alias("graph"), "start", "goal")
     todo, barred, done = requests, None, None
     for attempt in range(retries + 1):
         dear = barred.select("request", F.lit(0).alias("plan"), "edge_id", F.lit(BARRED).alias("factor")) if barred is not None else None
         dear = dear.union(allowed) if dear is not None and allowed is not None else allowed if dear is None else dear
-        paths = find(plan(todo), dear) if find else searched(graph, plan(todo), dear, **blocks)
-        route = cut_lineage(paths.select("request", F.col("step").alias("seq"), "edge_id", "src", "dst").join(attr, ["edge_id", "src"]))
+        paths = stored((find(plan(todo), dear) if find else searched(graph, plan(todo), dear)).select("request", F.col("step").alias("seq"), "edge_id", "src", "dst"), "strict-paths")
+        used = attr.join(paths.select("edge_id", "src").distinct(), ["edge_id", "src"], "left_semi").dropDuplicates(["edge_id", "src"])
+        route = cut_lineage(paths.join(used, ["edge_id", "src"]))
         bad = cut_lineage(rejected_crossings(route, exempt))
         good = route.join(bad.select("request").distinct(), "request", "left_anti").select("request", F.lit(attempt).alias("tries"), "seq", "edge_id", "src", "dst", "cost", "level", "len_m")
         good = cut_lineage(good)

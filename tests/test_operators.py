@@ -460,6 +460,21 @@ def test_searches_with_goals_end_near_them(spark):
     assert (1, None) not in {(r.request, r.node) for r in graph.goal_bounds(arcs, more.where("request = 1"), F.col("cost"), starts=starts.where("request = 1")).collect()}
 
 
+def test_paths_are_found_in_the_blocks_about_them(spark, monkeypatch):
+    """Two searches on copies made once, on a strip of 75 blocks: few rounds, paths and penalties as in one block, nothing for a goal without arcs."""
+    width, rows = 4, 300
+    links = [(n, m) for n in range(width * rows) for m in ([n + 1] if n % width < width - 1 else []) + ([n + width] if n // width < rows - 1 else [])]
+    arcs = spark.createDataFrame([(k, *((v, u) if back else (u, v)), float(3 + (u + v) * 7 % 9)) for k, (u, v) in enumerate(links) for back in (0, 1)], "edge_id long, src long, dst long, cost double")
+    plans = spark.createDataFrame([(0, 0, "g", 600, 613), (0, 1, "g", 600, 613), (1, 0, "g", 640, 622)], "request long, plan int, graph string, start long, goal long")
+    dear = spark.createDataFrame([(0, 1, k, 9.0) for k, (u, _) in enumerate(links) if u % 5 == 0], "request long, plan int, edge_id long, factor double")
+    want = sorted(tuple(r) for r in generation.searched({"g": arcs}, plans, dear).collect())
+    cut, calls = graph.cut_lineage, []
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: calls.append(1) or cut(df))
+    on = generation.copies({"g": arcs}, block_nodes=16)
+    assert sorted(tuple(r) for r in generation.searched(on, plans, dear).collect()) == want and len(calls) < 60
+    assert {r[:2] for r in want} == {(0, 0), (0, 1), (1, 0)} and [r[2:6] for r in want if r[:2] == (0, 0)] != [r[2:6] for r in want if r[:2] == (0, 1)]
+
+
 def test_crossbred_children(spark):
     """A route good at first and one good at last meet half way: their child is made, better than both; a copy of the first adds none."""
     from roadlattice.operators import recombine
