@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import gzip
+import os
+import sys
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .graph import stored
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def read_pages(spark: SparkSession, path: str, fields: str) -> DataFrame:
     """Features of paged JSON answers: one row for each feature, with ``fields`` (a DDL string) and its paths."""
@@ -67,18 +74,104 @@ def dealt(lines: DataFrame, order: list[str], max_bytes: int) -> DataFrame:
 GROUPS = 128
 
 
+def _local(spark: SparkSession, path: str) -> str | None:
+    """The folder that a path names in a file system that tasks see as theirs (file:), else nothing."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    name = there.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(there).toUri()
+    return name.getPath() if name.getScheme() == "file" else None
+
+
+def _file_writer(root: str, codec: str):
+    """mapInArrow over rows (folder, value) sorted by folder: a file for each folder, under another name until it is complete. A task that
+    runs again writes the same bytes under the same names."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        task, folder, out, raw = TaskContext.get(), None, None, None
+        name = f"part-{task.partitionId():05d}.txt" + (".gz" if codec == "gzip" else "")
+        draft = f".{name}.{task.taskAttemptId()}"
+
+        def close():
+            if out is not None:
+                out.close()
+                raw.close()
+                os.replace(f"{root}/{folder}/{draft}", f"{root}/{folder}/{name}")
+
+        for batch in batches:
+            folders, values = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            starts = [i for i, f in enumerate(folders) if not i or f != folders[i - 1]]
+            for i, j in zip(starts, [*starts[1:], len(folders)]):
+                if folders[i] != folder:
+                    close()
+                    folder = folders[i]
+                    os.makedirs(f"{root}/{folder}", exist_ok=True)
+                    raw = open(f"{root}/{folder}/{draft}", "wb")
+                    out = gzip.GzipFile("", "wb", 6, raw, 0) if codec == "gzip" else raw
+                out.write(("\n".join(values[i:j]) + "\n").encode())
+        close()
+        return iter(())
+
+    return run
+
+
+def _file_reader(root: str):
+    """mapInArrow over numbers of groups: the lines of their files, with the names of the folders."""
+
+    def run(batches):
+        values, files, size = [], [], 0
+        for batch in batches:
+            for group in batch.column(0).to_pylist():
+                at = f"{root}/group={group}"
+                for folder in sorted(os.listdir(at)) if os.path.isdir(at) else []:
+                    for name in os.listdir(f"{at}/{folder}"):
+                        if name[0] in "._":
+                            continue
+                        with (gzip.open if name.endswith(".gz") else open)(f"{at}/{folder}/{name}", "rb") as f:
+                            for line in f:
+                                values.append(line.decode().removesuffix("\n"))
+                                files.append(folder.removeprefix("file="))
+                                size += len(line)
+                                if size > 1 << 22:
+                                    yield pa.RecordBatch.from_arrays([pa.array(values, pa.string()), pa.array(files, pa.string())], ["value", "file"])
+                                    values, files, size = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(values, pa.string()), pa.array(files, pa.string())], ["value", "file"])
+
+    return run
+
+
 def write_bounded(df: DataFrame, path: str, order: list[str], *, max_bytes: int = 55_000_000, codec: str = "gzip", grouped: bool = False) -> None:
     """Features (see write_features) in files of at most max_bytes before compression, each in order and in a folder ``file=<name>``.
 
     Files cost more than their bytes, so they are dealt to tasks by number, and each task puts its own in place. Many files should be ``grouped``
-    in folders ``group=<number>``: Spark lists folders beside each other in a job with a task for each.
+    in folders ``group=<number>``: each can be listed by a task of its own (see read_bounded). In folders that tasks see as files (file:) they
+    write by themselves: there Hadoop starts a process for every file and folder.
     """
+    spark = df.sparkSession
     properties = [c for c in df.columns if c not in ("geometry_type", "coordinates")]
     lines = df.select(*order, feature_line(properties).alias("value"))
     files = dealt(lines, order, max_bytes).withColumn("group", F.pmod(F.xxhash64("file"), F.lit(GROUPS)).cast("int"))
     folders = ["group", "file"] if grouped else ["file"]
-    files = files.repartition(GROUPS, "group").sortWithinPartitions(*folders, *order).select(*folders, "value")
-    files.write.partitionBy(*folders).option("compression", codec).option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+    files = files.repartition(GROUPS, "group").sortWithinPartitions(*folders, *order)
+    root = _local(spark, path) if codec in ("gzip", "none") else None
+    if root is None:
+        files.select(*folders, "value").write.partitionBy(*folders).option("compression", codec).option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+        return
+    df.limit(0).select(F.lit("").alias("value")).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").text(path)  # an error if it is there
+    folder = F.concat_ws("/", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in folders])
+    files.select(folder.alias("folder"), "value").mapInArrow(_file_writer(root, codec), "done long").write.format("noop").mode("overwrite").save()
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    done.getFileSystem(spark._jsc.hadoopConfiguration()).create(done).close()
+
+
+def read_bounded(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file): the lines of grouped files of write_bounded. Tasks list the groups and read their files, so the driver holds none of
+    their names."""
+    root = _local(spark, path)
+    if root is None:
+        return spark.read.schema("value string, file string").text(path).select("value", "file")
+    groups = spark.range(0, GROUPS, 1, GROUPS).select(F.col("id").cast("int").alias("group"))
+    return groups.mapInArrow(_file_reader(root), "value string, file string")
 
 
 def version_stamp(df: DataFrame, columns: list[str]) -> DataFrame:

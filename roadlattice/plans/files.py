@@ -43,7 +43,7 @@ def bounded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = read(spark, sf_dir, "part").select(k.alias("id"), F.expr(f"repeat(p_brand, CAST({_LONG} AS INT))").alias("name"), F.lit("Point").alias("geometry_type"), F.concat(F.lit("["), k.cast("string"), F.lit(",0]")).alias("coordinates"))
     path = f"{shared_folder(spark)}/bounded-{uuid.uuid4().hex}"
     E.write_bounded(f, path, ["id"], max_bytes=4000, grouped=True)
-    written = spark.read.schema("value string, file string").text(path)
+    written = E.read_bounded(spark, path)
     number = F.get_json_object("value", "$.properties.id").cast("long")
     return written.groupBy("file").agg(F.count("*").alias("lines"), F.sum(F.octet_length("value") + 1).alias("bytes"), F.min(number).alias("first_id"), F.max(number).alias("last_id"))
 

@@ -98,6 +98,21 @@ def test_many_files_are_grouped_and_written_by_many_tasks(spark, tmp_path):
     assert len(tasks) > 20
 
 
+def test_files_are_written_and_listed_by_tasks(spark, tmp_path):
+    """No file is written or listed by Hadoop, whose local files cost a process each; lines come back as they were, old files are not overwritten."""
+    df = spark.range(60).selectExpr("id", "CASE WHEN id = 7 THEN repeat('\u00fc', 900) WHEN id > 3 THEN concat('a\\r\\n', id) END AS name", "'Point' AS geometry_type", "'[0,0]' AS coordinates")
+    for codec in ("gzip", "none"):
+        path = f"{tmp_path}/{codec}"
+        etl.write_bounded(df, path, ["id"], max_bytes=400, codec=codec, grouped=True)
+        names = [(d, f) for d, _, fs in os.walk(path) for f in fs if "file=" in d]
+        assert names and all(f.startswith("part-") and f.endswith(".gz" if codec == "gzip" else ".txt") for _, f in names) and os.path.exists(f"{path}/_SUCCESS")
+        by_spark = sorted(tuple(r) for r in spark.read.schema("value string, file string").text(path).select("value", "file").collect())
+        back = etl.read_bounded(spark, path)
+        assert sorted(tuple(r) for r in back.collect()) == by_spark and len(by_spark) == 60 and not back.inputFiles()
+        with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+            etl.write_bounded(df, path, ["id"], max_bytes=400, codec=codec, grouped=True)
+
+
 def test_features_are_read_as_they_were_written(spark, tmp_path):
     (tmp_path / "a.geojson").write_text('{"type": "FeatureCollection", "features": [{"properties": {"id": 1}, "geometry": {"type": "Point", "coordinates": [1, 2]}},\n {"properties": {"id": 2, "name": "b"}, "geometry": null}]}')
     got = sorted(map(tuple, etl.read_geojson(spark, f"{tmp_path}/a.geojson", "id long, name string").collect()))
