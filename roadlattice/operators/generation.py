@@ -152,7 +152,7 @@ def strict_routes(arcs: DataFrame, requests: DataFrame, exempt: DataFrame | None
     barred for it. Parallel arcs count as the cheapest of them. ``find`` (plans, penalties) searches instead of ``searched``, as on an
     overlay built with ``parts`` (see strict_arcs).
     """
-    usable, attr, allowed = parts or strict_arcs(stored(arcs.select("edge_id", "src", "dst", "cost", "level", "freeway", "len_m", "prohibited", "ferry", "mtb"), "strict-all"), exempt)
+    usable, attr, allowed = parts or strict_arcs(stored(arcs.select("edge_id", "src", "dst", "cost", "level", "freeway", "len_m", "prohibited", "ferry", "mtb"), "strict-all", split=True), exempt)
     attr = attr.select("edge_id", "src", "level", "freeway", "len_m", "cost")
     graph = None if find else copies({"strict": usable.select("edge_id", "src", "dst", "cost")}, **blocks)
     plan = lambda r: r.select("request", F.lit(0).alias("plan"), F.lit("strict").alias("graph"), "start", "goal")

@@ -171,7 +171,7 @@ def bounded_route_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bounded_labels(spark: SparkSession, sf_dir: str, margin: float = G.MARGIN) -> tuple[DataFrame, DataFrame]:
     """Costs at the goals, and all labels that the searches kept."""
     priced = A.legal(C.priced(A.judged(arcs(spark, sf_dir))), freeways=True, mtb=True)
-    priced = G.stored(priced.select("src", "dst", F.col("cost_balanced").alias("cost"), C.cost_floor(1).alias("floor")), "aimed-arcs")
+    priced = G.stored(priced.select("src", "dst", F.col("cost_balanced").alias("cost"), C.cost_floor(1).alias("floor")), "aimed-arcs", split=True)
     ends = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("request"), F.lit(s).cast("long").alias("start"), F.lit(g).cast("long").alias("goal")) for k, s, g, _ in _AIMED])).alias("e")
     asked = spark.range(1).select(ends).select("e.*")
     goals = asked.select("request", F.col("goal").alias("node"))
