@@ -178,6 +178,17 @@ def test_strict_routes_hold_short_crossings_alone(spark):
     assert [(r.request, r.edge_id, r.cost) for r in got] == [(5, 20, 2.0), (5, 1, 1.0)]
 
 
+def test_strict_retries_share_their_arcs(spark, monkeypatch):
+    """Arcs are dealt once for all tries; long methods are allowed again after arcs are stored."""
+    rows = [(1, 0, 1, 1.0, 4, 30), (2, 1, 2, 1.0, 1, 100), (3, 0, 3, 5.0, 1, 100), (4, 3, 2, 5.0, 1, 100)]
+    arcs = spark.createDataFrame([(*r, False, False, False, False) for r in rows], "edge_id long, src long, dst long, cost double, level int, len_m long, prohibited boolean, freeway boolean, ferry boolean, mtb boolean")
+    made, copies, limit = [], generation.copies, spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    monkeypatch.setattr(generation, "copies", lambda *a, **k: made.append(1) or copies(*a, **k))
+    got = generation.strict_routes(arcs, spark.createDataFrame([(0, 0, 2)], "request long, start long, goal long")).orderBy("seq").collect()
+    assert [(r.tries, r.edge_id) for r in got] == [(1, 3), (1, 4)] and len(made) == 1
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == limit
+
+
 def test_rejected_crossings(spark):
     rows = [(0, i, 10 + i, level, False, m) for i, (level, m) in enumerate([(1, 90), (4, 30), (4, 35), (1, 90), (4, 40), (2, 90), (4, 20)])]
     route = spark.createDataFrame(rows, "request long, seq long, edge_id long, level int, freeway boolean, len_m long")
